@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -191,6 +193,30 @@ def glob_to_regex(glob: Column) -> Column:
     return F.concat(F.lit(r"(?s)\A"), F.array_join(translated, ""), F.lit(r"\z"))
 
 
+def regex_of_glob(glob: str) -> str:
+    """``glob_to_regex`` for a glob known when the plan is made: a literal pattern."""
+
+    def char_class(token: str) -> str:
+        negated = token.startswith("[!")
+        body = token[2 if negated else 1 : -1]
+        members = [
+            f"{re.escape(m[0])}-{re.escape(m[-1])}" if len(m) > 1 else re.escape(m)
+            for m in re.findall(r"(?s).-.|.", body)
+            if len(m) == 1 or m[0] <= m[-1]
+        ]
+        if not members:
+            return "." if negated else "(?!)"
+        return f"[{'^' if negated else ''}{''.join(members)}]"
+
+    out = []
+    for token in re.findall(r"(?s)\[!?+\]?+[^\]]*\]|.", glob):
+        if len(token) > 1:
+            out.append(char_class(token))
+        else:
+            out.append({"*": ".*", "?": "."}.get(token, re.escape(token)))
+    return r"(?s)\A" + "".join(out) + r"\z"
+
+
 def star_match(pattern: Column, spec: Column) -> Column:
     """What the one ``*`` of ``pattern`` stands for in ``spec``; null if no match."""
     at = F.locate("*", pattern)

@@ -48,6 +48,10 @@ def members(digested: DataFrame, grouped: DataFrame, across: bool = False) -> Da
     """Every file of every group, one row each, so a group of any size is fine.
 
     A digest shared by a large part of all files is split over many tasks.
+    Pass a written ``digested`` (``session.cut``): it is read for both steps.
     """
     by = ["size", "digest"] if across else [*TREE, "size", "digest"]
-    return skew_join(digested, grouped.select(*by, "copies", "wasted"), by, ENTRY)
+    counted = grouped.select(*by, F.col("copies").alias("count"))
+    return skew_join(
+        digested, grouped.select(*by, "copies", "wasted"), by, ENTRY, counted=counted
+    )

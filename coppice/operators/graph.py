@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coppice.functions import paths
-from coppice.operators.skew import first_n, numbered, skew_join
+from coppice.operators.skew import first_n, numbered, salted_join, skew_join
 from coppice.schema import TREE
 from coppice.session import Rounds, cut, is_empty, loop_settings
 
@@ -409,7 +409,7 @@ def cycles_of(components_: DataFrame, requested: DataFrame) -> DataFrame:
     held = requested.select(*TREE, F.col("path").alias("node")).join(
         components_, [*TREE, "node"]
     ).select(*TREE, F.col("node").alias("focus"), "component")
-    return skew_join(components_, held, [*TREE, "component"], ["node"]).select(
+    return salted_join(components_, held, [*TREE, "component"], ["node"]).select(
         *TREE, "focus", "component", F.col("node").alias("path")
     )
 
@@ -471,7 +471,7 @@ def manifest_hints(requested: DataFrame, files: DataFrame) -> DataFrame:
         .where(F.col("_r").isNotNull())
         .select(*TREE, "dir", "manifest", "_r.lang", "_r.rank")
     )
-    found = skew_join(asked, held, [*TREE, "lang", "dir"], ["path"])
+    found = salted_join(asked, held, [*TREE, "lang", "dir"], ["path"])
     nearest = F.struct(paths.depth(F.col("dir")).alias("d"), (-F.col("rank")).alias("r"))
     return (
         found.groupBy(*TREE, "path")

@@ -110,7 +110,10 @@ def shares(files: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
         .drop("_below")
     )
     totals = sizes.select(*TREE, F.col("dir").alias("parent"), F.col("size").alias("parent_size"))
-    joined = skew_join(entries, totals, [*TREE, "parent"], ["path"], "left")
+    in_each = files.groupBy(*TREE, "parent").count()
+    joined = skew_join(
+        entries, totals, [*TREE, "parent"], ["path"], "left", counted=in_each
+    )
     return joined.select(
         *ENTRY,
         "parent",

@@ -50,16 +50,18 @@ def skew_join(
     how: str = "inner",
     salts: int = 32,
     hot_keys: int = 64,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join that repeats ``other`` for the hottest keys of ``big`` only.
 
     The ``hot_keys`` most frequent keys are found with a map-side combined
     count; that list has a fixed length, so it can be broadcast.  Which keys
-    are on it has no bearing on the result.
+    are on it has no bearing on the result.  The count reads ``big`` once more;
+    ``counted`` (the keys and a ``count``) saves that where it is known.
     """
+    counts = big.groupBy(*on).count() if counted is None else counted
     hot = (
-        big.groupBy(*on)
-        .count()
+        counts
         .orderBy(F.col("count").desc(), *on)
         .limit(hot_keys)
         .select(*on, F.lit(True).alias("_hot"))

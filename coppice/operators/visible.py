@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coppice.functions import names, paths
-from coppice.operators.skew import salted_join, skew_join
+from coppice.operators.skew import salted_join
 from coppice.schema import ENTRY, TREE
+from coppice.session import Rounds, cut, is_empty, loop_settings
 
 
 def not_hidden(files: DataFrame) -> DataFrame:
@@ -18,7 +19,7 @@ def not_hidden(files: DataFrame) -> DataFrame:
 
 
 def _any_glob(name: Column, globs: list[str]) -> Column:
-    hits = [name.rlike(paths.glob_to_regex(F.lit(g))) for g in globs]
+    hits = [name.rlike(paths.regex_of_glob(g)) for g in globs]
     return reduce(lambda a, b: a | b, hits)
 
 
@@ -103,15 +104,14 @@ def compiled_rules(rules: DataFrame) -> DataFrame:
     regex = F.when(anchored, paths.glob_to_regex(glob)).otherwise(
         F.replace(paths.glob_to_regex(glob), F.lit(r"(?s)\A"), F.lit(r"(?s)\A(?:.*/)?"))
     )
-    distinct = rules.select("dir", "pattern").distinct()
-    ready = distinct.select(
+    return rules.select(
+        *TREE,
         "dir",
-        "pattern",
+        "line_no",
         F.startswith("pattern", F.lit("!")).alias("negated"),
         F.endswith(pattern, F.lit("/")).alias("dir_only"),
         regex.alias("regex"),
     )
-    return rules.join(ready, ["dir", "pattern"])
 
 
 def ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
@@ -121,12 +121,9 @@ def ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
         (F.col("kind") == "dir").alias("is_dir"),
         F.explode(paths.ancestors(F.col("path"))).alias("dir"),
     )
-    right = compiled_rules(rules).select(
-        *TREE, "dir", "line_no", "negated", "dir_only", "regex"
-    )
     hits = salted_join(
         entries,
-        right,
+        compiled_rules(rules),
         [*TREE, "dir"],
         ["path"],
         condition=(~F.col("r.dir_only") | F.col("l.is_dir")) & F.expr("l.path rlike r.regex"),
@@ -145,7 +142,7 @@ def drop_subtrees(files: DataFrame, dropped: DataFrame) -> DataFrame:
     holes = dropped.select(*TREE, F.col("path").alias("_hole"))
     under = files.select(*ENTRY, F.explode(paths.self_and_ancestors(F.col("path"))).alias("_hole"))
     gone = (
-        skew_join(under, holes, [*TREE, "_hole"], ["path"], "left_semi").select(*ENTRY).distinct()
+        salted_join(under, holes, [*TREE, "_hole"], ["path"], "left_semi").select(*ENTRY).distinct()
     )
     return files.join(gone, ENTRY, "left_anti")
 
@@ -175,8 +172,6 @@ def follow_links(files: DataFrame, max_rounds: int = 64) -> DataFrame:
     directory is already on the way down to it is listed (``cyclic``) but not
     entered.  Adds ``real_path``: where the entry's data is.
     """
-    from coppice.session import Rounds, is_empty, loop_settings
-
     columns = [c for c in files.columns if c not in ("path", "parent", "depth")]
     real = files.select(*ENTRY, *[c for c in columns if c not in TREE])
 
@@ -210,7 +205,7 @@ def follow_links(files: DataFrame, max_rounds: int = 64) -> DataFrame:
             under = real.select(
                 *ENTRY, *body, F.explode(paths.ancestors(F.col("path"))).alias("_top")
             )
-            found = skew_join(under, doors, [*TREE, "_top"], ["path"])
+            found = salted_join(under, doors, [*TREE, "_top"], ["path"])
             below = paths.strip_prefix(
                 F.col("path"),
                 F.when(F.col("_top") == "", F.lit("")).otherwise(F.concat("_top", F.lit("/"))),
@@ -258,13 +253,19 @@ def visible(
     pruned: bool = False,
     max_depth: int | None = None,
 ) -> DataFrame:
-    """All the filters, in the order in which they depend on each other."""
+    """All the filters, in the order in which they depend on each other.
+
+    Ignore matching and pruning read the inventory several times, so it is
+    written out around them.
+    """
     out = files if show_all else not_hidden(files)
-    if not include_ignored:
+    if not include_ignored and (ignored_paths is not None or rules is not None):
+        out = cut(out, "entries")
         if ignored_paths is not None:
             out = apply_ignored_set(out, ignored_paths)
-        elif rules is not None:
+        else:
             out = apply_ignore(out, rules)
+        out = cut(out, "entries")
     if only_dirs:
         out = dirs_only(out)
     out = include(exclude(out, list(excludes)), list(includes))
