@@ -21,8 +21,10 @@ def tokens_of(ascii_chars: Column, other: Column, scale: Column | None = None) -
     """
     raw = ascii_chars / F.lit(4.0) + other / F.lit(1.5)
     scaled = raw if scale is None else raw * scale
-    return F.when(ascii_chars + other == 0, F.lit(0).cast("long")).otherwise(
-        F.greatest(F.lit(1).cast("long"), F.rint(scaled).cast("long"))
+    total = ascii_chars + other
+    # Unknown stays unknown: greatest() alone would turn a null into 1.
+    return F.when(total == 0, F.lit(0).cast("long")).when(
+        total > 0, F.greatest(F.lit(1).cast("long"), F.rint(scaled).cast("long"))
     )
 
 
@@ -39,7 +41,7 @@ def lines(text: Column, scale: Column | None = None) -> Column:
         n = F.when(scale == 1.0, n).otherwise(
             F.greatest(F.lit(1).cast("long"), F.rint(n * scale).cast("long"))
         )
-    return F.when(text == "", F.lit(0).cast("long")).otherwise(n)
+    return F.when(text == "", F.lit(0).cast("long")).when(text.isNotNull(), n)
 
 
 def cut_scale(size: Column, byte_len: Column, truncated: Column) -> Column:

@@ -159,28 +159,54 @@ def _trimmed(edges: DataFrame) -> DataFrame:
     ).select(*EDGE)
 
 
-def _spread_min(labels: DataFrame, edges: DataFrame, hops: int = 3) -> DataFrame:
-    """Smallest label among each node and those that reach it, a few hops per written round.
+def _spread_min(edges: DataFrame, hops: int = 4) -> DataFrame:
+    """Per node: ``f``, the smallest name that reaches it, and ``b``, the smallest it reaches.
 
-    Only the labels that changed in the last hop are sent on.
+    A few hops per written round; only nodes whose names changed send again.
     """
-    spark = edges.sparkSession
-    step = edges.select(*TREE, F.col("src").alias("node"), F.col("dst").alias("_next"))
-    current = cut(labels, "labels")
+    both = edges.select(
+        *TREE,
+        F.explode(
+            F.array(
+                F.struct(F.col("src").alias("node"), F.col("dst").alias("to"), F.lit(True).alias("ahead")),
+                F.struct(F.col("dst").alias("node"), F.col("src").alias("to"), F.lit(False).alias("ahead")),
+            )
+        ).alias("_e"),
+    ).select(*TREE, "_e.node", "_e.to", "_e.ahead")
+    both = cut(both, "both")
+    state = both.select(*TREE, "node").distinct().select(
+        *TREE, "node", F.col("node").alias("f"), F.col("node").alias("b"), F.lit(True).alias("moved")
+    )
     while True:
-        nxt = current
         for _ in range(hops):
-            sent = nxt.join(step, [*TREE, "node"]).select(
-                *TREE, F.col("_next").alias("node"), "label"
+            sent = (
+                state.where("moved")
+                .join(both, [*TREE, "node"])
+                .select(
+                    *TREE,
+                    F.col("to").alias("node"),
+                    F.when(F.col("ahead"), F.col("f")).alias("f"),
+                    F.when(~F.col("ahead"), F.col("b")).alias("b"),
+                    F.lit(None).cast("string").alias("f0"),
+                    F.lit(None).cast("string").alias("b0"),
+                )
+            )
+            kept = state.select(*TREE, "node", "f", "b", F.col("f").alias("f0"), F.col("b").alias("b0"))
+            state = (
+                kept.unionByName(sent)
+                .groupBy(*TREE, "node")
+                .agg(*[F.min(c).alias(c) for c in ("f", "b", "f0", "b0")])
+                .select(
+                    *TREE,
+                    "node",
+                    "f",
+                    "b",
+                    ((F.col("f") < F.col("f0")) | (F.col("b") < F.col("b0"))).alias("moved"),
+                )
             )
-            nxt = nxt.unionByName(sent).groupBy(*TREE, "node").agg(F.min("label").alias("label"))
-        settled = cut(nxt, "labels")
-        moved = settled.join(
-            current.withColumnRenamed("label", "_old"), [*TREE, "node"]
-        ).where(F.col("label") < F.col("_old"))
-        if is_empty(moved):
-            return settled
-        current = settled
+        state = cut(state, "labels")
+        if is_empty(state.where("moved")):
+            return state.drop("moved")
 
 
 def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -218,13 +244,12 @@ def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     state = cut(
         after.join(before, node).withColumn("low", F.least("node", "next")), "chains"
     )
-    count = state.count()
-    for _ in range(max(1, count.bit_length() + 1)):
+    active = None
+    while True:
         hop_on = state.select(
             *TREE, F.col("node").alias("next"), F.col("next").alias("_n2"), F.col("low").alias("_l2")
         )
         hop_back = state.select(*TREE, F.col("node").alias("prev"), F.col("prev").alias("_p2"))
-        moved = F.col("_n2").isNotNull() | F.col("_p2").isNotNull()
         state = cut(
             state.join(hop_on, [*TREE, "next"], "left")
             .join(hop_back, [*TREE, "prev"], "left")
@@ -233,12 +258,17 @@ def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
                 F.coalesce("_n2", "next").alias("next"),
                 F.coalesce("_p2", "prev").alias("prev"),
                 F.least("low", F.coalesce("_l2", "low")).alias("low"),
-                moved.alias("moved"),
+                F.col("_n2").isNotNull().alias("active"),
+                F.coalesce(F.col("_l2") < F.col("low"), F.lit(False)).alias("lower"),
             ),
             "chains",
         )
-        if is_empty(state.where("moved")):
+        # An open chain has fewer active nodes every round; a ring keeps all of
+        # its nodes active, and is settled once no name gets smaller.
+        counts = state.agg(F.count_if("active").alias("a"), F.count_if("lower").alias("l")).first()
+        if counts["a"] == 0 or (counts["a"] == active and counts["l"] == 0):
             break
+        active = counts["a"]
     on_link = links.withColumnRenamed("node", "next")
     rings = state.join(on_link, [*TREE, "next"], "left_semi").select(*node, F.col("low").alias("label"))
     open_ = state.join(on_link, [*TREE, "next"], "left_anti")
@@ -252,51 +282,37 @@ def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def _core_components(edges: DataFrame) -> DataFrame:
-    """Components of a trimmed graph by colouring, all colours at once.
+    """``node, label`` of every node of a component of two or more, by colouring.
 
-    Every node takes the smallest name that reaches it; nodes that reach that
-    name inside their colour are its component.  The rest goes round again.
+    Each node learns the smallest name that reaches it and the smallest it
+    reaches.  Where the two are one name, that name's component is found.
+    Members of a component always agree in both, so edges between nodes that
+    differ can go, and the rest goes round again, all components at once.
     """
-    spark = edges.sparkSession
-    done = Rounds(spark, "components")
-    like = None
-    left = edges
+    done = Rounds(edges.sparkSession, "components")
+    left, like = edges, None
     while True:
-        for _ in range(2):
-            left = cut(_trimmed(left), "core")
+        left = cut(_trimmed(left), "core")
         if is_empty(left):
             break
-        nodes = (
-            left.select(*TREE, F.col("src").alias("node"))
-            .unionByName(left.select(*TREE, F.col("dst").alias("node")))
-            .distinct()
-        )
-        colours = _spread_min(nodes.withColumn("label", F.col("node")), left)
-        same = (
-            left.join(colours.select(*TREE, F.col("node").alias("src"), F.col("label").alias("_a")), [*TREE, "src"])
-            .join(colours.select(*TREE, F.col("node").alias("dst"), F.col("label").alias("_b")), [*TREE, "dst"])
-            .where(F.col("_a") == F.col("_b"))
-            .select(*EDGE, F.col("_a").alias("label"))
-        )
-        same = cut(same, "same")
-        roots = colours.where(F.col("node") == F.col("label")).select(*TREE, "node", "label")
-        back = reachable(reversed_edges(same), roots, ["label"])
-        # A root with no way back to itself is no component of two or more.
-        cyclic = back.where(F.col("node") == F.col("label")).select(*TREE, "label")
-        found = done.add(
-            back.join(cyclic, [*TREE, "label"], "left_semi").select(*TREE, "node", "label")
-        )
-        like = found
-        gone = found.select(*TREE, "node").unionByName(roots.select(*TREE, "node")).distinct()
-        left = cut(
-            same.select(*EDGE)
-            .join(gone.withColumnRenamed("node", "src"), [*TREE, "src"], "left_anti")
-            .join(gone.withColumnRenamed("node", "dst"), [*TREE, "dst"], "left_anti"),
-            "left",
+        state = _spread_min(left)
+        found = state.where(F.col("f") == F.col("b")).select(*TREE, "node", F.col("f").alias("label"))
+        like = done.add(found)
+        rest = state.where(F.col("f") != F.col("b"))
+        left = (
+            left.join(
+                rest.select(*TREE, F.col("node").alias("src"), F.struct("f", "b").alias("_x")), [*TREE, "src"]
+            )
+            .join(rest.select(*TREE, F.col("node").alias("dst"), F.struct("f", "b").alias("_y")), [*TREE, "dst"])
+            .where(F.col("_x") == F.col("_y"))
+            .select(*EDGE)
         )
     if like is None:
-        return cut(edges.select(*TREE, F.col("src").alias("node"), F.col("src").alias("label")).limit(0), "none")
-    return done.all(like)
+        return edges.select(*TREE, F.col("src").alias("node"), F.col("src").alias("label")).where(F.lit(False))
+    found = done.all(like)
+    # A node alone under its own name is on no cycle.
+    several = found.groupBy(*TREE, "label").count().where(F.col("count") > 1)
+    return cut(found.join(several, [*TREE, "label"], "left_semi").select(*TREE, "node", "label"), "found")
 
 
 def components(edges: DataFrame, contract: bool = True) -> DataFrame:

@@ -17,7 +17,8 @@ NOW = 1_700_000_000.0
 
 
 def _files(spark, sf_dir, name="FILES"):
-    return trees.inventory(view(spark, sf_dir, name).drop("text"))
+    """The inventory of a view, written out as it would be kept."""
+    return cut(trees.inventory(view(spark, sf_dir, name).drop("text")), "inventory")
 
 
 def _listed(spark, sf_dir, name="TREE"):
