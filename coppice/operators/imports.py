@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coppice.functions import paths
 from coppice.operators import pysource
-from coppice.operators.symbols import JS_EXTS
+from coppice.operators.symbols import JS_EXTS, with_ext
 from coppice.schema import ENTRY, TREE
 
 # Import statements and calls, per language.  Group 1 is the target.
@@ -33,85 +32,90 @@ def _all(pattern: str) -> Column:
     return F.regexp_extract_all("text", F.lit("(?U)" + pattern), 1)
 
 
-def _rows(contents: DataFrame, exts: list[str], lang: str, found: Column) -> DataFrame:
-    """``found`` is an array of ``struct<form, spec>`` in order."""
-    return (
-        contents.where(paths.ext(paths.basename(F.col("path"))).isin(exts))
-        .select(*ENTRY, F.posexplode(found).alias("ord", "_i"))
-        .select(
-            *TREE,
-            F.col("path").alias("src"),
-            F.lit(lang).alias("lang"),
-            "_i.form",
-            "_i.spec",
-            F.lit(0).alias("level"),
-            F.lit(None).cast("array<string>").alias("names"),
-            "ord",
-        )
-    )
-
-
 def _as(form: str, specs: Column) -> Column:
     return F.transform(specs, lambda s: F.struct(F.lit(form).alias("form"), s.alias("spec")))
 
 
-def javascript(contents: DataFrame) -> DataFrame:
+def _javascript() -> Column:
     """import / export-from in order, then ``require``, then dynamic import."""
-    found = F.concat(_all(JS_STATEMENT), _all(JS_REQUIRE), _all(JS_DYNAMIC))
-    return _rows(contents, JS_EXTS, "js", _as("import", found))
+    return _as("import", F.concat(_all(JS_STATEMENT), _all(JS_REQUIRE), _all(JS_DYNAMIC)))
 
 
-def go(contents: DataFrame) -> DataFrame:
+def _go() -> Column:
     """The first import block, then single-line imports."""
     block = F.regexp_extract("text", "(?U)" + GO_BLOCK, 1)
-    found = F.concat(F.regexp_extract_all(block, F.lit(GO_ITEM), 1), _all(GO_LINE))
-    return _rows(contents, [".go"], "go", _as("import", found))
+    return _as("import", F.concat(F.regexp_extract_all(block, F.lit(GO_ITEM), 1), _all(GO_LINE)))
+
+
+def _no_alias(path: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(path, r"(?s)\s+as\s+.*", ""), r"\s+", "")
 
 
-def rust(contents: DataFrame) -> DataFrame:
+def _rust() -> Column:
     """``mod x;`` declarations, then ``use`` paths with groups written out."""
 
     def spread(use: Column) -> Column:
         head = F.regexp_replace(F.substring_index(use, "{", 1), r"\s+", "")
-        group = F.regexp_extract(use, r"(?s)\{(.*)\}", 1)
-        items = F.filter(
-            F.transform(F.split(F.regexp_replace(group, r"[{}]", ""), ","), lambda i: _no_alias(i)),
-            lambda i: i != "",
-        )
+        group = F.regexp_replace(F.regexp_extract(use, r"(?s)\{(.*)\}", 1), r"[{}]", "")
+        items = F.filter(F.transform(F.split(group, ","), _no_alias), lambda i: i != "")
         return F.when(
             F.contains(use, F.lit("{")), F.transform(items, lambda i: F.concat(head, i))
         ).otherwise(F.array(_no_alias(use)))
 
     uses = F.flatten(F.transform(_all(RUST_USE), spread))
-    found = F.concat(_as("mod", _all(RUST_MOD)), _as("use", uses))
-    return _rows(contents, [".rs"], "rs", found)
+    return F.concat(_as("mod", _all(RUST_MOD)), _as("use", uses))
 
 
-def _no_alias(path: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(path, r"(?s)\s+as\s+.*", ""), r"\s+", "")
-
-
-def jvm(contents: DataFrame) -> DataFrame:
-    """Java and Kotlin imports."""
-    return _rows(contents, [".java", ".kt", ".kts"], "jvm", _as("import", _all(JVM_IMPORT)))
+def _jvm() -> Column:
+    return _as("import", _all(JVM_IMPORT))
 
 
-def php(contents: DataFrame) -> DataFrame:
+def _php() -> Column:
     """``use`` names, then ``require``/``include`` files."""
-    found = F.concat(_as("use", _all(PHP_USE)), _as("require", _all(PHP_REQUIRE)))
-    return _rows(contents, [".php"], "php", found)
+    return F.concat(_as("use", _all(PHP_USE)), _as("require", _all(PHP_REQUIRE)))
 
 
-def ruby(contents: DataFrame) -> DataFrame:
+def _ruby() -> Column:
     """``require_relative`` and ``require``."""
-    found = F.transform(
+    return F.transform(
         _all(RUBY_REQUIRE),
         lambda s: F.struct(
             F.regexp_extract(s, r"\A(\w+)", 1).alias("form"),
             F.regexp_extract(s, r"""['"](.*)\z""", 1).alias("spec"),
         ),
     )
-    return _rows(contents, [".rb"], "rb", found)
+
+
+LANGUAGES = {
+    "js": (JS_EXTS, _javascript),
+    "go": ([".go"], _go),
+    "rs": ([".rs"], _rust),
+    "jvm": ([".java", ".kt", ".kts"], _jvm),
+    "php": ([".php"], _php),
+    "rb": ([".rb"], _ruby),
+}
+
+
+def by_pattern(contents: DataFrame, langs: list[str] | None = None) -> DataFrame:
+    """Imports found by pattern, for all languages in one reading of the bodies."""
+    langs = list(LANGUAGES) if langs is None else langs
+    kept = with_ext(contents, [e for name in langs for e in LANGUAGES[name][0]])
+    found, lang = None, None
+    for name in langs:
+        exts, expression = LANGUAGES[name]
+        here = F.col("ext").isin(exts)
+        found = F.when(here, expression()) if found is None else found.when(here, expression())
+        lang = F.when(here, name) if lang is None else lang.when(here, name)
+    return kept.select(*ENTRY, lang.alias("lang"), F.posexplode(found).alias("ord", "_i")).select(
+        *TREE,
+        F.col("path").alias("src"),
+        "lang",
+        "_i.form",
+        "_i.spec",
+        F.lit(0).alias("level"),
+        F.lit(None).cast("array<string>").alias("names"),
+        "ord",
+    )
 
 
 def python(facts: DataFrame) -> DataFrame:
@@ -125,12 +129,9 @@ def python(facts: DataFrame) -> DataFrame:
 
 
 def raw_imports(contents: DataFrame, python_facts: DataFrame | None = None) -> DataFrame:
-    """Unresolved imports of every supported file."""
+    """Unresolved imports of every supported file: one pass for Python, one for the rest."""
     facts = pysource.facts(contents) if python_facts is None else python_facts
-    out = python(facts)
-    for part in (javascript, go, rust, jvm, php, ruby):
-        out = out.unionByName(part(contents))
-    return out
+    return python(facts).unionByName(by_pattern(contents).select(*COLUMNS))
 
 
 def inline_tested(contents: DataFrame) -> DataFrame:

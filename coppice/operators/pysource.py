@@ -110,9 +110,9 @@ def facts(contents: DataFrame) -> DataFrame:
             )
             yield pd.concat([batch[["repo", "snapshot", "path"]], found], axis=1)
 
-    python = contents.where(
-        (paths.ext(paths.basename(F.col("path"))) == ".py") & F.col("text").isNotNull()
-    )
+    from coppice.operators.symbols import with_ext
+
+    python = with_ext(contents, [".py"]).where(F.col("text").isNotNull())
     return python.select(*ENTRY, "text").mapInPandas(parse, FACTS)
 
 

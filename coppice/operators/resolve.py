@@ -1,8 +1,13 @@
-"""Imports resolved to files of the same tree, as candidate lists joined to inventories.
+"""Imports resolved to files of the same tree.
 
-Each function returns rows ``repo, snapshot, src, ord, form, shown, dst``:
-one per resolved target, or one with a null ``dst`` for an import that stays
-external.  ``shown`` is the name it has as an external.
+Every import becomes a few candidates ``(space, key)`` in order of preference:
+a path, a module name, a package directory or a path ending.  Every file of a
+tree is listed under the keys it answers to.  One join of the two settles the
+imports of all languages.
+
+The result has rows ``repo, snapshot, src, ord, form, shown, dst``: one per
+resolved target, or one with a null ``dst`` for an import that stays external,
+with ``shown`` as its name.
 """
 
 from __future__ import annotations
@@ -13,62 +18,47 @@ from pyspark.sql import functions as F
 from coppice.functions import paths
 from coppice.operators.skew import first_n, salted_join, skew_join
 from coppice.schema import TREE
+from coppice.session import cut
 
 IMPORT = [*TREE, "src", "ord", "form", "shown"]
 #: Tried in this order after the bare path.
-JS_SUFFIXES = ["", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", "/index.js", "/index.ts", "/index.jsx", "/index.tsx"]
+JS_SUFFIXES = [
+    "", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs",
+    "/index.js", "/index.ts", "/index.jsx", "/index.tsx",
+]
+
 
-_NO_STRINGS = "array<string>"
+def _empty() -> Column:
+    return F.array().cast("array<string>")
 
 
 def _sources(files: DataFrame) -> DataFrame:
     return files.where(F.col("kind") != "dir").select(*TREE, "path", "name", "ext")
 
 
-def _best(candidates: DataFrame, targets: DataFrame, on: list[str]) -> DataFrame:
-    """The existing candidate of lowest ``prio`` per import, or null."""
-    joined = skew_join(candidates, targets, [*TREE, *on], ["src", "ord"], "left")
-    found = F.when(F.col("path").isNotNull(), F.col("prio"))
-    return joined.groupBy(*IMPORT).agg(F.min_by("path", found).alias("dst"))
-
-
-def _not_self(resolved: DataFrame) -> DataFrame:
-    """A file that resolves to itself counts as not resolved."""
-    return resolved.withColumn("dst", F.when(F.col("dst") != F.col("src"), F.col("dst")))
+def _candidates(imports: DataFrame, space: str, keys: Column, first: int = 0) -> DataFrame:
+    """One row per key; an import without any keeps one row with a null key."""
+    return imports.select(
+        *IMPORT, F.lit(space).alias("space"), F.posexplode_outer(keys).alias("prio", "key")
+    ).withColumn("prio", F.col("prio") + first)
 
 
-# ---------------------------------------------------------------- Python
-
-
-def python_modules(files: DataFrame) -> DataFrame:
-    """Module name to file; of two files with one name the smaller path wins."""
-    return (
-        _sources(files)
-        .where(F.col("ext") == ".py")
-        .groupBy(*TREE, paths.python_module(F.col("path")).alias("key"))
-        .agg(F.min("path").alias("path"))
-    )
+# ---------------------------------------------------------------- candidates
 
 
-def python(raw: DataFrame, files: DataFrame) -> DataFrame:
+def python_candidates(raw: DataFrame) -> DataFrame:
     """Absolute imports by exact module name; relative ones from the package up.
 
     A relative import tries each imported name as a module of the package, in
     order, then the package itself.
     """
-    base = F.when(paths.dirname(F.col("src")) == "", F.array().cast(_NO_STRINGS)).otherwise(
+    base = F.when(paths.dirname(F.col("src")) == "", _empty()).otherwise(
         F.split(paths.dirname(F.col("src")), "/")
     )
     kept = F.slice(base, F.lit(1), F.greatest(F.lit(0), F.size(base) - (F.col("level") - 1)))
-    package = F.array_join(
-        F.concat(
-            kept,
-            F.when(F.col("spec") == "", F.array().cast(_NO_STRINGS)).otherwise(F.array("spec")),
-        ),
-        ".",
-    )
+    module = F.when(F.col("spec") == "", _empty()).otherwise(F.array("spec"))
     inside = F.transform(
-        F.coalesce("names", F.array().cast(_NO_STRINGS)),
+        F.coalesce("names", _empty()),
         lambda n: F.when(F.col("_package") == "", n).otherwise(
             F.concat("_package", F.lit("."), n)
         ),
@@ -76,28 +66,22 @@ def python(raw: DataFrame, files: DataFrame) -> DataFrame:
     keys = F.when(F.col("level") > 0, F.concat(inside, F.array("_package"))).otherwise(
         F.array("spec")
     )
-    candidates = (
+    imports = (
         raw.where(F.col("lang") == "py")
-        .withColumn("_package", package)
+        .withColumn("_package", F.array_join(F.concat(kept, module), "."))
         .withColumn("shown", F.concat(F.repeat(F.lit("."), F.col("level")), "spec"))
-        .select(*IMPORT, F.posexplode(keys).alias("prio", "key"))
     )
-    return _not_self(_best(candidates, python_modules(files), ["key"]))
-
-
-# ---------------------------------------------------------------- JavaScript
+    return _candidates(imports, "py", keys)
 
 
-def javascript(
-    raw: DataFrame, files: DataFrame, options: DataFrame, aliases: DataFrame
-) -> DataFrame:
+def javascript_candidates(raw: DataFrame, options: DataFrame, aliases: DataFrame) -> DataFrame:
     """Relative paths, then ``#`` aliases, then configured path aliases and base.
 
     ``options`` is ``sources.trees.ts_options``, ``aliases`` is
     ``sources.trees.package_aliases``: a row per tree each.
     """
     specs = raw.where(F.col("lang") == "js").withColumn("shown", F.col("spec"))
-    with_options = salted_join(
+    imports = salted_join(
         salted_join(specs, options, TREE, ["src"], "left"), aliases, TREE, ["src"], "left"
     )
     spec = F.col("spec")
@@ -106,8 +90,7 @@ def javascript(
     def from_alias(entry: Column) -> Column:
         middle = paths.star_match(entry["key"], spec)
         return F.when(
-            middle.isNotNull(),
-            paths.normpath(F.replace(entry["value"], F.lit("*"), middle)),
+            middle.isNotNull(), paths.normpath(F.replace(entry["value"], F.lit("*"), middle))
         )
 
     def from_paths(entry: Column) -> Column:
@@ -120,13 +103,14 @@ def javascript(
             ),
         )
 
-    none = F.array().cast(_NO_STRINGS)
     on_base = F.when(
         F.coalesce("base_url", F.lit("")) != "",
         F.array(paths.normpath(paths.join(F.col("base_url"), spec))),
-    ).otherwise(none)
-    hashed = F.coalesce(F.transform("aliases", from_alias), none)
-    configured = F.concat(F.coalesce(F.flatten(F.transform("paths", from_paths)), none), on_base)
+    ).otherwise(_empty())
+    hashed = F.coalesce(F.transform("aliases", from_alias), _empty())
+    configured = F.concat(
+        F.coalesce(F.flatten(F.transform("paths", from_paths)), _empty()), on_base
+    )
     bases = (
         F.when(spec.rlike(r"\A[./]"), relative)
         .when(F.startswith(spec, F.lit("#")), hashed)
@@ -135,150 +119,158 @@ def javascript(
     tried = F.flatten(
         F.transform(
             F.filter(bases, lambda b: b.isNotNull()),
-            lambda b: F.transform(F.array(*[F.lit(s) for s in JS_SUFFIXES]), lambda s: F.concat(b, s)),
+            lambda b: F.transform(
+                F.array(*[F.lit(s) for s in JS_SUFFIXES]), lambda s: F.concat(b, s)
+            ),
         )
     )
-    candidates = with_options.select(*IMPORT, F.posexplode_outer(tried).alias("prio", "key"))
-    targets = _sources(files).select(*TREE, F.col("path").alias("key"), "path")
-    return _not_self(_best(candidates, targets, ["key"]))
+    return _candidates(imports, "path", tried)
 
 
-# ---------------------------------------------------------------- Go
-
-
-def go(raw: DataFrame, files: DataFrame, modules: DataFrame) -> DataFrame:
-    """Imports under the tree's module name: every ``.go`` file there and below."""
+def go_candidates(raw: DataFrame, modules: DataFrame) -> DataFrame:
+    """Imports under the tree's module name: the package directory."""
     specs = raw.where(F.col("lang") == "go").withColumn("shown", F.col("spec"))
-    known = salted_join(specs, modules, TREE, ["src"], "left")
-    sub = F.when(
-        F.startswith("spec", F.col("module")),
-        F.regexp_replace(F.substring("spec", F.length("module") + 1, F.length("spec")), r"\A/+", ""),
-    )
-    wanted = known.select(*IMPORT, sub.alias("key"))
-    here = paths.dirname(F.col("path"))
-    above = F.filter(paths.ancestors(here), lambda d: d != "")
-    packages = (
-        _sources(files)
-        .where(F.endswith("path", F.lit(".go")))
-        .select(*TREE, F.col("path").alias("dst"), F.explode(F.concat(above, F.array(here))).alias("key"))
+    imports = salted_join(specs, modules, TREE, ["src"], "left")
+    below = F.substring("spec", F.length("module") + 1, F.length("spec"))
+    package = F.when(
+        F.startswith("spec", F.col("module")), F.array(F.regexp_replace(below, r"\A/+", ""))
     )
-    found = skew_join(wanted, packages, [*TREE, "key"], ["src", "ord"], "left")
-    return found.select(*IMPORT, "dst")
-
+    return _candidates(imports, "go", package)
 
-# ---------------------------------------------------------------- Rust
 
+def _crate_key(crate: Column, module: Column) -> Column:
+    return F.concat(crate, F.lit(" "), module)
 
-def rust_modules(files: DataFrame, crates: DataFrame) -> DataFrame:
-    """Each ``.rs`` file with its crate root and its module path in the crate."""
-    sources = _sources(files).where(F.endswith("path", F.lit(".rs")))
-    above = sources.select(*TREE, "path", F.explode(paths.ancestors(F.col("path"))).alias("dir"))
-    roots = salted_join(above, crates, [*TREE, "dir"], ["path"]).groupBy(*TREE, "path").agg(
-        F.max_by("dir", F.length("dir")).alias("crate")
-    )
-    return (
-        sources.select(*TREE, "path")
-        .join(roots, [*TREE, "path"], "left")
-        .withColumn("crate", F.coalesce("crate", F.lit("")))
-        .withColumn("module", paths.rust_module(F.col("path"), F.col("crate")))
-    )
 
+def rust_candidates(raw: DataFrame, modules: DataFrame) -> DataFrame:
+    """``mod x;`` by path; ``use`` by module path, then by a guess below ``src/``.
 
-def rust(raw: DataFrame, files: DataFrame, crates: DataFrame) -> DataFrame:
-    """``mod x;`` to its file; ``use`` by module path, then by a guess below ``src/``."""
-    modules = rust_modules(files, crates)
+    ``modules`` is ``rust_modules``.  A ``use`` is tried in full and without
+    its last name, which may be an item and not a module.
+    """
     imports = raw.where(F.col("lang") == "rs").withColumn("shown", F.col("spec"))
-    targets = _sources(files).select(*TREE, F.col("path").alias("key"), "path")
-
-    base = paths.dirname(F.col("src"))
-    stem = paths.join(base, F.col("spec"))
-    declared = imports.where(F.col("form") == "mod").select(
-        *IMPORT,
-        F.explode(F.array(F.concat(stem, F.lit(".rs")), F.concat(stem, F.lit("/mod.rs")))).alias("key"),
-    )
-    mods = skew_join(declared, targets, [*TREE, "key"], ["src", "ord"]).select(
-        *IMPORT, F.col("path").alias("dst")
-    )
-
-    # The module tree: mod.rs wins over x.rs; at the root lib.rs over main.rs.
-    late_main = (F.col("module") == "") & F.endswith("path", F.lit("main.rs"))
-    tree = (
-        modules.where(F.col("module").isNotNull())
-        .groupBy(*TREE, "crate", F.col("module").alias("key"))
-        .agg(F.max_by("path", F.struct((~late_main).alias("a"), F.col("path").alias("b"))).alias("path"))
+    beside = paths.join(paths.dirname(F.col("src")), F.col("spec"))
+    mods = _candidates(
+        imports.where(F.col("form") == "mod"),
+        "path",
+        F.array(F.concat(beside, F.lit(".rs")), F.concat(beside, F.lit("/mod.rs"))),
     )
     uses = imports.where(F.col("form") == "use").join(
         modules.select(*TREE, F.col("path").alias("src"), "crate", "module"), [*TREE, "src"], "left"
     )
-    segments = F.filter(F.split("spec", "::"), lambda s: s != "")
-    here = F.when(F.col("module") == "", F.array().cast(_NO_STRINGS)).otherwise(
-        F.split("module", "::")
-    )
+    here = F.when(F.col("module") == "", _empty()).otherwise(F.split("module", "::"))
     head = F.try_element_at("_seg", F.lit(1))
-    supers = F.length(F.regexp_extract("spec", r"\A((?:super(?:::|\z))*)", 1))
-    ups = F.when(
-        head == "super",
-        F.size(F.filter(F.split(F.substring(F.col("spec"), F.lit(1), supers), "::"), lambda s: s == "super")),
-    ).otherwise(0)
+    leading = F.regexp_extract("spec", r"\A((?:super(?:::|\z))*)", 1)
+    ups = F.size(F.filter(F.split(leading, "::"), lambda s: s == "super"))
     start = (
-        F.when(head == "crate", F.array().cast(_NO_STRINGS))
+        F.when(head == "crate", _empty())
         .when(head == "self", F.col("_here"))
         .when(
             (head == "super") & (F.col("_ups") <= F.size("_here")),
             F.slice("_here", F.lit(1), F.size("_here") - F.col("_ups")),
         )
     )
-    rest = F.filter(
-        F.slice("_seg", F.greatest(F.lit(1), F.col("_ups")) + 1, F.size("_seg")),
-        lambda s: ~s.isin("*", "self"),
-    )
+    named = lambda c: F.filter(c, lambda s: ~s.isin("*", "self"))
+    shorter = lambda c: F.slice(c, F.lit(1), F.greatest(F.lit(0), F.size(c) - 1))
+    rest = named(F.slice("_seg", F.greatest(F.lit(1), F.col("_ups")) + 1, F.size("_seg")))
     full = (
-        uses.withColumns({"_seg": segments, "_here": here})
-        .withColumn("_ups", ups)
+        uses.withColumns(
+            {"_seg": F.filter(F.split("spec", "::"), lambda s: s != ""), "_here": here, "_ups": ups}
+        )
         .withColumn("_full", F.concat(start, rest))
     )
-    shorter = F.slice("_full", F.lit(1), F.greatest(F.lit(0), F.size("_full") - 1))
-    keys = F.when(
-        F.size("_full") > 0,
-        F.array(F.array_join("_full", "::"), F.array_join(shorter, "::")),
-    ).otherwise(F.array(F.lit("")))
-    by_module = full.where(F.col("_full").isNotNull()).select(
-        *IMPORT, "crate", F.posexplode(keys).alias("prio", "key")
-    )
-    in_tree = skew_join(by_module, tree, [*TREE, "crate", "key"], ["src", "ord"]).where(
-        F.col("path") != F.col("src")
-    ).select(*IMPORT, "prio", "path")
-
-    plain = F.filter(
-        F.slice("_seg", F.lit(2), F.size("_seg")), lambda s: ~s.isin("*", "self")
-    )
-    cuts = F.filter(
-        F.array(plain, F.slice(plain, F.lit(1), F.greatest(F.lit(0), F.size(plain) - 1))),
-        lambda p: F.size(p) > 0,
+    modules_tried = F.transform(
+        F.when(
+            F.size("_full") > 0, F.array(F.col("_full"), shorter(F.col("_full")))
+        ).when(F.size("_full") == 0, F.array(F.col("_full"))),
+        lambda m: _crate_key(F.col("crate"), F.array_join(m, "::")),
     )
+    in_tree = _candidates(full, "rs", modules_tried)
+    plain = named(F.slice("_seg", F.lit(2), F.size("_seg")))
     guesses = F.flatten(
         F.transform(
-            cuts,
+            F.filter(F.array(plain, shorter(plain)), lambda p: F.size(p) > 0),
             lambda p: F.array(
                 F.concat(F.lit("src/"), F.array_join(p, "/"), F.lit(".rs")),
                 F.concat(F.lit("src/"), F.array_join(p, "/"), F.lit("/mod.rs")),
             ),
         )
     )
-    guessed = full.where(F.startswith("spec", F.lit("crate::"))).select(
-        *IMPORT, F.posexplode(guesses).alias("prio", "key")
+    below_src = _candidates(full.where(F.startswith("spec", F.lit("crate::"))), "path", guesses, 10)
+    return mods.unionByName(in_tree).unionByName(below_src)
+
+
+def ending_candidates(raw: DataFrame) -> DataFrame:
+    """Java and Kotlin imports and PHP names: the first file whose path ends so."""
+    imports = raw.where(
+        (F.col("lang") == "jvm") | ((F.col("lang") == "php") & (F.col("form") == "use"))
+    ).withColumn("shown", F.col("spec"))
+    dotted = F.replace("spec", F.lit("."), F.lit("/"))
+    keys = F.when(
+        F.col("lang") == "jvm",
+        F.array(F.concat(dotted, F.lit(".java")), F.concat(dotted, F.lit(".kt"))),
+    ).otherwise(F.array(F.concat(F.replace("spec", F.lit("\\"), F.lit("/")), F.lit(".php"))))
+    return _candidates(imports, "end", keys)
+
+
+def beside_candidates(raw: DataFrame) -> DataFrame:
+    """PHP and Ruby requires by relative path; a plain Ruby ``require`` has none."""
+    imports = raw.where(
+        (F.col("lang") == "rb") | ((F.col("lang") == "php") & (F.col("form") == "require"))
+    ).withColumn("shown", F.col("spec"))
+    target = paths.normpath(paths.join(paths.dirname(F.col("src")), F.col("spec")))
+    ruby = F.when(F.endswith(target, F.lit(".rb")), target).otherwise(F.concat(target, F.lit(".rb")))
+    keys = F.when(F.col("lang") == "php", F.array(target)).when(
+        F.col("form") == "require_relative", F.array(ruby)
     )
-    below_src = skew_join(guessed, targets, [*TREE, "key"], ["src", "ord"]).select(
-        *IMPORT, (F.col("prio") + 10).alias("prio"), "path"
+    return _candidates(imports, "path", keys)
+
+
+# ---------------------------------------------------------------- targets
+
+
+def python_modules(files: DataFrame) -> DataFrame:
+    """Module name to file; of two files with one name the smaller path wins."""
+    return (
+        _sources(files)
+        .where(F.col("ext") == ".py")
+        .groupBy(*TREE, paths.python_module(F.col("path")).alias("key"))
+        .agg(F.min("path").alias("path"))
     )
-    hits = (
-        in_tree.unionByName(below_src).groupBy(*IMPORT).agg(F.min_by("path", "prio").alias("dst"))
+
+
+def go_packages(files: DataFrame) -> DataFrame:
+    """Every ``.go`` file under its directory and the directories above that."""
+    here = paths.dirname(F.col("path"))
+    above = F.filter(paths.ancestors(here), lambda d: d != "")
+    return (
+        _sources(files)
+        .where(F.endswith("path", F.lit(".go")))
+        .select(*TREE, "path", F.explode(F.concat(above, F.array(here))).alias("key"))
     )
-    used = full.select(*IMPORT).join(hits, IMPORT, "left")
-    return mods.unionByName(_not_self(used))
 
 
-# ---------------------------------------------------------------- Java, Kotlin, PHP, Ruby
+def rust_modules(files: DataFrame, crates: DataFrame) -> DataFrame:
+    """Each ``.rs`` file with its crate root and its module path in the crate."""
+    sources = _sources(files).where(F.endswith("path", F.lit(".rs")))
+    above = sources.select(*TREE, "path", F.explode(paths.ancestors(F.col("path"))).alias("dir"))
+    roots = salted_join(above, crates, [*TREE, "dir"], ["path"], "left").groupBy(*TREE, "path")
+    # "crate" is null for directories that are no crate root.
+    found = roots.agg(F.max_by("dir", F.when(F.col("is_crate"), F.length("dir"))).alias("crate"))
+    return found.withColumn("crate", F.coalesce("crate", F.lit(""))).withColumn(
+        "module", paths.rust_module(F.col("path"), F.col("crate"))
+    )
+
+
+def rust_tree(modules: DataFrame) -> DataFrame:
+    """Module to file: ``mod.rs`` wins over ``x.rs``; at the root ``lib.rs`` over ``main.rs``."""
+    late_main = (F.col("module") == "") & F.endswith("path", F.lit("main.rs"))
+    order = F.struct((~late_main).alias("a"), F.col("path").alias("b"))
+    return (
+        modules.where(F.col("module").isNotNull())
+        .groupBy(*TREE, _crate_key(F.col("crate"), F.col("module")).alias("key"))
+        .agg(F.max_by("path", order).alias("path"))
+    )
 
 
 def by_suffix(wanted: DataFrame, files: DataFrame, exts: list[str]) -> DataFrame:
@@ -330,64 +322,7 @@ def by_suffix(wanted: DataFrame, files: DataFrame, exts: list[str]) -> DataFrame
     )
     short = skew_join(endings, single, [*TREE, "suffix"], ["path"]).select(*TREE, "suffix", "path")
     two = first_n(long.unionByName(short), [*TREE, "suffix"], [F.col("path")], 2)
-    return two.groupBy(*TREE, "suffix").agg(F.array_sort(F.collect_list("path")).alias("paths"))
-
-
-def _first_other() -> Column:
-    return F.try_element_at(F.filter("paths", lambda p: p != F.col("src")), F.lit(1))
-
-
-def jvm(raw: DataFrame, files: DataFrame) -> DataFrame:
-    """Java and Kotlin: the first file whose path ends with the name; Java first."""
-    imports = raw.where(F.col("lang") == "jvm").withColumn("shown", F.col("spec"))
-    base = F.replace("spec", F.lit("."), F.lit("/"))
-    wanted = imports.select(
-        *IMPORT,
-        F.posexplode(F.array(F.concat(base, F.lit(".java")), F.concat(base, F.lit(".kt")))).alias(
-            "prio", "suffix"
-        ),
-    )
-    lookup = by_suffix(wanted, files, [".java", ".kt"])
-    found = skew_join(wanted, lookup, [*TREE, "suffix"], ["src", "ord"], "left")
-    hit = _first_other()
-    return found.groupBy(*IMPORT).agg(
-        F.min_by(hit, F.when(hit.isNotNull(), F.col("prio"))).alias("dst")
-    )
-
-
-def php(raw: DataFrame, files: DataFrame) -> DataFrame:
-    """``use`` by path ending, ``require`` by relative path."""
-    imports = raw.where(F.col("lang") == "php").withColumn("shown", F.col("spec"))
-    wanted = imports.where(F.col("form") == "use").select(
-        *IMPORT,
-        F.concat(F.replace("spec", F.lit("\\"), F.lit("/")), F.lit(".php")).alias("suffix"),
-    )
-    lookup = by_suffix(wanted, files, [".php"])
-    used = skew_join(wanted, lookup, [*TREE, "suffix"], ["src", "ord"], "left").select(
-        *IMPORT, _first_other().alias("dst")
-    )
-    target = paths.normpath(paths.join(paths.dirname(F.col("src")), F.col("spec")))
-    required = imports.where(F.col("form") == "require").select(*IMPORT, target.alias("key"))
-    return used.unionByName(_exact(required, files))
-
-
-def ruby(raw: DataFrame, files: DataFrame) -> DataFrame:
-    """``require_relative`` by relative path; plain ``require`` stays external."""
-    imports = raw.where(F.col("lang") == "rb").withColumn("shown", F.col("spec"))
-    target = paths.normpath(paths.join(paths.dirname(F.col("src")), F.col("spec")))
-    with_ext = F.when(F.endswith(target, F.lit(".rb")), target).otherwise(
-        F.concat(target, F.lit(".rb"))
-    )
-    keyed = imports.select(
-        *IMPORT, F.when(F.col("form") == "require_relative", with_ext).alias("key")
-    )
-    return _exact(keyed, files)
-
-
-def _exact(keyed: DataFrame, files: DataFrame) -> DataFrame:
-    targets = _sources(files).select(*TREE, F.col("path").alias("key"), F.col("path").alias("dst"))
-    found = skew_join(keyed, targets, [*TREE, "key"], ["src", "ord"], "left")
-    return _not_self(found.select(*IMPORT, "dst"))
+    return two.select(*TREE, F.col("suffix").alias("key"), "path")
 
 
 # ---------------------------------------------------------------- all together
@@ -396,23 +331,61 @@ def _exact(keyed: DataFrame, files: DataFrame) -> DataFrame:
 def resolve(
     raw: DataFrame,
     files: DataFrame,
-    go_modules: DataFrame,
-    ts_options: DataFrame,
-    package_aliases: DataFrame,
-    cargo_dirs: DataFrame,
+    go_modules: DataFrame | None = None,
+    ts_options: DataFrame | None = None,
+    package_aliases: DataFrame | None = None,
+    cargo_dirs: DataFrame | None = None,
+    langs: tuple[str, ...] = ("py", "js", "go", "rs", "jvm", "php", "rb"),
 ) -> DataFrame:
-    """Every import of every language, resolved or external."""
-    out = python(raw, files)
-    for part in (
-        javascript(raw, files, ts_options, package_aliases),
-        go(raw, files, go_modules),
-        rust(raw, files, cargo_dirs),
-        jvm(raw, files),
-        php(raw, files),
-        ruby(raw, files),
-    ):
-        out = out.unionByName(part)
-    return out
+    """Every import, resolved or external.
+
+    Pass written frames for ``raw`` and ``files``: each is read for several
+    kinds of candidates and keys.  Both lists are written out before the join,
+    whose hot keys are counted first.
+    """
+    candidates, targets = [], {}
+    by_path = _sources(files).select(*TREE, F.col("path").alias("key"), "path")
+    if "py" in langs:
+        candidates.append(python_candidates(raw))
+        targets["py"] = python_modules(files)
+    if "js" in langs:
+        candidates.append(javascript_candidates(raw, ts_options, package_aliases))
+        targets["path"] = by_path
+    if "go" in langs:
+        candidates.append(go_candidates(raw, go_modules))
+        targets["go"] = go_packages(files)
+    if "rs" in langs:
+        modules = rust_modules(files, cargo_dirs.withColumn("is_crate", F.lit(True)))
+        candidates.append(rust_candidates(raw, modules))
+        targets["rs"], targets["path"] = rust_tree(modules), by_path
+    if "jvm" in langs or "php" in langs:
+        ending = ending_candidates(raw)
+        candidates.append(ending)
+        wanted = ending.select(*TREE, F.col("key").alias("suffix"))
+        targets["end"] = by_suffix(wanted, files, [".java", ".kt", ".php"])
+    if "php" in langs or "rb" in langs:
+        candidates.append(beside_candidates(raw))
+        targets["path"] = by_path
+    wanted, known = None, None
+    for part in candidates:
+        wanted = part if wanted is None else wanted.unionByName(part)
+    for space, part in targets.items():
+        part = part.select(*TREE, F.lit(space).alias("space"), "key", "path")
+        known = part if known is None else known.unionByName(part)
+    joined = skew_join(
+        cut(wanted, "wanted"), cut(known, "known"), [*TREE, "space", "key"], ["src", "ord"], "left"
+    )
+
+    # These may name every file they match; the others take the best one.
+    several = (F.col("space") == "go") | (F.col("form") == "mod")
+    many = joined.where(several).select(*IMPORT, F.col("path").alias("dst"))
+    # By module or ending, the importing file itself is passed over ...
+    passed = F.col("space").isin("rs", "end") & (F.col("path") == F.col("src"))
+    rank = F.when(F.col("path").isNotNull() & ~passed, F.struct("prio", "path"))
+    best = joined.where(~several).groupBy(*IMPORT).agg(F.min_by("path", rank).alias("dst"))
+    # ... elsewhere an import that finds its own file counts as not resolved.
+    best = best.withColumn("dst", F.when(F.col("dst") != F.col("src"), F.col("dst")))
+    return many.unionByName(best)
 
 
 def edges(resolved: DataFrame) -> DataFrame:

@@ -116,8 +116,8 @@ LINES = [
 ]
 
 LINE_EXTS = sorted({e for line in LINES for e in line.exts})
-#: Languages whose bodies are set in braces.
-BRACE_EXTS = sorted(set(LINE_EXTS) - {".py", ".rb"})
+#: Languages read in the pass that also finds spans by braces; Ruby has none.
+BRACE_EXTS = sorted(set(LINE_EXTS) - {".py"})
 
 
 def line_symbol(ext: Column, line: Column) -> Column:
@@ -153,7 +153,11 @@ def is_public(ext: Column, line: Column, name: Column) -> Column:
     )
 
 
-def _with_ext(contents: DataFrame, exts: list[str]) -> DataFrame:
+def with_ext(contents: DataFrame, exts: list[str]) -> DataFrame:
+    """Bodies of some extensions.
+
+    A body table partitioned by a column ``ext`` is read only in part.
+    """
     kept = contents if "ext" in contents.columns else contents.withColumn(
         "ext", paths.ext(paths.basename(F.col("path")))
     )
@@ -176,7 +180,7 @@ def line_symbols(
     Whole bodies are read; ``max_lines`` stops after that many lines of each.
     """
     exts = LINE_EXTS if exts is None else exts
-    lines = _lines(_with_ext(contents, exts).select(*ENTRY, "ext", "text"), max_lines)
+    lines = _lines(with_ext(contents, exts).select(*ENTRY, "ext", "text"), max_lines)
     found = lines.select(
         *ENTRY, "ext", (F.col("_n") + 1).alias("line_start"), "_line",
         line_symbol(F.col("ext"), F.col("_line")).alias("_s"),
@@ -211,7 +215,7 @@ def inline_scripts(contents: DataFrame) -> DataFrame:
     found = F.regexp_extract_all("text", F.lit(f"({block})"), 1)
     breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
     rows = (
-        _with_ext(contents, HTML_EXTS)
+        with_ext(contents, HTML_EXTS)
         .where(F.col("text").rlike("(?i)<script"))
         .select(*ENTRY, found.alias("_m"), F.split("text", block).alias("_p"))
         .select(*ENTRY, "_m", "_p", F.posexplode("_m").alias("block", "_b"))
@@ -269,7 +273,7 @@ def brace_symbols(contents: DataFrame, exts: list[str] | None = None) -> DataFra
     in strings make it approximate: ``span_method`` is ``brace``.
     """
     exts = BRACE_EXTS if exts is None else exts
-    lines = _lines(_with_ext(contents, exts).select(*ENTRY, "ext", "text"), None)
+    lines = _lines(with_ext(contents, exts).select(*ENTRY, "ext", "text"), None)
     count = lambda c: F.length("_line") - F.length(F.replace(F.col("_line"), F.lit(c), F.lit("")))
     owner = F.coalesce(
         F.nullif(
@@ -341,14 +345,17 @@ def brace_symbols(contents: DataFrame, exts: list[str] | None = None) -> DataFra
         .where(F.col("_is_symbol") == 1)
     )
     start = F.col("_d.line")
-    end = F.when(F.col("_d._bare"), start).otherwise(F.col("_end"))
+    end = F.when(F.col("_d._bare"), start).when(F.col("_d.ext") != ".rb", F.col("_end"))
     parent = F.when(
         (F.col("_d._s.kind") == "fn") & (F.col("_d._indent") > F.col("_d._impl._indent")),
         F.col("_d._impl._owner"),
     )
-    public = F.when(
-        F.col("_d.ext") == ".go", F.col("_d._s.name").rlike(r"(?U)^\p{Lu}")
-    ).otherwise(F.col("_d._public"))
+    name = F.col("_d._s.name")
+    public = (
+        F.when(F.col("_d.ext") == ".go", name.rlike(r"(?U)^\p{Lu}"))
+        .when(F.col("_d.ext") == ".rb", ~F.startswith(name, F.lit("_")))
+        .otherwise(F.col("_d._public"))
+    )
     return ended.select(
         *ENTRY,
         start.alias("line_start"),
@@ -397,7 +404,6 @@ def symbols(
     out = (
         _full(pysource.symbols(facts))
         .unionByName(_full(brace_symbols(contents)))
-        .unionByName(_full(line_symbols(contents, [".rb"])))
         .unionByName(_full(html_symbols(contents)))
     )
     return public(out) if public_only else out

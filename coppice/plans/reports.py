@@ -58,13 +58,18 @@ class Trees:
         self.limit, self.keywords, self.filters = limit, keywords, filters
         self._raw_contents = contents
 
+    @cached_property
+    def manifests(self) -> DataFrame:
+        """Manifests and ignore files of all trees, hidden ones included."""
+        return cut(trees.manifest_bodies(self.contents), "manifests")
+
     @cached_property
     def listed(self) -> DataFrame:
         """Entries left by the filters."""
         options = dict(self.filters)
         if options.pop("use_ignore", True):
             options.setdefault("ignored_paths", self.ignored_paths)
-            options.setdefault("rules", trees.ignore_rules(self.contents))
+            options.setdefault("rules", trees.ignore_rules(self.manifests))
         if options.pop("changed_only", False):
             options["since"] = self.since_marks
         return cut(visible.visible(self.files, **options), "listed")
@@ -76,6 +81,10 @@ class Trees:
             self.listed.where(F.col("kind") != "dir").select(*ENTRY), ENTRY, "left_semi"
         )
 
+    @cached_property
+    def listed_manifests(self) -> DataFrame:
+        return self.manifests.join(self.listed.select(*ENTRY), ENTRY, "left_semi")
+
     @cached_property
     def counts(self) -> DataFrame:
         kept = self.listed.where(F.col("kind") != "dir").select(*ENTRY)
@@ -103,9 +112,9 @@ class Trees:
             resolve.resolve(
                 cut(raw, "imports"),
                 self.listed,
-                trees.go_modules(self.bodies),
-                trees.ts_options(self.bodies),
-                trees.package_aliases(self.bodies),
+                trees.go_modules(self.listed_manifests),
+                trees.ts_options(self.listed_manifests),
+                trees.package_aliases(self.listed_manifests),
                 trees.cargo_dirs(self.listed),
             ),
             "resolved",
@@ -122,7 +131,7 @@ class Trees:
     @cached_property
     def entries(self) -> DataFrame:
         return testsgap.entry_points(
-            self.listed, trees.package_entries(self.bodies, self.listed)
+            self.listed, trees.package_entries(self.listed_manifests, self.listed)
         )
 
     @cached_property

@@ -326,6 +326,18 @@ def ignore_rules(contents: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- manifest facts
 
 
+# Files that say something about their tree.
+MANIFESTS = ["go.mod", "tsconfig.json", "jsconfig.json", "package.json", ".gitignore"]
+
+
+def manifest_bodies(contents: DataFrame) -> DataFrame:
+    """Bodies of manifests and ignore files: one pass over the bodies.
+
+    Few and small; written out, they serve every function below.
+    """
+    return contents.where(paths.basename(F.col("path")).isin(MANIFESTS)).select(*ENTRY, "text")
+
+
 def go_modules(contents: DataFrame) -> DataFrame:
     """Module name of each tree; of several ``go.mod`` the smallest path wins."""
     # A line "module NAME": blanks around it are trimmed first.
