@@ -78,8 +78,11 @@ def count_label(dirs: Column, files: Column, denied: Column | None = None) -> Co
 
 def share_percent(part: Column, total: Column) -> Column:
     """Whole percent, cut not rounded, at most 100; 0 of nothing."""
-    raw = F.floor(part.cast("double") * 100.0 / F.nullif(total, F.lit(0)))
-    return F.coalesce(F.least(F.lit(100).cast("long"), raw), F.lit(0).cast("long"))
+    raw = F.floor(part.cast("double") * 100.0 / total)
+    # least() passes over nulls, so an empty total is its own case.
+    return F.when(total > 0, F.least(F.lit(100).cast("long"), raw)).otherwise(
+        F.lit(0).cast("long")
+    )
 
 
 def share_bar(part: Column, total: Column, width: int = 10) -> Column:

@@ -17,8 +17,7 @@ NOW = 1_700_000_000.0
 
 
 def _files(spark, sf_dir, name="FILES"):
-    """The inventory of a view, written out as it would be kept."""
-    return cut(trees.inventory(view(spark, sf_dir, name).drop("text")), "inventory")
+    return trees.inventory(view(spark, sf_dir, name).drop("text"))
 
 
 def _listed(spark, sf_dir, name="TREE"):
@@ -507,7 +506,7 @@ def top_types_by_tokens(spark, sf_dir):
 @checked(
     f"""
 WITH {ENTRIES}, {_TOTAL}
-SELECT t.repo, t.path, t.kind, t.size, p.size AS parent_size, coalesce(least(100, cast(floor(t.size * 100.0::DOUBLE / nullif(p.size, 0)) AS bigint)), 0) AS percent,
+SELECT t.repo, t.path, t.kind, t.size, p.size AS parent_size, CASE WHEN p.size = 0 THEN 0 ELSE least(100, cast(floor(t.size * 100.0::DOUBLE / p.size) AS bigint)) END AS percent,
   '[' || repeat('█', cast(round_even(percent * 10 / 100.0::DOUBLE, 0) AS bigint)) || repeat('░', 10 - cast(round_even(percent * 10 / 100.0::DOUBLE, 0) AS bigint))
     || ']' || lpad(cast(percent AS varchar), 4, ' ') || '%' AS bar
 FROM total t JOIN total p ON p.repo = t.repo AND p.path = {R.parent_of('t.path')} AND p.kind = 'dir' WHERE t.path <> ''

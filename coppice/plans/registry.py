@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from coppice.plans import views
+from coppice.session import cut
 
 
 @dataclass(frozen=True)
@@ -40,8 +41,19 @@ def expanded(sql: str) -> str:
     return sql
 
 
+_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return views.for_spark(spark, sf_dir, getattr(views, name))
+    """A derived table, whole, written once per session as any input table would be.
+
+    Without that, Spark would fold a view's long expressions into every use of
+    its columns.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = cut(views.for_spark(spark, sf_dir, getattr(views, name)), name.lower())
+    return _WRITTEN[key]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
