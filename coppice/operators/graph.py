@@ -54,35 +54,79 @@ def most_depended(edges: DataFrame, n: int = 10) -> DataFrame:
 # ---------------------------------------------------------------- reachability
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, keep: list[str] = ()) -> DataFrame:
-    """Nodes reached from ``seeds`` in one or more steps, with the distance.
+def _coded(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(nodes, links)``: the files with a number each, and the edges as pairs of numbers.
 
-    ``seeds`` has ``repo, snapshot, node`` and the columns in ``keep``, which
-    travel along: with a ``root`` column every root has its own closure.  A
-    seed is among the reached nodes only if some path leads back to it.
+    Numbers are unique over all trees, so the loops carry two longs where they
+    would carry four strings.  The numbered list is written before it is used:
+    a task that runs again cannot number it differently.
     """
-    spark = edges.sparkSession
-    keep = list(keep)
-    key = [*TREE, *keep, "node"]
+    edges = cut(edges.select(*EDGE).distinct(), "edges")
+    names = edges.select(*TREE, F.explode(F.array("src", "dst")).alias("node")).distinct()
+    nodes = cut(names.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    sources = nodes.select(*TREE, F.col("node").alias("src"), F.col("id").alias("a"))
+    targets = nodes.select(*TREE, F.col("node").alias("dst"), F.col("id").alias("b"))
+    half = skew_join(edges, sources, [*TREE, "src"], ["dst"])
+    return nodes, cut(skew_join(half, targets, [*TREE, "dst"], ["src"]).select("a", "b"), "links")
+
+
+def _reach(links: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Numbers reached from ``seeds`` (``node`` and maybe ``root``), with the distance.
+
+    Breadth first: the last round's finds are joined with the links, and what
+    any round has found before is taken out.
+    """
+    spark = links.sparkSession
+    key = [c for c in ("root", "node") if c in seeds.columns]
+    keep = [c for c in key if c != "node"]
     with loop_settings(spark):
-        step = cut(edges.select(*TREE, F.col("src").alias("node"), F.col("dst").alias("_next")).distinct(), "edges")
         rounds = Rounds(spark, "reach")
-        start = seeds.select(*key).distinct().withColumn("dist", F.lit(0))
-        frontier = cut(start, "seeds")
-        schema = frontier
+        frontier = cut(seeds.select(*key).distinct().withColumn("dist", F.lit(0)), "seeds")
+        like = frontier
         dist, seen = 0, None
         while not is_empty(frontier):
             dist += 1
             found = (
-                frontier.join(step, [*TREE, "node"])
-                .select(*TREE, *keep, F.col("_next").alias("node"))
+                frontier.join(links, F.col("node") == F.col("a"))
+                .select(*keep, F.col("b").alias("node"))
                 .distinct()
             )
             if seen is not None:
                 found = found.join(seen.select(*key), key, "left_anti")
             frontier = rounds.add(found.select(*key, F.lit(dist).alias("dist")))
-            seen = rounds.all(schema)
-        return rounds.all(schema)
+            seen = rounds.all(like)
+        return rounds.all(like) if dist else like
+
+
+def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Files reached from ``seeds`` in one or more steps, with the distance.
+
+    ``seeds`` has ``repo, snapshot, node`` and maybe ``root``, a file as well:
+    then every root has a closure of its own.  A seed is among the reached
+    files only if some path leads back to it.
+    """
+    nodes, links = _coded(edges)
+    rooted = "root" in seeds.columns
+    coded = seeds.join(nodes, [*TREE, "node"])
+    if rooted:
+        roots = nodes.select(*TREE, F.col("node").alias("root"), F.col("id").alias("_r"))
+        coded = coded.join(roots, [*TREE, "root"]).select(F.col("_r").alias("root"), F.col("id").alias("node"))
+    else:
+        coded = coded.select(F.col("id").alias("node"))
+    found = _reach(links, coded)
+    # A file that many roots reach is a hot key on the way back to names.
+    named = skew_join(
+        found.withColumnRenamed("node", "id"), nodes, ["id"], ["root"] if rooted else ["id"]
+    ).drop("id")
+    if not rooted:
+        return named.select(*TREE, "node", "dist")
+    back = nodes.select(F.col("id").alias("root"), F.col("node").alias("_root"))
+    return (
+        skew_join(named, back, ["root"], ["node"])
+        .drop("root")
+        .withColumnRenamed("_root", "root")
+        .select(*TREE, "root", "node", "dist")
+    )
 
 
 def impact(edges: DataFrame, roots: DataFrame, reverse: bool = False) -> DataFrame:
@@ -93,7 +137,7 @@ def impact(edges: DataFrame, roots: DataFrame, reverse: bool = False) -> DataFra
     seeds = roots.select(*TREE, F.col("path").alias("root"), F.col("path").alias("node"))
     graph = reversed_edges(edges) if reverse else edges
     return (
-        reachable(graph, seeds, ["root"])
+        reachable(graph, seeds)
         .where(F.col("node") != F.col("root"))
         .withColumn("direct", F.col("dist") == 1)
     )
@@ -149,55 +193,55 @@ def without_declarations(edges: DataFrame) -> DataFrame:
     return edges.where(~F.col("decl_only")).select(*EDGE)
 
 
-def _trimmed(edges: DataFrame) -> DataFrame:
-    """Edges between nodes that have both an edge in and an edge out."""
-    outs = edges.select(*TREE, F.col("src").alias("node")).distinct()
-    ins = edges.select(*TREE, F.col("dst").alias("node")).distinct()
-    both = outs.join(ins, [*TREE, "node"])
-    return edges.join(both.withColumnRenamed("node", "src"), [*TREE, "src"], "left_semi").join(
-        both.withColumnRenamed("node", "dst"), [*TREE, "dst"], "left_semi"
-    ).select(*EDGE)
+def _trimmed(links: DataFrame) -> DataFrame:
+    """Links between nodes that have both a link in and a link out."""
+    outs = links.select(F.col("a").alias("node")).distinct()
+    ins = links.select(F.col("b").alias("node")).distinct()
+    both = outs.join(ins, "node")
+    return links.join(both.withColumnRenamed("node", "a"), "a", "left_semi").join(
+        both.withColumnRenamed("node", "b"), "b", "left_semi"
+    ).select("a", "b")
 
 
-def _spread_min(edges: DataFrame, hops: int = 4) -> DataFrame:
-    """Per node: ``f``, the smallest name that reaches it, and ``b``, the smallest it reaches.
+def _spread_min(links: DataFrame, hops: int = 4) -> DataFrame:
+    """Per node: ``f``, the smallest number that reaches it, and ``b``, the smallest it reaches.
 
-    A few hops per written round; only nodes whose names changed send again.
+    A few hops per written round; only nodes whose numbers changed send again.
     """
-    both = edges.select(
-        *TREE,
-        F.explode(
-            F.array(
-                F.struct(F.col("src").alias("node"), F.col("dst").alias("to"), F.lit(True).alias("ahead")),
-                F.struct(F.col("dst").alias("node"), F.col("src").alias("to"), F.lit(False).alias("ahead")),
+    both = cut(
+        links.select(
+            F.inline(
+                F.array(
+                    F.struct(F.col("a").alias("node"), F.col("b").alias("to"), F.lit(True).alias("ahead")),
+                    F.struct(F.col("b").alias("node"), F.col("a").alias("to"), F.lit(False).alias("ahead")),
+                )
             )
-        ).alias("_e"),
-    ).select(*TREE, "_e.node", "_e.to", "_e.ahead")
-    both = cut(both, "both")
-    state = both.select(*TREE, "node").distinct().select(
-        *TREE, "node", F.col("node").alias("f"), F.col("node").alias("b"), F.lit(True).alias("moved")
+        ),
+        "both",
+    )
+    state = both.select("node").distinct().select(
+        "node", F.col("node").alias("f"), F.col("node").alias("b"), F.lit(True).alias("moved")
     )
+    nothing = F.lit(None).cast("long")
     while True:
         for _ in range(hops):
             sent = (
                 state.where("moved")
-                .join(both, [*TREE, "node"])
+                .join(both, "node")
                 .select(
-                    *TREE,
                     F.col("to").alias("node"),
                     F.when(F.col("ahead"), F.col("f")).alias("f"),
                     F.when(~F.col("ahead"), F.col("b")).alias("b"),
-                    F.lit(None).cast("string").alias("f0"),
-                    F.lit(None).cast("string").alias("b0"),
+                    nothing.alias("f0"),
+                    nothing.alias("b0"),
                 )
             )
-            kept = state.select(*TREE, "node", "f", "b", F.col("f").alias("f0"), F.col("b").alias("b0"))
+            kept = state.select("node", "f", "b", F.col("f").alias("f0"), F.col("b").alias("b0"))
             state = (
                 kept.unionByName(sent)
-                .groupBy(*TREE, "node")
+                .groupBy("node")
                 .agg(*[F.min(c).alias(c) for c in ("f", "b", "f0", "b0")])
                 .select(
-                    *TREE,
                     "node",
                     "f",
                     "b",
@@ -209,52 +253,56 @@ def _spread_min(edges: DataFrame, hops: int = 4) -> DataFrame:
             return state.drop("moved")
 
 
-def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Bypass chains: nodes with one edge in and one edge out.
+def _contracted(links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Bypass chains: nodes with one link in and one link out.
 
-    Returns the shorter edges, ``inner`` (each bypassed node with the two ends
+    Returns the shorter links, ``inner`` (each bypassed node with the two ends
     of its chain) and ``rings`` (nodes of chains that close on themselves, with
-    their smallest name).  Pointers double each round, so a chain of n nodes
+    their smallest number).  Pointers double each round, so a chain of n nodes
     takes about log2 n rounds.
     """
-    spark = edges.sparkSession
-    node = [*TREE, "node"]
-    ends = edges.select(
-        *TREE,
-        F.explode(
+    ends = links.select(
+        F.inline(
             F.array(
-                F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")),
-                F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")),
+                F.struct(F.col("a").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")),
+                F.struct(F.col("b").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")),
             )
-        ).alias("_e"),
+        )
     )
-    links = (
-        ends.groupBy(*TREE, F.col("_e.node").alias("node"))
-        .agg(F.sum("_e.o").alias("o"), F.sum("_e.i").alias("i"))
+    single = cut(
+        ends.groupBy("node")
+        .agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
         .where((F.col("o") == 1) & (F.col("i") == 1))
-        .select(*node)
+        .select("node"),
+        "single",
     )
-    links = cut(links, "links")
-    after = edges.join(links.withColumnRenamed("node", "src"), [*TREE, "src"], "left_semi").select(
-        *TREE, F.col("src").alias("node"), F.col("dst").alias("next")
+    after = links.join(single.withColumnRenamed("node", "a"), "a", "left_semi").select(
+        F.col("a").alias("node"), F.col("b").alias("next")
     )
-    before = edges.join(links.withColumnRenamed("node", "dst"), [*TREE, "dst"], "left_semi").select(
-        *TREE, F.col("dst").alias("node"), F.col("src").alias("prev")
+    before = links.join(single.withColumnRenamed("node", "b"), "b", "left_semi").select(
+        F.col("b").alias("node"), F.col("a").alias("prev")
     )
     state = cut(
-        after.join(before, node).withColumn("low", F.least("node", "next")), "chains"
+        after.join(before, "node").withColumns(
+            {
+                "low": F.least("node", "next"),
+                "active": F.lit(True),
+                "lower": F.lit(True),
+            }
+        ),
+        "chains",
     )
     active = None
     while True:
         hop_on = state.select(
-            *TREE, F.col("node").alias("next"), F.col("next").alias("_n2"), F.col("low").alias("_l2")
+            F.col("node").alias("next"), F.col("next").alias("_n2"), F.col("low").alias("_l2")
         )
-        hop_back = state.select(*TREE, F.col("node").alias("prev"), F.col("prev").alias("_p2"))
+        hop_back = state.select(F.col("node").alias("prev"), F.col("prev").alias("_p2"))
         state = cut(
-            state.join(hop_on, [*TREE, "next"], "left")
-            .join(hop_back, [*TREE, "prev"], "left")
+            state.join(hop_on, "next", "left")
+            .join(hop_back, "prev", "left")
             .select(
-                *node,
+                "node",
                 F.coalesce("_n2", "next").alias("next"),
                 F.coalesce("_p2", "prev").alias("prev"),
                 F.least("low", F.coalesce("_l2", "low")).alias("low"),
@@ -264,98 +312,81 @@ def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             "chains",
         )
         # An open chain has fewer active nodes every round; a ring keeps all of
-        # its nodes active, and is settled once no name gets smaller.
+        # its nodes active, and is settled once no number gets smaller.
         counts = state.agg(F.count_if("active").alias("a"), F.count_if("lower").alias("l")).first()
         if counts["a"] == 0 or (counts["a"] == active and counts["l"] == 0):
             break
         active = counts["a"]
-    on_link = links.withColumnRenamed("node", "next")
-    rings = state.join(on_link, [*TREE, "next"], "left_semi").select(*node, F.col("low").alias("label"))
-    open_ = state.join(on_link, [*TREE, "next"], "left_anti")
-    inner = cut(open_.select(*node, F.col("prev").alias("head"), F.col("next").alias("tail")), "inner")
-    kept = edges.join(links.withColumnRenamed("node", "src"), [*TREE, "src"], "left_anti").join(
-        links.withColumnRenamed("node", "dst"), [*TREE, "dst"], "left_anti"
+    on_single = single.withColumnRenamed("node", "next")
+    rings = state.join(on_single, "next", "left_semi").select("node", F.col("low").alias("label"))
+    open_ = state.join(on_single, "next", "left_anti")
+    inner = cut(open_.select("node", F.col("prev").alias("head"), F.col("next").alias("tail")), "inner")
+    kept = links.join(single.withColumnRenamed("node", "a"), "a", "left_anti").join(
+        single.withColumnRenamed("node", "b"), "b", "left_anti"
     )
-    bypass = inner.select(*TREE, F.col("head").alias("src"), F.col("tail").alias("dst")).distinct()
-    shorter = kept.select(*EDGE).unionByName(bypass).distinct()
+    bypass = inner.select(F.col("head").alias("a"), F.col("tail").alias("b"))
+    shorter = kept.select("a", "b").unionByName(bypass).distinct()
     return cut(shorter, "shorter"), inner, cut(rings, "rings")
 
 
-def _core_components(edges: DataFrame) -> DataFrame:
+def _core_components(links: DataFrame) -> DataFrame:
     """``node, label`` of every node of a component of two or more, by colouring.
 
-    Each node learns the smallest name that reaches it and the smallest it
-    reaches.  Where the two are one name, that name's component is found.
-    Members of a component always agree in both, so edges between nodes that
-    differ can go, and the rest goes round again, all components at once.
+    Each node learns the smallest number that reaches it and the smallest it
+    reaches.  Where the two are one, that node's component is found.  Members
+    of a component always agree in both, so links between nodes that differ can
+    go, and the rest goes round again, all components at once.
     """
-    done = Rounds(edges.sparkSession, "components")
-    left, like = edges, None
+    done = Rounds(links.sparkSession, "components")
+    left, like = links, None
     while True:
         left = cut(_trimmed(left), "core")
         if is_empty(left):
             break
         state = _spread_min(left)
-        found = state.where(F.col("f") == F.col("b")).select(*TREE, "node", F.col("f").alias("label"))
-        like = done.add(found)
+        like = done.add(state.where(F.col("f") == F.col("b")).select("node", F.col("f").alias("label")))
         rest = state.where(F.col("f") != F.col("b"))
         left = (
-            left.join(
-                rest.select(*TREE, F.col("node").alias("src"), F.struct("f", "b").alias("_x")), [*TREE, "src"]
-            )
-            .join(rest.select(*TREE, F.col("node").alias("dst"), F.struct("f", "b").alias("_y")), [*TREE, "dst"])
+            left.join(rest.select(F.col("node").alias("a"), F.struct("f", "b").alias("_x")), "a")
+            .join(rest.select(F.col("node").alias("b"), F.struct("f", "b").alias("_y")), "b")
             .where(F.col("_x") == F.col("_y"))
-            .select(*EDGE)
+            .select("a", "b")
         )
     if like is None:
-        return edges.select(*TREE, F.col("src").alias("node"), F.col("src").alias("label")).where(F.lit(False))
+        return links.select(F.col("a").alias("node"), F.col("a").alias("label")).where(F.lit(False))
     found = done.all(like)
-    # A node alone under its own name is on no cycle.
-    several = found.groupBy(*TREE, "label").count().where(F.col("count") > 1)
-    return cut(found.join(several, [*TREE, "label"], "left_semi").select(*TREE, "node", "label"), "found")
+    # A node alone under its own number is on no cycle.
+    several = found.groupBy("label").count().where(F.col("count") > 1).select("label")
+    return cut(found.join(several, "label", "left_semi").select("node", "label"), "found")
 
 
-def components(edges: DataFrame, contract: bool = True) -> DataFrame:
-    """``repo, snapshot, node, component`` for every node on some cycle.
+def components(edges: DataFrame) -> DataFrame:
+    """``repo, snapshot, node, component`` for every file on some cycle.
 
-    ``component`` is the smallest name among the nodes that can reach each
+    ``component`` is the smallest path among the files that can reach each
     other.  Chains are bypassed first, so one long ring or a long tail costs
     log2 of its length in rounds.
     """
-    spark = edges.sparkSession
-    with loop_settings(spark):
-        graph = cut(without_declarations(edges).where(F.col("src") != F.col("dst")).distinct(), "graph")
-        if not contract:
-            found = _core_components(graph)
-            return found.select(*TREE, "node", F.col("label").alias("component"))
-        shorter, inner, rings = _contracted(graph)
+    with loop_settings(edges.sparkSession):
+        nodes, links = _coded(without_declarations(edges).where(F.col("src") != F.col("dst")))
+        shorter, inner, rings = _contracted(links)
         # A chain from a node back to itself is a ring through that node.
-        loops = shorter.where(F.col("src") == F.col("dst")).select(*TREE, F.col("src").alias("node"))
-        core = _core_components(shorter.where(F.col("src") != F.col("dst")))
-        groups = cut(
-            core.select(*TREE, "node", F.col("label").alias("group")).unionByName(
-                loops.select(*TREE, "node", F.col("node").alias("group")).join(
-                    core.select(*TREE, "node"), [*TREE, "node"], "left_anti"
-                )
-            ),
-            "groups",
-        )
-        by_head = groups.select(*TREE, F.col("node").alias("head"), "group")
-        by_tail = groups.select(*TREE, F.col("node").alias("tail"), F.col("group").alias("_tail_group"))
+        loops = shorter.where(F.col("a") == F.col("b")).select(F.col("a").alias("node"))
+        core = _core_components(shorter.where(F.col("a") != F.col("b")))
+        alone = loops.join(core.select("node"), "node", "left_anti")
+        groups = cut(core.unionByName(alone.select("node", F.col("node").alias("label"))), "groups")
+        by_head = groups.select(F.col("node").alias("head"), "label")
+        by_tail = groups.select(F.col("node").alias("tail"), F.col("label").alias("_tail_label"))
         on_chain = (
-            inner.join(by_head, [*TREE, "head"])
-            .join(by_tail, [*TREE, "tail"])
-            .where(F.col("group") == F.col("_tail_group"))
-            .select(*TREE, "node", "group")
-        )
-        members = groups.unionByName(on_chain).unionByName(
-            rings.select(*TREE, "node", F.col("label").alias("group"))
-        )
-        members = cut(members.distinct(), "members")
-        names = members.groupBy(*TREE, "group").agg(F.min("node").alias("component"))
-        return skew_join(members, names, [*TREE, "group"], ["node"]).select(
-            *TREE, "node", "component"
+            inner.join(by_head, "head")
+            .join(by_tail, "tail")
+            .where(F.col("label") == F.col("_tail_label"))
+            .select("node", "label")
         )
+        members = groups.unionByName(on_chain).unionByName(rings).distinct()
+        named = cut(members.withColumnRenamed("node", "id").join(nodes, "id").drop("id"), "members")
+        names = named.groupBy("label").agg(F.min("node").alias("component"))
+        return skew_join(named, names, ["label"], ["node"]).select(*TREE, "node", "component")
 
 
 def cycle_sizes(components_: DataFrame) -> DataFrame:
@@ -383,9 +414,10 @@ def witness_cycles(edges: DataFrame, components_: DataFrame) -> DataFrame:
         )
         roots = components_.where(F.col("node") == F.col("component"))
         # Distance to the root, walking edges backwards from it.
+        seeds = roots.select(*TREE, F.col("component").alias("root"), "node")
         dist = cut(
-            reachable(reversed_edges(inside), roots.select(*TREE, "component", "node"), ["component"]).select(
-                *TREE, "component", F.col("node").alias("dst"), "dist"
+            reachable(reversed_edges(inside), seeds).select(
+                *TREE, F.col("root").alias("component"), F.col("node").alias("dst"), "dist"
             ),
             "dist",
         )
