@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from coppice.functions import measure
 from coppice.operators.skew import running, salted_join
 from coppice.schema import ENTRY, TREE
+from coppice.session import cut
 
 #: Details of a line, most first: all, without symbols, without annotations.
 DETAILS = ["full", "plain", "bare"]
@@ -78,7 +79,7 @@ def estimate(full: DataFrame, bare: DataFrame, cap: int | None = None) -> DataFr
     With a ``cap``, levels above it are marked and a budget is suggested.
     """
     levels = [("1 bare", 0, _at_depth(depth_costs(bare), 1))]
-    costs = depth_costs(full)
+    costs = cut(depth_costs(full), "costs")
     levels += [(str(d), d, _at_depth(costs, d)) for d in (1, 2, 3)]
     levels.append(("all", 4, _at_depth(costs, None)))
     out = None
@@ -101,7 +102,9 @@ def choose_level(full: DataFrame, plain: DataFrame, bare: DataFrame, budget: int
     All of it if that fits; else the largest depth of 6..1 that does; else depth
     1 without symbols; else depth 1 without annotations, cut if need be.
     """
-    costs = {"full": depth_costs(full), "plain": depth_costs(plain), "bare": depth_costs(bare)}
+    listings = zip(DETAILS, (full, plain, bare), strict=True)
+    # A row per tree and depth: written, since every step below looks at it.
+    costs = {detail: cut(depth_costs(frame), "costs") for detail, frame in listings}
     steps = [("full", None)] + [("full", d) for d in DEPTHS] + [("plain", 1), ("bare", 1)]
     out = None
     for rank, (detail, depth) in enumerate(steps):
@@ -131,12 +134,13 @@ def fit(full: DataFrame, plain: DataFrame, bare: DataFrame, budget: int) -> Data
     the three details.  ``left_out`` counts the lines of the chosen level that
     did not fit and ``level_cost`` what showing them all would take.
     """
-    chosen = choose_level(full, plain, bare, budget)
+    frames = [
+        cut(frame.select(*ENTRY, "depth", "tree_key", "line"), "lines") for frame in (full, plain, bare)
+    ]
+    chosen = choose_level(*frames, budget)
     lines = None
-    for detail, frame in zip(DETAILS, (full, plain, bare), strict=True):
-        part = frame.select(
-            *ENTRY, "depth", "tree_key", "line", F.lit(detail).alias("detail")
-        )
+    for detail, frame in zip(DETAILS, frames, strict=True):
+        part = frame.withColumn("detail", F.lit(detail))
         lines = part if lines is None else lines.unionByName(part)
     level = chosen.withColumnRenamed("tokens", "level_cost")
     picked = salted_join(lines, level, [*TREE, "detail"], ["path"]).where(

@@ -13,21 +13,21 @@ from coppice.schema import ENTRY
 HASHED_BYTES = 4 * 1024 * 1024
 
 
-def _side(contents: DataFrame, name: str) -> DataFrame:
+def sized_digests(contents: DataFrame) -> DataFrame:
+    """Size of each body, and its digest where content is compared."""
     body = "content" if "content" in contents.columns else "text"
     size = F.octet_length(body).cast("long")
     digest = F.when((size > 0) & (size <= HASHED_BYTES), F.sha2(F.col(body).cast("binary"), 256))
-    return contents.select(
-        "repo", "path", size.alias(f"size_{name}"), digest.alias(f"digest_{name}")
-    )
-
+    return contents.select(*ENTRY, size.alias("size"), digest.alias("digest"))
 
-def joined(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Both sides of every path, with ``status`` (null where nothing changed).
 
-    Bodies are hashed where they are read; the join moves sizes and digests.
-    """
-    both = _side(before, "a").join(_side(after, "b"), ["repo", "path"], "full_outer")
+def join_digests(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Both sides of every path, with ``status`` (null where nothing changed)."""
+    left, right = (
+        df.select("repo", "path", F.col("size").alias(f"size_{n}"), F.col("digest").alias(f"digest_{n}"))
+        for df, n in ((before, "a"), (after, "b"))
+    )
+    both = left.join(right, ["repo", "path"], "full_outer")
     status = (
         F.when(F.col("size_b").isNull(), "only_a")
         .when(F.col("size_a").isNull(), "only_b")
@@ -37,15 +37,25 @@ def joined(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.withColumn("status", status)
 
 
-def compare(before: DataFrame, after: DataFrame) -> DataFrame:
+def joined(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Bodies are hashed where they are read; the join moves sizes and digests."""
+    return join_digests(sized_digests(before), sized_digests(after))
+
+
+def compare_digests(before: DataFrame, after: DataFrame) -> DataFrame:
     """Files only in one tree, and files that changed."""
     return (
-        joined(before, after)
+        join_digests(before, after)
         .where(F.col("status").isNotNull())
         .select("repo", "path", "status", "size_a", "size_b")
     )
 
 
+def compare(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``compare_digests`` from bodies."""
+    return compare_digests(sized_digests(before), sized_digests(after))
+
+
 def compare_totals(before: DataFrame, after: DataFrame) -> DataFrame:
     """Per repo: counts by status, sizes of both trees and their difference."""
     totals = (

@@ -264,7 +264,7 @@ def _three_listings(spark, sf_dir):
     token_note = labels.token_label(F.col("tokens"))
     plain = counts.select(*ENTRY, token_note.alias("note"))
     full = counts.select(*ENTRY, F.concat(token_note, F.lit(", "), F.col("lines").cast("string"), F.lit(" lines")).alias("note"))
-    return [cut(tree.tree_lines(files, n), "lines") for n in (full, plain, None)]
+    return [tree.tree_lines(files, n) for n in (full, plain, None)]
 
 
 @checked(

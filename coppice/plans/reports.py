@@ -1,7 +1,7 @@
 """One object for a set of trees, with a method per report.
 
-Every method returns a DataFrame and runs nothing by itself, except for the
-graph loops.
+Every method returns a DataFrame.  What several reports share is worked out once
+and written to the checkpoint folder: bodies are read as few times as possible.
 """
 
 from __future__ import annotations
@@ -76,41 +76,47 @@ class Trees:
 
     @cached_property
     def bodies(self) -> DataFrame:
-        """Bodies of the listed files."""
-        return self.contents.join(
-            self.listed.where(F.col("kind") != "dir").select(*ENTRY), ENTRY, "left_semi"
-        )
+        """Bodies, less those a look at the path alone rules out.
+
+        Bodies are never joined with the listing: each analysis runs where they
+        are read, and only its narrow result is cut to the listed files.
+        """
+        if self.filters.get("show_all"):
+            return self.contents
+        return visible.not_hidden(self.contents)
+
+    def _of_listed(self, df: DataFrame, column: str = "path") -> DataFrame:
+        kept = self.listed.where(F.col("kind") != "dir").select(*TREE, F.col("path").alias(column))
+        return df.join(kept, [*TREE, column], "left_semi")
 
     @cached_property
     def listed_manifests(self) -> DataFrame:
-        return self.manifests.join(self.listed.select(*ENTRY), ENTRY, "left_semi")
+        return self._of_listed(self.manifests)
 
     @cached_property
     def counts(self) -> DataFrame:
-        kept = self.listed.where(F.col("kind") != "dir").select(*ENTRY)
-        return trees.text_counts(
-            self._raw_contents.join(kept, ENTRY, "left_semi"), self.limit
-        )
+        return cut(self._of_listed(trees.text_counts(self._raw_contents, self.limit)), "counts")
 
     @cached_property
     def todos(self) -> DataFrame:
-        return markers.scan(self.bodies, self.keywords)
+        return cut(self._of_listed(markers.scan(self.bodies, self.keywords)), "todos")
 
     @cached_property
     def python_facts(self) -> DataFrame:
         """Parsed once, written out, read by both the symbols and the imports."""
-        return cut(pysource.facts(self.bodies), "python")
+        return cut(self._of_listed(pysource.facts(self.bodies)), "python")
 
     @cached_property
     def symbols(self) -> DataFrame:
-        return symbol_ops.symbols(self.bodies, python_facts=self.python_facts)
+        found = symbol_ops.symbols(self.bodies, python_facts=self.python_facts)
+        return cut(self._of_listed(found), "symbols")
 
     @cached_property
     def resolved(self) -> DataFrame:
         raw = imports.raw_imports(self.bodies, self.python_facts)
         return cut(
             resolve.resolve(
-                cut(raw, "imports"),
+                cut(self._of_listed(raw, "src"), "imports"),
                 self.listed,
                 trees.go_modules(self.listed_manifests),
                 trees.ts_options(self.listed_manifests),
@@ -122,7 +128,7 @@ class Trees:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return resolve.edges(self.resolved)
+        return cut(resolve.edges(self.resolved), "edges")
 
     @cached_property
     def externals(self) -> DataFrame:
@@ -130,9 +136,8 @@ class Trees:
 
     @cached_property
     def entries(self) -> DataFrame:
-        return testsgap.entry_points(
-            self.listed, trees.package_entries(self.listed_manifests, self.listed)
-        )
+        named = trees.package_entries(self.listed_manifests, self.listed)
+        return cut(testsgap.entry_points(self.listed, named), "entries")
 
     @cached_property
     def components(self) -> DataFrame:
@@ -140,7 +145,9 @@ class Trees:
 
     @cached_property
     def untested(self) -> DataFrame:
-        return testsgap.untested(self.listed, self.edges, imports.inline_tested(self.bodies))
+        return cut(
+            testsgap.untested(self.listed, self.edges, imports.inline_tested(self.bodies)), "untested"
+        )
 
     @cached_property
     def since_marks(self) -> DataFrame:
@@ -162,7 +169,7 @@ class Trees:
 
     @cached_property
     def annotated(self) -> DataFrame:
-        return summary.annotate(
+        joined = summary.annotate(
             self.listed,
             self.counts,
             self.todos,
@@ -175,6 +182,7 @@ class Trees:
             self.last_commits,
             self.status,
         )
+        return cut(joined, "annotated")
 
     # -------------------------------------------------------------- reports
 
@@ -226,16 +234,18 @@ class Trees:
         return tree.largest(self.listed, n)
 
     def dupes(self, across: bool = False) -> DataFrame:
-        return dupes.groups(dupes.digests(self.bodies), across)
+        return dupes.groups(self._of_listed(dupes.digests(self.bodies)), across)
 
     def compare(self, other: Trees) -> DataFrame:
-        return diff.compare(self.bodies, other.bodies)
+        sides = [t._of_listed(diff.sized_digests(t.bodies)) for t in (self, other)]
+        return diff.compare_digests(*sides)
 
     def csv(self) -> DataFrame:
         return report.file_report(self.annotated)
 
     def pack(self) -> DataFrame:
-        return report.pack(self.bodies)
+        """A section per listed file: the one report that has to carry bodies along."""
+        return report.pack(self._of_listed(self.bodies))
 
     def estimate(self, cap: int | None = None) -> DataFrame:
         return budget.estimate(self.tree(annotated=True), self.tree(), cap)
