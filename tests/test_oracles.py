@@ -21,4 +21,6 @@ def con():
 def test_query(spark, con, name):
     n, problems = differences(spark, con, SF_DIR, QUERIES[name])
     assert not problems
-    assert n > 0
+    # The smallest tables make no file of some kinds (test files, C), so a query may
+    # rightly be empty there; one without SQL has only its rows to show.
+    assert n > 0 or QUERIES[name].sql is not None
