@@ -246,22 +246,30 @@ def inline_scripts(contents: DataFrame) -> DataFrame:
 
 
 def html_symbols(contents: DataFrame) -> DataFrame:
-    """JavaScript symbols of inline scripts, with line numbers of the HTML file."""
-    blocks = inline_scripts(contents).withColumn("ext", F.lit(".js"))
-    lines = _lines(blocks, None)
-    found = lines.select(
-        *ENTRY,
-        (F.col("_n") + 1 + F.col("lines_before")).alias("line_start"),
-        "_line",
-        line_symbol(F.col("ext"), F.col("_line")).alias("_s"),
-    ).where(F.col("_s").isNotNull())
+    """JavaScript symbols of inline scripts, with line numbers and spans of the HTML file.
+
+    Each block is read as a file of its own; its number and the lines before it
+    travel behind the path.
+    """
+    mark = F.lit("\x00")
+    blocks = inline_scripts(contents).select(
+        *TREE,
+        F.concat("path", mark, F.col("block").cast("string"), mark, F.col("lines_before").cast("string")).alias("path"),
+        "text",
+        F.lit(".js").alias("ext"),
+    )
+    before = F.substring_index("path", "\x00", -1).cast("int")
+    found = brace_symbols(blocks, [".js"])
     return found.select(
-        *ENTRY,
-        "line_start",
-        "_s.kind",
-        "_s.name",
-        is_public(F.lit(".js"), F.col("_line"), F.col("_s.name")).alias("public"),
-        "_s.method",
+        *TREE,
+        F.substring_index("path", "\x00", 1).alias("path"),
+        (F.col("line_start") + before).alias("line_start"),
+        (F.col("line_end") + before).alias("line_end"),
+        "kind",
+        "name",
+        "public",
+        "method",
+        "span_method",
     )
 
 

@@ -211,13 +211,13 @@ def _pages(spark, sf_dir):
 WITH p AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS repo, 'p' || page_id || '.html' AS path, page_id, {_PAGE} AS text FROM pages),
 b AS (SELECT *, unnest(regexp_extract_all(text, '(?s)<SCRIPT\\n type="module">\\nexport.*?</script')) AS body, generate_subscripts(regexp_extract_all(text, '(?s)<SCRIPT\\n type="module">\\nexport.*?</script'), 1) AS n FROM p),
 o AS (SELECT *, len(string_split(array_to_string(string_split(text, '<SCRIPT' || chr(10))[1:n], 'x'), chr(10))) - 1 + (n - 1) AS before FROM b)
-SELECT repo, path, before + 3 AS line_start, 'func' AS kind, 'f' || page_id AS name, true AS public, 'regex' AS method FROM o
-UNION ALL SELECT repo, path, before + 5, 'func', 'g', false, 'regex' FROM o
+SELECT repo, path, before + 3 AS line_start, before + 4 AS line_end, 'func' AS kind, 'f' || page_id AS name, true AS public, 'regex' AS method FROM o
+UNION ALL SELECT repo, path, before + 5, before + 5, 'func', 'g', false, 'regex' FROM o
 """
 )
 def html_symbols(spark, sf_dir):
     """Functions of inline scripts, numbered by the lines of the page."""
-    return symbols.html_symbols(_pages(spark, sf_dir)).drop("snapshot")
+    return symbols.html_symbols(_pages(spark, sf_dir)).drop("snapshot", "span_method")
 
 
 @checked(

@@ -13,8 +13,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    # Whole file bodies travel in these batches: keep them short.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    # Whole file bodies travel in these batches: keep them short and bounded in bytes.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "64",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "67108864",
 }
 
 

@@ -230,3 +230,36 @@ def test_api_diff_between_snapshots(forest, spark):
     ]
     assert new.compare(old).where(F.col("status") == "only_a").count() == 2
     assert old.compare(old).count() == 0
+
+
+def test_inline_scripts(forest):
+    pages = {
+        "a.html": (
+            "<!doctype html>\n<html>\n<head>\n<script>\nfunction alpha() {\n  return 1;\n}\nconst beta = () => 2;\n</script>\n</head>\n"
+            '<body>\n<script type="module">\nfunction gamma() {}\n</script>\n</body>\n</html>\n'
+        ),
+        "b.html": (
+            '<script src="app.js"></script>\n<script type="application/json">{"function": "no"}</script>\n'
+            "<SCRIPT>function upper() {}</SCRIPT>\n<script src=x />\n"
+        ),
+        "c.htm": "<script>\nfunction ok() {}\nfunction broken( {\n</script>\n",
+        "d.html": "<p>none</p>",
+    }
+    found = symbols.html_symbols(forest(pages)[1]).collect()
+    spans = {(r["path"], r["name"]): (r["line_start"], r["line_end"]) for r in found}
+    assert spans[("a.html", "alpha")] == (5, 7) and spans[("a.html", "gamma")] == (13, 13)
+    assert spans[("a.html", "beta")] == (8, 8) and ("b.html", "upper") in spans and ("c.htm", "ok") in spans
+    assert {p for p, _ in spans} == {"a.html", "b.html", "c.htm"}
+
+
+def test_newest_first(spark):
+    from coppice.operators import tree
+
+    rows = [("old.txt", 1.0), ("new.txt", 9.0), ("mid.txt", 5.0), ("dir/x.txt", 7.0)]
+    df = spark.createDataFrame([("r", p, 1, m, m) for p, m in rows], "repo string, path string, size long, mtime double, ctime double")
+    files = trees.with_directories(trees.inventory(df))
+    keyed = tree.tree_keys(files, "mtime", files_first=True)
+    listed = [r["path"] for r in tree.positions(keyed).orderBy("pos").collect()]
+    assert listed == ["", "new.txt", "mid.txt", "old.txt", "dir", "dir/x.txt"]
+    back = [r["path"] for r in tree.positions(tree.tree_keys(files, "ctime", reverse=True)).orderBy("pos").collect()]
+    assert back == ["", "dir", "dir/x.txt", "old.txt", "mid.txt", "new.txt"]
