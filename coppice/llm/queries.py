@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coppice.llm import chat, containment, divergence, lines, mixing, near, urls
+from coppice.llm import chat, containment, crf, divergence, gru, licenses, lines, mixing, near, urls
 from coppice.plans.registry import Checked
 
 QUERIES: dict[str, Checked] = {}
@@ -24,6 +24,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query("op1_quality_classifier")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return crf.scored(docs, crf.trained(docs, _table(spark, sf_dir, "labels")))
+
+
+@_query("op2_lm_scoring")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru.read_and_scored(_table(spark, sf_dir, "documents"))
+
+
 @_query("op3_mixing", mixing.sql())
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents"))
@@ -51,6 +62,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted_turns(turns))
 
 
+@_query("op8_license_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(licenses.as_files(_table(spark, sf_dir, "documents")))
+
+
 @_query("op9_line_dedup", lines.SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.repeated(_table(spark, sf_dir, "documents"))
