@@ -55,31 +55,37 @@ def written(role: str, text: str) -> str:
     return f"{OTHER[0]}{role}{OTHER[1]}{text}{OTHER[2]}"
 
 
-def parsed(output: str) -> Iterator[tuple[str, str]]:
-    """Roles and texts of formatted turns, marks taken off and escapes undone."""
+def _turns(output: str) -> Iterator[tuple[str, int, int]]:
+    """Roles of formatted turns, and where their texts, still escaped, lie."""
     at = 0
 
-    def until(mark: str) -> str:
+    def until(mark: str) -> tuple[int, int]:
         nonlocal at
-        end = output.find(mark, at)
+        start, end = at, output.find(mark, at)
         if end < 0:
-            raise Malformed(f"no {mark!r} after {at}")
-        found, at = output[at:end], end + len(mark)
-        return found
+            raise Malformed(f"no {mark!r} after {start}")
+        at = end + len(mark)
+        return start, end
 
     while at < len(output):
         role = next((r for r, (opening, _) in MARKS.items() if output.startswith(opening, at)), None)
         if role is not None:
             at += len(MARKS[role][0])
-            yield role, plain(until(MARKS[role][1]))
+            yield role, *until(MARKS[role][1])
         elif output.startswith(OTHER[0], at):
             at += len(OTHER[0])
-            name = plain(until(OTHER[1]))
-            yield name, plain(until(OTHER[2]))
+            start, end = until(OTHER[1])
+            yield plain(output[start:end]), *until(OTHER[2])
         else:
             raise Malformed(f"no turn starts at {at}")
 
 
+def parsed(output: str) -> Iterator[tuple[str, str]]:
+    """Roles and texts of formatted turns, marks taken off and escapes undone."""
+    for role, start, end in _turns(output):
+        yield role, plain(output[start:end])
+
+
 def formatted(role: str, text: str) -> str:
     """A turn that parses back to exactly this role and text."""
     name, body = role, text
@@ -96,16 +102,7 @@ def formatted(role: str, text: str) -> str:
 
 def loss_spans(output: str) -> Iterator[tuple[int, int]]:
     """Where the assistant's texts, still escaped, lie in formatted turns."""
-    at, (opening, closing) = 0, MARKS[ASSISTANT]
-    while at < len(output):
-        if output.startswith(opening, at):
-            end = output.index(closing, at)
-            yield at + len(opening), end
-            at = end + len(closing)
-        else:
-            user = output.startswith(MARKS[USER][0], at)
-            closed = MARKS[USER][1] if user else OTHER[2]
-            at = output.index(closed, at) + len(closed)
+    return ((start, end) for role, start, end in _turns(output) if role == ASSISTANT)
 
 
 class _Digest:
