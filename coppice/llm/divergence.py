@@ -1,9 +1,10 @@
 """Quality rules: distance of a text's histograms from those of its language.
 
-Every language present in the corpus gets two reference histograms, counted
-over all documents: character classes, and its common words (all words that
-hold at least ``COMMON`` of its words, so at most ``1 / COMMON`` of them)
-with one bin for the rest.  A document is compared with the references by
+Every language present in the corpus gets two reference histograms, taken from
+all its documents: the median share of each character class (so that junk,
+or one very long text, does not move it), and its common words (all words that
+hold at least ``COMMON`` of its words, so at most ``1 / COMMON`` of them) with
+one bin for the rest.  A document is compared with the references by
 Jensen-Shannon distance (base 2, so 0 to 1); the nearest language counts, so a
 wrong language label does no harm.  Short texts have ragged histograms, so
 each comparison has a minimum length below which it passes.
@@ -31,9 +32,10 @@ COMMON = 0.004  # share of its language's words that makes a word a common one
 LANGUAGE = 0.005  # share of all words that makes a language a reference
 MIN_WORDS = 50  # fewer words fail the base rule
 MAX_REPEATED = 50  # percent of words in repeated 3-word windows
-CHARS_FROM, CHARS_LIMIT = 200, 0.27  # characters needed, and largest distance, for the class histogram
+CHARS_FROM, CHARS_LIMIT = 200, 0.3  # characters needed, and largest distance, for the class histogram
 WORDS_FROM, WORDS_LIMIT = 50, 0.4  # words needed, and largest distance, for the common-word histogram
 
+BINS = 200  # of the square root of a share, for the medians
 CLASSES = ["lower", "upper", "digit", "space", "stop", "symbol", "mark", "other", "inner"]
 
 
@@ -117,7 +119,7 @@ class References:
         self.shares = np.zeros((len(self.languages), longest + 1))
         for row, lang in enumerate(self.languages):
             chars, shares = histograms[lang]
-            self.classes[row] = chars / chars.sum()
+            self.classes[row] = chars / max(chars.sum(), 1e-9)
             self.places[row, : len(shares)] = [places[w] for w in shares]
             self.shares[row, : len(shares)] = list(shares.values())
             self.shares[row, -1] = max(0.0, 1 - sum(shares.values()))
@@ -135,41 +137,42 @@ class References:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words and character classes by language, added up within the task."""
-    schema = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())])
+    """By language, added up within the task: words, and documents by their share of each character class.
+
+    The latter go by names with a blank, which no word has: class and bin.
+    """
     found: dict[str, Counter] = {}
-    classes: dict[str, np.ndarray] = {}
 
     def told() -> Iterator[pa.RecordBatch]:
         for lang, counter in found.items():
             items = list(counter.items())
             for start in range(0, len(items), 50_000):
                 part = items[start : start + 50_000]
+                words, numbers = zip(*part, strict=True)
                 yield pa.record_batch(
-                    [pa.array([lang] * len(part)), pa.array([w for w, _ in part], pa.binary()), pa.array([n for _, n in part])],
-                    schema=schema,
+                    [pa.array([lang] * len(part)), pa.array(words, pa.binary()), pa.array(numbers, pa.int64())],
+                    names=["lang", "word", "n"],
                 )
         found.clear()
 
     for batch in slices(batches):
         for lang, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
-            found.setdefault(lang, Counter()).update(text.split())
-            classes[lang] = classes.get(lang, 0) + class_counts(text)
+            counter = found.setdefault(lang, Counter())
+            counter.update(text.split())
+            if text:
+                classes = class_counts(text)
+                bins = np.rint(BINS * np.sqrt(classes / classes.sum())).astype(int)
+                counter.update(b" %d %d" % pair for pair in enumerate(bins))
         if sum(map(len, found.values())) > 250_000:
             yield from told()
     yield from told()
-    for lang, counts in classes.items():  # no word holds a blank, so these names are free
-        yield pa.record_batch(
-            [pa.array([lang] * len(counts)), pa.array([b" %d" % k for k in range(len(counts))], pa.binary()), pa.array(counts)],
-            schema=schema,
-        )
 
 
 def references(docs: DataFrame) -> References:
-    """Counted over all documents with a language.
+    """From all documents with a language.
 
-    At most ``1 / LANGUAGE`` languages with ``1 / COMMON`` words each come to
-    the driver.
+    At most ``1 / LANGUAGE`` languages with ``1 / COMMON`` words each, and the
+    bins of the classes, come to the driver.
     """
     counts = cut(
         docs.where("lang IS NOT NULL")
@@ -186,14 +189,22 @@ def references(docs: DataFrame) -> References:
     if not everything:
         return References({})
     known = F.broadcast(totals.where(F.col("total") >= LANGUAGE * everything))
-    histograms = {}
+    bins: dict[str, np.ndarray] = {}
     for row in counts.where(is_class).join(known, "lang").collect():
-        histograms.setdefault(row.lang, (np.zeros(len(CLASSES) - 1), {}))[0][int(row.word)] = row.n
+        code, at = map(int, row.word.split())
+        bins.setdefault(row.lang, np.zeros((len(CLASSES) - 1, BINS + 1)))[code, at] = row.n
+    histograms = {lang: (_medians(b), {}) for lang, b in bins.items()}
     for row in by_word.join(known, "lang").where(F.col("n") >= COMMON * F.col("total")).collect():
         histograms[row.lang][1][bytes(row.word)] = row.n / row.total
     return References(histograms)
 
 
+def _medians(bins: np.ndarray) -> np.ndarray:
+    """Median share of each class, from the numbers of documents by bin."""
+    sums = np.cumsum(bins, axis=1)
+    return ((sums < sums[:, -1:] / 2).sum(axis=1) / BINS) ** 2
+
+
 def measured(text: bytes, known: References) -> tuple:
     """All columns of ``judged`` for one text."""
     words = text.split()
