@@ -9,15 +9,15 @@ from coppice.functions import labels, paths
 from coppice.operators.symbols import qualified
 from coppice.schema import ENTRY
 
-#: Same-size files above this are taken as unchanged.
-HASHED_BYTES = 4 * 1024 * 1024
 
+def sized_digests(contents: DataFrame, limit: int | None = None) -> DataFrame:
+    """Size of each body, and its digest.
 
-def sized_digests(contents: DataFrame) -> DataFrame:
-    """Size of each body, and its digest where content is compared."""
+    With a ``limit``, larger bodies get none: of equal size, they count as unchanged.
+    """
     body = "content" if "content" in contents.columns else "text"
     size = F.octet_length(body).cast("long")
-    digest = F.when((size > 0) & (size <= HASHED_BYTES), F.sha2(F.col(body).cast("binary"), 256))
+    digest = F.when(size > 0 if limit is None else size.between(1, limit), F.sha2(F.col(body).cast("binary"), 256))
     return contents.select(*ENTRY, size.alias("size"), digest.alias("digest"))
 
 

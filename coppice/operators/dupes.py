@@ -8,18 +8,15 @@ from pyspark.sql import functions as F
 from coppice.operators.skew import skew_join
 from coppice.schema import ENTRY, TREE
 
-#: Larger files are not compared.
-COMPARED_BYTES = 512 * 1024 * 1024
 
-
-def digests(contents: DataFrame, limit: int = COMPARED_BYTES) -> DataFrame:
-    """Size and SHA-256 of each non-empty body.
+def digests(contents: DataFrame, limit: int | None = None) -> DataFrame:
+    """Size and SHA-256 of each non-empty body, up to ``limit`` bytes if that is given.
 
     Computed where the body is read: only the digest is ever shuffled.
     """
     body = "content" if "content" in contents.columns else "text"
     size = F.octet_length(body).cast("long")
-    return contents.where((size > 0) & (size <= limit)).select(
+    return contents.where(size > 0 if limit is None else size.between(1, limit)).select(
         *ENTRY, size.alias("size"), F.sha2(F.col(body).cast("binary"), 256).alias("digest")
     )
 

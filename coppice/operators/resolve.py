@@ -13,6 +13,7 @@ with ``shown`` as its name.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from coppice.functions import paths
@@ -397,11 +398,16 @@ def edges(resolved: DataFrame) -> DataFrame:
     )
 
 
-def externals(resolved: DataFrame, n: int = 10) -> DataFrame:
-    """The first ``n`` distinct unresolved names of each file, in order."""
+def externals(resolved: DataFrame, n: int | None = None) -> DataFrame:
+    """Distinct unresolved names of each file, in order; the first ``n`` of them if that is given.
+
+    Counts have to come from all of them.
+    """
     outside = (
         resolved.where(F.col("dst").isNull() & (F.col("form") != "mod") & (F.col("shown") != ""))
         .groupBy(*TREE, "src", F.col("shown").alias("spec"))
         .agg(F.min("ord").alias("ord"))
     )
+    if n is None:
+        return outside.withColumn("rank", F.row_number().over(W.partitionBy(*TREE, "src").orderBy("ord")))
     return first_n(outside, [*TREE, "src"], [F.col("ord")], n)

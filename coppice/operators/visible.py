@@ -165,12 +165,13 @@ def root_ignored(roots: DataFrame, rules: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- links
 
 
-def follow_links(files: DataFrame, max_rounds: int = 64) -> DataFrame:
+def follow_links(files: DataFrame) -> DataFrame:
     """Entries reached by descending into links to directories.
 
     ``link_target`` has to hold the root-relative real path.  A link whose real
     directory is already on the way down to it is listed (``cyclic``) but not
-    entered.  Adds ``real_path``: where the entry's data is.
+    entered, which ends every way down.  Adds ``real_path``: where the entry's
+    data is.
     """
     columns = [c for c in files.columns if c not in ("path", "parent", "depth")]
     real = files.select(*ENTRY, *[c for c in columns if c not in TREE])
@@ -192,7 +193,7 @@ def follow_links(files: DataFrame, max_rounds: int = 64) -> DataFrame:
     with loop_settings(spark):
         rounds = Rounds(spark, "links")
         level = rounds.add(_marked(start))
-        for _ in range(max_rounds):
+        while True:
             entered = links_in(level).where(~F.col("cyclic"))
             if is_empty(entered):
                 break

@@ -323,7 +323,7 @@ _SPECS = f"""
 specs AS (SELECT repo, path, ord, form, repeat('.', level) || spec AS spec FROM ({_PY_RAW_SQL}) a UNION ALL SELECT repo, path, ord, form, spec FROM ({_RAW_SQL}) b),
 outside AS (SELECT s.repo, s.path AS src, s.spec, min(s.ord) AS ord FROM specs s WHERE s.form <> 'mod' AND s.spec <> ''
   AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.repo = s.repo AND h.path = s.path AND h.ord = s.ord) GROUP BY 1, 2, 3),
-externals AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, src ORDER BY ord) AS rank FROM outside) x WHERE rank <= 10)
+externals AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, src ORDER BY ord) AS rank FROM outside) x)
 """
 
 
@@ -353,10 +353,16 @@ def import_edges(spark, sf_dir):
 
 @checked(f"WITH {_SRC}, {_ALL_HITS}, {_SPECS} SELECT repo, src, spec, ord, rank FROM externals")
 def external_imports(spark, sf_dir):
-    """Names that resolve to no file: first ten per file, in order."""
+    """Names that resolve to no file, in order."""
     return resolve.externals(_resolved(spark, sf_dir)[1]).drop("snapshot")
 
 
+@checked(f"WITH {_SRC}, {_ALL_HITS}, {_SPECS} SELECT repo, src, spec, ord, rank FROM externals WHERE rank <= 3")
+def first_external_imports(spark, sf_dir):
+    """The first three such names of each file: here the limit is the feature."""
+    return resolve.externals(_resolved(spark, sf_dir)[1], 3).drop("snapshot")
+
+
 def _resolved_only(function: str, targets: dict | None):
     sql = f"WITH {_SRC}, h AS ({_hits(targets) if targets else _GO_HITS}) SELECT repo, path AS src, ord, dst FROM h"
     return checked(sql)

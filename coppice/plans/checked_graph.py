@@ -167,7 +167,7 @@ def did_you_mean(spark, sf_dir):
 # ---------------------------------------------------------------- history
 
 _SEQ = "seqs AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY ts DESC, event_id DESC) - 1 AS seq FROM @COMMITS c)"
-_TOUCHED = f"{_SEQ}, touched AS (SELECT f.repo, f.path, s.seq FROM @COMMIT_FILES f JOIN seqs s ON s.event_id = f.event_id WHERE s.seq < 2000)"
+_TOUCHED = f"{_SEQ}, touched AS (SELECT f.repo, f.path, s.seq FROM @COMMIT_FILES f JOIN seqs s ON s.event_id = f.event_id)"
 
 
 def _log(spark, sf_dir):
@@ -194,7 +194,7 @@ FROM last l JOIN seqs s ON s.repo = l.repo AND s.seq = l.seq
 )
 def last_commit_per_path(spark, sf_dir):
     commits, touched = _log(spark, sf_dir)
-    out = history.last_commits(history.horizon(commits), history.horizon(touched))
+    out = history.last_commits(commits, touched)
     return out.select("repo", "path", "seq", "hash", "author", "label")
 
 
@@ -204,12 +204,18 @@ _CHURN = f"""{_TOUCHED}, churn AS (SELECT repo, path, count(*) AS changes, min(s
 
 @checked(f"WITH {_CHURN} SELECT * FROM churn")
 def churn_and_heat(spark, sf_dir):
-    return history.churn(history.horizon(_log(spark, sf_dir)[1]))
+    return history.churn(_log(spark, sf_dir)[1])
+
+
+@checked(f"WITH {_CHURN.replace('s.event_id = f.event_id)', 's.event_id = f.event_id WHERE s.seq < 500)')} SELECT * FROM churn")
+def churn_in_horizon(spark, sf_dir):
+    """The newest 500 commits of each repository only: here the limit is the feature."""
+    return history.churn(history.horizon(_log(spark, sf_dir)[1], 500))
 
 
 @checked(f"WITH {_CHURN} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY changes DESC, newest, path) AS rank FROM churn) x WHERE rank <= 5")
 def hotspots(spark, sf_dir):
-    return history.hotspots(history.churn(history.horizon(_log(spark, sf_dir)[1])))
+    return history.hotspots(history.churn(_log(spark, sf_dir)[1]))
 
 
 _LOG = """

@@ -48,17 +48,17 @@ def capped_counts(spark, sf_dir):
 
 @checked(
     f"""
-WITH b AS (SELECT repo, path, size, CASE WHEN size % 5 = 0 THEN substr(text, 1, 100) || chr(0) || text WHEN size % 5 = 1 THEN path ELSE text END AS text,
+WITH b AS (SELECT repo, path, size, CASE WHEN size % 5 = 0 THEN text || chr(0) WHEN size % 5 = 1 THEN path ELSE text END AS text,
   CASE WHEN size % 5 = 1 THEN path || '.png' ELSE path END AS named FROM @FILES f)
 SELECT repo, named AS path, size % 5 IN (0, 1) AS is_binary, CASE WHEN size % 5 > 1 THEN {R.tokens_of()} END AS tokens, CASE WHEN size % 5 > 1 THEN {R.lines_of()} END AS lines FROM b
 """
 )
 def binary_files(spark, sf_dir):
-    """Binary by extension or by a NUL byte: such files have no counts."""
+    """Binary by extension or by a NUL byte at the very end: such files have no counts."""
     df = view(spark, sf_dir, "FILES")
     kind = F.col("size") % 5
     body = (
-        F.when(kind == 0, F.concat(F.substring("text", 1, 100), F.lit("\x00"), "text"))
+        F.when(kind == 0, F.concat("text", F.lit("\x00")))
         .when(kind == 1, F.col("path"))
         .otherwise(F.col("text"))
     )
@@ -330,6 +330,15 @@ def compared_trees(spark, sf_dir):
     return diff.compare(view(spark, sf_dir, "FILES"), view(spark, sf_dir, "FILES_B"))
 
 
+@checked("SELECT repo, path, 'changed' AS status, size AS size_a, size AS size_b FROM @FILES f WHERE right(text, 1) = '.' AND size % 3 = 0")
+def compared_ends(spark, sf_dir):
+    """Bodies of the same size that differ in their last character only."""
+    before = view(spark, sf_dir, "FILES")
+    end = F.when(F.col("text").endswith(".") & (F.col("size") % 3 == 0), F.lit("!")).otherwise(F.right("text", F.lit(1)))
+    after = before.withColumn("text", F.concat(F.expr("left(text, length(text) - 1)"), end))
+    return diff.compare(before, after)
+
+
 @checked(
     f"""
 WITH {_JOINED}, t AS (SELECT repo, count(*) FILTER (status = 'only_a') AS only_a, count(*) FILTER (status = 'only_b') AS only_b, count(*) FILTER (status = 'changed') AS changed,

@@ -157,15 +157,13 @@ class Trees:
     def last_commits(self) -> DataFrame | None:
         if self.commits is None:
             return None
-        return history.last_commits(
-            history.horizon(self.commits), history.horizon(self.commit_files)
-        )
+        return history.last_commits(self.commits, self.commit_files)
 
     @cached_property
     def churn(self) -> DataFrame | None:
         if self.commits is None:
             return None
-        return history.churn(history.horizon(self.commit_files))
+        return history.churn(self.commit_files)
 
     @cached_property
     def annotated(self) -> DataFrame:

@@ -125,8 +125,8 @@ def at_snapshot(contents: DataFrame, ref: str) -> DataFrame:
 
 
 def has_nul(content: Column) -> Column:
-    """A NUL byte among the first 8192 bytes."""
-    return F.contains(F.substring(content, 1, 8192), F.lit(bytearray(b"\x00")))
+    """A NUL byte anywhere."""
+    return F.contains(content, F.lit(bytearray(b"\x00")))
 
 
 def capped(contents: DataFrame, limit: int) -> DataFrame:
@@ -174,7 +174,7 @@ def bodies(contents: DataFrame, limit: int | None = None) -> DataFrame:
     """
     by_name = names.is_binary_name(paths.basename(F.col("path")))
     if "content" not in contents.columns and limit is None:
-        binary = by_name | F.contains(F.left("text", F.lit(8192)), F.lit("\x00"))
+        binary = by_name | F.contains("text", F.lit("\x00"))
         size = F.octet_length("text").cast("long")
         return contents.select(
             *ENTRY,
