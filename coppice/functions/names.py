@@ -8,31 +8,31 @@ from pyspark.sql import functions as F
 from coppice.functions.paths import basename, ext, stem
 
 # Extensions never read as text.
-BINARY_EXTS = (
-    ".png .jpg .jpeg .gif .bmp .ico .webp .mp3 .mp4 .mov .avi .wav .flac .ogg .webm .mkv "
-    ".zip .tar .gz .rar .7z .bz2 .xz .pdf .doc .docx .xls .xlsx .ppt .pptx "
-    ".exe .dll .so .dylib .bin .o .a .class .jar .woff .woff2 .ttf .otf .eot "
-    ".db .sqlite .sqlite3 .pyc .pyo .whl"
-).split()
+BINARY_EXTS = [
+    ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".ico", ".webp", ".mp3", ".mp4", ".mov", ".avi", ".wav", ".flac",
+    ".ogg", ".webm", ".mkv", ".zip", ".tar", ".gz", ".rar", ".7z", ".bz2", ".xz", ".pdf", ".doc", ".docx",
+    ".xls", ".xlsx", ".ppt", ".pptx", ".exe", ".dll", ".so", ".dylib", ".bin", ".o", ".a", ".class", ".jar",
+    ".woff", ".woff2", ".ttf", ".otf", ".eot", ".db", ".sqlite", ".sqlite3", ".pyc", ".pyo", ".whl",
+]
 
 # Names, in lower case, where a program starts.
-ENTRY_NAMES = (
-    "main.py __main__.py app.py server.py manage.py wsgi.py asgi.py "
-    "index.js index.ts index.mjs index.cjs main.js main.ts server.js server.ts app.js app.ts "
-    "main.go main.rs makefile dockerfile docker-compose.yml docker-compose.yaml"
-).split()
+ENTRY_NAMES = [
+    "main.py", "__main__.py", "app.py", "server.py", "manage.py", "wsgi.py", "asgi.py", "index.js",
+    "index.ts", "index.mjs", "index.cjs", "main.js", "main.ts", "server.js", "server.ts", "app.js", "app.ts",
+    "main.go", "main.rs", "makefile", "dockerfile", "docker-compose.yml", "docker-compose.yaml",
+]
 
 # Names, in lower case, of configuration files.
-CONFIG_NAMES = (
-    ".env .env.local .env.example .env.development .env.production "
-    "tsconfig.json jsconfig.json babel.config.js .babelrc webpack.config.js vite.config.js "
-    "vite.config.ts rollup.config.js eslint.config.js .eslintrc .eslintrc.json .eslintrc.js "
-    ".prettierrc pyproject.toml setup.py setup.cfg requirements.txt pipfile cargo.toml go.mod "
-    "go.sum dockerfile docker-compose.yml docker-compose.yaml .gitignore .gitattributes tox.ini "
-    "pytest.ini jest.config.js jest.config.ts next.config.js next.config.ts nuxt.config.js "
-    "svelte.config.js tailwind.config.js tailwind.config.ts postcss.config.js .npmrc .nvmrc "
-    ".python-version .ruby-version makefile cmakelists.txt"
-).split()
+CONFIG_NAMES = [
+    ".env", ".env.local", ".env.example", ".env.development", ".env.production", "tsconfig.json",
+    "jsconfig.json", "babel.config.js", ".babelrc", "webpack.config.js", "vite.config.js", "vite.config.ts",
+    "rollup.config.js", "eslint.config.js", ".eslintrc", ".eslintrc.json", ".eslintrc.js", ".prettierrc",
+    "pyproject.toml", "setup.py", "setup.cfg", "requirements.txt", "pipfile", "cargo.toml", "go.mod",
+    "go.sum", "dockerfile", "docker-compose.yml", "docker-compose.yaml", ".gitignore", ".gitattributes",
+    "tox.ini", "pytest.ini", "jest.config.js", "jest.config.ts", "next.config.js", "next.config.ts",
+    "nuxt.config.js", "svelte.config.js", "tailwind.config.js", "tailwind.config.ts", "postcss.config.js",
+    ".npmrc", ".nvmrc", ".python-version", ".ruby-version", "makefile", "cmakelists.txt",
+]
 
 # Extensions whose tests are found by name.
 TESTED_EXTS = [".py", ".js", ".jsx", ".ts", ".tsx", ".go"]

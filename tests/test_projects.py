@@ -2,9 +2,9 @@
 
 import pytest
 from pyspark.sql import functions as F
-from shapes import IGNORED, MULTI, PARSERS, RUST
+from shapes import ALIASES, ORCHARD, ORDERS, STATION
 
-from coppice.operators import graph, imports, pysource, resolve, rollup, symbols, testsgap, visible
+from coppice.operators import diff, graph, imports, resolve, rollup, symbols, testsgap, visible
 from coppice.plans.reports import Trees
 from coppice.sources import trees
 
@@ -18,131 +18,134 @@ def pairs(df):
 
 
 @pytest.fixture(scope="module")
-def multi(forest):
-    return Trees(*forest(MULTI))
-
-
-def test_totals(multi):
-    listed = multi.listed.where("path <> ''")
-    assert listed.where("kind = 'dir'").count() == 8
-    assert listed.where("kind <> 'dir'").count() == 23
-    assert multi.todos.count() == 6
-    kinds = {r["kind"] for r in multi.todos.collect()}
-    assert kinds == {"TODO", "FIXME", "HACK", "XXX"}
-    hack = multi.todos.where("kind = 'HACK'").first()
-    assert (hack["path"], hack["line"]) == ("pkg/utils.py", 6)
-    assert len(hack["text"]) == 81 and hack["text"].endswith("…")
+def station(forest):
+    return Trees(*forest(STATION))
+
+
+def test_totals(station):
+    listed = station.listed.where("path <> ''")
+    assert listed.where("kind = 'dir'").count() == 11
+    assert listed.where("kind <> 'dir'").count() == 21
+    marks = sorted((r["path"], r["line"], r["kind"]) for r in station.todos.collect())
+    assert marks == [
+        ("agent/queue/queue.go", 7, "TODO"), ("manage.py", 5, "TODO"), ("station/sensors/rain.py", 4, "FIXME"),
+        ("station/units.py", 4, "HACK"), ("web/bin/wx.cjs", 4, "XXX"),
+    ]
+    hack = station.todos.where("kind = 'HACK'").first()["text"]
+    assert len(hack) == 81 and hack.endswith("…")
 
 
-def test_entries_configs_tests(multi):
-    assert paths_of(multi.entries) == [
-        "Dockerfile", "Makefile", "go/main.go", "main.py", "src/app.ts", "src/cli.js", "src/index.js",
+def test_entries_configs_tests(station):
+    assert paths_of(station.entries) == [
+        "agent/cmd/poll/main.go", "docker-compose.yml", "manage.py", "web/bin/wx.cjs", "web/draw/index.ts", "web/start.mjs",
     ]
-    configs = testsgap.config_files(multi.listed)
-    assert paths_of(configs) == ["Dockerfile", "Makefile", "go/go.mod", "pyproject.toml", "tsconfig.json"]
-    assert paths_of(multi.untested) == [
-        "go/internal/util/util.go", "go/main.go", "main.py", "pkg/__init__.py", "pkg/circle_a.py", "pkg/circle_b.py",
-        "src/cli.js", "src/index.js", "src/lib/data.js",
+    assert paths_of(testsgap.config_files(station.listed)) == ["agent/go.mod", "docker-compose.yml", "requirements.txt"]
+    assert paths_of(station.untested) == [
+        "agent/cmd/poll/main.go", "agent/queue/queue.go", "manage.py", "station/__init__.py", "station/core.py",
+        "station/sensors/__init__.py", "station/sensors/rain.py", "station/sensors/vane.py", "station/sensors/wind.py",
+        "web/draw/index.ts",
     ]
 
 
-def test_graph(multi):
-    assert pairs(multi.edges) == [
-        ("main.py", "pkg/helpers.py"), ("main.py", "pkg/utils.py"), ("pkg/__init__.py", "pkg/helpers.py"),
-        ("pkg/circle_a.py", "pkg/circle_b.py"), ("pkg/circle_b.py", "pkg/circle_a.py"), ("pkg/utils.py", "pkg/helpers.py"),
-        ("src/app.test.ts", "src/app.ts"), ("src/app.ts", "src/lib/util.ts"), ("src/cli.js", "src/lib/util.ts"),
-        ("src/index.js", "src/cli.js"), ("src/index.js", "src/lib/data.js"), ("src/index.js", "src/lib/util.ts"),
-        ("src/lib/util.ts", "src/lib/types.ts"), ("tests/test_utils.py", "pkg/utils.py"),
-    ]
-    top = [(r["path"], r["used_by_count"]) for r in graph.most_depended(multi.edges, 5).orderBy("rank").collect()]
-    assert top == [
-        ("pkg/helpers.py", 3), ("src/lib/util.ts", 3), ("pkg/utils.py", 2), ("pkg/circle_b.py", 1), ("pkg/circle_a.py", 1),
-    ]
-    assert paths_of(multi.components, "node") == ["pkg/circle_a.py", "pkg/circle_b.py"]
-    order = graph.reading_order(multi.entries, multi.edges, 3, 5).orderBy("rank")
-    assert [r["path"] for r in order.collect()] == ["Dockerfile", "Makefile", "go/main.go", "main.py", "src/app.ts"]
-    # The nested Go module is not resolved from the root.
-    outside = {r["spec"] for r in multi.externals.where("src = 'go/main.go'").collect()}
-    assert outside == {"fmt", "example.com/shop/internal/util"}
-
-
-def test_outlines(multi):
-    got = {r["path"]: r["outline"] for r in symbols.outlines(multi.symbols).collect()}
-    assert got["pkg/helpers.py"] == "def price, def _rebate, class Helper, def Helper.fetch, class _Hidden"
-    assert got["src/lib/util.ts"] == "func help, func inner, func plus, func minus"
-    assert got["src/lib/types.ts"] == "class Kind"
-    assert got["src/index.js"] == "class App, func boot"
-    assert got["go/main.go"] == "struct Config, interface Runner, func main, func local"
-    public = {(r["path"], r["name"]) for r in symbols.public(multi.symbols).collect()}
-    assert ("pkg/helpers.py", "fetch") in public and ("pkg/helpers.py", "_rebate") not in public
-    assert ("go/internal/util/util.go", "Public") in public and ("go/internal/util/util.go", "private") not in public
-    assert ("src/lib/util.ts", "inner") not in public
-
-
-def test_summary_and_listing(multi):
-    row = multi.analyze().first()
-    assert (row["files"], row["todo_count"], row["missing_tests"]) == (23, 6, 9)
-    assert (row["entry_points"], row["config_files"]) == (7, 5)
-    assert (row["cyclic_components"], row["files_in_cycles"]) == (1, 2)
-    lines = [r["line"] for r in multi.tree(annotated=True).orderBy("tree_key").collect()]
-    assert lines[0].startswith("r/ (5 dirs, 6 files, ")
-    assert lines[1].startswith("├── docs/ (0 dirs, 1 file")
-    helper = next(line for line in lines if "helpers.py" in line)
-    assert helper.startswith("│   ├── helpers.py (") and helper.endswith("class _Hidden, used-by×3)")
-    assert lines[-1].startswith("└── tsconfig.json")
-
-
-def test_focus(multi, spark):
-    asked = spark.createDataFrame([("r", "head", "src/index.js")], "repo string, snapshot string, path string")
-    out = multi.focus(asked)
-    order = [r["node"] for r in out["depends_on"].orderBy("pos").collect()]
-    assert order == ["src/cli.js", "src/lib/data.js", "src/lib/util.ts", "src/lib/types.ts"]
+def test_graph(station):
+    sensors = "station/sensors/"
+    assert pairs(station.edges) == sorted([
+        ("manage.py", "station/core.py"), ("manage.py", sensors + "rain.py"), ("station/core.py", sensors + "wind.py"),
+        (sensors + "__init__.py", sensors + "rain.py"), (sensors + "rain.py", "station/units.py"), (sensors + "vane.py", "station/core.py"),
+        (sensors + "wind.py", sensors + "rain.py"), (sensors + "wind.py", sensors + "vane.py"), ("tests/test_units.py", "station/units.py"),
+        ("web/bin/wx.cjs", "web/draw/axis.ts"), ("web/draw/axis.spec.ts", "web/draw/axis.ts"), ("web/draw/index.ts", "web/draw/axis.ts"),
+        ("web/start.mjs", "web/draw/index.ts"),
+    ])
+    top = [(r["path"], r["used_by_count"]) for r in graph.most_depended(station.edges, 4).orderBy("rank").collect()]
+    assert top == [(sensors + "rain.py", 3), ("web/draw/axis.ts", 3), ("station/core.py", 2), ("station/units.py", 2)]
+    assert paths_of(station.components, "node") == ["station/core.py", sensors + "vane.py", sensors + "wind.py"]
+    order = graph.reading_order(station.entries, station.edges, 3, 3).orderBy("rank")
+    assert [r["path"] for r in order.collect()] == ["agent/cmd/poll/main.go", "docker-compose.yml", "manage.py"]
+    # The Go module below a folder is not resolved from the root.
+    outside = sorted((r["src"], r["spec"]) for r in station.externals.collect())
+    agent = "agent/cmd/poll/main.go"
+    assert outside == [(agent, "os"), (agent, "weather.test/agent/queue"), ("manage.py", "csv"), ("web/start.mjs", "d3")]
+
+
+def test_all_external_names_count(forest, spark):
+    """Lists may show the first ten; counts take all."""
+    lines = "".join(f"import lib{n}\n" for n in range(25))
+    project = Trees(*forest({"many.py": lines}))
+    assert project.externals.count() == 25
+    assert project.imports().first()["external_imports"] == 25
+    assert resolve.externals(project.resolved, 10).count() == 10
+
+
+def test_outlines(station):
+    got = {r["path"]: r["outline"] for r in symbols.outlines(station.symbols).collect()}
+    assert got["manage.py"] == "class Console, def Console.show, def Console._hide, def start"
+    assert got["station/core.py"] == "class Mast, def Mast.poll, class _Cache, def _calibrate"
+    assert got["web/draw/axis.ts"] == "func ticks, func hidden"
+    assert got["web/draw/index.ts"] == "func plot, func frame"
+    assert got["agent/queue/queue.go"] == "interface Sink, func Push, func drop"
+    public = {(r["path"], r["name"]) for r in symbols.public(station.symbols).collect()}
+    assert {("manage.py", "show"), ("station/core.py", "poll"), ("agent/queue/queue.go", "Push"), ("web/draw/axis.ts", "ticks")} <= public
+    assert not public & {("manage.py", "_hide"), ("station/core.py", "_Cache"), ("agent/queue/queue.go", "drop"), ("web/draw/index.ts", "frame")}
+
+
+def test_summary_and_listing(station):
+    row = station.analyze().first()
+    assert (row["files"], row["todo_count"], row["missing_tests"]) == (21, 5, 10)
+    assert (row["entry_points"], row["config_files"]) == (6, 3)
+    assert (row["cyclic_components"], row["files_in_cycles"]) == (1, 3)
+    lines = [r["line"] for r in station.tree(annotated=True).orderBy("tree_key").collect()]
+    assert lines[0].startswith("r/ (5 dirs, 4 files, ")
+    assert lines[1].startswith("├── agent/ (2 dirs, 1 file, 282 bytes")
+    rain = next(line for line in lines if "rain.py" in line)
+    assert rain.startswith("│   │   ├── rain.py (91 bytes") and rain.endswith("def depth, imports×1, used-by×3)")
+    assert lines[-1].startswith("└── requirements.txt")
+
+
+def test_focus(station, spark):
+    asked = spark.createDataFrame([("r", "head", "web/start.mjs")], "repo string, snapshot string, path string")
+    out = station.focus(asked)
+    assert [r["node"] for r in out["depends_on"].orderBy("pos").collect()] == ["web/draw/index.ts", "web/draw/axis.ts"]
     assert out["depended_on_by"].count() == 0
-    assert [r["spec"] for r in out["external_imports"].collect()] == ["react"]
-    typo = spark.createDataFrame([("r", "head", "lib/util.ts")], "repo string, snapshot string, path string")
-    assert [r["path"] for r in multi.focus(typo)["did_you_mean"].collect()] == ["src/lib/util.ts"]
+    assert [r["spec"] for r in out["external_imports"].collect()] == ["d3"]
+    typo = spark.createDataFrame([("r", "head", "draw/axis.ts")], "repo string, snapshot string, path string")
+    assert [r["path"] for r in station.focus(typo)["did_you_mean"].collect()] == ["web/draw/axis.ts"]
 
 
-def test_budget(multi):
+def test_budget(station):
     for tokens in (40, 300):
-        rows = multi.budget(tokens).orderBy("pos").collect()
+        rows = station.budget(tokens).orderBy("pos").collect()
         assert rows[0]["path"] == ""
         text = "".join(r["line"] + "\n" for r in rows)
         ascii_chars = sum(c < "\x80" for c in text)
         cost = round(ascii_chars / 4 + (len(text) - ascii_chars) / 1.5)
         assert cost <= tokens or len(rows) == 1
-    costs = [r["tokens"] for r in multi.estimate().orderBy("place").collect()]
+    costs = [r["tokens"] for r in station.estimate().orderBy("place").collect()]
     assert costs == sorted(costs)
 
 
-def test_rust(forest):
-    files, contents = forest(RUST)
+def test_crates(forest):
+    files, contents = forest(ORCHARD)
     raw = imports.by_pattern(contents, ["rs"])
-    crates = trees.cargo_dirs(files)
-    resolved = resolve.resolve(raw, files, cargo_dirs=crates, langs=("rs",))
+    resolved = resolve.resolve(raw, files, cargo_dirs=trees.cargo_dirs(files), langs=("rs",))
     edges = resolve.edges(resolved)
     assert pairs(edges) == [
-        ("src/main.rs", "src/nested/mod.rs"), ("src/main.rs", "src/util.rs"), ("src/nested/inner.rs", "src/util.rs"),
-        ("src/nested/mod.rs", "src/nested/inner.rs"), ("sub/src/lib.rs", "sub/src/part.rs"), ("sub/src/part.rs", "sub/src/lib.rs"),
+        ("press/src/barrel.rs", "press/src/main.rs"), ("press/src/main.rs", "press/src/barrel.rs"), ("src/lib.rs", "src/tree.rs"),
+        ("src/lib.rs", "src/yields/mod.rs"), ("src/yields/apple.rs", "src/tree.rs"), ("src/yields/mod.rs", "src/yields/apple.rs"),
     ]
-    declared = pairs(edges.where("decl_only"))
-    assert declared == [("src/main.rs", "src/nested/mod.rs"), ("src/nested/mod.rs", "src/nested/inner.rs")]
-    assert paths_of(graph.components(edges), "node") == ["sub/src/lib.rs", "sub/src/part.rs"]
+    assert pairs(edges.where("decl_only")) == [("src/lib.rs", "src/yields/mod.rs"), ("src/yields/mod.rs", "src/yields/apple.rs")]
+    assert paths_of(graph.components(edges), "node") == ["press/src/barrel.rs", "press/src/main.rs"]
     found = {(r["path"], r["name"], r["parent"]) for r in symbols.brace_symbols(contents).collect()}
-    assert ("src/util.rs", "new", "Thing") in found and ("src/util.rs", "go", "Runner") in found
-    assert ("src/util.rs", "inner", None) in found
-    untested = testsgap.untested(files, edges, imports.inline_tested(contents))
-    assert paths_of(untested) == ["src/nested/inner.rs", "src/util.rs"]
+    assert {("src/tree.rs", "seed", "Tree"), ("src/tree.rs", "grow", "Grow"), ("src/tree.rs", "bark", None)} <= found
+    untested = paths_of(testsgap.untested(files, edges, imports.inline_tested(contents)))
+    assert "src/tree.rs" in untested and "press/src/barrel.rs" not in untested
 
 
 def test_ignore_files(forest):
-    files, contents = forest(IGNORED)
+    files, contents = forest(ORDERS)
     all_files = trees.with_directories(files)
     kept = visible.visible(all_files, trees.ignore_rules(contents))
-    assert paths_of(kept.where("kind <> 'dir'")) == [
-        "README.md", "important.log", "nested/kept.txt", "nested/sub/anchored.txt", "nested/sub/other.txt", "src/main.py",
-    ]
-    assert paths_of(kept.where("kind = 'dir'")) == ["", "nested", "nested/sub", "src"]
+    assert paths_of(kept.where("kind <> 'dir'")) == ["ledger.bak", "open/2024/order.md", "open/2024/sealed.md"]
+    assert paths_of(kept.where("kind = 'dir'")) == ["", "open", "open/2024"]
     assert visible.visible(all_files, trees.ignore_rules(contents), include_ignored=True).count() > kept.count()
 
 
@@ -160,16 +163,33 @@ def test_rule_star_crosses_directories(forest, spark):
 
 
 def test_parsers_and_aliases(forest):
-    project = Trees(*forest(PARSERS))
-    found = {(r["path"], r["name"], r["method"]) for r in pysource.symbols(project.python_facts).collect()}
-    assert found == {("strings.py", "real", "ast"), ("broken.py", "by_line", "regex")}
-    assert pairs(project.edges) == [
-        ("src/a.ts", "src/lib/util.ts"), ("src/b.js", "src/helpers.js"), ("src/main.rs", "src/util.rs"),
-        ("src/main.rs", "src/worker.rs"), ("src/worker.rs", "src/util.rs"),
-    ]
+    project = Trees(*forest(ALIASES))
+    found = {(r["path"], r["name"]) for r in project.symbols.where("path LIKE '%.py'").collect()}
+    assert found == {("query.py", "fetch"), ("torn.py", "half")}
+    assert pairs(project.edges) == [("app/page.ts", "app/ui/parts/button.ts"), ("server/run.js", "server/log.js")]
     assert project.externals.count() == 0
 
 
+def test_a_long_row_of_links(spark):
+    """As many folders as one likes, each reached through a link in the one before."""
+    rows = [(f"d{n:02}/next", "symlink", f"d{n + 1:02}", True) for n in range(70)] + [("d70/end.txt", "file", None, False)]
+    df = spark.createDataFrame([("r", p, k, t, d) for p, k, t, d in rows], "repo string, path string, kind string, link_target string, target_is_dir boolean")
+    files = trees.with_directories(trees.inventory(df))
+    ends = visible.follow_links(files).where("real_path = 'd70/end.txt'")
+    assert ends.count() == 71
+
+
+def test_large_bodies_are_compared_to_their_end(spark):
+    size = 5 << 20
+    bodies = {"v1": "a" * size, "v2": "a" * (size - 1) + "b"}
+    sides = [
+        trees.from_table(spark.createDataFrame([("r", "big.txt", t)], "repo string, path string, text string"), "repo", "path", "text", v)[1]
+        for v, t in bodies.items()
+    ]
+    assert [r["status"] for r in diff.compare(*sides).collect()] == ["changed"]
+    assert diff.compare(sides[0], sides[0]).count() == 0
+
+
 def test_edge_bodies(forest, spark):
     line = b"0123456789abcdef" * 4 + b"\n"
     rows = [

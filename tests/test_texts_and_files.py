@@ -3,7 +3,7 @@
 import json
 
 from pyspark.sql import functions as F
-from shapes import MULTI
+from shapes import STATION
 
 from coppice.operators import history, markers
 from coppice.sinks import report
@@ -69,20 +69,20 @@ def test_read_texts(spark, tmp_path):
 def test_writers(spark, forest, tmp_path):
     from coppice.operators import summary
 
-    files, contents = forest({**MULTI, 'odd,"name".txt': "x"})
+    files, contents = forest({**STATION, 'odd,"name".txt': "x"})
     annotated = summary.annotate(files, counts=trees.text_counts(contents), todos=markers.scan(contents))
     report.write_report(report.file_report(annotated), str(tmp_path / "csv"))
     back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv"))
-    assert back.count() == len(MULTI) + 1
+    assert back.count() == len(STATION) + 1
     assert back.where(F.col("path") == 'odd,"name".txt').first()["lines"] == "1"
 
     report.write_nodes(report.nodes(trees.with_directories(files), max_depth=1), str(tmp_path / "json"))
     nodes = spark.read.json(str(tmp_path / "json"))
-    assert nodes.where("path = 'src'").first()["truncated"] and nodes.where("depth > 1").count() == 0
+    assert nodes.where("path = 'web'").first()["truncated"] and nodes.where("depth > 1").count() == 0
 
     report.write_pack(report.pack(trees.bodies(contents)), str(tmp_path / "pack"))
     text = "\n".join(r["value"] for r in spark.read.option("recursiveFileLookup", "true").text(str(tmp_path / "pack")).collect())
-    assert f"# pack — {len(MULTI) + 1} files" in text and "## src/cli.js" in text and "```javascript" in text
+    assert f"# pack — {len(STATION) + 1} files" in text and "## web/draw/axis.ts" in text and "```typescript" in text
 
     edges = spark.createDataFrame([("r", "head", "b", "a"), ("r", "head", "a", 'c"')], "repo string, snapshot string, src string, dst string")
     lines = [r["line"] for r in report.mermaid(edges).orderBy("section", "n", "m").collect()]
