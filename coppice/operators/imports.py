@@ -11,7 +11,7 @@ from coppice.schema import ENTRY, TREE
 
 # Import statements and calls, per language.  Group 1 is the target.
 JS_STATEMENT = (
-    r"""(?m)^\s*(?:import\s+(?:[\w*\s{},$]+\s+from\s+)?|export\s+[\w*\s{},$]+\s+from\s+)['"]([^'"]+)['"]"""
+    r"""(?m)(?:^|;)\s*(?:import\s+(?:[\w*\s{},$]+\s+from\s+)?|export\s+[\w*\s{},$]+\s+from\s+)['"]([^'"]+)['"]"""
 )
 JS_REQUIRE = r"""require\(\s*['"]([^'"]+)['"]\s*\)"""
 JS_DYNAMIC = r"""import\(\s*['"]([^'"]+)['"]\s*\)"""
@@ -52,15 +52,30 @@ def _no_alias(path: Column) -> Column:
 
 
 def _rust() -> Column:
-    """``mod x;`` declarations, then ``use`` paths with groups written out."""
+    """``mod x;`` declarations, then ``use`` paths with groups, also nested ones, written out."""
+    state = "struct<heads:array<string>,word:string,paths:array<string>>"
+
+    def made(heads: Column, word: Column, paths: Column) -> Column:
+        return F.struct(heads.alias("heads"), word.alias("word"), paths.alias("paths")).cast(state)
+
+    def step(s: Column, mark: Column) -> Column:
+        """``heads`` are what stands before the open groups, ``word`` what stands before the next mark."""
+        head = F.element_at(s["heads"], -1)
+        written = F.concat(s["paths"], F.array(F.concat(head, _no_alias(s["word"]))))
+        paths = F.when(s["word"] != "", written).otherwise(s["paths"])
+        opened = F.concat(s["heads"], F.array(F.concat(head, F.regexp_replace(s["word"], r"\s+", ""))))
+        closed = F.slice(s["heads"], F.lit(1), F.greatest(F.size(s["heads"]) - 1, F.lit(1)))
+        return (
+            F.when(mark == "{", made(opened, F.lit(""), s["paths"]))
+            .when(mark == "}", made(closed, F.lit(""), paths))
+            .when(mark == ",", made(s["heads"], F.lit(""), paths))
+            .otherwise(made(s["heads"], F.regexp_replace(mark, r"^\s+|\s+$", ""), s["paths"]))
+        )
 
     def spread(use: Column) -> Column:
-        head = F.regexp_replace(F.substring_index(use, "{", 1), r"\s+", "")
-        group = F.regexp_replace(F.regexp_extract(use, r"(?s)\{(.*)\}", 1), r"[{}]", "")
-        items = F.filter(F.transform(F.split(group, ","), _no_alias), lambda i: i != "")
-        return F.when(
-            F.contains(use, F.lit("{")), F.transform(items, lambda i: F.concat(head, i))
-        ).otherwise(F.array(_no_alias(use)))
+        marks = F.regexp_extract_all(F.concat(use, F.lit(",")), F.lit("[{},]|[^{},]+"), 0)
+        start = made(F.array(F.lit("")), F.lit(""), F.array())
+        return F.aggregate(marks, start, step)["paths"]
 
     uses = F.flatten(F.transform(_all(RUST_USE), spread))
     return F.concat(_as("mod", _all(RUST_MOD)), _as("use", uses))

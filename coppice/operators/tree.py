@@ -32,11 +32,14 @@ def sibling_order(sort: str = "name", reverse: bool = False, files_first: bool =
     return [_group(F.col("kind"), files_first).asc(), key, F.col("name").asc()]
 
 
-def with_total_size(files: DataFrame) -> DataFrame:
-    """``total_size``: a file's own size, a directory's bytes below."""
-    below = directory_sizes(files).select(
-        *TREE, F.col("dir").alias("path"), F.col("size").alias("_below")
-    )
+def with_total_size(files: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """``total_size``: a file's own size, a directory's bytes below.
+
+    For a filtered listing ``sizes`` are the ``directory_sizes`` of all files:
+    bytes that are not listed count too.
+    """
+    sizes = directory_sizes(files) if sizes is None else sizes
+    below = sizes.select(*TREE, F.col("dir").alias("path"), F.col("size").alias("_below"))
     return files.join(below, ENTRY, "left").select(
         *files.columns,
         F.when(F.col("kind") == "dir", F.coalesce("_below", F.lit(0)))
@@ -46,12 +49,12 @@ def with_total_size(files: DataFrame) -> DataFrame:
 
 
 def sibling_ranks(
-    files: DataFrame, sort: str = "name", reverse: bool = False, files_first: bool = False
+    files: DataFrame, sort: str = "name", reverse: bool = False, files_first: bool = False, sizes: DataFrame | None = None
 ) -> DataFrame:
     """Place of each entry in its directory, 1 first."""
     entries = files.where(F.col("path") != "")
     if sort == "size":
-        entries = with_total_size(files).where(F.col("path") != "")
+        entries = with_total_size(files, sizes).where(F.col("path") != "")
     order = sibling_order(sort, reverse, files_first)
     keep = [*ENTRY, "parent", "name", "kind", "mtime", "ctime"]
     keep += ["total_size"] if sort == "size" else []
@@ -81,7 +84,7 @@ def name_key(path: Column, kind: Column, files_first: bool = False) -> Column:
 
 
 def tree_keys(
-    files: DataFrame, sort: str = "name", reverse: bool = False, files_first: bool = False
+    files: DataFrame, sort: str = "name", reverse: bool = False, files_first: bool = False, sizes: DataFrame | None = None
 ) -> DataFrame:
     """``files`` with ``tree_key``; ordering by it lists each tree depth-first.
 
@@ -90,7 +93,7 @@ def tree_keys(
     """
     if sort == "name" and not reverse:
         return files.withColumn("tree_key", name_key(F.col("path"), F.col("kind"), files_first))
-    ranks = sibling_ranks(files, sort, reverse, files_first).select(
+    ranks = sibling_ranks(files, sort, reverse, files_first, sizes).select(
         *TREE, F.col("path").alias("_at"), "rank"
     )
     steps = files.select(*ENTRY, F.explode(paths.self_and_ancestors(F.col("path"))).alias("_at"))
@@ -111,9 +114,9 @@ def positions(keyed: DataFrame) -> DataFrame:
     return numbered(keyed, TREE, [F.col("tree_key"), F.col("path")], "pos")
 
 
-def largest(files: DataFrame, n: int, per_tree: bool = True) -> DataFrame:
+def largest(files: DataFrame, n: int, per_tree: bool = True, sizes: DataFrame | None = None) -> DataFrame:
     """The ``n`` largest files and the ``n`` largest directories, ties by path."""
-    sized = with_total_size(files).where(F.col("path") != "").select(
+    sized = with_total_size(files, sizes).where(F.col("path") != "").select(
         *ENTRY,
         F.when(F.col("kind") == "dir", "dir").otherwise("file").alias("kind"),
         F.col("total_size").alias("size"),
@@ -179,13 +182,15 @@ def tree_lines(
     sort: str = "name",
     reverse: bool = False,
     files_first: bool = False,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """One text line per entry, with branches, and ``tree_key`` to order by.
 
-    ``notes`` may bring ``(repo, snapshot, path, note)`` to show in brackets.
+    ``notes`` may bring ``(repo, snapshot, path, note)`` to show in brackets;
+    ``sizes`` are for size order, as in ``with_total_size``.
     The root line has an empty key and comes first.
     """
-    keyed = tree_keys(files, sort, reverse, files_first)
+    keyed = tree_keys(files, sort, reverse, files_first, sizes)
     entries = keyed.where(F.col("path") != "")
     steps = entries.select(
         *ENTRY, F.explode(F.slice(paths.self_and_ancestors(F.col("path")), F.lit(2), F.lit(2**30))).alias("_at")

@@ -194,7 +194,7 @@ class Trees:
         """Text lines of the trees, in listing order."""
         sizes = rollup.directory_sizes(self.files)
         notes = tree.entry_notes(self.listed, self.annotated if annotated else None, sizes)
-        return tree.tree_lines(self.listed, notes, sort, reverse)
+        return tree.tree_lines(self.listed, notes, sort, reverse, sizes=sizes)
 
     def outline(self, public_only: bool = False) -> DataFrame:
         return symbol_ops.public(self.symbols) if public_only else self.symbols
@@ -229,7 +229,7 @@ class Trees:
         return diff.api_diff(baseline.symbols, self.symbols, self.changes, self.status)
 
     def top(self, n: int) -> DataFrame:
-        return tree.largest(self.listed, n)
+        return tree.largest(self.listed, n, sizes=rollup.directory_sizes(self.files))
 
     def dupes(self, across: bool = False) -> DataFrame:
         return dupes.groups(self._of_listed(dupes.digests(self.bodies)), across)

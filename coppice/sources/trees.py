@@ -258,13 +258,15 @@ def recount(
     contents: DataFrame,
     prior: DataFrame,
     limit: int | None = None,
-    method: str = "chars",
+    tokenizer=None,
 ) -> DataFrame:
-    """Counts for every file, reading only bodies whose key is new.
+    """Counts for every file, counting only bodies whose key is new.
 
     ``prior`` is an earlier result.  A file is counted again when its size,
-    its time, the method or the read limit changed.
+    its time, the method (with ``tokenizer`` or without) or the read limit
+    changed.  The body table is scanned for those files by a semi join.
     """
+    method = "chars" if tokenizer is None else "tokenizer"
     keyed = files.where(F.col("kind") == "file").select(
         *ENTRY,
         "size",
@@ -279,7 +281,7 @@ def recount(
     )
     fresh_keys = keyed.join(prior, same, "left_anti")
     fresh_bodies = contents.join(fresh_keys.select(*ENTRY), ENTRY, "left_semi")
-    counts = text_counts(fresh_bodies, limit).select(*ENTRY, "tokens", "lines")
+    counts = text_counts(fresh_bodies, limit, tokenizer).select(*ENTRY, "tokens", "lines")
     fresh = fresh_keys.join(counts, ENTRY, "left").select(*columns)
     return reused.unionByName(fresh)
 

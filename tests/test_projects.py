@@ -140,6 +140,29 @@ def test_crates(forest):
     assert "src/tree.rs" in untested and "press/src/barrel.rs" not in untested
 
 
+def test_nested_groups_and_several_statements_in_a_line(forest):
+    texts = {
+        "a.rs": "use a::{b::{c, d as x}, e, f::{self, g::{h}}};\npub use k::l as m;\nuse {n, o::p};\n",
+        "b.js": "import a from './a'; import b from './b';\nexport { c } from './c';import './d';\n",
+    }
+    found = {}
+    for r in imports.by_pattern(forest(texts)[1], ["rs", "js"]).orderBy("src", "ord").collect():
+        found.setdefault(r["src"], []).append(r["spec"])
+    assert found["a.rs"] == ["a::b::c", "a::b::d", "a::e", "a::f::self", "a::f::g::h", "k::l", "n", "o::p"]
+    assert found["b.js"] == ["./a", "./b", "./c", "./d"]
+
+
+def test_sizes_count_what_is_not_listed(spark):
+    """A folder is as large as all it holds, shown or not."""
+    rows = [("a/.big", 9000), ("a/small", 1), ("b/mid", 500)]
+    df = spark.createDataFrame([("r", p, n) for p, n in rows], "repo string, path string, size long")
+    project = Trees(trees.inventory(df), spark.createDataFrame([], "repo string, snapshot string, path string, text string"))
+    top = project.top(1).where("kind = 'dir'").first()
+    assert (top["path"], top["size"]) == ("a", 9001)
+    lines = [r["line"] for r in project.tree("size").orderBy("tree_key").collect()]
+    assert "a/" in lines[1] and "b/" in lines[3]
+
+
 def test_ignore_files(forest):
     files, contents = forest(ORDERS)
     all_files = trees.with_directories(files)
