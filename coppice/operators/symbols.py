@@ -172,6 +172,15 @@ def _lines(contents: DataFrame, max_lines: int | None) -> DataFrame:
     return contents.select(*rest, F.posexplode(lines).alias("_n", "_line"))
 
 
+def _once(*columns: Column) -> Column:
+    """The columns as fields of ``_r``, worked out once.
+
+    Spark moves filters on computed columns below their projection and works
+    them out there again; it does not do so with what a generator returns.
+    """
+    return F.explode_outer(F.array(F.struct(*columns))).alias("_r")
+
+
 def line_symbols(
     contents: DataFrame, exts: list[str] | None = None, max_lines: int | None = None
 ) -> DataFrame:
@@ -183,8 +192,8 @@ def line_symbols(
     lines = _lines(with_ext(contents, exts).select(*ENTRY, "ext", "text"), max_lines)
     found = lines.select(
         *ENTRY, "ext", (F.col("_n") + 1).alias("line_start"), "_line",
-        line_symbol(F.col("ext"), F.col("_line")).alias("_s"),
-    ).where(F.col("_s").isNotNull())
+        _once(line_symbol(F.col("ext"), F.col("_line")).alias("_s")),
+    ).where(F.col("_r._s").isNotNull()).withColumn("_s", F.col("_r._s"))
     return found.select(
         *ENTRY,
         "line_start",
@@ -293,10 +302,7 @@ def brace_symbols(contents: DataFrame, exts: list[str] | None = None) -> DataFra
         F.nullif(F.regexp_extract("_line", r"(?U)^\s*(?:pub(?:\([^)]*\))?\s+)?trait\s+(\w+)", 1), F.lit("")),
     )
     indent = F.length("_line") - F.length(F.ltrim("_line"))
-    rows = lines.select(
-        *ENTRY,
-        "ext",
-        (F.col("_n") + 1).alias("line"),
+    read = _once(
         line_symbol(F.col("ext"), F.col("_line")).alias("_s"),
         is_public(F.col("ext"), F.col("_line"), F.lit("")).alias("_public"),
         count("{").alias("_open"),
@@ -304,7 +310,8 @@ def brace_symbols(contents: DataFrame, exts: list[str] | None = None) -> DataFra
         F.when(F.col("ext") == ".rs", owner).alias("_owner"),
         F.when(F.col("ext") == ".rs", indent).alias("_indent"),
         F.col("_line").rlike(r";\s*$").alias("_ends"),
-    ).where(
+    )
+    rows = lines.select(*ENTRY, "ext", (F.col("_n") + 1).alias("line"), read).select(*ENTRY, "ext", "line", "_r.*").where(
         F.col("_s").isNotNull()
         | (F.col("_open") + F.col("_close") > 0)
         | F.col("_owner").isNotNull()

@@ -439,6 +439,19 @@ def flat_imports(spark, sf_dir):
     return report.flat_imports(resolve.edges(resolved), resolve.externals(resolved)).drop("snapshot")
 
 
+@checked(
+    f"""
+WITH {_SRC}, {_ALL_HITS}, {_EDGES}, {_SPECS}
+SELECT repo, src AS path, 'imports' AS relation, dst AS other FROM edges UNION ALL
+SELECT repo, dst, 'imported_by', src FROM edges UNION ALL SELECT repo, src, 'external', spec FROM externals
+"""
+)
+def import_rows(spark, sf_dir):
+    """Each file's imports, importers and external names, one row each."""
+    resolved = _resolved(spark, sf_dir)[1]
+    return report.import_rows(resolve.edges(resolved), resolve.externals(resolved)).drop("snapshot")
+
+
 _TESTED = f"""
 {_ALL_HITS}, {_EDGES},
 start AS (SELECT DISTINCT repo, src AS node FROM edges WHERE src LIKE 'tests/%'),
