@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from coppice.functions import paths
 from coppice.operators.skew import first_n, numbered, salted_join, skew_join
 from coppice.schema import TREE
-from coppice.session import Rounds, cut, is_empty, loop_settings
+from coppice.session import Newest, Rounds, cut, is_empty, loop_settings
 
 EDGE = [*TREE, "src", "dst"]
 
@@ -223,6 +223,7 @@ def _spread_min(links: DataFrame, hops: int = 4) -> DataFrame:
         "node", F.col("node").alias("f"), F.col("node").alias("b"), F.lit(True).alias("moved")
     )
     nothing = F.lit(None).cast("long")
+    labels_ = Newest(links.sparkSession, "labels")
     while True:
         for _ in range(hops):
             sent = (
@@ -248,7 +249,7 @@ def _spread_min(links: DataFrame, hops: int = 4) -> DataFrame:
                     ((F.col("f") < F.col("f0")) | (F.col("b") < F.col("b0"))).alias("moved"),
                 )
             )
-        state = cut(state, "labels")
+        state = labels_.set(state)
         if is_empty(state.where("moved")):
             return state.drop("moved")
 
@@ -282,15 +283,15 @@ def _contracted(links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     before = links.join(single.withColumnRenamed("node", "b"), "b", "left_semi").select(
         F.col("b").alias("node"), F.col("a").alias("prev")
     )
-    state = cut(
+    chains = Newest(links.sparkSession, "chains")
+    state = chains.set(
         after.join(before, "node").withColumns(
             {
                 "low": F.least("node", "next"),
                 "active": F.lit(True),
                 "lower": F.lit(True),
             }
-        ),
-        "chains",
+        )
     )
     active = None
     while True:
@@ -298,7 +299,7 @@ def _contracted(links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             F.col("node").alias("next"), F.col("next").alias("_n2"), F.col("low").alias("_l2")
         )
         hop_back = state.select(F.col("node").alias("prev"), F.col("prev").alias("_p2"))
-        state = cut(
+        state = chains.set(
             state.join(hop_on, "next", "left")
             .join(hop_back, "prev", "left")
             .select(
@@ -308,8 +309,7 @@ def _contracted(links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
                 F.least("low", F.coalesce("_l2", "low")).alias("low"),
                 F.col("_n2").isNotNull().alias("active"),
                 F.coalesce(F.col("_l2") < F.col("low"), F.lit(False)).alias("lower"),
-            ),
-            "chains",
+            )
         )
         # An open chain has fewer active nodes every round; a ring keeps all of
         # its nodes active, and is settled once no number gets smaller.
@@ -339,8 +339,9 @@ def _core_components(links: DataFrame) -> DataFrame:
     """
     done = Rounds(links.sparkSession, "components")
     left, like = links, None
+    core = Newest(links.sparkSession, "core")
     while True:
-        left = cut(_trimmed(left), "core")
+        left = core.set(_trimmed(left))
         if is_empty(left):
             break
         state = _spread_min(left)

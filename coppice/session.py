@@ -70,6 +70,29 @@ class Rounds:
         return self._spark.read.schema(like.schema).parquet(*self._written)
 
 
+class Newest:
+    """The newest of a loop's written rounds.
+
+    The one before it is deleted as soon as the next one stands, so a loop of
+    any length takes the room of two rounds.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self._spark = spark
+        self._base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self._round = 0
+
+    def set(self, df: DataFrame) -> DataFrame:
+        """Write the next round and return it as read back."""
+        folder = f"{self._base}/round={self._round}"
+        df.write.parquet(folder)
+        if self._round:
+            before = self._spark._jvm.org.apache.hadoop.fs.Path(f"{self._base}/round={self._round - 1}")
+            before.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(before, True)
+        self._round += 1
+        return self._spark.read.schema(df.schema).parquet(folder)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` once to the shared folder and return it as read back."""
     return Rounds(df.sparkSession, name).add(df)
