@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.session import cut
+from coppice.session import Newest
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -39,9 +39,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has the columns ``a`` and ``b``.
     """
-    now = cut(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    rounds = Newest(edges.sparkSession, "edges")
+    now = rounds.set(edges.select("a", "b").where("a <> b").distinct())
     before, state = None, _state(now)
     while state != before and state[0]:
-        now = cut(_small(_large(now)), "edges")
+        now = rounds.set(_small(_large(now)))
         before, state = state, _state(now)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
