@@ -42,7 +42,7 @@ from coppice.llm.words import slices, texts
 from coppice.session import cut
 
 END = b""  # no word is empty
-KNOWN = 150_000  # tokens whose counts travel with the tasks
+KNOWN = 150_000  # tokens, at most, whose counts travel with the tasks
 WORDS = 1936  # of them, with rows of their own
 PER_CLASS = 44
 TAILS = 32
@@ -52,7 +52,7 @@ EVERY = 6
 SHARES = [1, 5, 32]  # training documents up to which of 32 parts a round takes them
 RATE = 0.02
 SMOOTH = 0.1
-CHUNK = 16 << 20  # bytes of text that go through the model together
+CHUNK = 12 << 20  # bytes of text that go through the model together
 LANES = 384
 
 
@@ -119,7 +119,17 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame, known: int = KNOWN, words: int = WORDS) -> Vocabulary:
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "token").limit(known).collect()
+    # Numbers of tokens by steps of frequency say from where on they are few enough to come to the driver.
+    step = F.floor(16 * F.log2("n"))
+    steps = counts.groupBy(step.alias("step")).agg(F.count("*").alias("tokens")).orderBy(F.desc("step")).collect()
+    lowest, held = None, 0
+    for r in steps:
+        held += r.tokens
+        if held > known:
+            break
+        lowest = r.step
+    top = [] if lowest is None else counts.where(step >= lowest).collect()
+    top.sort(key=lambda r: (-r.n, bytes(r.token)))
     n_words = min(words, len(top))
     of_top = np.array([r.n for r in top], np.float64)
     tail = [tail_class(bytes(r.token)) for r in top]
