@@ -133,20 +133,19 @@ def by_pattern(contents: DataFrame, langs: list[str] | None = None) -> DataFrame
     )
 
 
-def python(facts: DataFrame) -> DataFrame:
-    """Python imports from parsed files (``pysource.facts``)."""
+def python(contents: DataFrame) -> DataFrame:
+    """Python imports by logical line."""
     return (
-        pysource.raw_imports(facts)
+        pysource.line_imports(contents)
         .withColumn("lang", F.lit("py"))
         .withColumnRenamed("path", "src")
         .select(*COLUMNS)
     )
 
 
-def raw_imports(contents: DataFrame, python_facts: DataFrame | None = None) -> DataFrame:
+def raw_imports(contents: DataFrame) -> DataFrame:
     """Unresolved imports of every supported file: one pass for Python, one for the rest."""
-    facts = pysource.facts(contents) if python_facts is None else python_facts
-    return python(facts).unionByName(by_pattern(contents).select(*COLUMNS))
+    return python(contents).unionByName(by_pattern(contents).select(*COLUMNS))
 
 
 def inline_tested(contents: DataFrame) -> DataFrame:

@@ -1,161 +1,155 @@
-"""Symbols and imports of Python files, through Python's own parser.
+"""Symbols and imports of Python files, by lines and their indentation.
 
-The parser runs in Arrow batches over ``.py`` rows only.  Bodies it cannot
-parse come back with their text and go through the line patterns instead.
+Strings over several lines are masked first.  A line that goes on from the one
+before (inside brackets or such a string) neither declares nor ends anything.
+A body ends before the next line that is indented no deeper than its header.
+Files that Python itself would not accept are read in the same way.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql import types as T
 
 from coppice.functions import paths
-from coppice.schema import ENTRY, RAW_IMPORT, SYMBOL
-
-FACTS = T.StructType(
-    [
-        T.StructField("repo", T.StringType()),
-        T.StructField("snapshot", T.StringType()),
-        T.StructField("path", T.StringType()),
-        T.StructField("symbols", T.ArrayType(SYMBOL)),
-        T.StructField("imports", T.ArrayType(RAW_IMPORT)),
-        T.StructField("text", T.StringType()),
-    ]
-)
-
-
-def facts(contents: DataFrame) -> DataFrame:
-    """Per Python file: its symbols and imports, or its text where parsing failed."""
-
-    def parse(batches):
-        import ast
-        import warnings
-
-        import pandas as pd
-
-        warnings.simplefilter("ignore")
-
-        def blocks(node):
-            """Statement lists held by a statement, in source order."""
-            for field in ("body", "handlers", "orelse", "finalbody", "cases"):
-                for item in getattr(node, field, None) or []:
-                    if isinstance(item, (ast.ExceptHandler, ast.match_case)):
-                        yield item.body
-                    elif field in ("body", "orelse", "finalbody"):
-                        yield getattr(node, field)
-                        break
-
-        def first_doc_line(node):
-            doc = ast.get_docstring(node, clean=False)
-            head = (doc or "").splitlines()[:1]
-            return (head[0].strip() or None) if head else None
-
-        def outline(module):
-            out, stack = [], [(s, "module", None) for s in reversed(module.body)]
-            while stack:
-                node, scope, parent = stack.pop()
-                inner, owner = scope, parent
-                if isinstance(node, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):
-                    is_class = isinstance(node, ast.ClassDef)
-                    public = scope in ("module", "open") and not node.name.startswith("_")
-                    out.append(
-                        {
-                            "kind": "class" if is_class else "def",
-                            "name": node.name,
-                            "public": public,
-                            "doc": first_doc_line(node),
-                            "line_start": node.lineno,
-                            "line_end": node.end_lineno,
-                            "parent": parent,
-                        }
-                    )
-                    owner = node.name
-                    if scope == "local" or not is_class:
-                        inner = "local"
-                    else:
-                        inner = "open" if public else "closed"
-                held = [s for block in blocks(node) for s in block]
-                stack.extend((s, inner, owner) for s in reversed(held))
-            return out
-
-        def imports(module):
-            out, level = [], list(module.body)
-            while level:
-                below = []
-                for node in level:
-                    if isinstance(node, ast.Import):
-                        out += [("import", a.name, 0, None) for a in node.names]
-                    elif isinstance(node, ast.ImportFrom):
-                        listed = [a.name for a in node.names]
-                        out.append(("from", node.module or "", node.level, listed))
-                    below += [s for block in blocks(node) for s in block]
-                level = below
-            return [
-                {"form": f, "spec": s, "level": n, "names": listed, "ord": i}
-                for i, (f, s, n, listed) in enumerate(out)
-            ]
-
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                try:
-                    module = ast.parse(text)
-                    rows.append((outline(module), imports(module), None))
-                except (SyntaxError, ValueError, RecursionError, MemoryError):
-                    rows.append((None, None, text))
-            found = pd.DataFrame(
-                rows, columns=["symbols", "imports", "text"], index=batch.index, dtype=object
-            )
-            yield pd.concat([batch[["repo", "snapshot", "path"]], found], axis=1)
-
-    from coppice.operators.symbols import with_ext
-
-    python = with_ext(contents, [".py"]).where(F.col("text").isNotNull())
-    return python.select(*ENTRY, "text").mapInPandas(parse, FACTS)
-
-
-def symbols(facts_: DataFrame) -> DataFrame:
-    """Symbols by syntax (``ast``), or by line (``regex``) where parsing failed."""
-    from coppice.operators.symbols import line_symbols
-
-    parsed = facts_.select(*ENTRY, F.inline("symbols")).withColumns(
-        {"method": F.lit("ast"), "span_method": F.lit("ast")}
-    )
-    failed = line_symbols(facts_.where(F.col("text").isNotNull()), [".py"])
-    return parsed.unionByName(failed, allowMissingColumns=True)
+from coppice.schema import ENTRY
+
+STRING = r"(?s)\"\"\".*?\"\"\"|'''.*?'''"
+#: Starts a line that lies in a string, in masked text.
+INSIDE = "\x01"
+HEADER = r"^\s*(?:async\s+)?(def|class)\s+(\w+)"
 
 
-def raw_imports(facts_: DataFrame) -> DataFrame:
-    """Imports by syntax, or by logical line where parsing failed."""
-    parsed = facts_.select(*ENTRY, F.inline("imports")).withColumn("method", F.lit("ast"))
-    failed = line_imports(facts_.where(F.col("text").isNotNull())).withColumn(
-        "method", F.lit("regex")
+def masked(text: Column) -> Column:
+    """The text with the insides of triple-quoted strings taken out, line for line."""
+    strings = F.regexp_extract_all(text, F.lit(f"({STRING})"), 1)
+    emptied = F.transform(
+        strings, lambda s: F.concat(F.lit('""'), F.regexp_replace(F.regexp_replace(s, r"\A[^\n]*", ""), r"\n[^\n]*", f"\n{INSIDE}"))
     )
-    return parsed.unionByName(failed)
+    pieces = F.zip_with(
+        F.split(text, STRING), emptied, lambda code, string: F.concat(F.coalesce(code, F.lit("")), F.coalesce(string, F.lit("")))
+    )
+    return F.array_join(pieces, "")
 
 
-def line_imports(contents: DataFrame) -> DataFrame:
-    """Imports by logical line: lines are joined while a parenthesis is open.
+def _lines(contents: DataFrame, wanted: str) -> DataFrame:
+    """Lines of Python files in which ``wanted`` is found: number, masked ``code`` less its comment, and as written."""
+    kept = contents.where(paths.ext(paths.basename(F.col("path"))) == ".py").where(F.col("text").rlike(wanted))
+    lines = kept.select(
+        *ENTRY, F.split(masked(F.col("text")), "\n").alias("_masked"), F.split("text", "\n").alias("_written")
+    ).select(*ENTRY, F.posexplode_outer(F.arrays_zip("_masked", "_written")).alias("line", "_l"))
+    return lines.select(*ENTRY, "line", F.substring_index("_l._masked", "#", 1).alias("code"), F.col("_l._written").alias("written"))
+
+
+def _with_depth(lines: DataFrame, opening: str = "([{", closing: str = ")]}") -> DataFrame:
+    """Adds ``starts``: no bracket is open before the line.
 
     The open depth is a running sum that never falls below zero, so it is the
     sum less its own running minimum.  Windows are per file.
     """
-    lines = (
-        contents.where(paths.ext(paths.basename(F.col("path"))) == ".py")
-        .where(F.col("text").rlike(r"(?m)^[^\n#]*\b(import|from)\b"))
-        .select(*ENTRY, F.posexplode(F.split("text", "\n")).alias("line", "_line"))
-        .select(*ENTRY, "line", F.substring_index("_line", "#", 1).alias("code"))
+    code = F.regexp_replace("code", r"'[^'\n]*'|\"[^\"\n]*\"", "")
+    count = lambda marks: F.length(code) - F.length(F.translate(code, marks, ""))
+    by_line = W.partitionBy(*ENTRY).orderBy("line")
+    summed = lines.withColumn("_sum", F.sum(count(opening) - count(closing)).over(by_line))
+    deep = summed.withColumn("_depth", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(by_line)))
+    before = F.coalesce(F.lag("_depth").over(by_line), F.lit(0))
+    return deep.withColumn("starts", before == 0).drop("_sum", "_depth")
+
+
+def _doc(line: Column) -> Column:
+    """First line of the string that a line starts with."""
+    inside = F.regexp_extract(line, r"^\s*[rRuU]{0,2}(?:\"\"\"|'''|\"|')(.*)$", 1)
+    return F.nullif(paths.strip(F.regexp_replace(inside, r"(\"\"\"|'''|\"|')\s*$", "")), F.lit(""))
+
+
+def symbols(contents: DataFrame) -> DataFrame:
+    """Classes and functions with their span, first line of the docstring, parent and whether they are public.
+
+    A symbol is public if its name has no leading underscore and it stands in
+    the module or in a public class.
+    """
+    lines = _lines(contents, r"(?m)^\s*(async\s+)?(def|class)\s")
+    lines = _with_depth(lines.where(F.trim(F.translate("code", "\t\r", "  ")) != ""))
+    goes_on = F.startswith("code", F.lit(INSIDE)) | ~F.col("starts")
+    indent = F.length("code") - F.length(F.regexp_replace("code", r"^[ \t]+", ""))
+    by_line = W.partitionBy(*ENTRY).orderBy("line")
+    placed = lines.withColumns(
+        {
+            "indent": F.when(~goes_on, indent),
+            "before": F.lag("line").over(by_line),
+            "last": F.max("line").over(W.partitionBy(*ENTRY)),
+        }
+    )
+    statements = placed.where(F.col("indent").isNotNull()).withColumns(
+        {
+            "outer": F.lag("indent").over(by_line),
+            "next_indent": F.lead("indent").over(by_line),
+            "next_line": F.lead("written").over(by_line),
+        }
+    )
+    name = F.regexp_extract("code", HEADER, 2)
+    doc = F.when(F.col("next_indent") > F.col("indent"), _doc(F.col("next_line")))
+    headers = statements.where(F.col("code").rlike(HEADER)).select(
+        *ENTRY,
+        F.col("indent").alias("level"),
+        F.col("line").alias("at"),
+        F.lit(None).cast("int").alias("end"),
+        F.struct("line", "last", "indent", F.regexp_extract("code", HEADER, 1).alias("kind"), name.alias("name"), doc.alias("doc")).alias("s"),
     )
-    count = lambda c: F.length("code") - F.length(F.replace(F.col("code"), F.lit(c), F.lit("")))
+    # A line ends the bodies of its own depth and of all depths down to that of the line before it.
+    closings = statements.where("indent <= outer").select(
+        *ENTRY,
+        F.explode(F.sequence("indent", "outer")).alias("level"),
+        F.col("line").alias("at"),
+        F.col("before").alias("end"),
+        F.lit(None).cast(headers.schema["s"].dataType).alias("s"),
+    )
+    # Of a header that ends an earlier body, the ending comes first.
+    later = W.partitionBy(*ENTRY, "level").orderBy("at", F.col("s").isNotNull()).rowsBetween(1, W.unboundedFollowing)
+    ended = headers.unionByName(closings).withColumn("_end", F.first("end", ignorenulls=True).over(later)).where(F.col("s").isNotNull())
+    spans = F.sort_array(
+        F.collect_list(
+            F.struct("s.line", F.coalesce("_end", "s.last").alias("end"), "s.indent", "s.kind", "s.name", "s.doc")
+        )
+    )
+    files = ended.groupBy(*ENTRY).agg(spans.alias("found"))
+    open_ = "array<struct<end:int,indent:int,name:string,inner:string>>"
+    state = f"struct<open:{open_},rows:array<struct<parent:string,public:boolean>>>"
+
+    def step(held: Column, s: Column) -> Column:
+        """``open`` are the symbols around the line, outermost first."""
+        around = F.filter(held["open"], lambda o: (o["end"] >= s["line"]) & (o["indent"] < s["indent"]))
+        top = F.get(around, F.size(around) - 1)
+        public = (top["inner"].isNull() | (top["inner"] == "open")) & ~F.startswith(s["name"], F.lit("_"))
+        inner = F.when((top["inner"] == "local") | (s["kind"] != "class"), "local").otherwise(F.when(public, "open").otherwise("closed"))
+        own = F.struct(s["end"].alias("end"), s["indent"].alias("indent"), s["name"].alias("name"), inner.alias("inner"))
+        row = F.struct(top["name"].alias("parent"), public.alias("public"))
+        return F.struct(F.concat(around, F.array(own)).alias("open"), F.concat(held["rows"], F.array(row)).alias("rows")).cast(state)
+
+    start = F.struct(F.array().alias("open"), F.array().alias("rows")).cast(state)
+    nested = files.select(*ENTRY, "found", F.aggregate("found", start, step)["rows"].alias("rows"))
+    each = nested.select(*ENTRY, F.explode_outer(F.arrays_zip("found", "rows")).alias("f"))
+    return each.select(
+        *ENTRY,
+        F.col("f.found.kind").alias("kind"),
+        F.col("f.found.name").alias("name"),
+        F.col("f.rows.public").alias("public"),
+        F.col("f.found.doc").alias("doc"),
+        (F.col("f.found.line") + 1).alias("line_start"),
+        (F.col("f.found.end") + 1).alias("line_end"),
+        F.col("f.rows.parent").alias("parent"),
+        F.lit("indent").alias("method"),
+        F.lit("indent").alias("span_method"),
+    )
+
+
+def line_imports(contents: DataFrame) -> DataFrame:
+    """Imports by logical line: lines are joined while a parenthesis is open."""
     by_line = W.partitionBy(*ENTRY).orderBy("line")
-    summed = lines.withColumn("_sum", F.sum(count("(") - count(")")).over(by_line))
-    low = F.least(F.lit(0), F.min("_sum").over(by_line))
-    deep = summed.withColumn("_depth", F.col("_sum") - low)
-    starts = F.coalesce(F.lag("_depth").over(by_line), F.lit(0)) == 0
+    deep = _with_depth(_lines(contents, r"(?m)^[^\n#]*\b(import|from)\b").drop("written"), "(", ")").withColumnRenamed("starts", "_starts")
     text = paths.strip(F.col("code"))
-    begun = deep.withColumn("_starts", starts).withColumn(
+    begun = deep.withColumn(
         "_from",
         F.last(
             F.when(F.col("_starts"), F.struct("line", text.rlike(r"\A(import|from) ").alias("is"))),

@@ -1,6 +1,6 @@
 """Symbol outlines: classes, functions and types found in source bodies.
 
-Python goes through its own parser (``operators.pysource``).  The other
+Python is read by indentation (``operators.pysource``).  The other
 languages are read line by line with the patterns below; the ``method`` column
 says which way a row was found (``ast``, ``regex`` for the four languages the
 line patterns were made for, ``pattern`` where they stand in for a parser).
@@ -410,14 +410,13 @@ def _full(df: DataFrame) -> DataFrame:
 
 
 def symbols(
-    contents: DataFrame, public_only: bool = False, python_facts: DataFrame | None = None
+    contents: DataFrame, public_only: bool = False
 ) -> DataFrame:
     """Symbols of every supported file, each row with the method that found it."""
     from coppice.operators import pysource
 
-    facts = pysource.facts(contents) if python_facts is None else python_facts
     out = (
-        _full(pysource.symbols(facts))
+        _full(pysource.symbols(contents))
         .unionByName(_full(brace_symbols(contents)))
         .unionByName(_full(html_symbols(contents)))
     )

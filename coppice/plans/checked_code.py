@@ -99,21 +99,14 @@ def symbols_by_line(spark, sf_dir):
 
 _PY_SYMBOLS = _rows(
     [
-        # Without a file 12 back, "m-12" is no name and the file does not parse.
-        (0, "k < 12", "'class'", "'Box' || k", "true", "NULL", "4 + c + 1", "NULL", "NULL", "'regex'"),
-        (0, "k < 12", "'def'", "'get'", "true", "NULL", "4 + c + 5", "NULL", "NULL", "'regex'"),
-        (0, "k < 12", "'def'", "'_set'", "false", "NULL", "4 + c + 7", "NULL", "NULL", "'regex'"),
-        (0, "k < 12", "'def'", "'load_' || k", "true", "NULL", "4 + c + 9", "NULL", "NULL", "'regex'"),
-        (0, "k < 12", "'def'", "'local'", "true", "NULL", "4 + c + 11", "NULL", "NULL", "'regex'"),
-        (0, "k >= 12", "'class'", "'Box' || k", "true", "'Holds one thing.'", "4 + c + 1", "4 + c + 8", "NULL", "'ast'"),
-        (0, "k >= 12", "'def'", "'get'", "true", "NULL", "4 + c + 5", "4 + c + 6", "'Box' || k", "'ast'"),
-        (0, "k >= 12", "'def'", "'_set'", "false", "NULL", "4 + c + 7", "4 + c + 8", "'Box' || k", "'ast'"),
-        (0, "k >= 12", "'def'", "'load_' || k", "true", "NULL", "4 + c + 9", "4 + c + 13", "NULL", "'ast'"),
-        (0, "k >= 12", "'def'", "'local'", "false", "NULL", "4 + c + 11", "4 + c + 12", "'load_' || k", "'ast'"),
-        (1, "k % 24 <> 1", "'def'", "'_hidden' || k", "false", "NULL", "5 + c + 1", "5 + c + 2", "NULL", "'ast'"),
-        (1, "k % 24 = 1", "'def'", "'_hidden' || k", "false", "NULL", "5 + c + 1", "NULL", "NULL", "'regex'"),
-        (1, "k % 24 = 1", "'def'", "'broken'", "true", "NULL", "5 + c + 3", "NULL", "NULL", "'regex'"),
-        (10, "true", "'def'", "'test_it'", "true", "NULL", "1 + c + 1", "1 + c + 2", "NULL", "'ast'"),
+        (0, "true", "'class'", "'Box' || k", "true", "'Holds one thing.'", "4 + c + 1", "4 + c + 8", "NULL", "'indent'"),
+        (0, "true", "'def'", "'get'", "true", "NULL", "4 + c + 5", "4 + c + 6", "'Box' || k", "'indent'"),
+        (0, "true", "'def'", "'_set'", "false", "NULL", "4 + c + 7", "4 + c + 8", "'Box' || k", "'indent'"),
+        (0, "true", "'def'", "'load_' || k", "true", "NULL", "4 + c + 9", "4 + c + 13", "NULL", "'indent'"),
+        (0, "true", "'def'", "'local'", "false", "NULL", "4 + c + 11", "4 + c + 12", "'load_' || k", "'indent'"),
+        (1, "true", "'def'", "'_hidden' || k", "false", "NULL", "5 + c + 1", "5 + c + 2", "NULL", "'indent'"),
+        (1, "k % 24 = 1", "'def'", "'broken'", "true", "NULL", "5 + c + 3", "5 + c + 3", "NULL", "'indent'"),
+        (10, "true", "'def'", "'test_it'", "true", "NULL", "1 + c + 1", "1 + c + 2", "NULL", "'indent'"),
     ],
     ["kind", "name", "public", "doc", "line_start", "line_end", "parent", "method"],
 )
@@ -121,8 +114,8 @@ _PY_SYMBOLS = _rows(
 
 @checked(f"WITH {_SRC} {_PY_SYMBOLS}")
 def python_symbols(spark, sf_dir):
-    """Python by syntax; files that do not parse by line."""
-    found = symbols._full(pysource.symbols(pysource.facts(_contents(spark, sf_dir))))
+    """Python by indentation, also of files that Python would not accept."""
+    found = symbols._full(pysource.symbols(_contents(spark, sf_dir)))
     return found.drop("snapshot", "span_method")
 
 
@@ -231,6 +224,19 @@ def inline_scripts(spark, sf_dir):
     return found.groupBy("repo", "path").agg(F.count("*").alias("blocks"), F.sum(F.length("text")).alias("chars"))
 
 
+@checked(
+    f"""
+WITH {_SRC}, py AS ({_PY_SYMBOLS}), spans AS ({_SPAN_SQL})
+SELECT repo, path, line_start, line_end, kind, name, public, parent FROM py
+UNION ALL SELECT repo, path, line_start, line_end, kind, name, public, parent FROM spans
+"""
+)
+def all_symbols(spark, sf_dir):
+    """Symbols of all languages together, Python among them."""
+    found = symbols.symbols(_contents(spark, sf_dir))
+    return found.select("repo", "path", "line_start", "line_end", "kind", "name", "public", "parent")
+
+
 # ---------------------------------------------------------------- raw imports
 
 _PY_RAW = [
@@ -253,13 +259,11 @@ def python_imports_by_line(spark, sf_dir):
     return found.select("repo", "path", "ord", "form", "spec", "level", F.array_join("names", ",").alias("names"))
 
 
-@checked(f"WITH {_SRC} SELECT *, CASE WHEN path = 'pkg/m0.py' OR (path LIKE 'pkg/sub%' AND cast(regexp_extract(path, 'm([0-9]+)', 1) AS bigint) % 24 = 1) THEN 'regex' ELSE 'ast' END AS method FROM ({_PY_RAW_SQL}) r")
+@checked(f"WITH {_SRC} {_PY_RAW_SQL}")
 def python_imports(spark, sf_dir):
-    """Imports by syntax, by line where a file does not parse."""
-    found = pysource.raw_imports(pysource.facts(_contents(spark, sf_dir)))
-    return found.select(
-        "repo", "path", "ord", "form", "spec", "level", F.array_join("names", ",").alias("names"), "method"
-    )
+    """Python imports as the resolution takes them."""
+    found = imports.python(_contents(spark, sf_dir))
+    return found.select("repo", F.col("src").alias("path"), "ord", "form", "spec", "level", F.array_join("names", ",").alias("names"))
 
 
 # Per kind: (form, spec), in order.
@@ -378,7 +382,7 @@ def _pattern_imports(contents, *langs):
 
 @_resolved_only("python", _PY_TARGETS)
 def resolved_python(spark, sf_dir):
-    raw = cut(imports.python(pysource.facts(_contents(spark, sf_dir))), "imports")
+    raw = cut(imports.python(_contents(spark, sf_dir)), "imports")
     return _found(resolve.resolve(raw, _files(spark, sf_dir), langs=("py",)))
 
 

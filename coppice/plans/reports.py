@@ -19,7 +19,6 @@ from coppice.operators import (
     history,
     imports,
     markers,
-    pysource,
     resolve,
     rollup,
     summary,
@@ -101,19 +100,14 @@ class Trees:
     def todos(self) -> DataFrame:
         return cut(self._of_listed(markers.scan(self.bodies, self.keywords)), "todos")
 
-    @cached_property
-    def python_facts(self) -> DataFrame:
-        """Parsed once, written out, read by both the symbols and the imports."""
-        return cut(self._of_listed(pysource.facts(self.bodies)), "python")
-
     @cached_property
     def symbols(self) -> DataFrame:
-        found = symbol_ops.symbols(self.bodies, python_facts=self.python_facts)
+        found = symbol_ops.symbols(self.bodies)
         return cut(self._of_listed(found), "symbols")
 
     @cached_property
     def resolved(self) -> DataFrame:
-        raw = imports.raw_imports(self.bodies, self.python_facts)
+        raw = imports.raw_imports(self.bodies)
         return cut(
             resolve.resolve(
                 cut(self._of_listed(raw, "src"), "imports"),

@@ -50,27 +50,5 @@ MANIFEST = T.StructType(
     ]
 )
 
-SYMBOL = T.StructType(
-    [
-        T.StructField("kind", T.StringType()),
-        T.StructField("name", T.StringType()),
-        T.StructField("public", T.BooleanType()),
-        T.StructField("doc", T.StringType()),
-        T.StructField("line_start", T.IntegerType()),
-        T.StructField("line_end", T.IntegerType()),
-        T.StructField("parent", T.StringType()),
-    ]
-)
-
-RAW_IMPORT = T.StructType(
-    [
-        T.StructField("form", T.StringType()),
-        T.StructField("spec", T.StringType()),
-        T.StructField("level", T.IntegerType()),
-        T.StructField("names", T.ArrayType(T.StringType())),
-        T.StructField("ord", T.IntegerType()),
-    ]
-)
-
 #: Version of the node rows written by ``coppice.sinks``.
 SCHEMA_VERSION = 1

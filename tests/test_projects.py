@@ -193,6 +193,48 @@ def test_parsers_and_aliases(forest):
     assert project.externals.count() == 0
 
 
+def test_python_spans_and_parents(forest):
+    text = """@deco(1,
+      2)
+class Tree(
+    Base,
+):
+    '''Grows.
+
+def no(): pass
+    '''
+    limit = {
+'a': 1,
+    }
+
+    class _Bark:
+        def rough(self): return 1
+
+    async def grow(self, n=")", *rest):
+        'One line.'
+        def inner():
+            return n
+        if n:
+            def deeper():
+                pass
+        return inner
+
+if limit:
+    def late():
+        x = 1
+# a remark
+    y = 2
+def end(): pass
+"""
+    found = {r["name"]: r for r in symbols.symbols(forest({"t.py": text})[1]).collect()}
+    spans = {n: (r["line_start"], r["line_end"], r["parent"], r["public"]) for n, r in found.items()}
+    assert spans == {
+        "Tree": (3, 24, None, True), "_Bark": (14, 15, "Tree", False), "rough": (15, 15, "_Bark", False), "grow": (17, 24, "Tree", True),
+        "inner": (19, 20, "grow", False), "deeper": (22, 23, "grow", False), "late": (27, 28, None, True), "end": (31, 31, None, True),
+    }
+    assert (found["Tree"]["doc"], found["grow"]["doc"], found["inner"]["doc"]) == ("Grows.", "One line.", None)
+
+
 def test_a_long_row_of_links(spark):
     """As many folders as one likes, each reached through a link in the one before."""
     rows = [(f"d{n:02}/next", "symlink", f"d{n + 1:02}", True) for n in range(70)] + [("d70/end.txt", "file", None, False)]
