@@ -590,10 +590,11 @@ _ENTRY = "path IN ('web/m2.js', 'web/ui/m3.ts')"
 _CONFIG = "path IN ('go.mod', 'tsconfig.json', 'Cargo.toml', '.gitignore')"
 _ANNOTATED = f"""
 {_UNTESTED}, annotated AS (
-SELECT c.repo, c.path, {R.tokens_of('c.text')} AS tokens, {R.lines_of('c.text')} AS lines, coalesce(o.n, 0) AS imports, coalesce(i.n, 0) AS imported_by, {_ENTRY.replace('path', 'c.path')} AS is_entry, {_CONFIG.replace('path', 'c.path')} AS is_config,
+SELECT c.repo, c.path, {R.tokens_of('c.text')} AS tokens, {R.lines_of('c.text')} AS lines, coalesce(o.n, 0) AS imports, coalesce(i.n, 0) AS imported_by, y.n AS symbols, {_ENTRY.replace('path', 'c.path')} AS is_entry, {_CONFIG.replace('path', 'c.path')} AS is_config,
   CASE WHEN {R.ext_of('c.path')} IN ('.py', '.js', '.ts', '.go', '.rs') THEN (c.repo, c.path) NOT IN (SELECT (repo, path) FROM untested) END AS has_test
 FROM @CODE c LEFT JOIN (SELECT repo, src AS path, count(*) AS n FROM edges GROUP BY 1, 2) o ON o.repo = c.repo AND o.path = c.path
-LEFT JOIN (SELECT repo, dst AS path, count(*) AS n FROM edges GROUP BY 1, 2) i ON i.repo = c.repo AND i.path = c.path)
+LEFT JOIN (SELECT repo, dst AS path, count(*) AS n FROM edges GROUP BY 1, 2) i ON i.repo = c.repo AND i.path = c.path
+LEFT JOIN (SELECT repo, path, count(*) AS n FROM (SELECT repo, path FROM ({_PY_SYMBOLS}) p UNION ALL SELECT repo, path FROM ({_SPAN_SQL}) s) b GROUP BY 1, 2) y ON y.repo = c.repo AND y.path = c.path)
 """
 
 
@@ -606,7 +607,7 @@ def _annotated(spark, sf_dir):
         files,
         counts=trees.text_counts(contents),
         todos=markers.scan(contents, _WORDS),
-        symbols=symbols.brace_symbols(contents),
+        symbols=symbols.symbols(contents),
         edges=edges,
         externals=resolve.externals(resolved),
         entries=entries,
@@ -620,7 +621,21 @@ def _annotated(spark, sf_dir):
 def annotated_files(spark, sf_dir):
     """Every file with its counts, degrees and flags."""
     return _annotated(spark, sf_dir)[0].select(
-        "repo", "path", "tokens", "lines", "imports", "imported_by", "is_entry", "is_config", "has_test"
+        "repo", "path", "tokens", "lines", "imports", "imported_by", "symbols", "is_entry", "is_config", "has_test"
+    )
+
+
+@checked(
+    f"""
+WITH RECURSIVE {_SRC}, {_ANNOTATED} SELECT a.repo, a.path, {R.parent_of('a.path')} AS parent, {R.name_of('a.path')} AS name, tokens, lines, imports, imported_by, symbols, is_entry, is_config, has_test FROM annotated a
+"""
+)
+def annotated_nodes(spark, sf_dir):
+    """Nodes of files with their annotations."""
+    files = _files(spark, sf_dir)
+    rows = report.nodes(files, annotated=_annotated(spark, sf_dir)[0]).where("type = 'file'")
+    return rows.select(
+        "repo", "path", "parent", "name", "tokens", "lines", "imports", "imported_by", "symbols", "is_entry", "is_config", "has_test"
     )
 
 
