@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import os
+import stat
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coppice.functions import measure, names, paths
 from coppice.schema import ENTRY, FILES, MANIFEST, TREE
+from coppice.session import Rounds, is_empty
 
 
 def inventory(df: DataFrame) -> DataFrame:
@@ -51,33 +56,89 @@ def with_directories(files: DataFrame) -> DataFrame:
     return files.unionByName(inventory(implied))
 
 
+LISTED = (
+    "path string, kind string, size bigint, mtime double, ctime double, mode int, uid int, gid int, "
+    "link_target string, target_is_dir boolean, denied boolean"
+)
+
+
+def _list_folders(base: str):
+    """Lists folders, given relative to ``base``, one after another."""
+
+    def entry(at: str, found) -> tuple:
+        info = found.stat(follow_symlinks=False)
+        path = f"{at}/{found.name}" if at else found.name
+        known = (info.st_mtime, info.st_ctime, info.st_mode, info.st_uid, info.st_gid)
+        if found.is_symlink():
+            real = os.path.realpath(found.path)
+            inside = real == base or real.startswith(base + "/")
+            target = real[len(base) + 1 :] if inside else os.readlink(found.path)
+            there = os.path.exists(found.path)
+            size = os.stat(found.path).st_size if there else None
+            return (path, "symlink", size, *known, target, os.path.isdir(found.path), False)
+        if found.is_dir(follow_symlinks=False):
+            return (path, "dir", None, *known, None, False, not os.access(found.path, os.R_OK | os.X_OK))
+        kind = "file" if stat.S_ISREG(info.st_mode) else "special"
+        return (path, kind, info.st_size, *known, None, False, False)
+
+    def run(batches):
+        import pyarrow as pa
+
+        names = [c.split()[0] for c in LISTED.split(", ")]
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.bool_()]
+        for batch in batches:
+            for at in batch.column(0).to_pylist():
+                rows = []
+                with contextlib.suppress(FileNotFoundError), os.scandir(os.path.join(base, at)) as folder:
+                    for found in folder:
+                        with contextlib.suppress(FileNotFoundError):
+                            rows.append(entry(at, found))
+                for start in range(0, len(rows), 10_000):
+                    columns = zip(*rows[start : start + 10_000], strict=True)
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return run
+
+
+def _read_files(base: str):
+    """Bodies of files, given relative to ``base``, one at a time."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                with contextlib.suppress(FileNotFoundError, PermissionError), open(os.path.join(base, batch.column(2)[row].as_py()), "rb") as file:
+                    content = pa.array([file.read()], pa.binary())
+                    yield pa.record_batch([*batch.slice(row, 1).columns, content], names=[*ENTRY, "content"])
+
+    return run
+
+
 def from_directory(
     spark: SparkSession, root: str, repo: str, snapshot: str = "head"
 ) -> tuple[DataFrame, DataFrame]:
-    """Inventory and bodies of one directory tree.
+    """Inventory and bodies of one directory tree that every executor has mounted.
 
-    The reader lists regular files only: devices and pipes are never opened.
-    Owner, mode and links are not known to it and stay null.  The two frames
-    are separate scans, so a metadata query reads no body.
+    Spark's file readers pass over names that begin with a dot or an
+    underscore, and over empty folders, so tasks list the folders themselves,
+    one level a round.  Only regular files are opened, and only when bodies
+    are read.  Trees in other stores come in as manifests or tables.
     """
-    base = root.rstrip("/") + "/"
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("ignoreMissingFiles", "true")
-        .load(root)
-    )
-    below = F.regexp_replace("path", r"\A[a-z0-9]+:/*", "/")
+    if "://" in root and not root.startswith("file://"):
+        raise ValueError(f"{root} is no mounted folder: use from_manifests or from_table")
+    base = os.path.normpath(root.removeprefix("file://"))
+    rounds = Rounds(spark, "listing")
+    level = spark.createDataFrame([("",)], "path string")
+    while True:
+        found = rounds.add(level.mapInArrow(_list_folders(base), LISTED))
+        level = found.where((F.col("kind") == "dir") & ~F.col("denied")).select("path").repartition("path")
+        if is_empty(level):
+            break
     tree = [F.lit(repo).alias("repo"), F.lit(snapshot).alias("snapshot")]
-    relative = paths.strip_prefix(below, F.lit(base)).alias("path")
-    meta = raw.select(
-        *tree,
-        relative,
-        F.col("length").alias("size"),
-        (F.unix_micros("modificationTime") / F.lit(1e6)).alias("mtime"),
-    )
-    bodies = raw.select(*tree, relative, "content")
-    return inventory(meta), bodies
+    files = inventory(rounds.all(found).select(*tree, "*"))
+    regular = files.where(F.col("kind") == "file").select(*ENTRY)
+    return files, regular.mapInArrow(_read_files(base), "repo string, snapshot string, path string, content binary")
 
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:

@@ -43,13 +43,23 @@ def test_status_and_diff_text(spark):
 
 def test_directory_and_manifest_sources(spark, tmp_path):
     root = tmp_path / "tree"
-    for path, text in {"a/b.txt": "one\n", "c.py": "x = 1\n"}.items():
+    texts = {"a/b.txt": "one\n", "c.py": "x = 1\n", ".hidden": "1\n", "a/__init__.py": "", "_x/.y/_z/w.txt": "1\n2\n", "a/.git/HEAD": "ref\n"}
+    for path, text in texts.items():
         (root / path).parent.mkdir(parents=True, exist_ok=True)
         (root / path).write_text(text)
+    (root / "_x/.empty").mkdir()
+    (root / "a/link").symlink_to("../_x")
+    (root / "gone").symlink_to("nowhere")
     files, bodies = trees.from_directory(spark, str(root), "disk")
-    assert {(r["path"], r["size"], r["kind"]) for r in files.collect()} == {("a/b.txt", 4, "file"), ("c.py", 6, "file")}
+    found = {r["path"]: r for r in files.collect()}
+    assert {p: r["size"] for p, r in found.items() if r["kind"] == "file"} == {p: len(t) for p, t in texts.items()}
+    assert {p for p, r in found.items() if r["kind"] == "dir"} == {"a", "a/.git", "_x", "_x/.y", "_x/.y/_z", "_x/.empty"}
+    link, gone = found["a/link"], found["gone"]
+    assert (link["kind"], link["link_target"], link["target_is_dir"]) == ("symlink", "_x", True)
+    assert (gone["kind"], gone["link_target"], gone["size"]) == ("symlink", "nowhere", None)
     counts = {r["path"]: r["lines"] for r in trees.text_counts(bodies).collect()}
-    assert counts == {"a/b.txt": 1, "c.py": 1}
+    assert counts == {p: t.count("\n") for p, t in texts.items()}
+    assert "_x/.empty" in {r["path"] for r in trees.with_directories(files).collect()}
 
     manifest = {"repo": "m", "files": [{"path": "x/y/z.md", "content": "日本", "mtime": 5.0}], "now": 9.0}
     (tmp_path / "m.json").write_text(json.dumps(manifest, indent=1))
