@@ -7,12 +7,15 @@ the second permutation by ``k`` around its circle.
 
 1. Documents with equal shingle sets are one node, named by the smallest doc_id.
 2. Nodes that share a band meet in a bucket.  Every node is first compared with
-   the smallest of its bucket only; the links found are joined into components.
-   A group of copies of any size thus costs one comparison per node and band.
+   one node of its bucket only, another one in each bucket; the links found are
+   joined into components, and that is done once more for buckets that still
+   hold several components.  A group of copies of any size thus costs one
+   comparison per node and band.
 3. Nodes of a bucket that are still in different components are compared with
-   each other.  In a bucket with more than ``CROWD`` of them a pair has to
-   share a second band as well, which 32 bands make all but certain for pairs
-   within the bound.
+   each other, up to ``CROWD`` in a bucket.  Larger ones come from a passage
+   that many texts share.  Their nodes are compared if they share one of their
+   rarest shingles: of two sets within the bound, the smaller has one of its
+   rarest seventh among the rarest quarter of the other, so none is missed.
 
 Bands of 4 among 128 coordinates miss a pair of similarity 0.75 with a
 probability of 5e-6, one of 0.8 with 4e-8; no pair of equal sets is missed.
@@ -44,6 +47,7 @@ BAND = 4
 BANDS = COORDINATES // BAND
 UNIVERSE = 1 << 20
 CROWD = 24
+ROUNDS = 2
 SEED = 20240229
 
 
@@ -111,12 +115,21 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _in_bucket(rows: DataFrame) -> DataFrame:
-    """Rows (``key``, ``node``, ``part``) of buckets with more than one part."""
+def _open(rows: DataFrame, turn: int) -> DataFrame:
+    """Rows (``key``, ``node``, ``n``, ``part``) of buckets with more than one part.
+
+    Adds the number of ``members`` and a ``center`` with its part, a node that
+    differs from bucket to bucket and from turn to turn.
+    """
+    lot = F.xxhash64("node", "key", F.lit(turn))
     several = rows.groupBy("key").agg(
-        F.min("part").alias("low"), F.max("part").alias("high"), F.min("node").alias("first"), F.count("*").alias("members")
+        F.min("part").alias("low"),
+        F.max("part").alias("high"),
+        F.min_by("node", lot).alias("center"),
+        F.min_by("part", lot).alias("center_part"),
+        F.count("*").alias("members"),
     )
-    return rows.join(several.where("low < high").select("key", "first", "members"), "key")
+    return rows.join(several.where("low < high").select("key", "center", "center_part", "members"), "key")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
@@ -134,6 +147,41 @@ def _close(a: Column, b: Column, similar: int) -> Column:
     return 100 * F.least(a, b) >= similar * F.greatest(a, b)
 
 
+def _rare(nodes: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """The rarest shingles of every node (``node``, ``part``), as many as a pair within the bound cannot all lack.
+
+    ``at`` is their place; ``first`` marks those that suffice for the smaller set of a pair.
+    """
+    held = sets.join(nodes, "node").select("node", "part", F.explode("shingles").alias("shingle"))
+    held = cut(held, "crowd")
+    counts = held.groupBy("shingle").agg(F.count("*").alias("count"))
+    ordered = held.join(counts, "shingle").groupBy("node", "part").agg(
+        F.sort_array(F.collect_list(F.struct("count", "shingle"))).alias("shingles")
+    )
+    n = F.size("shingles")
+    # ceil(t n) of the larger set's shingles and ceil(2t / (1 + t) n) of the smaller one's are shared.
+    longer = (n - F.ceil(similar * n / 100) + 1).cast("int")
+    shorter = (n - F.ceil(2 * similar * n / (100 + similar)) + 1).cast("int")
+    kept = ordered.select("node", "part", n.alias("n"), shorter.alias("shorter"), F.slice("shingles", F.lit(1), longer).alias("rare"))
+    rows = kept.select("node", "part", "n", "shorter", F.posexplode("rare").alias("at", "s"))
+    return rows.where("s.count > 1").select("node", "part", "n", "at", (F.col("at") < F.col("shorter")).alias("first"), "s.shingle")
+
+
+def _across(rows: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """Pairs of nodes of different parts that may be similar, from the rows of open buckets."""
+    few = rows.where(F.col("members") <= CROWD).select("key", "node", "n", "part")
+    other = few.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"))
+    small = few.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("part") != F.col("part_b")))
+    small = small.where(_close(F.col("n"), F.col("n_b"), similar)).select(F.col("node").alias("a"), "b")
+    rare = cut(_rare(rows.where(F.col("members") > CROWD).select("node", "part").distinct(), sets, similar), "rare")
+    larger = rare.select("shingle", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"), F.col("at").alias("at_b"))
+    large = rare.where("first").join(larger, "shingle").where((F.col("n") <= F.col("n_b")) & (F.col("part") != F.col("part_b")))
+    # Before the first shingle that they share, neither can have more of its own than the bound allows.
+    shared = F.ceil(similar * (F.col("n") + F.col("n_b")) / (100 + similar))
+    large = large.where((F.col("n") - F.col("at") >= shared) & (F.col("n_b") - F.col("at_b") >= shared))
+    return small.union(large.select(F.least("node", "b"), F.greatest("node", "b"))).distinct()
+
+
 def links(documents: DataFrame, docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """Component of every node that has a smaller one in its component, as ``node`` and ``component``.
 
@@ -142,37 +190,31 @@ def links(documents: DataFrame, docs: DataFrame, similar: int = SIMILAR) -> Data
     named = documents.where("doc_id IS NOT NULL AND digest IS NOT NULL")
     nodes = named.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     nodes = named.join(nodes, ["digest", "doc_id"]).dropDuplicates(["digest"])
-    rows = nodes.select(
+    banded = nodes.select(
         F.col("doc_id").alias("node"), F.col("doc_id").alias("part"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key")
     )
-    rows = cut(_in_bucket(rows), "buckets")
+    rows = cut(_open(banded, 0), "buckets")
+    sizes = rows.select(F.col("node").alias("center"), F.col("n").alias("n_center")).distinct()
     asked = rows.select("node").distinct()
     sets = docs.select(F.col("doc_id").cast("bigint"), "text").join(asked, F.col("doc_id") == F.col("node"), "left_semi")
     sets = cut(sets.mapInArrow(_shingled, "node bigint, shingles array<bigint>").dropDuplicates(["node"]), "sets")
 
-    size = rows.select(F.col("node").alias("first"), F.col("n").alias("n_first")).distinct()
-    pairs = rows.where("node > first").select(F.col("first"), "node", "n").distinct().join(size, "first")
-    stars = pairs.where(_close(F.col("n"), F.col("n_first"), similar)).select(F.col("first").alias("a"), F.col("node").alias("b"))
-    found = cut(_linked(stars, sets, similar), "links")
-    parts = components(found)
-
-    rows = rows.select("key", "node", "n").join(parts, "node", "left")
-    rows = rows.select("key", "node", "n", F.coalesce("component", "node").alias("part"))
-    rows = cut(_in_bucket(rows), "open-buckets")
-    few = rows.where(F.col("members") <= CROWD).select("key", "node", "n", "part")
-    many = rows.where(F.col("members") > CROWD).select(F.col("key").alias("first_key"), "node", "n", "part")
-    bands = nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("second_key"))
-    again = many.join(bands, "node").where("first_key <> second_key").select(
-        F.xxhash64(F.least("first_key", "second_key"), F.greatest("first_key", "second_key")).alias("key"), "node", "n", "part"
-    )
-    again = _in_bucket(again.distinct()).select("key", "node", "n", "part")
-    met = few.union(again)
-    other = met.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"))
-    across = met.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("part") != F.col("part_b")))
-    pairs = across.where(_close(F.col("n"), F.col("n_b"), similar)).select(F.col("node").alias("a"), "b").distinct()
-    more = _linked(pairs, sets, similar)
-    stars = parts.select(F.col("component").alias("a"), F.col("node").alias("b"))
-    return components(stars.union(more))
+    parts = None
+    for turn in range(1, ROUNDS + 1):
+        pairs = rows.where("part <> center_part").select("center", "node", "n").distinct().join(sizes, "center")
+        pairs = pairs.where(_close(F.col("n"), F.col("n_center"), similar))
+        pairs = pairs.select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b")).distinct()
+        parts = _joined(_linked(pairs, sets, similar), parts)
+        rows = rows.select("key", "node", "n").join(parts, "node", "left")
+        rows = cut(_open(rows.select("key", "node", "n", F.coalesce("component", "node").alias("part")), turn), "open-buckets")
+    return _joined(_linked(_across(rows, sets, similar), sets, similar), parts)
+
+
+def _joined(found: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """Components of the links found, on top of those there are."""
+    if parts is not None:
+        found = found.union(parts.select(F.col("component").alias("a"), F.col("node").alias("b")))
+    return components(found)
 
 
 def grouped(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
