@@ -55,9 +55,9 @@ def line_rows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def _distinct(lines: DataFrame) -> DataFrame:
-    """Each different line with its earliest place."""
+    """Each different line with its earliest place and how often it occurs."""
     return lines.groupBy("line").agg(
-        F.min(F.struct("doc_id", "line_no")).alias("place"), F.first("ends").alias("ends")
+        F.min(F.struct("doc_id", "line_no")).alias("place"), F.first("ends").alias("ends"), F.count("*").alias("times")
     )
 
 
@@ -187,7 +187,9 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     partners = _partners(words)
     kept = chosen.select(F.col("number").alias("partner"), F.struct("doc_id", "line_no").alias("other"))
     near = partners.join(kept, "partner").join(chosen.select("number", "line"), "number").select("line", "other")
-    known = distinct.select("line", "place").join(near, "line", "left")
+    known = distinct.select("line", "place", "times").join(near, "line", "left")
+    # Written, so that Spark can split a line that very many documents have.
+    known = cut(known.where((F.col("times") > 1) | F.col("other").isNotNull()).select("line", "place", "other"), "known-lines")
     found = lines.select("doc_id", "line_no", "line").join(known, "line")
     place = F.struct("doc_id", "line_no")
     gone = found.where(F.col("other").isNotNull() | ~_same(place, F.col("place")))
