@@ -215,6 +215,18 @@ SCRIPT_TYPES = [
 ]
 
 
+def _running(between: str, inside: str) -> Column:
+    """Lines before each block, from the lines between and inside them, in one pass."""
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("at"))
+
+    def step(s: Column, i: Column) -> Column:
+        here = s["n"] + F.get(between, i)
+        return F.struct((here + F.get(inside, i)).alias("n"), F.concat(s["at"], F.array(here)).alias("at"))
+
+    places = F.filter(F.sequence(F.lit(0), F.size(inside)), lambda i: i < F.size(inside))
+    return F.aggregate(places, start, step)["at"]
+
+
 def inline_scripts(contents: DataFrame) -> DataFrame:
     """Inline JavaScript blocks of HTML bodies with the lines before each.
 
@@ -227,16 +239,15 @@ def inline_scripts(contents: DataFrame) -> DataFrame:
         with_ext(contents, HTML_EXTS)
         .where(F.col("text").rlike("(?i)<script"))
         .select(*ENTRY, found.alias("_m"), F.split("text", block).alias("_p"))
-        .select(*ENTRY, "_m", "_p", F.posexplode("_m").alias("block", "_b"))
+        .select(*ENTRY, "_m", F.transform("_m", breaks).alias("_in"), F.transform("_p", breaks).alias("_between"))
+        .select(*ENTRY, "_m", _running("_between", "_in").alias("_before"))
+        .select(*ENTRY, F.posexplode_outer(F.arrays_zip("_m", "_before")).alias("block", "_z"))
+        .where(F.col("block").isNotNull())
+        .select(*ENTRY, "block", F.col("_z._m").alias("_b"), F.col("_z._before").alias("_before"))
     )
     tag = F.regexp_extract("_b", r"(?is)\A<script([^>]*)>", 1)
     attrs = F.lower("_attrs")
     kind = F.regexp_extract(attrs, r"""\btype\s*=\s*["']?\s*([^"'\s>]*)""", 1)
-    before = F.aggregate(
-        F.concat(F.slice("_p", F.lit(1), F.col("block") + 1), F.slice("_m", F.lit(1), F.col("block"))),
-        F.lit(0),
-        lambda n, c: n + breaks(c),
-    )
     opening = F.regexp_extract("_b", r"(?is)\A(<script[^>]*>)", 1)
     return (
         rows.withColumn("_attrs", tag)
@@ -248,7 +259,7 @@ def inline_scripts(contents: DataFrame) -> DataFrame:
         .select(
             *ENTRY,
             "block",
-            (before + breaks(opening)).alias("lines_before"),
+            (F.col("_before") + breaks(opening)).alias("lines_before"),
             F.regexp_extract("_b", r"(?is)\A<script[^>]*>(.*)</script\z", 1).alias("text"),
         )
     )
