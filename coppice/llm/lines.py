@@ -5,11 +5,11 @@ makes them so (edit distance 1, counted in lower-cased words).  Of alike lines
 the earliest (by ``doc_id``, then line number) stays: a line goes if an equal
 one or an alike one stands earlier.
 
-Each distinct line emits, for every word, the hash of the line without it.
-Lines with one word changed agree on such a variant and on its place; a line
-with a word more has a variant equal to the whole shorter line.  A group of
-equal variants only yields its smallest member, never its pairs, so a group of
-any size is a plain aggregation.  Each match is checked by edit distance on the
+Each distinct line emits, for every word, the hash of the line without it, the
+order of its words included.  Lines with one word changed agree on such a
+variant and on its place; a line with a word more has a variant equal to the
+whole shorter line.  So any two of a group are alike, and it only yields its
+smallest member, never its pairs: a group of any size is a plain aggregation.  Each match is checked by edit distance on the
 words.
 
 An edit leaves the first or the last half of a line as it was, so lines whose
@@ -27,10 +27,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.words import WORD, each, word_list
+from coppice.llm.words import WORD, word_list
 from coppice.session import cut
 
 MIN_WORDS = 8
+BLOCK = 64
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -84,59 +85,44 @@ def _with_words(chosen: DataFrame, docs: DataFrame) -> DataFrame:
 def _variants(chosen: DataFrame) -> DataFrame:
     """Hashed keys of the chosen lines: ``kind`` 0 a word changed, 1 the longer, 2 the shorter line.
 
-    The bag of neighbouring word pairs stands for a line, as leaving out a word
-    changes three pairs, whatever the line's length.  Two sums of 40 bits
-    cannot overflow.
+    Exclusive ors of hashes of words with their places stand for a line and for
+    each variant, so the order of the words counts.  Leaving out a word moves all
+    later ones by one place: a running exclusive or of ``here`` and ``left`` (the
+    word at its own place and one further left) gives every variant.  It is made
+    in blocks, as an array that grows word by word is copied each time.
     """
-    hashed = chosen.select("number", F.transform("words", lambda w: F.xxhash64(w)).alias("w"))
-
-    def pair(a: Column, b: Column) -> Column:
-        return F.xxhash64(F.coalesce(a, F.lit(0)), F.coalesce(b, F.lit(0)))
-
-    def high(h: Column) -> Column:
-        return F.shiftrightunsigned(h, 24)
+    words = F.transform(
+        "words", lambda w, i: F.struct(F.xxhash64(w, i).alias("here"), F.xxhash64(w, i - 1).alias("left"))
+    )
+    hashed = chosen.select("number", words.alias("w"))
+    zero = F.lit(0).cast("bigint")
+    state = "struct<run:bigint,before:array<bigint>>"
 
-    def low(h: Column) -> Column:
-        return h.bitwiseAND(F.lit((1 << 40) - 1))
+    def step(held: Column, w: Column) -> Column:
+        run = held["run"].bitwiseXOR(w["here"]).bitwiseXOR(w["left"])
+        return F.struct(run.alias("run"), F.concat(held["before"], F.array(held["run"])).alias("before")).cast(state)
 
-    def at(i: Column) -> Column:
-        return F.when(i >= 0, F.get("w", i))
+    def block(done: Column, at: Column) -> Column:
+        run = F.coalesce(F.get(done, F.size(done) - 1)["run"], zero)
+        start = F.struct(run.alias("run"), F.array().cast("array<bigint>").alias("before")).cast(state)
+        return F.concat(done, F.array(F.aggregate(F.slice("w", at + 1, F.lit(BLOCK)), start, step)))
 
-    paired = hashed.select(
-        "number",
-        "w",
-        F.transform(F.sequence(F.lit(-1), F.size("w") - 1), lambda i: pair(at(i), F.get("w", i + 1))).alias("pairs"),
-    )
-    zero = F.lit(0).cast("bigint")
-    summed = paired.select(
+    blocks = F.aggregate(F.sequence(F.lit(0), F.size("w") - 1, F.lit(BLOCK)), F.array().cast(f"array<{state}>"), block)
+    before = F.flatten(F.transform(blocks, lambda b: b["before"]))
+    summed = hashed.select(
         "number",
         F.size("w").alias("n"),
-        F.aggregate("pairs", zero, lambda s, h: s + high(h)).alias("s"),
-        F.aggregate("pairs", zero, lambda s, h: s + low(h)).alias("t"),
-        F.transform(
-            F.sequence(F.lit(0), F.size("w") - 1),
-            lambda i: F.struct(
-                i.alias("i"),
-                F.get("pairs", i).alias("out1"),
-                F.get("pairs", i + 1).alias("out2"),
-                pair(at(i - 1), F.get("w", i + 1)).alias("in_"),
-            ),
-        ).alias("cuts"),
-    )
-    without = F.transform(
-        "cuts",
-        lambda c: F.struct(
-            c["i"].alias("i"),
-            (F.col("s") - high(c["out1"]) - high(c["out2"]) + high(c["in_"])).alias("s"),
-            (F.col("t") - low(c["out1"]) - low(c["out2"]) + low(c["in_"])).alias("t"),
-        ),
+        F.aggregate("w", zero, lambda s, w: s.bitwiseXOR(w["here"])).alias("whole"),
+        F.aggregate("w", zero, lambda s, w: s.bitwiseXOR(w["left"])).alias("moved"),
+        F.zip_with(before, "w", lambda b, w: b.bitwiseXOR(w["left"])).alias("cuts"),
     )
-    cuts = summed.select("number", "n", "s", "t", each(without).alias("c"))
+    cuts = summed.select("number", "n", "moved", F.posexplode_outer("cuts").alias("i", "c"))
+    cuts = cuts.select("number", "n", "i", F.col("c").bitwiseXOR(F.col("moved")).alias("v"))
     keys = F.array(
-        F.struct(F.xxhash64("c.s", "c.t", "n", "c.i").alias("key"), F.lit(0).alias("kind")),
-        F.struct(F.xxhash64("c.s", "c.t", F.col("n") - 1, F.lit(-1)).alias("key"), F.lit(1).alias("kind")),
+        F.struct(F.xxhash64("v", "n", "i").alias("key"), F.lit(0).alias("kind")),
+        F.struct(F.xxhash64("v", F.col("n") - 1, F.lit(-1)).alias("key"), F.lit(1).alias("kind")),
     )
-    whole = summed.select("number", F.xxhash64("s", "t", "n", F.lit(-1)).alias("key"), F.lit(2).alias("kind"))
+    whole = summed.select("number", F.xxhash64("whole", "n", F.lit(-1)).alias("key"), F.lit(2).alias("kind"))
     return cuts.select("number", F.explode(keys).alias("k")).select("number", "k.key", "k.kind").unionByName(whole)
 
 

@@ -168,6 +168,22 @@ def test_repeated_lines_as_by_hand(spark):
     assert any(g[4] for g in got) and not all(g[4] for g in got)
 
 
+def test_lines_of_recurring_words_find_their_partner(spark):
+    """Many orders of the same words: an anagram must not stand in for the earlier line one word away."""
+    rng = random.Random(7)
+    pool = ["| " + " | ".join(rng.choice("01") for _ in range(9)) + " |" for _ in range(500)]
+    pool += ["the " + " the ".join(rng.choice("abc") for _ in range(6)) for _ in range(200)]
+    for _ in range(20):  # over several blocks of words
+        line = [rng.choice("01") for _ in range(rng.choice([63, 64, 65, 200]))]
+        other = [*line]
+        at = rng.randrange(len(line))
+        other[at : at + 1] = rng.choice([[], ["2"], ["0", "1"]])
+        pool += [" ".join(line), " ".join(other)]
+    texts = [(k, "\n".join(rng.choice(pool) for _ in range(10))) for k in range(120)]
+    got = {tuple(r) for r in lines.repeated(frame(spark, texts)).collect()}
+    assert got == brute_lines(texts)
+
+
 def test_documents_less_their_repeated_lines(spark):
     texts = edited() + [(90, None), (91, ""), (None, "k k k k k k k k k")]
     gone = {}
