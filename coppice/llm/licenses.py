@@ -3,9 +3,9 @@
 Every line of a file and every run of two or three lines is a sparse vector of
 its terms, weighted by how rare a term is among all lines of the corpus.  Its
 cosine with a template's vector tells how alike they are; the best one of the
-file counts, if it reaches ``ALIKE``.  Only runs with a term that is rare among
-lines (``SIGNAL``) are looked at: the common words of a template alone cannot
-reach the bound.  In a licence file (by its name) the whole text is compared
+file counts, if it reaches ``ALIKE``.  Terms of no template only add to a run's
+length, which bounds its cosine: runs whose bound lies below the best one found
+are passed over, and nothing else is.  In a licence file (by its name) the whole text is compared
 with the templates' full notices as well.
 
 A file without a notice of its own takes the licence of the nearest directory
@@ -33,7 +33,6 @@ from coppice.llm.words import slices, texts
 from coppice.session import cut
 
 ALIKE = 0.6
-SIGNAL = 0.02  # share of lines up to which a term is rare
 RUN = 3
 FILE_NAMES = r"(?i)^(un)?licen[cs]e|^copying|^notice"
 
@@ -75,7 +74,6 @@ class Templates:
     def __init__(self, n_lines: int, found: dict[bytes, int]):
         self.unknown = math.log(1 + n_lines) + 1
         self.rarity = {t: math.log((1 + n_lines) / (1 + found.get(t, 0))) + 1 for t in VOCABULARY}
-        self.signal = frozenset(t for t in VOCABULARY if found.get(t, 0) <= max(1, SIGNAL * n_lines))
         self.names = [name for name, _ in TEMPLATES]
         bags = [Counter(terms(wording.encode())) for _, wording in TEMPLATES]
         self.places: dict[bytes, list[tuple[int, float]]] = {}
@@ -97,21 +95,41 @@ class Templates:
         return (float(products[best]) / math.sqrt(square) if square else 0.0), best
 
 
+def _bounds(lines: list[list[bytes]], templates: Templates) -> list[tuple[float, int, int]]:
+    """Runs with a term of a template, as an upper bound of their cosine, start and size; the largest bound first.
+
+    A cosine is at most the share of the run's length that its template terms
+    have.  Added up line by line, their length is no less than the run's, and the
+    square of the others, each occurrence by itself, no more.
+    """
+    known = np.zeros(len(lines))
+    other = np.zeros(len(lines))
+    for k, line in enumerate(lines):
+        met = [t for t in line if t in VOCABULARY]
+        other[k] = len(line) - len(met)
+        if met:
+            known[k] = math.sqrt(sum((n * templates.rarity[t]) ** 2 for t, n in Counter(met).items()))
+    runs = []
+    for size in range(1, min(RUN, len(lines)) + 1):
+        starts = len(lines) - size + 1
+        own = sum(known[k : k + starts] for k in range(size))
+        rest = sum(other[k : k + starts] for k in range(size)) * templates.unknown**2
+        at = np.flatnonzero(own)
+        bounds = own[at] / np.sqrt(own[at] ** 2 + rest[at])
+        runs += zip(bounds.tolist(), at.tolist(), [size] * len(at), strict=True)
+    return sorted(runs, reverse=True)
+
+
 def notice(text: bytes, templates: Templates, whole: bool = False) -> tuple[str | None, float, int | None]:
     """Licence, cosine and line number of the best notice of a text."""
     lines = [terms(line) for line in text.split(b"\n")]
-    marked = [k for k, line in enumerate(lines) if not templates.signal.isdisjoint(line)]
     best = (0.0, 0, 0)
-    tried = set()
-    for k in marked:
-        for size in range(1, RUN + 1):
-            for start in range(max(0, k - size + 1), min(k, len(lines) - size) + 1):
-                if (start, size) in tried:
-                    continue
-                tried.add((start, size))
-                alike, which = templates.nearest(Counter(t for line in lines[start : start + size] for t in line))
-                best = max(best, (alike, -start, -which))
-    if whole and marked:
+    for bound, start, size in _bounds(lines, templates):
+        if bound + 1e-9 < best[0]:
+            break
+        alike, which = templates.nearest(Counter(t for line in lines[start : start + size] for t in line))
+        best = max(best, (alike, -start, -which))
+    if whole:
         alike, which = templates.nearest(Counter(t for line in lines for t in line))
         best = max(best, (alike, 0, -which))
     alike, line, which = best

@@ -299,6 +299,31 @@ def test_licences_and_their_inheritance(spark):
     assert licenses.scanned(df.where("false")).count() == 0
 
 
+def test_a_notice_that_many_files_carry(spark):
+    """A footer on a third of the files, and a table of two equal notices."""
+    rng = random.Random(9)
+    rows = [(k, "r" if k % 3 == 0 else "q", f"{k}.txt", prose(rng, 30) + ("\nAll rights reserved." if k % 3 == 0 else "")) for k in range(90)]
+    rows += [(90, "r", "b/LICENSE", "All rights reserved."), (91, "r", "b/c/x.txt", "nothing here")]
+    df = spark.createDataFrame(rows, "doc_id bigint, repo string, path string, text string")
+    got = {r.doc_id: (r.license, r.origin, r.from_path) for r in licenses.scanned(df).collect()}
+    assert got == {k: ("proprietary", "header", None) if k % 3 == 0 else (None, None, None) for k in range(90)} | {
+        90: ("proprietary", "file", None), 91: ("proprietary", "inherited", "b/LICENSE"),
+    }
+    two = spark.createDataFrame([(k, "r", f"{k}.py", "# SPDX-License-Identifier: MIT") for k in range(2)], df.schema)
+    assert {(r.license, r.similarity) for r in licenses.scanned(two).collect()} == {("MIT", 1.0)}
+
+
+def test_runs_passed_over_are_not_the_best():
+    rng = random.Random(11)
+    known = licenses.Templates(500, {t: rng.randint(0, 500) for t in licenses.VOCABULARY})
+    vocabulary = [t.decode() for t in sorted(licenses.VOCABULARY)]
+    for _ in range(100):
+        lines = [" ".join(rng.choice(vocabulary if rng.random() < 0.5 else ["x", "y", "z"]) for _ in range(rng.randint(0, 6))) for _ in range(8)]
+        bags = [Counter(licenses.terms(" ".join(lines[k : k + n]).encode())) for n in (1, 2, 3) for k in range(9 - n)]
+        best = max(known.nearest(bag)[0] for bag in bags)
+        assert licenses.notice("\n".join(lines).encode(), known)[1] == pytest.approx(best)
+
+
 def test_cosine_as_by_hand():
     found = {t: n for n, t in enumerate(sorted(licenses.VOCABULARY))}
     known = licenses.Templates(1000, found)
