@@ -1,7 +1,8 @@
 """Symbols and imports of Python files, by lines and their indentation.
 
-Strings over several lines are masked first.  A line that goes on from the one
-before (inside brackets or such a string) neither declares nor ends anything.
+Strings of all kinds and comments are masked first, together and from left to
+right, as each may hold marks of the others.  A line that goes on from the one
+before (inside brackets or a string) neither declares nor ends anything.
 A body ends before the next line that is indented no deeper than its header.
 Files that Python itself would not accept are read in the same way.
 """
@@ -15,17 +16,24 @@ from pyspark.sql import Window as W
 from coppice.functions import paths
 from coppice.schema import ENTRY
 
-STRING = r"(?s)\"\"\".*?\"\"\"|'''.*?'''"
+# Possessive loops, as Java's regular expressions recurse in others.
+STRING = (
+    r"(?s)\"\"\"(?:[^\"\\]++|\\.|\"(?!\"\"))*+\"\"\"|'''(?:[^'\\]++|\\.|'(?!''))*+'''"
+    r"|\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'|#[^\n]*+"
+)
 #: Starts a line that lies in a string, in masked text.
 INSIDE = "\x01"
 HEADER = r"^\s*(?:async\s+)?(def|class)\s+(\w+)"
 
 
 def masked(text: Column) -> Column:
-    """The text with the insides of triple-quoted strings taken out, line for line."""
+    """The text with comments and the insides of strings taken out, line for line."""
     strings = F.regexp_extract_all(text, F.lit(f"({STRING})"), 1)
     emptied = F.transform(
-        strings, lambda s: F.concat(F.lit('""'), F.regexp_replace(F.regexp_replace(s, r"\A[^\n]*", ""), r"\n[^\n]*", f"\n{INSIDE}"))
+        strings,
+        lambda s: F.when(F.startswith(s, F.lit("#")), "").otherwise(
+            F.concat(F.lit('""'), F.regexp_replace(F.regexp_replace(s, r"\A[^\n]*", ""), r"\n[^\n]*", f"\n{INSIDE}"))
+        ),
     )
     pieces = F.zip_with(
         F.split(text, STRING), emptied, lambda code, string: F.concat(F.coalesce(code, F.lit("")), F.coalesce(string, F.lit("")))
@@ -34,12 +42,12 @@ def masked(text: Column) -> Column:
 
 
 def _lines(contents: DataFrame, wanted: str) -> DataFrame:
-    """Lines of Python files in which ``wanted`` is found: number, masked ``code`` less its comment, and as written."""
+    """Lines of Python files in which ``wanted`` is found: number, masked ``code``, and as written."""
     kept = contents.where(paths.ext(paths.basename(F.col("path"))) == ".py").where(F.col("text").rlike(wanted))
     lines = kept.select(
         *ENTRY, F.split(masked(F.col("text")), "\n").alias("_masked"), F.split("text", "\n").alias("_written")
     ).select(*ENTRY, F.posexplode_outer(F.arrays_zip("_masked", "_written")).alias("line", "_l"))
-    return lines.select(*ENTRY, "line", F.substring_index("_l._masked", "#", 1).alias("code"), F.col("_l._written").alias("written"))
+    return lines.select(*ENTRY, "line", F.col("_l._masked").alias("code"), F.col("_l._written").alias("written"))
 
 
 def _with_depth(lines: DataFrame, opening: str = "([{", closing: str = ")]}") -> DataFrame:
@@ -48,8 +56,7 @@ def _with_depth(lines: DataFrame, opening: str = "([{", closing: str = ")]}") ->
     The open depth is a running sum that never falls below zero, so it is the
     sum less its own running minimum.  Windows are per file.
     """
-    code = F.regexp_replace("code", r"'[^'\n]*'|\"[^\"\n]*\"", "")
-    count = lambda marks: F.length(code) - F.length(F.translate(code, marks, ""))
+    count = lambda marks: F.length("code") - F.length(F.translate("code", marks, ""))
     by_line = W.partitionBy(*ENTRY).orderBy("line")
     summed = lines.withColumn("_sum", F.sum(count(opening) - count(closing)).over(by_line))
     deep = summed.withColumn("_depth", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(by_line)))

@@ -348,3 +348,29 @@ def test_newest_first(spark):
     assert listed == ["", "new.txt", "mid.txt", "old.txt", "dir", "dir/x.txt"]
     back = [r["path"] for r in tree.positions(tree.tree_keys(files, "ctime", reverse=True)).orderBy("pos").collect()]
     assert back == ["", "dir", "dir/x.txt", "old.txt", "mid.txt", "new.txt"]
+
+
+def test_python_strings_with_marks_of_comments_and_brackets(forest):
+    text = r'''
+x = paint(Q#fffQ)
+class Ink:  # itQs (open
+    shade = "\"(" + Q\Q[Q + rQ\(Q + "QQQ"
+    def dry(self, mark="#)"):
+        return f"{self}#("
+    long = Qone \
+def no(): passQ
+    def wet(self): QQQa \QQQ ( # QQQ
+import first  # donQt (
+from second import (  # "
+    one,
+    two)
+s = "# Q" + Q""" (Q
+import third
+def end(): pass
+'''.replace("Q", "'")
+    far = 'x = """' + "(' \\\" " * 20000 + '"""\ndef far(): pass\n'
+    contents = forest({"t.py": text, "far.py": far})[1]
+    found = {(r["name"], r["line_start"], r["line_end"], r["parent"]) for r in symbols.symbols(contents).collect()}
+    assert found == {("Ink", 3, 9, None), ("dry", 5, 6, "Ink"), ("wet", 9, 9, "Ink"), ("end", 16, 16, None), ("far", 2, 2, None)}
+    got = imports.python(contents).orderBy("ord").collect()
+    assert [(r["spec"], r["names"]) for r in got] == [("first", None), ("second", ["one", "two"]), ("third", None)]
