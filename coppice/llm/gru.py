@@ -12,8 +12,9 @@ the frequent ones from the state too.
 Training reads all training documents, each in one of the rounds: every task
 trains from the round's weights on its documents, and the tasks' weights are
 averaged by the tokens they saw.  The state is carried through whole
-documents, gradients stop at windows of ``WINDOW`` tokens, and one window in
-``EVERY`` takes a gradient step (the others only carry the state on).
+documents, gradients stop at windows of ``WINDOW`` tokens, and every window's
+gradient counts.  Windows of few lanes, as the rest of a long document, add up
+to ``STEP`` tokens before the weights move, so that each token counts alike.
 
 Scoring carries the state from the first to the last token of a document.
 Counts of the ``KNOWN`` most frequent tokens travel with the tasks; those of
@@ -48,7 +49,7 @@ PER_CLASS = 44
 TAILS = 32
 STATE = 16
 WINDOW = 32
-EVERY = 6
+STEP = 2048
 SHARES = [1, 5, 32]  # training documents up to which of 32 parts a round takes them
 RATE = 0.02
 SMOOTH = 0.1
@@ -356,37 +357,46 @@ class Trainer:
 
     def __init__(self, model: Model, rate: float = RATE):
         self.model = Model(*[a.copy() for a in model.arrays()])
-        self.rate, self.steps, self.seen, self.windows = rate, 0, 0, 0
+        self.rate, self.steps, self.seen = rate, 0, 0
+        self.slopes, self.waiting = self._no_slopes(), 0  # of tokens that have not moved the weights yet
         self.mean = [np.zeros_like(a) for a in model.arrays()]
         self.square = [np.zeros_like(a) for a in model.arrays()]
 
-    def read(self, lanes: Lanes, every: int = EVERY) -> None:
+    def _no_slopes(self) -> Model:
+        return Model(*[np.zeros_like(a) for a in self.model.arrays()])
+
+    def read(self, lanes: Lanes) -> None:
         state = np.zeros((len(lanes.places), STATE), np.float32)
         for places, active in lanes.windows(WINDOW):
             inputs = lanes.inputs[places]
             mask = np.arange(places.shape[1]) < active[:, None]
-            learn = self.windows % every == 0
-            self.windows += 1
-            states, state, kept = _forward(self.model, inputs, active, lanes.start, state, learn)
-            if learn:
-                self._learn(lanes, places, inputs, active, mask, states, kept)
+            states, state, kept = _forward(self.model, inputs, active, lanes.start, state, True)
+            self._learn(lanes, places, inputs, active, mask, states, kept)
             self.seen += int(active.sum())
 
     def _learn(self, lanes: Lanes, places, inputs, active, mask, states, kept) -> None:
-        slopes = Model(*[np.zeros_like(a) for a in self.model.arrays()])
-        _, down = _output(self.model, states[mask], lanes.targets[places[mask]], slopes)
+        _, down = _output(self.model, states[mask], lanes.targets[places[mask]], self.slopes)
         spread = np.zeros_like(states)
         spread[mask] = down
         # Steps that a lane does not have add nothing to the tables.
-        _backward(self.model, slopes, inputs, active, lanes.start, kept, spread)
+        _backward(self.model, self.slopes, inputs, active, lanes.start, kept, spread)
+        self.waiting += int(mask.sum())
+        if self.waiting >= STEP:
+            self.step()
+
+    def step(self) -> None:
+        """Moves the weights by all gradients that wait."""
+        if not self.waiting:
+            return
         self.steps += 1
-        size = np.float32(max(1, int(mask.sum())))
-        for weight, slope, mean, square in zip(self.model.arrays(), slopes.arrays(), self.mean, self.square, strict=True):
+        size = np.float32(self.waiting)
+        for weight, slope, mean, square in zip(self.model.arrays(), self.slopes.arrays(), self.mean, self.square, strict=True):
             slope /= size
             mean += np.float32(0.1) * (slope - mean)
             square += np.float32(0.01) * (slope * slope - square)
             step = mean / np.float32(1 - 0.9**self.steps)
             weight += np.float32(self.rate) * step / (np.sqrt(square / np.float32(1 - 0.99**self.steps)) + np.float32(1e-6))
+        self.slopes, self.waiting = self._no_slopes(), 0
 
 
 def log_probabilities(model: Model, lanes: Lanes) -> np.ndarray:
@@ -460,6 +470,7 @@ def trained(docs: DataFrame, vocab: Vocabulary, shares: list[int] = SHARES) -> M
             for _, read in _chunks(batches):
                 ids, _, lengths, _ = _numbered(shared.value, read)
                 trainer.read(Lanes(ids, lengths, start))
+            trainer.step()
             if trainer.seen:
                 weights = trainer.model.flat().astype(np.float64) * trainer.seen
                 yield pa.record_batch(

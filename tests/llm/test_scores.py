@@ -233,6 +233,18 @@ def test_gradients_as_by_differences(monkeypatch):
         assert (ends[0] - ends[1]) / 0.04 == pytest.approx(np.linalg.norm(slope), rel=0.03)
 
 
+def test_every_window_shapes_the_weights():
+    """The inputs of each window, met in no other one, get a gradient."""
+    vocab, model = small_model()
+    ids = np.repeat(np.arange(40), gru.WINDOW).astype(np.int32)
+    trainer = gru.Trainer(model)
+    trainer.read(gru.Lanes(ids, np.array([len(ids)]), 60 + gru.TAILS))
+    trainer.step()
+    moved = np.abs(trainer.model.table - model.table).max(axis=1) > 0
+    assert moved[:40].all() and not moved[40 : 60 + gru.TAILS].any()
+    assert trainer.seen == len(ids) and trainer.waiting == 0
+
+
 def test_language_model_without_rows(spark):
     assert gru.read_and_scored(frame(spark, [])).count() == 0
     one = gru.read_and_scored(frame(spark, [(10, "a b", "en", "s")])).collect()
