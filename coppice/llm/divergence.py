@@ -1,35 +1,42 @@
 """Quality rules: distance of a text's histograms from those of its language.
 
-Every language present in the corpus gets two reference histograms, taken from
-all its documents: the median share of each character class (so that junk,
+Every language of at least ``ENOUGH`` words in the corpus, whatever its share,
+gets two reference histograms, taken from all its documents: the median share of each character class (so that junk,
 or one very long text, does not move it), and its common words (all words that
 hold at least ``COMMON`` of its words, so at most ``1 / COMMON`` of them) with
 one bin for the rest.  A document is compared with the references by
 Jensen-Shannon distance (base 2, so 0 to 1); the nearest language counts, so a
-wrong language label does no harm.  Short texts have ragged histograms, so
+wrong language label does no harm.  The ``MANY`` languages with the most words
+travel with the tasks; the references of others are written as a table and
+joined to their own documents.  Short texts have ragged histograms, so
 each comparison has a minimum length below which it passes.
 
 Results for odd input: a null text has no words; with no or few words
-``base_failed`` is true; a document in a corpus without any usable reference
-passes the divergence rules.  Every input row gives one row, repeated rows
-repeated ones.  Other columns are not looked at.
+``base_failed`` is true; a document without a language, or in one without
+references, has nothing to be compared with: its distances are 0 and it passes
+the divergence rules, as short texts do.  Every input row gives one row,
+repeated rows repeated ones.  Other columns than ``lang`` and ``text`` are not
+looked at.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from coppice.llm.words import slices, texts
 from coppice.session import cut
 
 COMMON = 0.004  # share of its language's words that makes a word a common one
-LANGUAGE = 0.005  # share of all words that makes a language a reference
+ENOUGH = 2_000  # words from which on a language's histograms are stable
+MANY = 200  # languages whose references travel with the tasks
 MIN_WORDS = 50  # fewer words fail the base rule
 MAX_REPEATED = 50  # percent of words in repeated 3-word windows
 CHARS_FROM, CHARS_LIMIT = 200, 0.3  # characters needed, and largest distance, for the class histogram
@@ -105,10 +112,11 @@ class References:
     """Class and common-word histograms of the languages, one row each.
 
     ``histograms`` has by language its class counts and the shares of its
-    common words.
+    common words.  ``rare`` is the table of further languages, if there are any.
     """
 
-    def __init__(self, histograms: dict[str, tuple[np.ndarray, dict[bytes, float]]]):
+    def __init__(self, histograms: dict[str, tuple[np.ndarray, dict[bytes, float]]], rare: DataFrame | None = None):
+        self.rare = rare
         self.languages = sorted(histograms)
         self.words = sorted({w for _, shares in histograms.values() for w in shares})
         places = {w: k for k, w in enumerate(self.words)}
@@ -124,6 +132,10 @@ class References:
             self.shares[row, : len(shares)] = list(shares.values())
             self.shares[row, -1] = max(0.0, 1 - sum(shares.values()))
 
+    def __getstate__(self) -> dict:
+        """What tasks need."""
+        return self.__dict__ | {"rare": None}
+
     def distances(self, chars: np.ndarray, counts: np.ndarray, n_words: int) -> tuple[float, float]:
         """Of class counts and of the counts of ``words``, from the language nearest by words."""
         if not self.languages or not n_words:
@@ -171,8 +183,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def references(docs: DataFrame) -> References:
     """From all documents with a language.
 
-    At most ``1 / LANGUAGE`` languages with ``1 / COMMON`` words each, and the
-    bins of the classes, come to the driver.
+    At most ``MANY`` languages with ``1 / COMMON`` words each, and the bins of the
+    classes, come to the driver.
     """
     counts = cut(
         docs.where("lang IS NOT NULL")
@@ -185,10 +197,12 @@ def references(docs: DataFrame) -> References:
     is_class = F.expr("substring(word, 1, 1) = X'20'")
     by_word = counts.where(~is_class)
     totals = by_word.groupBy("lang").agg(F.sum("n").alias("total"))
-    everything = totals.agg(F.sum("total")).first()[0]
-    if not everything:
+    enough = cut(totals.where(F.col("total") >= ENOUGH), "languages")
+    most = enough.orderBy(F.desc("total"), "lang").limit(MANY + 1).collect()
+    if not most:
         return References({})
-    known = F.broadcast(totals.where(F.col("total") >= LANGUAGE * everything))
+    held = [r.lang for r in most[:MANY]]
+    known = F.broadcast(enough.where(F.col("lang").isin(held)))
     bins: dict[str, np.ndarray] = {}
     for row in counts.where(is_class).join(known, "lang").collect():
         code, at = map(int, row.word.split())
@@ -196,7 +210,29 @@ def references(docs: DataFrame) -> References:
     histograms = {lang: (_medians(b), {}) for lang, b in bins.items()}
     for row in by_word.join(known, "lang").where(F.col("n") >= COMMON * F.col("total")).collect():
         histograms[row.lang][1][bytes(row.word)] = row.n / row.total
-    return References(histograms)
+    rare = None
+    if len(most) > MANY:
+        others = enough.where(~F.col("lang").isin(held))
+        rare = cut(_rare(counts.where(is_class).join(others, "lang"), by_word.join(others, "lang")), "rare-languages")
+    return References(histograms, rare)
+
+
+def _rare(bins: DataFrame, words: DataFrame) -> DataFrame:
+    """A row for each language: its class counts (by code) and its common words, as ``References`` takes them."""
+    pair = F.split(F.trim(F.col("word").cast("string")), " ")
+    bins = bins.select("lang", pair[0].cast("int").alias("code"), pair[1].cast("int").alias("at"), "n")
+    by_class = W.partitionBy("lang", "code")
+    summed = bins.select(
+        "lang", "code", "at", F.sum("n").over(by_class.orderBy("at")).alias("sum"), F.sum("n").over(by_class).alias("all")
+    )
+    median = summed.where(2 * F.col("sum") >= F.col("all")).groupBy("lang", "code").agg(F.min("at").alias("at"))
+    share = F.struct("code", F.pow(F.col("at") / BINS, F.lit(2)).alias("share"))
+    classes = median.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(share)), lambda c: c["share"]).alias("classes"))
+    common = words.where(F.col("n") >= COMMON * F.col("total")).groupBy("lang").agg(
+        F.collect_list(F.struct("word", (F.col("n") / F.col("total")).alias("share"))).alias("common")
+    )
+    common = common.select("lang", F.col("common.word").alias("common"), F.col("common.share").alias("shares"))
+    return classes.join(common, "lang", "left")
 
 
 def _medians(bins: np.ndarray) -> np.ndarray:
@@ -205,8 +241,8 @@ def _medians(bins: np.ndarray) -> np.ndarray:
     return ((sums < sums[:, -1:] / 2).sum(axis=1) / BINS) ** 2
 
 
-def measured(text: bytes, known: References) -> tuple:
-    """All columns of ``judged`` for one text."""
+def measured(text: bytes, lang: str | None, known: References, own: References | None = None) -> tuple:
+    """All columns of ``judged`` for one text; ``own`` has its language's references if ``known`` has not."""
     words = text.split()
     n_words = len(words)
     numbers = {w: k for k, w in enumerate(dict.fromkeys(words))}
@@ -216,7 +252,12 @@ def measured(text: bytes, known: References) -> tuple:
     n_chars = int(classes.sum())
     n_repeated = repeated_words(ids, len(numbers))
     failed = n_words < MIN_WORDS or 100 * n_repeated > MAX_REPEATED * n_words
-    by_class, by_word = known.distances(classes, times[[numbers.get(w, -1) for w in known.words]], n_words)
+    by_class = by_word = 0.0
+    if own is not None or lang in known.languages:
+        by_class, by_word = min(
+            (r.distances(classes, times[[numbers.get(w, -1) for w in r.words]], n_words) for r in (known, own) if r is not None),
+            key=lambda d: d[1],
+        )
     strange = (n_chars >= CHARS_FROM and by_class > CHARS_LIMIT) or (n_words >= WORDS_FROM and by_word > WORDS_LIMIT)
     return (
         n_words,
@@ -244,21 +285,42 @@ FIELDS = [
 ]
 
 
+def _with_references(docs: DataFrame, known: References) -> list[DataFrame]:
+    """``docs``, in two parts if some languages have their references in the table: those come with them."""
+    if known.rare is None:
+        return [docs]
+    here = F.col("lang").isNull() | F.col("lang").isin(known.languages)
+    return [docs.where(here), docs.where(~here).join(known.rare, "lang", "left").select(*docs.columns, "classes", "common", "shares")]
+
+
+def _measured(batch: pa.RecordBatch, known: References) -> list[tuple]:
+    langs = batch.column(batch.schema.get_field_index("lang")).to_pylist()
+    own: list[References | None] = [None] * batch.num_rows
+    if "common" in batch.schema.names:
+        columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("classes", "common", "shares")]
+        own = [
+            None if classes is None else References({lang: (np.array(classes), dict(zip(common or [], shares or [], strict=True)))})
+            for lang, classes, common, shares in zip(langs, *columns, strict=True)
+        ]
+    return [measured(text, lang, known, o) for text, lang, o in zip(texts(batch), langs, own, strict=True)]
+
+
 def judged(docs: DataFrame, known: References | None = None) -> DataFrame:
     """One row per document: the measures, ``base_failed`` and the verdict ``kept``."""
     known = references(docs) if known is None else known
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = [measured(text, known) for text in texts(batch)]
+            rows = _measured(batch, known)
             columns = [pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(FIELDS)]
             yield pa.record_batch([batch.column(0), *columns], names=["doc_id", *(n for n, _ in FIELDS)])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
-        judge,
+    kind = (
         "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
-        "n_repeat_words bigint, base_failed boolean, kept boolean, class_distance double, word_distance double",
+        "n_repeat_words bigint, base_failed boolean, kept boolean, class_distance double, word_distance double"
     )
+    parts = _with_references(docs.select(F.col("doc_id").cast("bigint"), "lang", "text"), known)
+    return reduce(DataFrame.unionByName, [part.mapInArrow(judge, kind) for part in parts])
 
 
 def passing(docs: DataFrame, known: References | None = None) -> DataFrame:
@@ -268,6 +330,7 @@ def passing(docs: DataFrame, known: References | None = None) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [n for n, _ in FIELDS].index("kept")
         for batch in slices(batches):
-            yield batch.filter(pa.array([measured(text, known)[kept] for text in texts(batch)], pa.bool_()))
+            yield batch.filter(pa.array([row[kept] for row in _measured(batch, known)], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    parts = _with_references(docs, known)
+    return reduce(DataFrame.unionByName, [part.mapInArrow(keep, part.schema).select(*docs.columns) for part in parts])

@@ -88,6 +88,29 @@ def test_references_count_every_document(spark):
     assert divergence.judged(frame(spark, [])).count() == 0
 
 
+def test_documents_of_small_languages_stay(spark, monkeypatch):
+    """Clean texts of a language of under 0.5 % of the words, without a label, or in one too small for references."""
+    rng = random.Random(6)
+    greek = lambda n: " ".join(rng.choice(["και", "το", "να"]) if rng.random() < 0.4 else "".join(rng.choice("αβγδε") for _ in range(5)) for _ in range(n))
+    rows = corpus()
+    rows += [(k, prose(rng, 20_000), "en", "a") for k in range(100, 130)]
+    rows += [(k, greek(150), "el", "a") for k in range(200, 216)]
+    rows += [(300, greek(100), None, "a"), (301, greek(100), "xx", "a")]
+    rows += [(310, " ".join(w + "%%%%%%%%" for w in greek(100).split()), "el", "a")]
+    clean = {k for k, *_ in rows if 200 <= k < 302}
+    for many in (divergence.MANY, 2):  # with the tasks, and joined
+        monkeypatch.setattr(divergence, "MANY", many)
+        df = frame(spark, rows)
+        known = divergence.references(df)
+        assert known.languages == (["el", "en", "fr"] if many > 2 else ["en", "fr"]) and (known.rare is None) == (many > 2)
+        got = {r.doc_id: (r.kept, r.class_distance, r.word_distance) for r in divergence.judged(df, known).collect()}
+        assert len(got) == len(rows) and {k for k, g in got.items() if 200 <= k and g[0]} == clean
+        assert {r.doc_id for r in divergence.passing(df, known).collect()} == {k for k, g in got.items() if g[0]}
+        if many == 2:
+            assert got == {k: pytest.approx(g) for k, g in before.items()}
+        before = got
+
+
 def test_jensen_shannon():
     p, q = np.array([0.5, 0.5, 0]), np.array([0, 0.5, 0.5])
     assert divergence.jensen_shannon(p, p) == 0
