@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coppice.llm import chat, containment, crf, divergence, gru, licenses, lines, mixing, near, urls
+from coppice.llm import align, chat, containment, crf, divergence, gru, licenses, lines, mixing, near, urls
 from coppice.plans.registry import Checked
 
 QUERIES: dict[str, Checked] = {}
@@ -75,3 +75,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_quality_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.judged(_table(spark, sf_dir, "documents"))
+
+
+@_query("op12_tokenizer_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.aligned(_table(spark, sf_dir, "documents"))
