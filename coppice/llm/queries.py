@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coppice.llm import align, chat, containment, crf, divergence, gru, licenses, lines, mixing, near, urls
+from coppice.llm import align, chat, containment, crf, divergence, gru, licenses, lines, mixing, near, secrets, structure, urls
 from coppice.plans.registry import Checked
 
 QUERIES: dict[str, Checked] = {}
@@ -77,6 +77,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.judged(_table(spark, sf_dir, "documents"))
 
 
+@_query("op11_structure_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.audited(_table(spark, sf_dir, "conversations"))
+
+
 @_query("op12_tokenizer_alignment")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.aligned(_table(spark, sf_dir, "documents"))
+
+
+@_query("op13_secret_scan")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scanned(_table(spark, sf_dir, "documents"))
