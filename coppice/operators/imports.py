@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coppice.functions import lexis
 from coppice.operators import pysource
 from coppice.operators.symbols import JS_EXTS, with_ext
 from coppice.schema import ENTRY, TREE
@@ -29,7 +30,7 @@ COLUMNS = [*TREE, "src", "lang", "form", "spec", "level", "names", "ord"]
 
 
 def _all(pattern: str) -> Column:
-    return F.regexp_extract_all("text", F.lit("(?U)" + pattern), 1)
+    return F.regexp_extract_all("_code", F.lit("(?U)" + pattern), 1)
 
 
 def _as(form: str, specs: Column) -> Column:
@@ -43,7 +44,7 @@ def _javascript() -> Column:
 
 def _go() -> Column:
     """The first import block, then single-line imports."""
-    block = F.regexp_extract("text", "(?U)" + GO_BLOCK, 1)
+    block = F.regexp_extract("_code", "(?U)" + GO_BLOCK, 1)
     return _as("import", F.concat(F.regexp_extract_all(block, F.lit(GO_ITEM), 1), _all(GO_LINE)))
 
 
@@ -112,9 +113,14 @@ LANGUAGES = {
 
 
 def by_pattern(contents: DataFrame, langs: list[str] | None = None) -> DataFrame:
-    """Imports found by pattern, for all languages in one reading of the bodies."""
+    """Imports found by pattern, for all languages in one reading of the bodies.
+
+    Comments and strings of several lines hold none.
+    """
     langs = list(LANGUAGES) if langs is None else langs
-    kept = with_ext(contents, [e for name in langs for e in LANGUAGES[name][0]])
+    wanted = [e for name in langs for e in LANGUAGES[name][0]]
+    code = lexis.statements(F.col("ext"), F.col("text"), wanted)
+    kept = with_ext(contents, wanted).select(*ENTRY, "ext", code.alias("_code"))
     found, lang = None, None
     for name in langs:
         exts, expression = LANGUAGES[name]

@@ -2,9 +2,14 @@
 
 Strings of all kinds and comments are masked first, together and from left to
 right, as each may hold marks of the others.  A line that goes on from the one
-before (inside brackets or a string) neither declares nor ends anything.
-A body ends before the next line that is indented no deeper than its header.
-Files that Python itself would not accept are read in the same way.
+before (inside brackets or a string, or behind a backslash) neither declares
+nor ends anything.  A body ends before the next line that is indented no deeper
+than its header.
+
+Files that Python itself would not accept are read in the same way.  A string
+that is not closed ends with its line.  A bracket that is not closed counts up
+to the next line that no expression can hold: one that starts with ``def``,
+``class``, an import, or, at the margin, a decorator.
 """
 
 from __future__ import annotations
@@ -13,55 +18,59 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from coppice.functions import paths
+from coppice.functions import lexis, paths
+from coppice.functions.lexis import INSIDE
 from coppice.schema import ENTRY
 
 # Possessive loops, as Java's regular expressions recurse in others.
+#: What an f-string puts in, with strings and one more pair of braces in it.
+_FIELD = r"\{(?:[^{}'\"\n]++|\"[^\"\n]*+\"|'[^'\n]*+'|\{[^{}\n]*+\})*+\}"
+_PUT_IN = rf"(?<!\w)(?:[fF][rR]?|[rR][fF])%s(?!%s%s)(?:[^%s\\\n{{]++|\\.|\{{\{{|{_FIELD}|\{{)*+(?:%s|(?=\n)|\z)"
 STRING = (
     r"(?s)\"\"\"(?:[^\"\\]++|\\.|\"(?!\"\"))*+\"\"\"|'''(?:[^'\\]++|\\.|'(?!''))*+'''"
-    r"|\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'|#[^\n]*+"
+    rf"|{_PUT_IN.replace('%s', chr(34))}|{_PUT_IN.replace('%s', chr(39))}"
+    r"|\"(?:[^\"\\\n]++|\\.)*+(?:\"|(?=\n)|\z)|'(?:[^'\\\n]++|\\.)*+(?:'|(?=\n)|\z)|#[^\n]*+"
 )
-#: Starts a line that lies in a string, in masked text.
-INSIDE = "\x01"
 HEADER = r"^\s*(?:async\s+)?(def|class)\s+(\w+)"
+#: Starts a line that cannot lie in brackets.
+RESUMES = r"^\s*(?:(?:async\s+)?(?:def|class)\s+\w|import\s+\w|from\b[\s.\w]*\bimport\b)|^@\w+(?:\.\w+)*\s*(?:\(.*)?$"
 
 
 def masked(text: Column) -> Column:
     """The text with comments and the insides of strings taken out, line for line."""
-    strings = F.regexp_extract_all(text, F.lit(f"({STRING})"), 1)
-    emptied = F.transform(
-        strings,
-        lambda s: F.when(F.startswith(s, F.lit("#")), "").otherwise(
-            F.concat(F.lit('""'), F.regexp_replace(F.regexp_replace(s, r"\A[^\n]*", ""), r"\n[^\n]*", f"\n{INSIDE}"))
-        ),
-    )
-    pieces = F.zip_with(
-        F.split(text, STRING), emptied, lambda code, string: F.concat(F.coalesce(code, F.lit("")), F.coalesce(string, F.lit("")))
-    )
-    return F.array_join(pieces, "")
+    tokens, code = lexis.tokens_and_code(text, STRING)
+    left = lambda t: F.when(F.startswith(t, F.lit("#")), "").otherwise(F.concat(F.lit('""'), lexis.breaks(t, INSIDE)))
+    return lexis.joined(code, F.transform(tokens, left))
 
 
-def _lines(contents: DataFrame, wanted: str) -> DataFrame:
+def _lines(contents: DataFrame, wanted: str, code: Column | None = None) -> DataFrame:
     """Lines of Python files in which ``wanted`` is found: number, masked ``code``, and as written."""
     kept = contents.where(paths.ext(paths.basename(F.col("path"))) == ".py").where(F.col("text").rlike(wanted))
-    lines = kept.select(
-        *ENTRY, F.split(masked(F.col("text")), "\n").alias("_masked"), F.split("text", "\n").alias("_written")
-    ).select(*ENTRY, F.posexplode_outer(F.arrays_zip("_masked", "_written")).alias("line", "_l"))
+    code = masked(F.col("text")) if code is None else code
+    lines = kept.select(*ENTRY, F.split(code, "\n").alias("_masked"), F.split("text", "\n").alias("_written")).select(
+        *ENTRY, F.posexplode_outer(F.arrays_zip("_masked", "_written")).alias("line", "_l")
+    )
     return lines.select(*ENTRY, "line", F.col("_l._masked").alias("code"), F.col("_l._written").alias("written"))
 
 
-def _with_depth(lines: DataFrame, opening: str = "([{", closing: str = ")]}") -> DataFrame:
-    """Adds ``starts``: no bracket is open before the line.
+def _with_starts(lines: DataFrame) -> DataFrame:
+    """Adds ``starts``: a statement begins with the line.
 
     The open depth is a running sum that never falls below zero, so it is the
-    sum less its own running minimum.  Windows are per file.
+    sum less its own running minimum.  It is counted anew from every line that
+    cannot lie in brackets.  Windows are per file.
     """
     count = lambda marks: F.length("code") - F.length(F.translate("code", marks, ""))
     by_line = W.partitionBy(*ENTRY).orderBy("line")
-    summed = lines.withColumn("_sum", F.sum(count(opening) - count(closing)).over(by_line))
-    deep = summed.withColumn("_depth", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(by_line)))
-    before = F.coalesce(F.lag("_depth").over(by_line), F.lit(0))
-    return deep.withColumn("starts", before == 0).drop("_sum", "_depth")
+    in_part = W.partitionBy(*ENTRY, "_part").orderBy("line")
+    resumes = F.col("code").rlike(RESUMES)
+    goes_on = F.coalesce(F.lag(F.col("code").rlike(r"\\\r?$")).over(by_line), F.lit(False))
+    parts = lines.withColumns({"_part": F.sum(resumes.cast("int")).over(by_line), "_goes_on": goes_on})
+    summed = parts.withColumn("_sum", F.sum(count("([{") - count(")]}")).over(in_part))
+    deep = summed.withColumn("_depth", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(in_part)))
+    before = F.coalesce(F.lag("_depth").over(in_part), F.lit(0))
+    starts = resumes | ((before == 0) & ~F.col("_goes_on"))
+    return deep.withColumn("starts", starts).drop("_sum", "_depth", "_part", "_goes_on")
 
 
 def _doc(line: Column) -> Column:
@@ -77,7 +86,7 @@ def symbols(contents: DataFrame) -> DataFrame:
     the module or in a public class.
     """
     lines = _lines(contents, r"(?m)^\s*(async\s+)?(def|class)\s")
-    lines = _with_depth(lines.where(F.trim(F.translate("code", "\t\r", "  ")) != ""))
+    lines = _with_starts(lines.where(F.trim(F.translate("code", "\t\r", "  ")) != ""))
     goes_on = F.startswith("code", F.lit(INSIDE)) | ~F.col("starts")
     indent = F.length("code") - F.length(F.regexp_replace("code", r"^[ \t]+", ""))
     by_line = W.partitionBy(*ENTRY).orderBy("line")
@@ -151,58 +160,53 @@ def symbols(contents: DataFrame) -> DataFrame:
     )
 
 
+#: A header whose body follows on its line.
+_ONE_LINE = r"\A(?:try|else|finally|(?:if|elif|while|for|with|except|async|def|class)\b.*)\s*:\s*"
+
+
 def line_imports(contents: DataFrame) -> DataFrame:
-    """Imports by logical line: lines are joined while a parenthesis is open."""
+    """Imports by statement: lines are joined over brackets and backslashes and cut at semicolons."""
     by_line = W.partitionBy(*ENTRY).orderBy("line")
-    deep = _with_depth(_lines(contents, r"(?m)^[^\n#]*\b(import|from)\b").drop("written"), "(", ")").withColumnRenamed("starts", "_starts")
+    statements = F.translate(F.regexp_replace(masked(F.col("text")), r"\\\r?\n", " "), ";", "\n")
     text = paths.strip(F.col("code"))
-    begun = deep.withColumn(
+    lines = _lines(contents, r"(?m)^[^\n#]*\b(import|from)\b", statements).where(F.col("code").isNotNull())
+    lines = _with_starts(lines.drop("written"))
+    begun = lines.withColumn(
         "_from",
         F.last(
-            F.when(F.col("_starts"), F.struct("line", text.rlike(r"\A(import|from) ").alias("is"))),
+            F.when(F.col("starts"), F.struct("line", text.rlike(rf"(?:{_ONE_LINE})?\b(?:import\s|from[\s.])").alias("is"))),
             ignorenulls=True,
         ).over(by_line),
     )
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "code"))), lambda s: s["code"]), " ")
     logical = (
         begun.where(F.col("_from.is"))
         .groupBy(*ENTRY, F.col("_from.line").alias("line"))
-        .agg(
-            F.array_join(
-                F.transform(
-                    F.array_sort(F.collect_list(F.struct("line", "code"))), lambda s: s["code"]
-                ),
-                " ",
-            ).alias("_code")
-        )
-        .select(*ENTRY, "line", paths.strip(F.col("_code")).alias("_code"))
+        .agg(joined.alias("_code"))
+        .select(*ENTRY, "line", F.regexp_replace(paths.strip(F.col("_code")), rf"(?s){_ONE_LINE}(?=(?:import|from)\b)", "").alias("_code"))
     )
     first_word = lambda c: F.regexp_extract(paths.strip(c), r"(?U)\A(\S*)", 1)
     split_names = lambda c: F.filter(
         F.transform(F.split(c, ","), first_word), lambda n: n != ""
     )
-    rest = F.substring("_code", F.lit(8), F.length("_code"))
-    plain = logical.where(F.startswith("_code", F.lit("import "))).select(
+    plain = logical.where(F.col("_code").rlike(r"\Aimport\s")).select(
         *ENTRY,
         "line",
-        F.posexplode(split_names(rest)).alias("_i", "spec"),
+        F.posexplode(split_names(F.substring("_code", F.lit(8), F.length("_code")))).alias("_i", "spec"),
         F.lit("import").alias("form"),
         F.lit(0).alias("level"),
         F.lit(None).cast("array<string>").alias("names"),
     )
-    body = F.substring("_code", F.lit(6), F.length("_code"))
-    module = paths.strip(F.substring_index(body, " import ", 1))
-    tail = F.substring(body, F.locate(" import ", body) + 8, F.length(body))
-    dots = F.length(F.regexp_extract(module, r"\A(\.*)", 1))
-    listed = F.regexp_replace(tail, r"(?U)\A[\s()]+|[\s()]+\z", "")
-    from_ = logical.where(
-        F.startswith("_code", F.lit("from ")) & F.contains(body, F.lit(" import "))
-    ).select(
+    part = lambda n: F.regexp_extract("_code", r"(?sU)\Afrom\b\s*([.\s]*)([\w.\s]*?)\s*\bimport\b(.*)\z", n)
+    bare = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
+    listed = F.regexp_replace(part(3), r"(?U)\A[\s()]+|[\s()]+\z", "")
+    from_ = logical.where(F.startswith("_code", F.lit("from")) & (listed != "")).select(
         *ENTRY,
         "line",
         F.lit(0).alias("_i"),
-        F.substring(module, dots + 1, F.length(module)).alias("spec"),
+        bare(part(2)).alias("spec"),
         F.lit("from").alias("form"),
-        dots.cast("int").alias("level"),
+        F.length(bare(part(1))).alias("level"),
         split_names(listed).alias("names"),
     )
     both = plain.select(*from_.columns).unionByName(from_)

@@ -1,8 +1,9 @@
 """Symbol outlines: classes, functions and types found in source bodies.
 
 Python is read by indentation (``operators.pysource``).  The other
-languages are read line by line with the patterns below; the ``method`` column
-says which way a row was found (``ast``, ``regex`` for the four languages the
+languages are read line by line with the patterns below, after comments and
+the insides of strings were masked (``functions.lexis``); the ``method`` column
+says which way a row was found (``indent``, ``regex`` for the four languages the
 line patterns were made for, ``pattern`` where they stand in for a parser).
 """
 
@@ -14,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from coppice.functions import labels, paths
+from coppice.functions import labels, lexis, paths
+from coppice.operators import pysource
 from coppice.operators.skew import first_n
 from coppice.schema import ENTRY, TREE
 
@@ -164,12 +166,15 @@ def with_ext(contents: DataFrame, exts: list[str]) -> DataFrame:
     return kept.where(F.col("ext").isin(exts))
 
 
-def _lines(contents: DataFrame, max_lines: int | None) -> DataFrame:
-    lines = F.split("text", "\n")
+def _lines(contents: DataFrame, exts: list[str], max_lines: int | None = None) -> DataFrame:
+    """Lines of bodies with comments and strings masked; a multi-line string hides what it reaches into."""
+    code = lexis.code(F.col("ext"), F.col("text"), exts)
+    if ".py" in exts:
+        code = F.when(F.col("ext") == ".py", pysource.masked(F.col("text"))).otherwise(code)
+    lines = F.split(code, "\n")
     if max_lines is not None:
         lines = F.slice(lines, 1, max_lines)
-    rest = [c for c in contents.columns if c != "text"]
-    return contents.select(*rest, F.posexplode(lines).alias("_n", "_line"))
+    return with_ext(contents, exts).select(*ENTRY, "ext", F.posexplode(lines).alias("_n", "_line"))
 
 
 def _once(*columns: Column) -> Column:
@@ -189,7 +194,7 @@ def line_symbols(
     Whole bodies are read; ``max_lines`` stops after that many lines of each.
     """
     exts = LINE_EXTS if exts is None else exts
-    lines = _lines(with_ext(contents, exts).select(*ENTRY, "ext", "text"), max_lines)
+    lines = _lines(contents, exts, max_lines)
     found = lines.select(
         *ENTRY, "ext", (F.col("_n") + 1).alias("line_start"), "_line",
         _once(line_symbol(F.col("ext"), F.col("_line")).alias("_s")),
@@ -298,10 +303,11 @@ def brace_symbols(contents: DataFrame, exts: list[str] | None = None) -> DataFra
 
     A span ends on the first line that is back at the depth the declaration
     started from.  Only lines with a brace or a symbol leave the scan.  Braces
-    in strings make it approximate: ``span_method`` is ``brace``.
+    in strings, comments and other literals do not count; ``span_method`` is
+    ``brace``.
     """
     exts = BRACE_EXTS if exts is None else exts
-    lines = _lines(with_ext(contents, exts).select(*ENTRY, "ext", "text"), None)
+    lines = _lines(contents, exts)
     count = lambda c: F.length("_line") - F.length(F.replace(F.col("_line"), F.lit(c), F.lit("")))
     owner = F.coalesce(
         F.nullif(
@@ -424,8 +430,6 @@ def symbols(
     contents: DataFrame, public_only: bool = False
 ) -> DataFrame:
     """Symbols of every supported file, each row with the method that found it."""
-    from coppice.operators import pysource
-
     out = (
         _full(pysource.symbols(contents))
         .unionByName(_full(brace_symbols(contents)))

@@ -237,6 +237,120 @@ def all_symbols(spark, sf_dir):
     return found.select("repo", "path", "line_start", "line_end", "kind", "name", "public", "parent")
 
 
+# ---------------------------------------------------------------- Python that does not parse
+
+# What stands before the same lines of every file, and its imports as (form, spec, level, names).
+_HEADS = [
+    ("x = 1", []),
+    ("x = foo(1", []),
+    ("print 'it''s (", []),
+    ('x = f"{d["k("]}" + f\'{", (".join(d)!r:>{n}}\'', []),
+    (
+        'import json; import sys as s, re; x = "; import no"; y = \'\\\'; import no\'',
+        [("import", "json", 0, None), ("import", "sys", 0, None), ("import", "re", 0, None)],
+    ),
+    (
+        "from a.b import c, \\\n    d as e\nimport os.path, \\\n  late",
+        [("from", "a.b", 0, "c,d"), ("import", "os.path", 0, None), ("import", "late", 0, None)],
+    ),
+    ("y = {'a': [(1, 2]", []),
+    ('s = """never closed ( [', []),
+    (
+        "if x: import early\ntry: from . import sib\nfrom ..up import(one, two)\nfrom.x import *",
+        [("import", "early", 0, None), ("from", "", 1, "sib"), ("from", "up", 2, "one,two"), ("from", "x", 1, "*")],
+    ),
+    ('def cut(a=(1, "(":\n    return [', []),
+    ("x = 1 + \\", []),
+]
+_TAIL = """import os
+from pkg.m%k% import (
+    Box,
+    other)
+
+class Box%k%(object):
+    '''Holds ( one thing.'''
+    def get(self):
+        return {"a": [1, 2]}
+
+    def put(self, x=(1,
+                    2)):
+        return x; pass
+
+def load_%k%(a,
+             b="#("):
+    def local(): return a
+    return local
+def _last(): pass"""
+# First and last line, kind, name, public, docstring, parent.
+_TAIL_SYMBOLS = [
+    (6, 13, "class", "'Box' || k", True, "'Holds ( one thing.'", "NULL"),
+    (8, 9, "def", "'get'", True, "NULL", "'Box' || k"),
+    (11, 13, "def", "'put'", True, "NULL", "'Box' || k"),
+    (15, 18, "def", "'load_' || k", True, "NULL", "NULL"),
+    (17, 17, "def", "'local'", False, "NULL", "'load_' || k"),
+    (19, 19, "def", "'_last'", False, "NULL", "NULL"),
+]
+
+
+def _damaged(spark, sf_dir):
+    """A Python file per document: a head, the text as comments, the same tail."""
+    docs = R.table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    head = F.element_at(F.array(*[F.lit(text) for text, _ in _HEADS]), (F.col("doc_id") % len(_HEADS) + 1).cast("int"))
+    said = F.concat(F.lit("# "), F.replace(F.col("text"), F.lit("\n"), F.lit("\n# ")))
+    tail = F.replace(F.lit(_TAIL), F.lit("%k%"), F.col("doc_id").cast("string"))
+    path = F.concat(F.lit("pkg/m"), F.col("doc_id").cast("string"), F.lit(".py"))
+    return docs.select(
+        F.col("source").alias("repo"), F.lit("head").alias("snapshot"), path.alias("path"), F.concat_ws("\n", head, said, tail).alias("text")
+    )
+
+
+_DAMAGED = f"""
+d AS (SELECT source AS repo, doc_id AS k, 'pkg/m' || doc_id || '.py' AS path, doc_id % {len(_HEADS)} AS head,
+  coalesce(len(string_split(text, chr(10))), 0) AS c FROM documents WHERE doc_id IS NOT NULL),
+heads(head, before, imports) AS (VALUES {', '.join(f"({n}, {len(text.split(chr(10)))}, {len(own)})" for n, (text, own) in enumerate(_HEADS))}),
+o AS (SELECT *, c + before AS b FROM d JOIN heads USING (head))
+"""
+
+
+@checked(
+    f"WITH {_DAMAGED} "
+    + " UNION ALL ".join(
+        f"SELECT repo, path, '{kind}' AS kind, {name} AS name, {str(public).lower()} AS public, {doc} AS doc, "
+        f"b + {first} AS line_start, b + {last} AS line_end, {parent} AS parent FROM o"
+        for first, last, kind, name, public, doc, parent in _TAIL_SYMBOLS
+    )
+    + " UNION ALL SELECT repo, path, 'def', 'cut', true, NULL, 1, 2, NULL FROM o WHERE head = 9"
+)
+def python_damaged_symbols(spark, sf_dir):
+    """Symbols of files with open brackets, odd quotes and nested f-strings: no head costs a symbol of the tail."""
+    return pysource.symbols(_damaged(spark, sf_dir)).drop("snapshot", "method", "span_method")
+
+
+def _import_row(where: str, at: str, form: str, spec: str, level: int, names: str | None) -> str:
+    listed = "NULL" if names is None else f"'{names}'"
+    return f"SELECT repo, path, {at} AS ord, '{form}' AS form, {spec} AS spec, {level} AS level, {listed} AS names FROM o WHERE {where}"
+
+
+@checked(
+    f"WITH {_DAMAGED} "
+    + " UNION ALL ".join(
+        [
+            *[
+                _import_row(f"head = {n}", str(at), form, f"'{spec}'", level, names)
+                for n, (_, own) in enumerate(_HEADS)
+                for at, (form, spec, level, names) in enumerate(own)
+            ],
+            _import_row("true", "imports", "import", "'os'", 0, None),
+            _import_row("true", "imports + 1", "from", "'pkg.m' || k", 0, "Box,other"),
+        ]
+    )
+)
+def python_damaged_imports(spark, sf_dir):
+    """Imports of the same files, behind semicolons, colons and backslashes too."""
+    found = pysource.line_imports(_damaged(spark, sf_dir))
+    return found.select("repo", "path", "ord", "form", "spec", "level", F.array_join("names", ",").alias("names"))
+
+
 # ---------------------------------------------------------------- raw imports
 
 _PY_RAW = [
