@@ -11,9 +11,13 @@ All loops are possessive, since Java's regular expressions recurse in others.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Stands around the tokens while a text is read.
+MARK = "\x02"
 #: Starts a line that lies in a string, in masked text.
 INSIDE = "\x01"
 
@@ -58,36 +62,37 @@ _FIELD = _put_in("{", "}", f"{DOUBLE}|{SINGLE}")
 TOKENS: dict[str, str] = {}
 
 
-def _language(exts: list[str], *tokens: str) -> None:
+def _language(exts: list[str], first: str, *tokens: str) -> None:
+    """``first`` lists the signs a token may start with: elsewhere the others are not tried."""
     for ext in exts:
-        TOKENS[ext] = "(?s)" + "|".join(tokens)
+        TOKENS[ext] = rf"(?s)(?=[{first}])(?:{'|'.join(tokens)})"
 
 
 _language(
     [".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs"],
-    TO_END, BLOCK, DOUBLE, SINGLE, _template(2), r"`(?:[^`\\]++|\\.)*+`", PATTERN,
+    r"/\"'`", TO_END, BLOCK, DOUBLE, SINGLE, _template(2), r"`(?:[^`\\]++|\\.)*+`", PATTERN,
 )
-_language([".go"], TO_END, BLOCK, DOUBLE, r"`[^`]*+`", SIGN)
-_language([".rs"], TO_END, BLOCK_NESTED, r'\b[bc]?r(?<hashes>#*)".*?"\k<hashes>', DOUBLE_LONG, SIGN)
-_language([".c", ".h"], TO_END, BLOCK, DOUBLE, SINGLE)
-_language([".java"], TO_END, BLOCK, TRIPLE, DOUBLE, SINGLE)
+_language([".go"], r"/\"'`", TO_END, BLOCK, DOUBLE, r"`[^`]*+`", SIGN)
+_language([".rs"], r"/\"'bcr", TO_END, BLOCK_NESTED, r'\b[bc]?r(?<hashes>#*)".*?"\k<hashes>', DOUBLE_LONG, SIGN)
+_language([".c", ".h"], r"/\"'", TO_END, BLOCK, DOUBLE, SINGLE)
+_language([".java"], r"/\"'", TO_END, BLOCK, TRIPLE, DOUBLE, SINGLE)
 _language(
     [".cs"],
-    TO_END, BLOCK, r'(?:@\$?|\$@)"(?:[^"]++|"")*+"', TRIPLE_RAW, rf'\$"(?:[^"\\{{\n]++|\\.|\{{\{{|{_FIELD}|\{{)*+"', DOUBLE, SINGLE,
+    r"/\"'@$", TO_END, BLOCK, r'(?:@\$?|\$@)"(?:[^"]++|"")*+"', TRIPLE_RAW, rf'\$"(?:[^"\\{{\n]++|\\.|\{{\{{|{_FIELD}|\{{)*+"', DOUBLE, SINGLE,
 )
-_language([".kt", ".kts"], TO_END, BLOCK_NESTED, TRIPLE_RAW, rf'"(?:[^"\\$\n]++|\\.|\${_FIELD}|\$)*+"', SIGN)
+_language([".kt", ".kts"], r"/\"'", TO_END, BLOCK_NESTED, TRIPLE_RAW, rf'"(?:[^"\\$\n]++|\\.|\${_FIELD}|\$)*+"', SIGN)
 _language(
     [".swift"],
-    TO_END, BLOCK_NESTED, r'(?<hashes>#+)".*?"\k<hashes>', TRIPLE, rf'"(?:[^"\\\n]++|\\{_put_in("(", ")", DOUBLE)}|\\.)*+"',
+    r"/\"#", TO_END, BLOCK_NESTED, r'(?<hashes>#+)".*?"\k<hashes>', TRIPLE, rf'"(?:[^"\\\n]++|\\{_put_in("(", ")", DOUBLE)}|\\.)*+"',
 )
 _language(
     [".php"],
-    r"#(?!\[)[^\n]*+", TO_END, BLOCK, r"<<<[ \t]*(?<quote>[\"']?)(?<word>\w+)\k<quote>\r?\n.*?\n?[ \t]*\k<word>\b", DOUBLE_LONG, SINGLE_LONG,
+    r"#/<\"'?", r"#(?!\[)[^\n]*+", TO_END, BLOCK, r"<<<[ \t]*(?<quote>[\"']?)(?<word>\w+)\k<quote>\r?\n.*?\n?[ \t]*\k<word>\b", DOUBLE_LONG, SINGLE_LONG,
     r"\?>(?:[^<]++|<(?!\?))*+(?:<\?(?:php|=)?|\z)",
 )
 _language(
     [".rb"],
-    r"(?m:^=begin\b.*?^=end\b[^\n]*+)", r"(?m:^__END__$.*+)", r"#[^\n]*+",
+    r"=_#<\"'%", r"(?m:^=begin\b.*?^=end\b[^\n]*+)", r"(?m:^__END__$.*+)", r"#[^\n]*+",
     r"<<[~-]?(?<quote>[\"'`]?)(?<word>[A-Z_]\w*)\k<quote>[^\n]*+\n.*?\n?[ \t]*\k<word>\b",
     rf'"(?:[^"\\#]++|\\.|#{_FIELD}|#)*+"', SINGLE_LONG,
     r"(?<![\w)])%[qQwWiI]?(?:\([^()]*+\)|\[[^\[\]]*+\]|\{[^{}]*+\})",
@@ -96,15 +101,11 @@ _language(
 COMMENTS = ["//", "/*", "#", "=begin", "__END__"]
 
 
-def tokens_and_code(text: Column, scanner: str) -> tuple[Column, Column]:
-    """The tokens a scanner finds, and the pieces of code before, between and after them."""
-    return F.regexp_extract_all(text, F.lit(f"({scanner})"), 1), F.split(text, scanner)
-
-
-def joined(code: Column, tokens: Column) -> Column:
-    """Pieces of code with what is left of each token between them."""
-    empty = F.lit("")
-    return F.array_join(F.zip_with(code, tokens, lambda c, t: F.concat(F.coalesce(c, empty), F.coalesce(t, empty))), "")
+def masked(text: Column, scanner: str, left: Callable[[Column], Column]) -> Column:
+    """The text with what is ``left`` of each token that the scanner finds."""
+    marked = F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(" ")), f"({scanner})", f"{MARK}$1{MARK}")
+    pieces = F.transform(F.split(marked, MARK), lambda piece, n: F.when(n % 2 == 1, left(piece)).otherwise(piece))
+    return F.array_join(pieces, "")
 
 
 def breaks(token: Column, mark: str = "") -> Column:
@@ -120,12 +121,22 @@ def _is_comment(token: Column) -> Column:
     return starts & ~token.rlike(r'\A#+"')
 
 
+def emptied(token: Column, comment: Column) -> Column:
+    """Nothing of a comment and the quotes of anything else, line breaks apart."""
+    one_line = ~F.contains(token, F.lit("\n"))
+    return (
+        F.when(comment, F.when(one_line, "").otherwise(breaks(token)))
+        .when(one_line, '""')
+        .otherwise(F.concat(F.lit('""'), breaks(token, INSIDE)))
+    )
+
+
 def _emptied(token: Column) -> Column:
-    return F.when(_is_comment(token), breaks(token)).otherwise(F.concat(F.lit('""'), breaks(token, INSIDE)))
+    return emptied(token, _is_comment(token))
 
 
 def _named(token: Column) -> Column:
-    plain = token.rlike(r"\A[\"'][^\n]*+\z")
+    plain = (F.startswith(token, F.lit('"')) | F.startswith(token, F.lit("'"))) & ~F.contains(token, F.lit("\n"))
     return F.when(plain, token).otherwise(_emptied(token))
 
 
@@ -133,8 +144,7 @@ def _by_language(ext: Column, text: Column, left: Column, exts: list[str]) -> Co
     out = None
     for scanner in dict.fromkeys(TOKENS[e] for e in exts if e in TOKENS):
         here = ext.isin([e for e in exts if TOKENS.get(e) == scanner])
-        tokens, code = tokens_and_code(text, scanner)
-        value = joined(code, F.transform(tokens, left))
+        value = masked(text, scanner, left)
         out = F.when(here, value) if out is None else out.when(here, value)
     return text if out is None else out.otherwise(text)
 

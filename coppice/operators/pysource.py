@@ -27,9 +27,9 @@ from coppice.schema import ENTRY
 _FIELD = r"\{(?:[^{}'\"\n]++|\"[^\"\n]*+\"|'[^'\n]*+'|\{[^{}\n]*+\})*+\}"
 _PUT_IN = rf"(?<!\w)(?:[fF][rR]?|[rR][fF])%s(?!%s%s)(?:[^%s\\\n{{]++|\\.|\{{\{{|{_FIELD}|\{{)*+(?:%s|(?=\n)|\z)"
 STRING = (
-    r"(?s)\"\"\"(?:[^\"\\]++|\\.|\"(?!\"\"))*+\"\"\"|'''(?:[^'\\]++|\\.|'(?!''))*+'''"
+    r"(?s)(?=[\"'#fFrR])(?:\"\"\"(?:[^\"\\]++|\\.|\"(?!\"\"))*+\"\"\"|'''(?:[^'\\]++|\\.|'(?!''))*+'''"
     rf"|{_PUT_IN.replace('%s', chr(34))}|{_PUT_IN.replace('%s', chr(39))}"
-    r"|\"(?:[^\"\\\n]++|\\.)*+(?:\"|(?=\n)|\z)|'(?:[^'\\\n]++|\\.)*+(?:'|(?=\n)|\z)|#[^\n]*+"
+    r"|\"(?:[^\"\\\n]++|\\.)*+(?:\"|(?=\n)|\z)|'(?:[^'\\\n]++|\\.)*+(?:'|(?=\n)|\z)|#[^\n]*+)"
 )
 HEADER = r"^\s*(?:async\s+)?(def|class)\s+(\w+)"
 #: Starts a line that cannot lie in brackets.
@@ -38,9 +38,7 @@ RESUMES = r"^\s*(?:(?:async\s+)?(?:def|class)\s+\w|import\s+\w|from\b[\s.\w]*\bi
 
 def masked(text: Column) -> Column:
     """The text with comments and the insides of strings taken out, line for line."""
-    tokens, code = lexis.tokens_and_code(text, STRING)
-    left = lambda t: F.when(F.startswith(t, F.lit("#")), "").otherwise(F.concat(F.lit('""'), lexis.breaks(t, INSIDE)))
-    return lexis.joined(code, F.transform(tokens, left))
+    return lexis.masked(text, STRING, lambda token: lexis.emptied(token, F.startswith(token, F.lit("#"))))
 
 
 def _lines(contents: DataFrame, wanted: str, code: Column | None = None) -> DataFrame:

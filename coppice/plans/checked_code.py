@@ -61,42 +61,6 @@ def _rows(rows: list[tuple], columns: list[str]) -> str:
 
 # ---------------------------------------------------------------- symbols
 
-_SQL = lambda text: text.replace("'", "''")
-
-
-def _line_case(column: str) -> str:
-    out = []
-    for p in symbols.LINES:
-        exts = ", ".join(f"'{e}'" for e in p.exts)
-        but = f" AND NOT regexp_matches(raw, '{_SQL(p.but_not)}')" if p.but_not else ""
-        value = {
-            "kind": f"'{p.kind}'",
-            "name": f"regexp_extract(raw, '{_SQL(p.regex)}', 1)",
-            "method": f"'{p.method}'",
-        }[column]
-        out.append(f"WHEN ext IN ({exts}) AND regexp_matches(raw, '{_SQL(p.regex)}'){but} THEN {value}")
-    return f"CASE {' '.join(out)} END"
-
-
-_LINES = f"""
-lines AS (SELECT repo, path, {R.ext_of()} AS ext, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line_start FROM @CODE c)
-"""
-
-
-@checked(
-    f"""
-WITH {_LINES}, found AS (SELECT *, {_line_case('kind')} AS kind, {_line_case('name')} AS name, {_line_case('method')} AS method FROM lines)
-SELECT repo, path, line_start, kind, name, method,
-  CASE WHEN ext IN ('.py', '.rb') THEN name NOT LIKE '\\_%' ESCAPE '\\' WHEN ext IN ('.js', '.ts') THEN contains(raw, 'export ') WHEN ext = '.go' THEN regexp_matches(name, '^[A-Z]')
-    WHEN ext = '.rs' THEN contains(raw, 'pub ') WHEN ext = '.java' THEN contains(raw, 'public ') WHEN ext IN ('.php', '.kt') THEN NOT contains(raw, 'private') ELSE true END AS public
-FROM found WHERE kind IS NOT NULL
-"""
-)
-def symbols_by_line(spark, sf_dir):
-    """Line patterns of every language, with the visibility rule."""
-    return symbols.line_symbols(_contents(spark, sf_dir)).drop("snapshot")
-
-
 _PY_SYMBOLS = _rows(
     [
         (0, "true", "'class'", "'Box' || k", "true", "'Holds one thing.'", "4 + c + 1", "4 + c + 8", "NULL", "'indent'"),
@@ -146,6 +110,34 @@ _SPAN_ROWS = [
 _SPAN_SQL = _rows(_SPAN_ROWS, ["line_start", "line_end", "kind", "name", "public", "parent"])
 
 
+# By line, Python knows no scopes: only the underscore counts.
+_PY_LINES = _rows(
+    [
+        (0, "true", "4 + c + 1", "'class'", "'Box' || k", "true"),
+        (0, "true", "4 + c + 5", "'def'", "'get'", "true"),
+        (0, "true", "4 + c + 7", "'def'", "'_set'", "false"),
+        (0, "true", "4 + c + 9", "'def'", "'load_' || k", "true"),
+        (0, "true", "4 + c + 11", "'def'", "'local'", "true"),
+        (1, "true", "5 + c + 1", "'def'", "'_hidden' || k", "false"),
+        (1, "k % 24 = 1", "5 + c + 3", "'def'", "'broken'", "true"),
+        (10, "true", "1 + c + 1", "'def'", "'test_it'", "true"),
+    ],
+    ["line_start", "kind", "name", "public"],
+)
+_BY_REGEX = ", ".join(f"'{e}'" for e in (".py", ".js", ".ts", ".go", ".rs"))
+
+
+@checked(
+    f"""
+WITH {_SRC}, s AS ({_SPAN_SQL}), p AS ({_PY_LINES}), both_ AS (SELECT repo, path, line_start, kind, name, public FROM s UNION ALL SELECT repo, path, line_start, kind, name, public FROM p)
+SELECT *, CASE WHEN {R.ext_of()} IN ({_BY_REGEX}) THEN 'regex' ELSE 'pattern' END AS method FROM both_
+"""
+)
+def symbols_by_line(spark, sf_dir):
+    """Line patterns of every language, with the visibility rule, against rows written by hand."""
+    return symbols.line_symbols(_contents(spark, sf_dir)).drop("snapshot")
+
+
 @checked(f"WITH {_SRC} {_SPAN_SQL}")
 def brace_spans(spark, sf_dir):
     """Line spans of brace languages; methods of Rust types know their type."""
