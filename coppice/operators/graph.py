@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from coppice.functions import paths
 from coppice.operators.skew import first_n, numbered, salted_join, skew_join
 from coppice.schema import TREE
-from coppice.session import Newest, Rounds, cut, is_empty, loop_settings
+from coppice.session import Folder, Newest, Rounds, cut, is_empty, loop_settings
 
 EDGE = [*TREE, "src", "dst"]
 
@@ -70,32 +70,47 @@ def _coded(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, cut(skew_join(half, targets, [*TREE, "dst"], ["src"]).select("a", "b"), "links")
 
 
+def _follow(frontier: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows of ``frontier`` (``node`` and others) for every link from their node, which ends in ``b``.
+
+    The links of a hub are split by the adaptive skew join: what comes of them
+    is grouped anew in any case.
+    """
+    return frontier.join(links.withColumnRenamed("a", "node"), "node")
+
+
+HOPS = 4
+
+
 def _reach(links: DataFrame, seeds: DataFrame) -> DataFrame:
     """Numbers reached from ``seeds`` (``node`` and maybe ``root``), with the distance.
 
-    Breadth first: the last round's finds are joined with the links, and what
-    any round has found before is taken out.
+    Breadth first, ``HOPS`` steps in each written round: what the last step
+    found goes on along the links, and the smallest distance of each node stays.
     """
     spark = links.sparkSession
     key = [c for c in ("root", "node") if c in seeds.columns]
     keep = [c for c in key if c != "node"]
+    nothing = F.lit(None).cast("int")
     with loop_settings(spark):
-        rounds = Rounds(spark, "reach")
-        frontier = cut(seeds.select(*key).distinct().withColumn("dist", F.lit(0)), "seeds")
-        like = frontier
-        dist, seen = 0, None
-        while not is_empty(frontier):
-            dist += 1
-            found = (
-                frontier.join(links, F.col("node") == F.col("a"))
-                .select(*keep, F.col("b").alias("node"))
-                .distinct()
-            )
-            if seen is not None:
-                found = found.join(seen.select(*key), key, "left_anti")
-            frontier = rounds.add(found.select(*key, F.lit(dist).alias("dist")))
-            seen = rounds.all(like)
-        return rounds.all(like) if dist else like
+        state = _follow(seeds.select(*key).distinct(), links).select(*keep, F.col("b").alias("node")).distinct()
+        state = state.select(*key, F.lit(1).alias("dist"), F.lit(True).alias("moved"))
+        rounds = Newest(spark, "reach")
+        while True:
+            for _ in range(HOPS):
+                sent = _follow(state.where("moved").select(*key, "dist"), links).select(
+                    *keep, F.col("b").alias("node"), (F.col("dist") + 1).alias("dist"), nothing.alias("before")
+                )
+                state = (
+                    state.select(*key, "dist", F.col("dist").alias("before"))
+                    .unionByName(sent)
+                    .groupBy(*key)
+                    .agg(F.min("dist").alias("dist"), F.min("before").alias("before"))
+                    .select(*key, "dist", F.col("before").isNull().alias("moved"))
+                )
+            state = rounds.set(state)
+            if is_empty(state.where("moved")):
+                return state.drop("moved")
 
 
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -143,6 +158,85 @@ def impact(edges: DataFrame, roots: DataFrame, reverse: bool = False) -> DataFra
     )
 
 
+def _levels(dag: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, level``: the longest way from each node of an acyclic graph to one without links."""
+    back = dag.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    state = nodes.select("node", F.lit(0).alias("level"), F.lit(True).alias("moved"))
+    nothing = F.lit(None).cast("int")
+    rounds = Newest(dag.sparkSession, "levels")
+    while True:
+        for _ in range(HOPS):
+            sent = _follow(state.where("moved").select("node", "level"), back).select(
+                F.col("b").alias("node"), (F.col("level") + 1).alias("level"), nothing.alias("before")
+            )
+            state = (
+                state.select("node", "level", F.col("level").alias("before"))
+                .unionByName(sent)
+                .groupBy("node")
+                .agg(F.max("level").alias("level"), F.max("before").alias("before"))
+                .select("node", "level", (F.col("level") > F.col("before")).alias("moved"))
+            )
+        state = rounds.set(state)
+        if is_empty(state.where("moved")):
+            return state.drop("moved")
+
+
+def impact_counts(edges: DataFrame, reverse: bool = False) -> DataFrame:
+    """For every file of the graph: how many files it depends on, ``direct`` and in all (or, reversed, that depend on it).
+
+    Files that can reach each other become one node first.  What a node of the
+    acyclic rest reaches is a row of bits for every 64 files of its tree.  Nodes
+    are done level by level from those without links on: a node's bits are its
+    own files' and those sent by the nodes it links to, and are sent on once
+    along each link, so no round moves what earlier rounds found.
+    """
+    spark = edges.sparkSession
+    graph = (reversed_edges(edges) if reverse else edges).where(F.col("src") != F.col("dst"))
+    with loop_settings(spark):
+        nodes, links, members = _members(graph)
+        labels_ = nodes.join(members.withColumnRenamed("node", "id"), "id", "left").select(
+            *TREE, "node", "id", F.coalesce("label", "id").alias("label")
+        )
+        placed = cut(numbered(labels_, TREE, [F.col("label"), F.col("node")], "n"), "placed")
+        by_id = placed.select(F.col("id").alias("a"), F.col("label").alias("_a"))
+        to_id = placed.select(F.col("id").alias("b"), F.col("label").alias("_b"))
+        between = skew_join(skew_join(links, by_id, ["a"], ["b"]), to_id, ["b"], ["a"])
+        dag = cut(between.where("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct(), "dag")
+        level = _levels(dag, placed.select(F.col("label").alias("node")).distinct())
+        top = level.agg(F.max("level")).first()[0]
+
+        rounds = Folder(spark, "reach-bits")
+        n = F.col("n") - 1
+        own = placed.groupBy(F.col("label").alias("node"), F.floor(n / 64).cast("int").alias("block")).agg(
+            F.expr("bit_or(shiftleft(1L, cast((n - 1) % 64 AS int)))").alias("bits")
+        )
+        own.join(level, "node").write.partitionBy("level").parquet(rounds.path("own"))
+        uses = cut(dag.join(level.select(F.col("node").alias("a"), F.col("level").alias("for")), "a").select("b", "a", "for"), "uses")
+        schema = "node bigint, block int, bits bigint"
+        for now in range(0 if top is None else top + 1):
+            held = spark.read.schema(schema).parquet(rounds.path(f"own/level={now}"))
+            if now:
+                sent = spark.read.schema(schema).parquet(rounds.path(f"sent/from=*/for={now}"))
+                held = held.unionByName(sent).groupBy("node", "block").agg(F.expr("bit_or(bits)").alias("bits"))
+            held.write.parquet(rounds.path(f"done/level={now}"))
+            done = spark.read.schema(schema).parquet(rounds.path(f"done/level={now}"))
+            if now < top:
+                onward = skew_join(uses.withColumnRenamed("b", "node"), done, ["node"], ["a"])
+                onward.select(F.col("a").alias("node"), "block", "bits", "for").write.partitionBy("for").parquet(
+                    rounds.path(f"sent/from={now}")
+                )
+            rounds.drop(f"sent/from=*/for={now}")
+        every = [rounds.path(f"done/level={k}") for k in range(0 if top is None else top + 1)]
+        bits = spark.read.schema(schema).parquet(*every) if every else spark.createDataFrame([], schema)
+        reached = bits.groupBy(F.col("node").alias("label")).agg(F.sum(F.bit_count("bits")).alias("files"))
+        direct = links.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("direct"))
+        return (
+            placed.join(reached, "label")
+            .join(direct, "id", "left")
+            .select(*TREE, F.col("node").alias("path"), F.coalesce("direct", F.lit(0)).alias("direct"), (F.col("files") - 1).alias("files"))
+        )
+
+
 def impact_in_order(edges: DataFrame, roots: DataFrame, reverse: bool = False) -> DataFrame:
     """``impact`` with the place ``pos`` of each node in a breadth-first walk.
 
@@ -361,6 +455,26 @@ def _core_components(links: DataFrame) -> DataFrame:
     return cut(found.join(several, "label", "left_semi").select("node", "label"), "found")
 
 
+def _members(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Numbered nodes and links of a graph without loops, and ``node, label`` of every node on some cycle."""
+    nodes, links = _coded(edges)
+    shorter, inner, rings = _contracted(links)
+    # A chain from a node back to itself is a ring through that node.
+    loops = shorter.where(F.col("a") == F.col("b")).select(F.col("a").alias("node"))
+    core = _core_components(shorter.where(F.col("a") != F.col("b")))
+    alone = loops.join(core.select("node"), "node", "left_anti")
+    groups = cut(core.unionByName(alone.select("node", F.col("node").alias("label"))), "groups")
+    by_head = groups.select(F.col("node").alias("head"), "label")
+    by_tail = groups.select(F.col("node").alias("tail"), F.col("label").alias("_tail_label"))
+    on_chain = (
+        inner.join(by_head, "head")
+        .join(by_tail, "tail")
+        .where(F.col("label") == F.col("_tail_label"))
+        .select("node", "label")
+    )
+    return nodes, links, groups.unionByName(on_chain).unionByName(rings).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``repo, snapshot, node, component`` for every file on some cycle.
 
@@ -369,22 +483,7 @@ def components(edges: DataFrame) -> DataFrame:
     log2 of its length in rounds.
     """
     with loop_settings(edges.sparkSession):
-        nodes, links = _coded(without_declarations(edges).where(F.col("src") != F.col("dst")))
-        shorter, inner, rings = _contracted(links)
-        # A chain from a node back to itself is a ring through that node.
-        loops = shorter.where(F.col("a") == F.col("b")).select(F.col("a").alias("node"))
-        core = _core_components(shorter.where(F.col("a") != F.col("b")))
-        alone = loops.join(core.select("node"), "node", "left_anti")
-        groups = cut(core.unionByName(alone.select("node", F.col("node").alias("label"))), "groups")
-        by_head = groups.select(F.col("node").alias("head"), "label")
-        by_tail = groups.select(F.col("node").alias("tail"), F.col("label").alias("_tail_label"))
-        on_chain = (
-            inner.join(by_head, "head")
-            .join(by_tail, "tail")
-            .where(F.col("label") == F.col("_tail_label"))
-            .select("node", "label")
-        )
-        members = groups.unionByName(on_chain).unionByName(rings).distinct()
+        nodes, _, members = _members(without_declarations(edges).where(F.col("src") != F.col("dst")))
         named = cut(members.withColumnRenamed("node", "id").join(nodes, "id").drop("id"), "members")
         names = named.groupBy("label").agg(F.min("node").alias("component"))
         return skew_join(named, names, ["label"], ["node"]).select(*TREE, "node", "component")
@@ -397,9 +496,11 @@ def cycle_sizes(components_: DataFrame) -> DataFrame:
 def witness_cycles(edges: DataFrame, components_: DataFrame) -> DataFrame:
     """One shortest cycle through the smallest file of each component.
 
-    Rows ``component, pos, path``; the last row is the first file again.  The
-    route back is followed one level at a time over distances, so no component
-    is ever gathered in one place.
+    Rows ``component, pos, path``; the last row is the first file again.  Every
+    file's next one on its shortest way to the root is known from distances.
+    The way from the root is then laid out by doubling: pointers over 1, 2, 4,
+    ... files, and from the longest to the shortest every place known gives the
+    one that far behind it.
     """
     spark = edges.sparkSession
     graph = without_declarations(edges)
@@ -409,45 +510,38 @@ def witness_cycles(edges: DataFrame, components_: DataFrame) -> DataFrame:
         inside = cut(
             graph.join(member, [*TREE, "src"])
             .join(other, [*TREE, "dst"])
-            .where(F.col("component") == F.col("_c"))
+            .where((F.col("component") == F.col("_c")) & (F.col("src") != F.col("dst")))
             .select(*EDGE, "component"),
             "inside",
         )
         roots = components_.where(F.col("node") == F.col("component"))
-        # Distance to the root, walking edges backwards from it.
-        seeds = roots.select(*TREE, F.col("component").alias("root"), "node")
-        dist = cut(
-            reachable(reversed_edges(inside), seeds).select(
-                *TREE, F.col("root").alias("component"), F.col("node").alias("dst"), "dist"
-            ),
-            "dist",
-        )
-        at = cut(
-            roots.select(*TREE, "component", F.col("node").alias("src"), F.lit(0).alias("pos")), "at"
-        )
-        total = dist.where(F.col("dst") == F.col("component")).select(
-            *TREE, "component", F.col("dist").alias("length")
-        )
+        # Distance to the root, walking edges backwards from it; the root's own is the cycle's length.
+        seeds = roots.select(*TREE, "node")
+        dist = cut(reachable(reversed_edges(inside), seeds), "dist")
+        home = dist.select(*TREE, F.col("node").alias("src"), F.col("dist").alias("_from"))
+        to = dist.select(*TREE, F.col("node").alias("dst"), "dist")
         # The root itself is at distance 0 when it closes the cycle.
-        target = dist.where(F.col("dst") != F.col("component")).unionByName(
-            roots.select(*TREE, "component", F.col("component").alias("dst"), F.lit(0).alias("dist"))
+        left = F.when(F.col("dst") == F.col("component"), 0).otherwise(F.col("dist"))
+        onward = (
+            inside.join(home, [*TREE, "src"])
+            .join(to, [*TREE, "dst"])
+            .where(left == F.col("_from") - 1)
+            .groupBy(*TREE, "component", "src")
+            .agg(F.min("dst").alias("next"))
         )
-        rounds = Rounds(spark, "witness")
-        rounds.add(at)
-        while True:
-            ahead = (
-                at.join(total, [*TREE, "component"])
-                .where(F.col("pos") < F.col("length"))
-                .join(inside, [*TREE, "component", "src"])
-                .join(target, [*TREE, "component", "dst"])
-                .where(F.col("dist") == F.col("length") - F.col("pos") - 1)
-                .groupBy(*TREE, "component", (F.col("pos") + 1).alias("pos"))
-                .agg(F.min("dst").alias("src"))
-            )
-            at = rounds.add(ahead.select(*at.columns))
-            if is_empty(at):
-                break
-        return rounds.all(at).select(*TREE, "component", "pos", F.col("src").alias("path"))
+        pointers = [cut(onward.select(*TREE, "src", "next"), "next")]
+        lengths = roots.join(dist, [*TREE, "node"]).select(*TREE, "component", F.col("dist").alias("length"))
+        longest = lengths.agg(F.max("length")).first()[0] or 0
+        while 1 << len(pointers) < longest:
+            hop = pointers[-1].select(*TREE, F.col("src").alias("next"), F.col("next").alias("_far"))
+            pointers.append(cut(pointers[-1].join(hop, [*TREE, "next"]).select(*TREE, "src", F.col("_far").alias("next")), "next"))
+        at = cut(lengths.select(*TREE, "component", "length", F.lit(0).alias("pos"), F.col("component").alias("path")), "at")
+        for k in reversed(range(len(pointers))):
+            hop = pointers[k].select(*TREE, F.col("src").alias("path"), "next")
+            further = at.join(hop, [*TREE, "path"]).withColumn("pos", F.col("pos") + (1 << k)).where("pos < length")
+            at = cut(at.unionByName(further.select(*TREE, "component", "length", "pos", F.col("next").alias("path"))), "at")
+        closing = lengths.select(*TREE, "component", F.col("length").alias("pos"), F.col("component").alias("path"))
+        return at.drop("length").unionByName(closing).select(*TREE, "component", "pos", "path")
 
 
 # ---------------------------------------------------------------- reports on files

@@ -93,6 +93,24 @@ class Newest:
         return self._spark.read.schema(df.schema).parquet(folder)
 
 
+class Folder:
+    """A folder of its own in the shared folder, for loops that write several tables."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self._spark = spark
+        self._base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def path(self, table: str) -> str:
+        return f"{self._base}/{table}"
+
+    def drop(self, pattern: str) -> None:
+        """Delete the tables whose names match."""
+        path = self._spark._jvm.org.apache.hadoop.fs.Path(self.path(pattern))
+        system = path.getFileSystem(self._spark._jsc.hadoopConfiguration())
+        for found in system.globStatus(path) or []:
+            system.delete(found.getPath(), True)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` once to the shared folder and return it as read back."""
     return Rounds(df.sparkSession, name).add(df)

@@ -91,3 +91,23 @@ def test_no_cycles(spark):
 def test_two_repos_do_not_mix(spark):
     both = frame(spark, [("a", "b"), ("b", "a")], "x").unionByName(frame(spark, [("a", "b")], "y"))
     assert sorted((r["repo"], r["node"]) for r in graph.components(both).collect()) == [("x", "a"), ("x", "b")]
+
+
+def test_impact_counts(spark):
+    edges = random_edges(8, 60, 75)
+    df = frame(spark, edges).unionByName(frame(spark, [("x", "y"), ("y", "x"), ("x", "x")], "other"))
+    got = {(r["repo"], r["path"]): (r["direct"], r["files"]) for r in graph.impact_counts(df).collect()}
+    want = {("r", n): (sum(a == n for a, _ in edges), len(set(walk(edges, n)[0]) - {n})) for n in {x for e in edges for x in e}}
+    assert got == want | {("other", "x"): (1, 1), ("other", "y"): (1, 1)}
+
+
+def test_long_way_round(spark):
+    """The route of a ring is laid out by doubling; distances go on over several written rounds."""
+    ring = [(f"a{i:05}", f"a{(i + 1) % 11:05}") for i in range(11)]
+    df = frame(spark, [*ring, ("t", "a00003")])
+    members = spark.createDataFrame([("r", "head", a, "a00000") for a, _ in ring], "repo string, snapshot string, node string, component string")
+    rows = graph.witness_cycles(df, members).orderBy("pos").collect()
+    assert [r["path"] for r in rows] == [f"a{i % 11:05}" for i in range(12)]
+    seeds = df.where("src = 't'").select("repo", "snapshot", F.col("src").alias("node"))
+    got = {r["node"]: r["dist"] for r in graph.reachable(df, seeds).collect()}
+    assert got == {f"a{(3 + k) % 11:05}": k + 1 for k in range(11)}
