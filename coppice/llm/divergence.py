@@ -286,23 +286,25 @@ FIELDS = [
 
 
 def _with_references(docs: DataFrame, known: References) -> list[DataFrame]:
-    """``docs``, in two parts if some languages have their references in the table: those come with them."""
+    """``docs`` as a column ``doc``, in two parts if some languages have their references in the table: those come along as ``own``."""
+    rows = docs.select(F.struct(*docs.columns).alias("doc"))
     if known.rare is None:
-        return [docs]
-    here = F.col("lang").isNull() | F.col("lang").isin(known.languages)
-    return [docs.where(here), docs.where(~here).join(known.rare, "lang", "left").select(*docs.columns, "classes", "common", "shares")]
+        return [rows]
+    here = F.col("doc.lang").isNull() | F.col("doc.lang").isin(known.languages)
+    rare = known.rare.select(F.col("lang").alias("own_lang"), F.struct("classes", "common", "shares").alias("own"))
+    return [rows.where(here), rows.where(~here).join(rare, F.col("doc.lang") == F.col("own_lang"), "left").select("doc", "own")]
 
 
 def _measured(batch: pa.RecordBatch, known: References) -> list[tuple]:
-    langs = batch.column(batch.schema.get_field_index("lang")).to_pylist()
+    docs = pa.RecordBatch.from_struct_array(batch.column(0))
+    langs = docs.column(docs.schema.get_field_index("lang")).to_pylist()
     own: list[References | None] = [None] * batch.num_rows
-    if "common" in batch.schema.names:
-        columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("classes", "common", "shares")]
+    if batch.num_columns > 1:
         own = [
-            None if classes is None else References({lang: (np.array(classes), dict(zip(common or [], shares or [], strict=True)))})
-            for lang, classes, common, shares in zip(langs, *columns, strict=True)
+            row and References({lang: (np.array(row["classes"]), dict(zip(row["common"] or [], row["shares"] or [], strict=True)))})
+            for lang, row in zip(langs, batch.column(1).to_pylist(), strict=True)
         ]
-    return [measured(text, lang, known, o) for text, lang, o in zip(texts(batch), langs, own, strict=True)]
+    return [measured(text, lang, known, o) for text, lang, o in zip(texts(docs), langs, own, strict=True)]
 
 
 def judged(docs: DataFrame, known: References | None = None) -> DataFrame:
@@ -313,7 +315,7 @@ def judged(docs: DataFrame, known: References | None = None) -> DataFrame:
         for batch in slices(batches):
             rows = _measured(batch, known)
             columns = [pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(FIELDS)]
-            yield pa.record_batch([batch.column(0), *columns], names=["doc_id", *(n for n, _ in FIELDS)])
+            yield pa.record_batch([batch.column(0).field("doc_id"), *columns], names=["doc_id", *(n for n, _ in FIELDS)])
 
     kind = (
         "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
@@ -333,4 +335,4 @@ def passing(docs: DataFrame, known: References | None = None) -> DataFrame:
             yield batch.filter(pa.array([row[kept] for row in _measured(batch, known)], pa.bool_()))
 
     parts = _with_references(docs, known)
-    return reduce(DataFrame.unionByName, [part.mapInArrow(keep, part.schema).select(*docs.columns) for part in parts])
+    return reduce(DataFrame.unionByName, [part.mapInArrow(keep, part.schema).select("doc.*") for part in parts])

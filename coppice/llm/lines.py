@@ -17,9 +17,13 @@ halves occur in no other line cannot have a partner; they emit no variants.
 That costs two short keys a line and spares most of the rows.
 
 Lines of fewer than ``MIN_WORDS`` words (headings, list marks, blank lines)
-are left alone.  Results for odd input: a null text has no lines and stays
-null; rows that repeat a ``doc_id`` are one document; rows without ``doc_id``
-come before all others; very long lines cost as much as their words.
+are left alone.  A document is a ``doc_id`` with a text, told apart by hash and
+length: rows that share a ``doc_id`` but not the text, or have none, are
+documents of their own, in the order of their hashes.
+
+Results for odd input: a null text has no lines and stays null; rows that
+repeat ``doc_id`` and text are one document; rows without ``doc_id`` come before
+all others; very long lines cost as much as their words.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from coppice.llm.words import WORD, word_list
 from coppice.session import cut
 
 MIN_WORDS = 8
+PLACE = ["doc_id", "body", "line_no"]
 BLOCK = 64
 
 
@@ -38,13 +43,18 @@ def _same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+def _body(text: str) -> Column:
+    """What tells the texts of one ``doc_id`` apart."""
+    return F.struct(F.xxhash64(text).alias("hash"), F.length(text).alias("length"))
+
+
 def line_rows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Long lines: their place, a hash of their words, and hashes of their halves."""
     lines = docs.where("text IS NOT NULL").select(
-        F.col("doc_id").cast("bigint"), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line")
+        F.col("doc_id").cast("bigint"), _body("text").alias("body"), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line")
     )
     lines = lines.where(F.regexp_count("line", F.lit(WORD)) >= min_words)
-    words = lines.select("doc_id", "line_no", word_list(F.col("line")).alias("words"))
+    words = lines.select(*PLACE, word_list(F.col("line")).alias("words"))
     words = words.withColumn("n", F.size("words"))
     ends = []
     for less in (0, 1):  # as it is, and as the longer of two lines
@@ -52,13 +62,13 @@ def line_rows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         half = (m / 2).cast("int")
         ends.append(F.xxhash64(F.lit("head"), m, F.slice("words", F.lit(1), half)))
         ends.append(F.xxhash64(F.lit("tail"), m, F.slice("words", F.col("n") - half + 1, half)))
-    return words.select("doc_id", "line_no", F.xxhash64("words").alias("line"), F.array(*ends).alias("ends"))
+    return words.select(*PLACE, F.xxhash64("words").alias("line"), F.array(*ends).alias("ends"))
 
 
 def _distinct(lines: DataFrame) -> DataFrame:
     """Each different line with its earliest place and how often it occurs."""
     return lines.groupBy("line").agg(
-        F.min(F.struct("doc_id", "line_no")).alias("place"), F.first("ends").alias("ends"), F.count("*").alias("times")
+        F.min(F.struct(*PLACE)).alias("place"), F.first("ends").alias("ends"), F.count("*").alias("times")
     )
 
 
@@ -67,18 +77,19 @@ def _may_pair(distinct: DataFrame) -> DataFrame:
     keyed = distinct.select("line", F.explode("ends").alias("end"))
     shared = keyed.groupBy("end").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("end")
     chosen = keyed.join(shared, "end", "left_semi").select("line").distinct()
-    places = distinct.join(chosen, "line", "left_semi").select("line", "place.doc_id", "place.line_no")
-    return places.orderBy(F.asc_nulls_first("doc_id"), "line_no").withColumn("number", F.monotonically_increasing_id())
+    places = distinct.join(chosen, "line", "left_semi").select("line", "place.*")
+    return places.orderBy(F.asc_nulls_first("doc_id"), "body", "line_no").withColumn("number", F.monotonically_increasing_id())
 
 
 def _with_words(chosen: DataFrame, docs: DataFrame) -> DataFrame:
     """Number and words of the chosen lines, read again from their documents."""
-    asked = chosen.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "line", "number")).alias("asked"))
-    asked = asked.withColumnRenamed("doc_id", "asked_id")
-    texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("bigint"), F.split("text", "\n").alias("lines"))
-    rows = texts.join(asked, _same(F.col("doc_id"), F.col("asked_id"))).select("lines", F.explode("asked").alias("asked"))
+    asked = chosen.groupBy("doc_id", "body").agg(F.collect_list(F.struct("line_no", "line", "number")).alias("asked"))
+    asked = asked.withColumnsRenamed({"doc_id": "asked_id", "body": "asked_body"})
+    texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("bigint"), _body("text").alias("body"), F.split("text", "\n").alias("lines"))
+    same = _same(F.col("doc_id"), F.col("asked_id")) & (F.col("body") == F.col("asked_body"))
+    rows = texts.join(asked, same).select("lines", F.explode("asked").alias("asked"))
     words = rows.select("asked.*", word_list(F.get("lines", F.col("asked.line_no"))).alias("words"))
-    # A repeated doc_id may carry another text: only the line that was asked for counts.
+    # A document may be there several times.
     return words.where(F.xxhash64("words") == F.col("line")).dropDuplicates(["number"]).select("number", "words")
 
 
@@ -164,28 +175,32 @@ def _partners(words: DataFrame) -> DataFrame:
     return checked.groupBy(pairs["number"]).agg(F.min("partner").alias("partner"))
 
 
-def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Lines to take out: their place, the place of the earlier line, and ``edits`` between them (0 or 1)."""
+def _repeated(docs: DataFrame, min_words: int) -> DataFrame:
+    """Lines to take out: their place, the earlier line's place ``stays``, and ``edits`` between them (0 or 1)."""
     lines = cut(line_rows(docs, min_words), "lines")
     distinct = cut(_distinct(lines), "distinct-lines")
     chosen = cut(_may_pair(distinct), "chosen-lines")
     words = cut(_with_words(chosen, docs), "chosen-words")
     partners = _partners(words)
-    kept = chosen.select(F.col("number").alias("partner"), F.struct("doc_id", "line_no").alias("other"))
+    kept = chosen.select(F.col("number").alias("partner"), F.struct(*PLACE).alias("other"))
     near = partners.join(kept, "partner").join(chosen.select("number", "line"), "number").select("line", "other")
     known = distinct.select("line", "place", "times").join(near, "line", "left")
     # Written, so that Spark can split a line that very many documents have.
     known = cut(known.where((F.col("times") > 1) | F.col("other").isNotNull()).select("line", "place", "other"), "known-lines")
-    found = lines.select("doc_id", "line_no", "line").join(known, "line")
-    place = F.struct("doc_id", "line_no")
-    gone = found.where(F.col("other").isNotNull() | ~_same(place, F.col("place")))
-    stays = F.coalesce("other", "place")
-    return gone.select(
+    found = lines.select(*PLACE, "line").join(known, "line")
+    gone = found.where(F.col("other").isNotNull() | ~_same(F.struct(*PLACE), F.col("place")))
+    edits = F.when(F.col("other").isNotNull(), 1).otherwise(0)
+    return gone.select(*PLACE, F.coalesce("other", "place").alias("stays"), edits.alias("edits"))
+
+
+def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Lines to take out: their place, the place of the earlier line, and ``edits`` between them (0 or 1)."""
+    return _repeated(docs, min_words).select(
         "doc_id",
         F.col("line_no").cast("bigint"),
-        stays["doc_id"].alias("kept_doc_id"),
-        stays["line_no"].cast("bigint").alias("kept_line_no"),
-        F.when(F.col("other").isNotNull(), 1).otherwise(0).alias("edits"),
+        F.col("stays.doc_id").alias("kept_doc_id"),
+        F.col("stays.line_no").cast("bigint").alias("kept_line_no"),
+        "edits",
     )
 
 
@@ -194,13 +209,13 @@ def without_repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     ``n_chars``, where there is such a column, follows the text.
     """
-    gone = repeated(docs, min_words).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
-    gone = cut(gone.withColumnRenamed("doc_id", "gone_id"), "repeated-lines")
-    rows = docs.select(F.struct(*docs.columns).alias("doc")).join(
-        gone, _same(F.col("doc.doc_id").cast("bigint"), F.col("gone_id")), "left"
-    )
+    gone = _repeated(docs, min_words).groupBy("doc_id", "body").agg(F.collect_set("line_no").alias("gone"))
+    gone = cut(gone.withColumnsRenamed({"doc_id": "gone_id", "body": "gone_body"}), "repeated-lines")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"))
+    same = _same(F.col("doc.doc_id").cast("bigint"), F.col("gone_id")) & (_body("doc.text") == F.col("gone_body"))
+    rows = rows.join(gone, same, "left")
     lines = F.split("doc.text", "\n")
-    left = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("gone", i.cast("bigint"))), "\n")
+    left = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("gone", i)), "\n")
     rows = rows.select("doc", F.col("gone").isNotNull().alias("shorter"), F.when(F.col("gone").isNotNull(), left).alias("left"))
     rows = rows.where(~F.col("shorter") | F.coalesce(F.col("left").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
     changed = {"text": F.when(F.col("shorter"), F.col("left")).otherwise(F.col("doc.text"))}

@@ -201,6 +201,29 @@ def test_documents_less_their_repeated_lines(spark):
     assert lines.without_repeated(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("number", [None, 5])
+def test_rows_that_share_a_number_lose_only_their_own_lines(spark, number):
+    """Rows without ``doc_id``, and rows of one ``doc_id`` with several texts, are documents of their own."""
+    said = {c: " ".join([c, *"b c d e f g h i j".split()]) for c in "pqrstu"}
+    edit = said["p"].replace("j", "J2")
+    texts = ["\n".join(said[c] for c in cs) for cs in ("pqr", "stp", "suu")] + [edit]
+    df = frame(spark, [(number, t) for t in texts] + [(number, texts[0])])
+    left = sorted(r.text for r in lines.without_repeated(df, min_words=3).collect())
+    words = [x for text in left for x in text.split("\n")]
+    # All lines but their first words are alike, so one word changed makes any two a pair: one line is left in the corpus.
+    assert len(set(words)) == 1
+    different = {c: " ".join(f"{c}{k}" for k in range(9)) for c in "pqrstu"}
+    texts = ["\n".join(different[c] for c in cs) for cs in ("pqr", "stp", "sxu".replace("x", "q"))]
+    df = frame(spark, [(number, t) for t in texts] + [(number, texts[0])])
+    got = lines.without_repeated(df).collect()
+    kept = [x for r in got for x in r.text.split("\n")]
+    assert set(kept) == set(different.values())  # no line is lost
+    by_text = {t: [r.text for r in got if set(r.text.split("\n")) <= set(t.split("\n"))] for t in texts}
+    assert all(by_text.values())
+    # Each line stays in one document only; the two equal rows are one document.
+    assert sum(kept.count(x) - 1 for x in set(kept)) == len(texts[0].split("\n")) - sum(kept.count(different[c]) == 1 for c in "pqr")
+
+
 # --- benchmark ---
 
 

@@ -88,6 +88,20 @@ def test_references_count_every_document(spark):
     assert divergence.judged(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("many", [200, 1])
+def test_columns_named_as_the_rules_own(spark, monkeypatch, many):
+    """Input columns may have any name; with and without languages whose references come by a join."""
+    monkeypatch.setattr(divergence, "MANY", many)
+    rows = [(k, " ".join(f"w{(k + j) % 40}" for j in range(300)), "de" if k % 3 else "en", k, "c", [0.5], "d", "o") for k in range(60)]
+    schema = "doc_id bigint, text string, lang string, common int, classes string, shares array<double>, doc string, own string"
+    df = spark.createDataFrame(rows, schema)
+    plain = df.select("doc_id", "text", "lang")
+    kept = divergence.passing(df)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in divergence.passing(plain).collect())
+    assert sorted(map(tuple, divergence.judged(df).collect())) == sorted(map(tuple, divergence.judged(plain).collect()))
+
+
 def test_documents_of_small_languages_stay(spark, monkeypatch):
     """Clean texts of a language of under 0.5 % of the words, without a label, or in one too small for references."""
     rng = random.Random(6)
