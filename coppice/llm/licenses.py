@@ -2,11 +2,15 @@
 
 Every line of a file and every run of two or three lines is a sparse vector of
 its terms, weighted by how rare a term is among all lines of the corpus.  Its
-cosine with a template's vector tells how alike they are; the best one of the
-file counts, if it reaches ``ALIKE``.  Terms of no template only add to a run's
-length, which bounds its cosine: runs whose bound lies below the best one found
-are passed over, and nothing else is.  In a licence file (by its name) the whole text is compared
-with the templates' full notices as well.
+cosine with a template's vector tells how alike they are.  A template counts
+for a run if the cosine reaches ``ALIKE`` and both say the same telling terms:
+versions, and words that one licence has and its relatives have not.  The best
+run of the file decides.  Where two licences come within ``MARGIN`` on that run,
+the one with more templates found in the file is taken, else the licence is
+``unknown``.  Terms of no template only add to a run's length, which bounds its
+cosine: runs whose bound lies below ``ALIKE`` are passed over, and nothing else
+is.  In a licence file (by its name) the whole text is compared as well.  A line
+``SPDX-License-Identifier:`` is taken literally and before everything else.
 
 A file without a notice of its own takes the licence of the nearest directory
 above it that has a licence file.  Directories, not files, are joined with
@@ -15,12 +19,14 @@ counts, then the smallest path.
 
 Results for odd input: null or empty texts have no notice, but inherit; a null
 path is a file at no place, which neither inherits nor hands down; repeated
-rows give repeated results; an empty corpus gives an empty result.
+rows give repeated results; an empty corpus gives an empty result.  Without a
+notice ``similarity`` and ``line`` are null.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,28 +39,72 @@ from coppice.llm.words import slices, texts
 from coppice.session import cut
 
 ALIKE = 0.6
+MARGIN = 0.05
 RUN = 3
 FILE_NAMES = r"(?i)^(un)?licen[cs]e|^copying|^notice"
+UNKNOWN = "unknown"
+SPDX = re.compile(rb"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+()-]*[A-Za-z0-9.+)](?:[ \t]+(?:AND|OR|WITH)[ \t]+[A-Za-z0-9.+()-]*[A-Za-z0-9.+)])*)")
 
-# The usual wordings of notices, by SPDX name.
+# The usual wordings of notices and titles, by SPDX name.
+GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+FORMS = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+GNU = "{} is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or any later version."
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("Apache-1.1", "Licensed under the Apache Software License, Version 1.1."),
+    ("Apache-1.1", "The Apache Software License, Version 1.1"),
     ("MIT", "Released under the MIT License."),
+    ("MIT", "The MIT License (MIT)"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("MIT", "SPDX-License-Identifier: MIT"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("ISC", "ISC License"),
+    ("ISC", "Released under the ISC License."),
+    ("ISC", f"{GRANT}, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("0BSD", "Zero-Clause BSD License"),
+    ("0BSD", f"{GRANT}."),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-2-Clause", FORMS),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-3-Clause", FORMS),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("EPL-1.0", "Eclipse Public License - v 1.0"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("proprietary", "All rights reserved."),
-]
+]
+for _name, _what, _long in [("GPL", "This program", "General Public License"), ("LGPL", "This library", "Lesser General Public License"), ("AGPL", "This program", "Affero General Public License")]:
+    for _version in {"GPL": ["2", "3"], "LGPL": ["2", "2.1", "3"], "AGPL": ["3"]}[_name]:
+        _spdx = f"{_name}-{_version if '.' in _version else _version + '.0'}"
+        TEMPLATES += [
+            (_spdx, GNU.format(_what, _long, _version)),
+            (_spdx, f"This work is licensed under the GNU {_long}, version {_version}."),
+            (_spdx, f"GNU {_long} Version {_version}"),
+            (_spdx, f"Licensed under the {_name} version {_version}."),
+        ]
+for _short, _long in [
+    ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"),
+    ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+]:
+    for _version in ("3.0", "4.0"):
+        TEMPLATES += [
+            (f"CC-{_short}-{_version}", f"Licensed under CC {_short} {_version}."),
+            (f"CC-{_short}-{_version}", f"This work is licensed under a Creative Commons {_long} {_version} International License."),
+        ]
+
+# Words that tell a licence from its relatives, with the other ways to say them.
+TELLING = {
+    "affero": "affero", "lesser": "lesser", "gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl", "apache": "apache", "mit": "mit", "isc": "isc", "bsd": "bsd",
+    "zero": "zero", "mozilla": "mozilla", "mpl": "mozilla", "eclipse": "eclipse", "epl": "eclipse", "cc0": "cc0", "by": "by", "attribution": "by",
+    "nc": "nc", "noncommercial": "nc", "sa": "sa", "sharealike": "sa", "nd": "nd", "noderivatives": "nd", "noderivs": "nd", "provided": "provided",
+}
+_VERSION = re.compile(r"v?([0-9])(?:\.([0-9]))?(?:\.0)?")
 
 _BLANKED = bytes(c if chr(c).isalnum() or c in b".-" or c >= 0x80 else 0x20 for c in range(256))
 _TRIM = b".-"
@@ -65,6 +115,23 @@ def terms(text: bytes) -> list[bytes]:
     return [t for t in (w.strip(_TRIM) for w in text.lower().translate(_BLANKED).split()) if t]
 
 
+def told(found: list[bytes]) -> frozenset[str]:
+    """The telling terms among the terms of a notice, versions written alike."""
+    out = set()
+    creative = b"cc" in found or b"creative" in found
+    for k, term in enumerate(found):
+        if term == b"library" and found[k + 1 : k + 2] == [b"general"]:
+            out.add("lesser")  # its name before version 2.1
+        parts = term.decode(errors="replace").split("-")
+        for n, part in enumerate(parts):
+            if version := _VERSION.fullmatch(part):
+                clauses = n + 1 < len(parts) and parts[n + 1] == "clause"
+                out.add(f"{version[1]} clauses" if clauses else f"{version[1]}.{version[2] or 0}")
+            elif part in TELLING and (creative or TELLING[part] not in ("by", "nc", "sa", "nd")):
+                out.add(TELLING[part])
+    return frozenset(out)
+
+
 VOCABULARY = frozenset(t for _, wording in TEMPLATES for t in terms(wording.encode()))
 
 
@@ -76,23 +143,26 @@ class Templates:
         self.rarity = {t: math.log((1 + n_lines) / (1 + found.get(t, 0))) + 1 for t in VOCABULARY}
         self.names = [name for name, _ in TEMPLATES]
         bags = [Counter(terms(wording.encode())) for _, wording in TEMPLATES]
+        self.told = [told(terms(wording.encode())) for _, wording in TEMPLATES]
         self.places: dict[bytes, list[tuple[int, float]]] = {}
         for k, bag in enumerate(bags):
             length = math.sqrt(sum((n * self.rarity[t]) ** 2 for t, n in bag.items()))
             for t, n in bag.items():
                 self.places.setdefault(t, []).append((k, n * self.rarity[t] / length))
 
-    def nearest(self, bag: Counter) -> tuple[float, int]:
-        """The largest cosine and its template, the first one on a tie."""
+    def cosines(self, found: list[bytes]) -> np.ndarray:
+        """Cosine with every template that says the same telling terms, else 0."""
         products = np.zeros(len(self.names))
         square = 0.0
-        for t, n in bag.items():
+        for t, n in Counter(found).items():
             weight = n * self.rarity.get(t, self.unknown)
             square += weight * weight
             for k, share in self.places.get(t, ()):
                 products[k] += share * weight
-        best = int(products.argmax())
-        return (float(products[best]) / math.sqrt(square) if square else 0.0), best
+        mine = told(found)
+        agree = np.array([t == mine for t in self.told])
+        # Rounded, so that equally good notices tie whatever the order of their sums.
+        return np.round(np.where(agree, products, 0) / math.sqrt(square), 9) if square else products
 
 
 def _bounds(lines: list[list[bytes]], templates: Templates) -> list[tuple[float, int, int]]:
@@ -120,20 +190,31 @@ def _bounds(lines: list[list[bytes]], templates: Templates) -> list[tuple[float,
     return sorted(runs, reverse=True)
 
 
-def notice(text: bytes, templates: Templates, whole: bool = False) -> tuple[str | None, float, int | None]:
+def notice(text: bytes, templates: Templates, whole: bool = False) -> tuple[str | None, float | None, int | None]:
     """Licence, cosine and line number of the best notice of a text."""
+    if literal := SPDX.search(text):
+        return literal[1].decode(), 1.0, 1 + text.count(b"\n", 0, literal.start())
     lines = [terms(line) for line in text.split(b"\n")]
-    best = (0.0, 0, 0)
-    for bound, start, size in _bounds(lines, templates):
-        if bound + 1e-9 < best[0]:
-            break
-        alike, which = templates.nearest(Counter(t for line in lines[start : start + size] for t in line))
-        best = max(best, (alike, -start, -which))
-    if whole:
-        alike, which = templates.nearest(Counter(t for line in lines for t in line))
-        best = max(best, (alike, 0, -which))
-    alike, line, which = best
-    return (templates.names[-which], alike, 1 - line) if alike >= ALIKE else (None, alike, None)
+    runs = [(start, size) for bound, start, size in _bounds(lines, templates) if bound + 1e-9 >= ALIKE]
+    if whole and len(lines) > RUN:
+        runs.append((0, len(lines)))
+    best, where = (0.0, 0, 0), None
+    found: set[int] = set()
+    for start, size in runs:
+        alike = templates.cosines([t for line in lines[start : start + size] for t in line])
+        hits = np.flatnonzero(alike >= ALIKE)
+        found.update(hits.tolist())
+        if len(hits):
+            which = int(alike.argmax())
+            mine = (float(alike[which]), -start, -which)
+            if mine > best:
+                best, where = mine, alike
+    if where is None:
+        return None, None, None
+    near = {templates.names[k] for k in np.flatnonzero(where >= max(ALIKE, best[0] - MARGIN))}
+    votes = Counter(templates.names[k] for k in found if templates.names[k] in near).most_common(2)
+    clear = len(votes) == 1 or votes[0][1] > votes[1][1]
+    return votes[0][0] if clear else UNKNOWN, best[0], 1 - best[1]
 
 
 def _line_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +266,7 @@ def notices(files: DataFrame, templates: Templates) -> DataFrame:
                 [
                     *columns,
                     pa.array([f[0] for f in found], pa.string()),
-                    pa.array([round(f[1], 6) for f in found], pa.float64()),
+                    pa.array([f[1] and round(f[1], 6) for f in found], pa.float64()),
                     pa.array([f[2] for f in found], pa.int64()),
                 ],
                 names=[*kept, "is_license", "license", "similarity", "line"],
