@@ -21,6 +21,29 @@ def digests(contents: DataFrame, limit: int | None = None) -> DataFrame:
     )
 
 
+SLOTS = 1 << 20
+
+
+def of_repeated_size(contents: DataFrame, files: DataFrame, across: bool = False) -> DataFrame:
+    """Bodies that may have an equal one, by the sizes in the inventory.
+
+    Sizes that occur twice (in a tree, or ``across`` all) set a bit each in a map
+    of ``SLOTS`` bits.  The map has a fixed length, so it can be broadcast into the
+    scan, before a body is digested; a body of another size may pass by chance.
+    """
+    body = "content" if "content" in contents.columns else "text"
+    by = ["size"] if across else [*TREE, "size"]
+    slot = F.pmod(F.xxhash64(*by), F.lit(SLOTS))
+    twice = files.where((F.col("kind") == "file") & (F.col("size") > 0)).groupBy(*by).count().where("count >= 2")
+    bits = twice.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("_word")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(slot % 64 AS int)))").alias("_bits")
+    )
+    own = contents.select(*contents.columns, F.octet_length(body).cast("long").alias("size")) if "size" not in contents.columns else contents
+    placed = own.withColumn("_slot", slot).withColumn("_word", F.expr("_slot div 64"))
+    met = placed.join(F.broadcast(bits), "_word").where(F.expr("shiftright(_bits, cast(_slot % 64 AS int)) & 1 = 1"))
+    return met.select(*contents.columns)
+
+
 def groups(digested: DataFrame, across: bool = False) -> DataFrame:
     """One row per set of equal files: copies, bytes wasted, first path.
 

@@ -89,10 +89,13 @@ def sensitive(files: DataFrame) -> DataFrame:
 
 
 def compiled_rules(rules: DataFrame) -> DataFrame:
-    """Rules with their regex over the root-relative path.
+    """Rules with what they ask of a root-relative path.
 
     A leading ``/`` anchors at the rule's own directory; any other pattern may
-    also start below any directory.  ``*`` crosses ``/``.
+    also start below any directory.  ``*`` crosses ``/``.  By ``form``, a rule
+    names a ``path``, the last ``name`` (or names) of one, or its ending behind a
+    ``*`` (``ext``): then ``key`` is what to look it up by and ``needle`` the
+    whole literal.  The others (``glob``) have a ``regex``.
     """
     pattern = F.regexp_replace("pattern", r"\A!+", "")
     bare = F.regexp_replace(pattern, r"/+\z", "")
@@ -100,37 +103,81 @@ def compiled_rules(rules: DataFrame) -> DataFrame:
     below = F.when(F.col("dir") == "", F.regexp_replace(bare, r"\A/+", "")).otherwise(
         F.concat("dir", bare)
     )
-    glob = F.when(anchored, below).otherwise(bare)
-    regex = F.when(anchored, paths.glob_to_regex(glob)).otherwise(
-        F.replace(paths.glob_to_regex(glob), F.lit(r"(?s)\A"), F.lit(r"(?s)\A(?:.*/)?"))
+    # Spark folds what a projection works out into every use of it, but not what a generator returns.
+    parts = F.struct(
+        F.when(anchored, below).otherwise(bare).alias("glob"),
+        anchored.alias("anchored"),
+        F.startswith("pattern", F.lit("!")).alias("negated"),
+        F.endswith(pattern, F.lit("/")).alias("dir_only"),
+    )
+    read = rules.select(*TREE, "dir", "line_no", F.explode(F.array(parts)).alias("_p")).select(*TREE, "dir", "line_no", "_p.*")
+    form = (
+        F.when(~F.col("glob").rlike(r"[*?\[]"), F.when(F.col("anchored"), "path").otherwise("name"))
+        .when(~F.col("anchored") & F.col("glob").rlike(r"(?s)\A\*[^*?\[]*\.[^*?\[]*\z"), "ext")
+        .otherwise("glob")
     )
-    return rules.select(
+    formed = read.select("*", F.explode(F.array(form)).alias("form"))
+    regex = paths.glob_to_regex(F.col("glob"))
+    inner = F.substring(regex, F.lit(len(r"(?s)\A") + 1), F.length(regex))
+    needle = F.when(F.col("form") == "ext", F.substring("glob", F.lit(2), F.length("glob"))).otherwise(F.col("glob"))
+    return formed.select(
         *TREE,
         "dir",
         "line_no",
-        F.startswith("pattern", F.lit("!")).alias("negated"),
-        F.endswith(pattern, F.lit("/")).alias("dir_only"),
-        regex.alias("regex"),
+        "negated",
+        "dir_only",
+        "form",
+        F.when(F.col("form") == "path", F.col("glob"))
+        .when(F.col("form") == "name", paths.basename(F.col("glob")))
+        .when(F.col("form") == "ext", F.substring_index("glob", ".", -1))
+        .alias("key"),
+        needle.alias("needle"),
+        F.when(F.col("form") == "glob", F.concat(F.when(F.col("anchored"), r"(?s)\A").otherwise(r"(?s)\A(?:.*/)?"), inner)).alias("regex"),
     )
 
 
 def ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """Entries whose last matching rule, nearest directory last, is not a negation."""
+    """Entries whose last matching rule, nearest directory last, is not a negation.
+
+    Rules that name something are looked up by equality, whatever their number;
+    only globs are tried one by one, on the entries below them.
+    """
     entries = files.where(F.col("path") != "").select(
         *ENTRY,
         (F.col("kind") == "dir").alias("is_dir"),
         F.explode(paths.ancestors(F.col("path"))).alias("dir"),
     )
-    hits = salted_join(
-        entries,
-        compiled_rules(rules),
+    compiled = cut(compiled_rules(rules), "rules")
+    held = entries.join(rules.select(*TREE, "dir").distinct(), [*TREE, "dir"], "left_semi")
+    keys = F.array(
+        F.struct(F.lit("path").alias("form"), F.col("path").alias("key")),
+        F.struct(F.lit("name").alias("form"), paths.basename(F.col("path")).alias("key")),
+        F.struct(F.lit("ext").alias("form"), F.substring_index("path", ".", -1).alias("key")),
+    )
+    keyed = held.select("*", F.explode(keys).alias("_k")).select(*ENTRY, "is_dir", "dir", "_k.*")
+    fits = ~F.col("r.dir_only") | F.col("l.is_dir")
+    whole = (F.col("l.path") == F.col("r.needle")) | F.endswith("l.path", F.concat(F.lit("/"), F.col("r.needle")))
+    looked_up = salted_join(
+        keyed,
+        compiled.where(F.col("form") != "glob").drop("regex"),
+        [*TREE, "dir", "form", "key"],
+        ["path"],
+        condition=fits
+        & F.when(F.col("r.form") == "name", whole).when(F.col("r.form") == "ext", F.endswith("l.path", F.col("r.needle"))).otherwise(True),
+    )
+    tried = salted_join(
+        held,
+        compiled.where(F.col("form") == "glob").drop("form", "key", "needle"),
         [*TREE, "dir"],
         ["path"],
-        condition=(~F.col("r.dir_only") | F.col("l.is_dir")) & F.expr("l.path rlike r.regex"),
+        condition=fits & F.expr("l.path rlike r.regex"),
     )
+    columns = [*ENTRY, "is_dir", "dir", "line_no", "negated"]
     place = F.struct(paths.depth(F.col("dir")).alias("d"), F.col("line_no").alias("n"))
     return (
-        hits.groupBy(*ENTRY, "is_dir")
+        looked_up.select(*columns)
+        .unionByName(tried.select(*columns))
+        .groupBy(*ENTRY, "is_dir")
         .agg(F.max_by("negated", place).alias("negated"))
         .where(~F.col("negated"))
         .select(*ENTRY, "is_dir")

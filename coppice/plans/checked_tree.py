@@ -516,15 +516,21 @@ def parent_shares(spark, sf_dir):
     return rollup.shares(_listed(spark, sf_dir)).drop("snapshot", "parent")
 
 
+def _sizes(spark, sf_dir):
+    """The inventory of the FILES view, without its bodies."""
+    return view(spark, sf_dir, "FILES").select(*TREE, F.lit("file").alias("kind"), "size")
+
+
 @checked(
-    f"""
+    """
 WITH d AS (SELECT repo, path, size, md5(text) AS h FROM @FILES f WHERE size > 0),
 g AS (SELECT repo, size, h, count(*) AS copies, min(path) AS path FROM d GROUP BY 1, 2, 3 HAVING count(*) >= 2)
 SELECT repo, size, copies, path, size * (copies - 1) AS wasted FROM g
 """
 )
 def duplicate_groups(spark, sf_dir):
-    return dupes.groups(dupes.digests(view(spark, sf_dir, "FILES"))).drop("snapshot", "digest")
+    bodies = dupes.of_repeated_size(view(spark, sf_dir, "FILES"), _sizes(spark, sf_dir))
+    return dupes.groups(dupes.digests(bodies)).drop("snapshot", "digest")
 
 
 @checked(
@@ -536,7 +542,8 @@ SELECT d.repo, d.path, d.size, g.copies, d.size * (g.copies - 1) AS wasted FROM
 )
 def duplicate_members_everywhere(spark, sf_dir):
     """Copies across all trees, one row per file."""
-    digested = cut(dupes.digests(view(spark, sf_dir, "FILES")), "digests")
+    bodies = dupes.of_repeated_size(view(spark, sf_dir, "FILES"), _sizes(spark, sf_dir), across=True)
+    digested = cut(dupes.digests(bodies), "digests")
     grouped = dupes.groups(digested, across=True)
     return dupes.members(digested, grouped, across=True).drop("snapshot", "digest")
 

@@ -226,7 +226,8 @@ class Trees:
         return tree.largest(self.listed, n, sizes=rollup.directory_sizes(self.files))
 
     def dupes(self, across: bool = False) -> DataFrame:
-        return dupes.groups(self._of_listed(dupes.digests(self.bodies)), across)
+        bodies = dupes.of_repeated_size(self.bodies, self.files, across)
+        return dupes.groups(self._of_listed(dupes.digests(bodies)), across)
 
     def compare(self, other: Trees) -> DataFrame:
         sides = [t._of_listed(diff.sized_digests(t.bodies)) for t in (self, other)]

@@ -79,7 +79,7 @@ def _list_folders(base: str):
         if found.is_dir(follow_symlinks=False):
             return (path, "dir", None, *known, None, False, not os.access(found.path, os.R_OK | os.X_OK))
         kind = "file" if stat.S_ISREG(info.st_mode) else "special"
-        return (path, kind, info.st_size, *known, None, False, False)
+        return (path, kind, info.st_size, *known, None, False, kind == "file" and not os.access(found.path, os.R_OK))
 
     def run(batches):
         import pyarrow as pa
@@ -89,7 +89,7 @@ def _list_folders(base: str):
         for batch in batches:
             for at in batch.column(0).to_pylist():
                 rows = []
-                with contextlib.suppress(FileNotFoundError), os.scandir(os.path.join(base, at)) as folder:
+                with contextlib.suppress(FileNotFoundError, PermissionError), os.scandir(os.path.join(base, at)) as folder:
                     for found in folder:
                         with contextlib.suppress(FileNotFoundError):
                             rows.append(entry(at, found))
@@ -123,7 +123,7 @@ def from_directory(
     Spark's file readers pass over names that begin with a dot or an
     underscore, and over empty folders, so tasks list the folders themselves,
     one level a round.  Only regular files are opened, and only when bodies
-    are read.  Trees in other stores come in as manifests or tables.
+    are read.  What may not be read is ``denied`` in the inventory and has no body.  Trees in other stores come in as manifests or tables.
     """
     if "://" in root and not root.startswith("file://"):
         raise ValueError(f"{root} is no mounted folder: use from_manifests or from_table")

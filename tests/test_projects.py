@@ -374,3 +374,73 @@ def end(): pass
     assert found == {("Ink", 3, 9, None), ("dry", 5, 6, "Ink"), ("wet", 9, 9, "Ink"), ("end", 16, 16, None), ("far", 2, 2, None)}
     got = imports.python(contents).orderBy("ord").collect()
     assert [(r["spec"], r["names"]) for r in got] == [("first", None), ("second", ["one", "two"]), ("third", None)]
+
+
+def test_ten_thousand_ignore_rules(spark):
+    """Named rules are looked up, only globs are tried; against Python's own matching."""
+    import random
+    import re
+
+    from coppice.operators import visible
+
+    rng = random.Random(2)
+    part = lambda: rng.choice(["a", "b", "src", "out", "x.y", "log"])
+    listed = {}
+    for k in range(250):
+        path = "/".join(part() for _ in range(rng.randint(1, 4))) + rng.choice(["", ".log", ".tar.gz", f"{k}.o", "~"])
+        if not any(p.startswith(path + "/") or path.startswith(p + "/") for p in listed):
+            listed[path] = "file"
+    for path in list(listed):
+        for n in range(1, path.count("/") + 1):
+            listed[path.rsplit("/", n)[0]] = "dir"
+    rules = [("", f"no{k}" if k % 2 else f"/no/{k}.txt") for k in range(10_000)]
+    some = ["*.log", "!b.log", "/src/out", "out/", "x.y/a", "*.tar.gz", "!*.gz", "*~", "/a/?", "l[!a]g", "!/src/out/b", "*17.o", "b/*.o", "!x.y"]
+    for place, pattern in zip(rng.sample(range(10_000), len(some)), some, strict=True):
+        rules[place] = ("", pattern)
+    rules += [("src", "/a"), ("src", "!*.log"), ("a/b", "log"), ("out", "a/")]
+
+    def regex(glob):
+        return "".join({"*": ".*", "?": "."}.get(t, t.replace("[!", "[^") if len(t) > 1 else re.escape(t)) for t in re.findall(r"\[.*?\]|.", glob))
+
+    compiled, number = [], {}
+    for folder, pattern in rules:
+        number[folder] = number.get(folder, 0) + 1
+        bare = pattern.lstrip("!").rstrip("/")
+        below = (folder + bare).lstrip("/") if bare.startswith("/") else bare
+        shape = re.compile(("" if bare.startswith("/") else "(?:.*/)?") + regex(below), re.S)
+        compiled.append((folder, number[folder], pattern.startswith("!"), pattern.endswith("/"), shape))
+    lost = set()
+    for path, kind in listed.items():
+        hits = [
+            (d.count("/") + bool(d), n, neg)
+            for d, n, neg, dirs, shape in compiled
+            if (not d or path.startswith(d + "/")) and (kind == "dir" or not dirs) and shape.fullmatch(path)
+        ]
+        if hits and not max(hits)[2]:
+            lost.add(path)
+    want = {p for p in listed if not any(p == h or (p.startswith(h + "/") and listed[h] == "dir") for h in lost)}
+    rows = [("r", "head", p, k) for p, k in listed.items()]
+    files = spark.createDataFrame(rows, "repo string, snapshot string, path string, kind string")
+    seen = {}
+    numbered_rules = []
+    for d, p in rules:
+        seen[d] = seen.get(d, 0) + 1
+        numbered_rules.append(("r", "head", d, seen[d], p))
+    table = spark.createDataFrame(numbered_rules, "repo string, snapshot string, dir string, line_no int, pattern string")
+    assert {r.path for r in visible.apply_ignore(files, table).collect()} == want
+    forms = {r.form: r["count"] for r in visible.compiled_rules(table).groupBy("form").count().collect()}
+    assert forms["glob"] <= 6 and sum(forms.values()) == len(rules)
+
+
+def test_bodies_of_unique_sizes_are_not_digested(spark):
+    from coppice.operators import dupes
+    from coppice.sources import trees
+
+    rows = [("r", f"f{k}", "x" * (k + 1)) for k in range(300)] + [("r", "g", "y" * 7), ("r", "h", "x" * 7), ("q", "i", "x" * 9), ("q", "j", "")]
+    files, contents = trees.from_table(spark.createDataFrame(rows, "repo string, path string, text string"), "repo", "path", "text")
+    kept = dupes.of_repeated_size(contents, files)
+    assert sorted(r.path for r in kept.collect()) == ["f6", "g", "h"]
+    groups = dupes.groups(dupes.digests(kept)).collect()
+    assert [(r.copies, r.path) for r in groups] == [(2, "f6")]
+    everywhere = dupes.of_repeated_size(contents, files, across=True)
+    assert sorted(r.path for r in everywhere.collect()) == ["f6", "f8", "g", "h", "i"]
