@@ -186,8 +186,9 @@ def tree_lines(
 ) -> DataFrame:
     """One text line per entry, with branches, and ``tree_key`` to order by.
 
-    ``notes`` may bring ``(repo, snapshot, path, note)`` to show in brackets;
-    ``sizes`` are for size order, as in ``with_total_size``.
+    ``notes`` may bring ``(repo, snapshot, path, note)`` to show in brackets, and
+    ``lead`` and ``bar`` to show before the name and at the end; ``sizes`` are for
+    size order, as in ``with_total_size``.
     The root line has an empty key and comes first.
     """
     keyed = tree_keys(files, sort, reverse, files_first, sizes)
@@ -214,10 +215,11 @@ def tree_lines(
         ).alias("prefix")
     )
     out = keyed.join(prefixes, ENTRY, "left")
-    if notes is not None:
-        out = out.join(notes.select(*ENTRY, "note"), ENTRY, "left")
-    else:
-        out = out.withColumn("note", F.lit(None).cast("string"))
+    shows = ["note", "lead", "bar"]
+    given = [] if notes is None else [c for c in shows if c in notes.columns]
+    if given:
+        out = out.join(notes.select(*ENTRY, *given), ENTRY, "left")
+    out = out.withColumns({c: F.lit(None).cast("string") for c in shows if c not in given})
     shown = labels.printable(
         F.when(F.col("path") == "", F.concat("repo", F.lit("/")))
         .when(F.col("kind") == "dir", F.concat("name", F.lit("/")))
@@ -229,7 +231,7 @@ def tree_lines(
         *ENTRY,
         "depth",
         "tree_key",
-        F.concat(F.coalesce("prefix", F.lit("")), shown, note).alias("line"),
+        F.concat(*[F.coalesce(c, F.lit("")) for c in ("prefix", "lead")], shown, note, F.coalesce("bar", F.lit(""))).alias("line"),
     )
 
 
@@ -237,13 +239,26 @@ def entry_notes(
     files: DataFrame,
     annotated: DataFrame | None = None,
     sizes: DataFrame | None = None,
+    now: float | None = None,
+    bars: bool = False,
+    modes: bool = False,
+    owners: bool = False,
 ) -> DataFrame:
-    """What stands in brackets after a name: counts and size, then annotations."""
+    """What stands around a name in a listing.
+
+    ``note``, in brackets behind it: counts and size, with ``now`` the age, then
+    the annotations.  ``lead``, before it: with ``modes`` and ``owners`` those,
+    then the status, then the mark of an entry point or else of a configuration
+    file.  ``bar``: with ``bars``, the share of the directory it is in.
+    """
     sizes = directory_sizes(files) if sizes is None else sizes
-    from coppice.operators.rollup import child_counts
+    from coppice.operators.rollup import child_counts, shares
 
-    base = (
-        files.select(*ENTRY, "kind", "size", "denied")
+    # A size says whether a directory's total is in part, so it can be missing here and there.
+    times = ["mtime", "mode", "uid", "gid"]
+    kept = [F.col(c) if c in files.columns else F.lit(None).cast("double" if c == "mtime" else "int").alias(c) for c in times]
+    out = (
+        files.select(*ENTRY, "kind", "size", "denied", *kept)
         .join(
             sizes.select(*TREE, F.col("dir").alias("path"), F.col("size").alias("_below"), "partial"),
             ENTRY,
@@ -251,44 +266,50 @@ def entry_notes(
         )
         .join(child_counts(files).withColumnRenamed("dir", "path"), ENTRY, "left")
     )
+    if bars:
+        share = shares(files, sizes).where(F.col("parent_size") > 0)
+        out = out.join(share.select(*ENTRY, F.concat(F.lit(" "), "bar").alias("_bar")), ENTRY, "left")
     zero = F.lit(0).cast("long")
-    directory = F.concat_ws(
-        ", ",
-        labels.count_label(
-            F.coalesce("dirs", zero), F.coalesce("files", zero), F.col("denied")
-        ),
+    is_dir = F.col("kind") == "dir"
+    age = F.lit(None).cast("string")
+    if now is not None:
+        age = F.when(F.col("mtime").isNotNull() & (is_dir | (F.col("mtime") != 0)), labels.age_label(F.lit(now), F.col("mtime")))
+    directory = [
+        labels.count_label(F.coalesce("dirs", zero), F.coalesce("files", zero), F.col("denied")),
         labels.size_label(F.coalesce("_below", zero), F.col("partial")),
-    )
-    if annotated is None:
-        return base.select(
+        age,
+    ]
+    file = [labels.size_label(F.coalesce("size", zero)), age]
+    status, mark = F.lit(None).cast("string"), F.lit(None).cast("string")
+    if annotated is not None:
+        number = lambda name, sign: F.when(F.col(name) > 0, F.concat(F.lit(sign), F.col(name).cast("string")))
+        added = annotated.select(
             *ENTRY,
-            F.when(F.col("kind") == "dir", directory)
-            .otherwise(labels.size_label(F.coalesce("size", zero)))
-            .alias("note"),
-        )
-    extra = annotated.select(
-        *ENTRY,
-        F.concat_ws(
-            ", ",
-            labels.token_label(F.col("tokens")),
-            F.when(F.col("lines").isNotNull(), F.concat(F.col("lines").cast("string"), F.lit(" lines"))),
-            F.when(F.col("todo_count") > 0, F.concat(F.lit("TODO×"), F.col("todo_count").cast("string"))),
-            F.when(~F.col("has_test"), F.lit("no test")),
-            F.when(F.col("is_config"), F.lit("config")),
-            F.col("outline"),
-            F.when(F.col("imports") > 0, F.concat(F.lit("imports×"), F.col("imports").cast("string"))),
-            F.when(F.col("imported_by") > 0, F.concat(F.lit("used-by×"), F.col("imported_by").cast("string"))),
-        ).alias("_extra"),
-    )
-    return base.join(extra, ENTRY, "left").select(
-        *ENTRY,
-        F.when(F.col("kind") == "dir", directory)
-        .otherwise(
             F.concat_ws(
                 ", ",
-                labels.size_label(F.coalesce("size", zero)),
-                F.when(F.col("_extra") != "", F.col("_extra")),
-            )
+                labels.token_label(F.col("tokens")),
+                F.when(F.col("lines").isNotNull(), F.concat(F.col("lines").cast("string"), F.lit(" lines"))),
+                F.col("last_commit"),
+                number("todo_count", "TODO×"),
+                F.when(~F.col("has_test"), F.lit("no test")),
+                F.when(F.col("is_config"), F.lit("config")),
+                F.col("outline"),
+                number("imports", "imports×"),
+                number("imported_by", "used-by×"),
+            ).alias("_extra"),
+            F.concat(F.lit("["), F.nullif(F.trim("git_status"), F.lit("")), F.lit("] ")).alias("_status"),
+            F.when(F.col("is_entry"), "* ").when(F.col("is_config"), "⚙ ").alias("_mark"),
         )
-        .alias("note"),
+        out = out.join(added, ENTRY, "left")
+        file.append(F.nullif("_extra", F.lit("")))
+        status, mark = F.col("_status"), F.col("_mark")
+    shown = [labels.mode_label(F.col("mode"))] if modes else []
+    shown += [F.col(c).cast("string") for c in ("uid", "gid")] if owners else []
+    access = F.when(F.col("mode").isNotNull(), F.concat(F.lit("["), F.concat_ws(" ", *shown), F.lit("] "))) if shown else F.lit(None).cast("string")
+    none = F.lit("")
+    return out.select(
+        *ENTRY,
+        F.when(is_dir, F.concat_ws(", ", *directory)).otherwise(F.concat_ws(", ", *file)).alias("note"),
+        F.concat(F.coalesce(access, none), F.when(is_dir, none).otherwise(F.concat(F.coalesce(status, none), F.coalesce(mark, none)))).alias("lead"),
+        (F.coalesce("_bar", none) if bars else none).alias("bar"),
     )

@@ -593,6 +593,60 @@ def tree_text(spark, sf_dir):
     return tree.tree_lines(_listed(spark, sf_dir)).select("repo", "path", "line")
 
 
+# Annotations of the TREE view's files, worked out from their sizes: (column, Spark and DuckDB expression).
+_MARKS = {
+    "tokens": "size * 3",
+    "lines": "CASE WHEN size % 4 > 0 THEN size % 40 END",
+    "last_commit": "CASE WHEN size % 6 = 0 THEN '\"fix ' || cast(size % 50 AS string) || '\" (day 3)' END",
+    "todo_count": "size % 3",
+    "has_test": "CASE WHEN size % 5 < 3 THEN size % 5 = 1 END",
+    "is_config": "size % 7 < 2",
+    "outline": "CASE WHEN size % 9 = 0 THEN 'def f, +2' END",
+    "imports": "size % 2",
+    "imported_by": "size % 4",
+    "git_status": "CASE size % 5 WHEN 1 THEN 'M ' WHEN 2 THEN '??' WHEN 3 THEN ' ' END",
+    "is_entry": "size % 11 < 3",
+}
+
+
+@checked(
+    f"""
+WITH {ENTRIES}, {_TOTAL}, ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY repo, {R.parent_of()} ORDER BY CASE WHEN kind = 'dir' THEN 1 ELSE 0 END, {R.fold(R.name_of())} DESC, {R.name_of()} DESC) = 1 AS last
+  FROM entries WHERE path <> ''),
+hops AS (SELECT repo, path, kind, unnest(list_append({R.above()}[2:], path)) AS hop FROM entries WHERE path <> ''),
+pre AS (SELECT h.repo, h.path, h.kind, string_agg(CASE WHEN h.hop = h.path THEN CASE WHEN r.last THEN '└── ' ELSE '├── ' END
+  ELSE CASE WHEN r.last THEN '    ' ELSE '│   ' END END, '' ORDER BY len(string_split(h.hop, '/'))) AS prefix
+  FROM hops h JOIN ranked r ON r.repo = h.repo AND r.path = h.hop GROUP BY 1, 2, 3),
+kids AS (SELECT repo, {R.parent_of()} AS path, count(*) FILTER (kind = 'dir') AS dirs, count(*) FILTER (kind <> 'dir') AS files FROM entries WHERE path <> '' GROUP BY 1, 2),
+bad AS (SELECT DISTINCT repo, unnest({R.above()}) AS path FROM @TREE t WHERE denied),
+marks AS (SELECT repo, path, mode, cast({NOW} - mtime AS bigint) AS s, {', '.join(f'{e} AS {c}' for c, e in _MARKS.items())} FROM @TREE t),
+shares AS (SELECT t.repo, t.path, least(100, cast(floor(t.size * 100.0::DOUBLE / p.size) AS bigint)) AS percent
+  FROM total t JOIN total p ON p.repo = t.repo AND p.path = {R.parent_of('t.path')} AND p.kind = 'dir' WHERE t.path <> '' AND p.size > 0),
+bars AS (SELECT repo, path, ' [' || repeat('█', cast(round_even(percent * 10 / 100.0::DOUBLE, 0) AS bigint)) || repeat('░', 10 - cast(round_even(percent * 10 / 100.0::DOUBLE, 0) AS bigint))
+  || ']' || lpad(cast(percent AS varchar), 4, ' ') || '%' AS bar FROM shares)
+SELECT t.repo, t.path, coalesce(pre.prefix, '')
+  || CASE WHEN t.kind = 'dir' THEN '' ELSE '[-' || {_bits(6, 2048, 's')} || {_bits(3, 1024, 's')} || {_bits(0, 512, 't')} || '] '
+    || CASE WHEN trim(m.git_status) <> '' THEN '[' || trim(m.git_status) || '] ' ELSE '' END || CASE WHEN m.is_entry THEN '* ' WHEN m.is_config THEN '⚙ ' ELSE '' END END
+  || CASE WHEN t.path = '' THEN t.repo || '/' WHEN t.kind = 'dir' THEN {R.name_of('t.path')} || '/' ELSE {R.name_of('t.path')} END || ' ('
+  || CASE WHEN t.kind = 'dir' THEN coalesce(k.dirs, 0) || CASE WHEN k.dirs = 1 THEN ' dir, ' ELSE ' dirs, ' END || coalesce(k.files, 0) || CASE WHEN k.files = 1 THEN ' file' ELSE ' files' END || ', '
+      || {R.size_label('t.size', 'b.path IS NOT NULL')}
+    ELSE concat_ws(', ', {R.size_label('t.size')}, (SELECT {AGE} FROM (SELECT m.s AS s) x), {R.token_label('m.tokens')}, m.lines || ' lines', m.last_commit,
+      CASE WHEN m.todo_count > 0 THEN 'TODO×' || m.todo_count END, CASE WHEN NOT m.has_test THEN 'no test' END, CASE WHEN m.is_config THEN 'config' END, m.outline,
+      CASE WHEN m.imports > 0 THEN 'imports×' || m.imports END, CASE WHEN m.imported_by > 0 THEN 'used-by×' || m.imported_by END) END || ')'
+  || coalesce(r.bar, '') AS line
+FROM total t LEFT JOIN pre ON pre.repo = t.repo AND pre.path = t.path LEFT JOIN kids k ON k.repo = t.repo AND k.path = t.path AND t.kind = 'dir'
+LEFT JOIN bad b ON b.repo = t.repo AND b.path = t.path AND t.kind = 'dir' LEFT JOIN marks m ON m.repo = t.repo AND m.path = t.path LEFT JOIN bars r ON r.repo = t.repo AND r.path = t.path
+"""
+)
+def marked_listing(spark, sf_dir):
+    """Listing lines with every note, mark and bar."""
+    files = cut(_listed(spark, sf_dir), "files")
+    annotated = files.where(F.col("kind") == "file").select(*ENTRY, *[F.expr(e).alias(c) for c, e in _MARKS.items()])
+    notes = tree.entry_notes(files, annotated, now=NOW, bars=True, modes=True)
+    return tree.tree_lines(files, notes).select("repo", "path", "line")
+
+
 @checked()
 def followed_links(spark, sf_dir):
     """Links to directories entered, loops stopped.

@@ -184,10 +184,12 @@ class Trees:
             self.annotated, self.edges, self.components, self.churn, self.entries
         )
 
-    def tree(self, sort: str = "name", reverse: bool = False, annotated: bool = False) -> DataFrame:
+    def tree(
+        self, sort: str = "name", reverse: bool = False, annotated: bool = False, now: float | None = None, bars: bool = False, modes: bool = False, owners: bool = False
+    ) -> DataFrame:
         """Text lines of the trees, in listing order."""
         sizes = rollup.directory_sizes(self.files)
-        notes = tree.entry_notes(self.listed, self.annotated if annotated else None, sizes)
+        notes = tree.entry_notes(self.listed, self.annotated if annotated else None, sizes, now, bars, modes, owners)
         return tree.tree_lines(self.listed, notes, sort, reverse, sizes=sizes)
 
     def outline(self, public_only: bool = False) -> DataFrame:
