@@ -50,9 +50,9 @@ def _body(text: str) -> Column:
 
 def line_rows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Long lines: their place, a hash of their words, and hashes of their halves."""
-    lines = docs.where("text IS NOT NULL").select(
-        F.col("doc_id").cast("bigint"), _body("text").alias("body"), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line")
-    )
+    # What stands beside a generator in a projection is worked out for every line: the body goes before.
+    whole = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("bigint"), _body("text").alias("body"), F.split("text", "\n").alias("lines"))
+    lines = whole.select("doc_id", "body", F.posexplode_outer("lines").alias("line_no", "line"))
     lines = lines.where(F.regexp_count("line", F.lit(WORD)) >= min_words)
     words = lines.select(*PLACE, word_list(F.col("line")).alias("words"))
     words = words.withColumn("n", F.size("words"))
