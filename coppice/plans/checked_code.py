@@ -145,9 +145,16 @@ def brace_spans(spark, sf_dir):
     return found.drop("snapshot", "method", "span_method")
 
 
-@checked(f"WITH {_SRC}, s AS ({_SPAN_SQL}) SELECT repo, path, kind, name FROM s WHERE public")
+# Symbols of all languages.
+_ALL = f"""
+s AS (SELECT repo, path, line_start, line_end, kind, name, public, parent FROM ({_PY_SYMBOLS}) p
+  UNION ALL SELECT repo, path, line_start, line_end, kind, name, public, parent FROM ({_SPAN_SQL}) b)
+"""
+
+
+@checked(f"WITH {_SRC}, {_ALL} SELECT repo, path, kind, name FROM s WHERE public")
 def public_symbols(spark, sf_dir):
-    found = symbols.public(symbols.brace_symbols(_contents(spark, sf_dir)))
+    found = symbols.symbols(_contents(spark, sf_dir), public_only=True)
     return found.select("repo", "path", "kind", "name")
 
 
@@ -156,24 +163,27 @@ _LABEL = "kind || ' ' || CASE WHEN parent IS NULL THEN name WHEN kind = 'fn' THE
 
 @checked(
     f"""
-WITH {_SRC}, s AS ({_SPAN_SQL}), l AS (SELECT repo, path, {_LABEL} AS label, row_number() OVER (PARTITION BY repo, path ORDER BY line_start, {_LABEL}) AS n, count(*) OVER (PARTITION BY repo, path) AS total FROM s)
+WITH {_SRC}, {_ALL}, l AS (SELECT repo, path, {_LABEL} AS label, row_number() OVER (PARTITION BY repo, path ORDER BY line_start, {_LABEL}) AS n, count(*) OVER (PARTITION BY repo, path) AS total FROM s)
 SELECT repo, path, total AS symbols, string_agg(label, ', ' ORDER BY n) FILTER (n <= 2) || CASE WHEN total > 2 THEN ', +' || (total - 2) ELSE '' END AS outline FROM l GROUP BY 1, 2, 3
 """
 )
 def outlines(spark, sf_dir):
     """First symbols of each file and how many more there are."""
-    return symbols.outlines(symbols.brace_symbols(_contents(spark, sf_dir)), 2).drop("snapshot")
+    return symbols.outlines(symbols.symbols(_contents(spark, sf_dir)), 2).drop("snapshot")
+
+
+_LONG = """f AS (SELECT repo, line_end - line_start + 1 AS lines, path || ':' || CASE WHEN parent IS NULL THEN name WHEN kind = 'fn' THEN parent || '::' || name ELSE parent || '.' || name END AS symbol, line_start
+  FROM s WHERE kind NOT IN ('class', 'struct') AND line_end > line_start AND line_end - line_start + 1 >= 3)"""
 
 
 @checked(
     f"""
-WITH {_SRC}, s AS ({_SPAN_SQL}), f AS (SELECT repo, line_end - line_start + 1 AS lines, path || ':' || CASE WHEN parent IS NULL THEN name WHEN kind = 'fn' THEN parent || '::' || name ELSE parent || '.' || name END AS symbol, line_start
-  FROM s WHERE kind NOT IN ('class', 'struct') AND line_end > line_start AND line_end - line_start + 1 >= 3)
+WITH {_SRC}, {_ALL}, {_LONG}
 SELECT repo, lines, symbol, rank FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY lines DESC, symbol, line_start) AS rank FROM f) x WHERE rank <= 5
 """
 )
 def longest_functions(spark, sf_dir):
-    found = symbols.long_functions(symbols.brace_symbols(_contents(spark, sf_dir)), 5, at_least=3)
+    found = symbols.long_functions(symbols.symbols(_contents(spark, sf_dir)), 5, at_least=3)
     return found.drop("snapshot")
 
 
@@ -659,7 +669,7 @@ def nested_projects(spark, sf_dir):
 
 @checked(
     f"""
-WITH {_SRC}, s AS ({_SPAN_SQL}), api AS (SELECT repo, path, {_LABEL} AS symbol FROM s WHERE public)
+WITH {_SRC}, {_ALL}, api AS (SELECT repo, path, {_LABEL} AS symbol FROM s WHERE public)
 SELECT repo, path, replace(symbol, 'make', 'build') AS symbol, 'added' AS change, false AS untracked FROM api WHERE path LIKE '%.js' AND symbol LIKE 'func make%'
 UNION ALL SELECT repo, path, symbol, 'removed', false FROM api WHERE path LIKE '%.js' AND symbol LIKE 'func make%'
 UNION ALL SELECT repo, path, symbol, 'added', true FROM api WHERE path LIKE 'src/%'
@@ -669,8 +679,8 @@ def api_changes(spark, sf_dir):
     """Public symbols added and removed; untracked directories count as all added."""
     old = _contents(spark, sf_dir)
     new = old.withColumn("text", F.replace("text", F.lit("const make"), F.lit("const build")))
-    before = cut(symbols.brace_symbols(old), "before")
-    after = cut(symbols.brace_symbols(new), "after")
+    before = cut(symbols.symbols(old), "before")
+    after = cut(symbols.symbols(new), "after")
     changes = old.where(F.col("path").rlike(r"\.(js|go)$")).select("repo", "path", F.lit("M").alias("status"))
     status = old.select("repo").distinct().select("repo", F.lit("src/").alias("path"), F.lit("??").alias("xy"))
     return diff.api_diff(before, after, changes, status)
@@ -678,14 +688,14 @@ def api_changes(spark, sf_dir):
 
 @checked(
     f"""
-WITH {_SRC}, s AS ({_SPAN_SQL}), l AS (SELECT DISTINCT repo, path, {_LABEL} AS label FROM s WHERE public AND path LIKE '%.js' AND {_LABEL} LIKE 'func make%')
+WITH {_SRC}, {_ALL}, l AS (SELECT DISTINCT repo, path, {_LABEL} AS label FROM s WHERE public AND path LIKE '%.js' AND {_LABEL} LIKE 'func make%')
 SELECT repo, path, replace(label, 'make', 'build') AS label, 'added' AS change FROM l UNION ALL SELECT repo, path, label, 'removed' FROM l
 """
 )
 def symbol_set_difference(spark, sf_dir):
     old = _contents(spark, sf_dir)
     new = old.withColumn("text", F.replace("text", F.lit("const make"), F.lit("const build")))
-    listed = [cut(symbols.qualified(symbols.brace_symbols(c)), "symbols") for c in (old, new)]
+    listed = [cut(symbols.qualified(symbols.symbols(c)), "symbols") for c in (old, new)]
     return diff.symbol_sets(*listed).drop("snapshot")
 
 
@@ -752,21 +762,24 @@ used AS (SELECT repo, dst AS path, count(*) AS n, row_number() OVER (PARTITION B
 
 @checked(
     f"""
-WITH RECURSIVE {_SRC}, {_ANNOTATED}, {_TOPS},
+WITH RECURSIVE {_SRC}, {_ANNOTATED}, {_TOPS}, {_ALL}, {_LONG},
+long_ AS (SELECT repo, string_agg(lines || ' ' || symbol, ';' ORDER BY rank) AS long_functions FROM (
+  SELECT repo, lines, symbol, row_number() OVER (PARTITION BY repo ORDER BY lines DESC, symbol, line_start) AS rank FROM f) x WHERE rank <= 5 GROUP BY 1),
 t AS (SELECT repo, count(*) AS files, cast(sum(tokens) AS bigint) AS estimated_tokens, cast(sum(CASE WHEN NOT has_test THEN 1 WHEN has_test THEN 0 END) AS bigint) AS missing_tests,
   cast(sum(is_entry::int) AS bigint) AS entry_points, cast(sum(is_config::int) AS bigint) AS config_files FROM annotated GROUP BY 1)
-SELECT t.*, u.top AS most_depended_on FROM t LEFT JOIN (SELECT repo, string_agg(path || ' ' || n, ';' ORDER BY rank) AS top FROM used WHERE rank <= 10 GROUP BY 1) u ON u.repo = t.repo
+SELECT t.*, g.long_functions, u.top AS most_depended_on FROM t LEFT JOIN long_ g ON g.repo = t.repo LEFT JOIN (SELECT repo, string_agg(path || ' ' || n, ';' ORDER BY rank) AS top FROM used WHERE rank <= 10 GROUP BY 1) u ON u.repo = t.repo
 """
 )
 def project_summaries(spark, sf_dir):
-    """One row per tree: totals and what most files depend on."""
+    """One row per tree: totals, the longest functions, and what most files depend on."""
     annotated, edges, entries = _annotated(spark, sf_dir)
-    out = summary.project_summary(annotated, edges, entries=entries)
+    out = summary.project_summary(annotated, edges, entries=entries, symbols=symbols.symbols(_contents(spark, sf_dir)), long_from=3)
+    long = F.array_join(F.transform("long_functions", lambda s: F.concat_ws(" ", s["lines"].cast("string"), s["symbol"])), ";")
     top = F.array_join(
         F.transform("most_depended_on", lambda s: F.concat_ws(" ", s["path"], s["used_by_count"].cast("string"))), ";"
     )
     return out.select(
-        "repo", "files", "estimated_tokens", "missing_tests", "entry_points", "config_files", top.alias("most_depended_on")
+        "repo", "files", "estimated_tokens", "missing_tests", "entry_points", "config_files", long.alias("long_functions"), top.alias("most_depended_on")
     )
 
 

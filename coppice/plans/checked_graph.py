@@ -9,7 +9,7 @@ from coppice.operators import graph, history, testsgap, visible
 from coppice.plans import registry as R
 from coppice.plans.registry import checked, table, view
 from coppice.schema import TREE
-from coppice.session import cut
+from coppice.session import Folder, cut
 from coppice.sinks import report
 from coppice.sources import gittext, trees
 
@@ -274,6 +274,36 @@ def parsed_log_paths(spark, sf_dir):
     return gittext.parse_log(_log_texts(spark, sf_dir))[1]
 
 
+def _log_folder(spark, sf_dir):
+    """The log of each language as one file: its documents' records in order."""
+    folder = Folder(spark, "logs").path("by-language")
+    texts = _log_texts(spark, sf_dir).join(
+        table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("repo"), "doc_id", "lang"), "repo"
+    )
+    texts.repartition("lang").sortWithinPartitions("lang", "doc_id").select("lang", "text").write.partitionBy("lang").text(folder)
+    return folder
+
+
+_FILED_LOG = """
+lines AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
+records AS (SELECT lang AS repo, row_number() OVER (PARTITION BY lang ORDER BY doc_id, line_no) - 1 AS seq, line, line_no FROM lines)
+"""
+
+
+@checked(f"WITH {_FILED_LOG} SELECT repo, seq, left(md5(line), 7) AS hash, 'day ' || cast(line_no - 1 AS varchar) AS date, repo AS author, line AS subject FROM records")
+def filed_log_commits(spark, sf_dir):
+    """Commits from log files that are read record by record."""
+    language = F.regexp_extract("_metadata.file_path", "lang=([^/]*)/", 1)
+    return gittext.parse_records(gittext.read_log(spark, _log_folder(spark, sf_dir), language))[0]
+
+
+@checked(f"WITH {_FILED_LOG} SELECT repo, seq, unnest(['src/a' || cast(length(line) AS varchar) || '.py', 'all/' || repo]) AS path FROM records")
+def filed_log_paths(spark, sf_dir):
+    """Touched paths from the same files."""
+    language = F.regexp_extract("_metadata.file_path", "lang=([^/]*)/", 1)
+    return gittext.parse_records(gittext.read_log(spark, _log_folder(spark, sf_dir), language))[1]
+
+
 def _status_texts(spark, sf_dir):
     """Status text per file of the TREE view: modified, renamed, untracked by turns."""
     files = view(spark, sf_dir, "TREE")

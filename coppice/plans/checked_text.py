@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from coppice.functions import measure, paths
@@ -11,7 +10,7 @@ from coppice.plans import registry as R
 from coppice.plans.checked_tree import _KEY, COUNTED, ENTRIES
 from coppice.plans.registry import checked, table, view
 from coppice.schema import ENTRY, TREE
-from coppice.session import cut
+from coppice.session import Folder, cut
 from coppice.sinks import report
 from coppice.sources import trees
 
@@ -94,23 +93,23 @@ def damaged_bodies(spark, sf_dir):
 def counted_by_tokenizer(spark, sf_dir):
     """A tokenizer passed in by the caller (here: blank-separated words)."""
 
-    @F.pandas_udf("long")
-    def words(texts: pd.Series) -> pd.Series:
-        return texts.str.count(r"[^ \n\t\r]+")
+    def words(text):
+        return F.regexp_count(text, F.lit(r"[^ \n\t\r]+")).cast("long")
 
     counts = trees.text_counts(view(spark, sf_dir, "FILES"), tokenizer=words)
     return counts.select("repo", "path", "tokens", "token_method")
 
 
-@checked(
-    f"""
+_RECOUNTED = f"""
 WITH prior AS (SELECT repo, path, size, mtime, {R.tokens_of()} AS tokens, {R.lines_of()} AS lines FROM @FILES f),
 now AS (SELECT repo, path, size, 5.0::DOUBLE + mtime AS mtime, text FROM @FILES_B b WHERE size % 3 = 0 UNION ALL SELECT repo, path, size, mtime, text FROM @FILES_B b WHERE size % 3 <> 0)
 SELECT n.repo, n.path, n.size, n.mtime, {R.tokens_of('n.text')} AS tokens, {R.lines_of('n.text')} AS lines
 FROM now n
 """
-)
-def recounted(spark, sf_dir):
+
+
+@checked(_RECOUNTED)
+def recounted(spark, sf_dir, bucketed=False):
     """Counts of a later snapshot: only what changed is read again.
 
     Files that kept size and time keep their counts, whatever their text.
@@ -126,10 +125,18 @@ def recounted(spark, sf_dir):
         "mtime", F.when(F.col("size") % 3 == 0, F.col("mtime") + 5.0).otherwise(F.col("mtime"))
     )
     # Replaced blanks keep the size and the counts, so reuse and recount agree.
-    result = trees.recount(trees.inventory(later.drop("text")), later.select(*ENTRY, "text"), cut(prior, "prior"))
+    bodies = later.select(*ENTRY, "text")
+    bodies = trees.write_bucketed(bodies, Folder(spark, "bodies").path("bucketed")) if bucketed else bodies
+    result = trees.recount(trees.inventory(later.drop("text")), bodies, cut(prior, "prior"))
     return result.select("repo", "path", "size", "mtime", "tokens", "lines")
 
 
+@checked(_RECOUNTED)
+def recounted_by_bucket(spark, sf_dir):
+    """The same with bodies in buckets, of which only those with a changed file are read."""
+    return recounted(spark, sf_dir, bucketed=True)
+
+
 _MARKS = """
 marks AS (SELECT repo, path, line, upper(regexp_extract(raw, '(?i)(?:^|[^\\pL\\pM\\p{Nd}\\p{Pc}])(license|copyright|secret|password)(?:$|[^\\pL\\pM\\p{Nd}\\p{Pc}])', 1)) AS kind,
   CASE WHEN length(trimmed) > 80 THEN left(trimmed, 80) || '…' ELSE trimmed END AS text FROM (

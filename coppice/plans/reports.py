@@ -181,7 +181,7 @@ class Trees:
     def analyze(self) -> DataFrame:
         """One summary row per tree."""
         return summary.project_summary(
-            self.annotated, self.edges, self.components, self.churn, self.entries
+            self.annotated, self.edges, self.components, self.churn, self.entries, self.symbols
         )
 
     def tree(

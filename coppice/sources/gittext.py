@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coppice.functions import paths
+from coppice.operators.skew import numbered, salted_join
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -15,21 +16,51 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_log(spark: SparkSession, path: str, repo: Column | None = None) -> DataFrame:
+    """``(repo, seq, body)``: the records of log files, numbered from 0 in each file's order.
+
+    A record starts behind ``\\x01`` at the start of a line.  The reader cuts there
+    itself, so one log is read by as many tasks as it has blocks, and no more
+    than a record is held at a time.  Numbers come from the blocks' offsets and
+    the order within them.  ``repo`` names the repository of a file, by default
+    the file's name without its ending; it may use ``_metadata``.
+    """
+    repo = paths.stem(F.col("_metadata.file_name")) if repo is None else repo
+    pieces = spark.read.text(path, lineSep="\n\x01").select(
+        repo.alias("repo"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
+        "value",
+    )
+    # Carriage returns before a mark, and the mark that opens a file, are left over.
+    cuts = pieces.select("repo", "_block", "_row", F.posexplode(F.split("value", "\n\r+\x01")).alias("_part", "body"))
+    placed = numbered(cuts, ["repo"], [F.col("_block"), F.col("_row"), F.col("_part")], "_n")
+    opening = (F.col("_n") == 1) & F.col("body").rlike("\\A\r*\x01")
+    begins = placed.where("_n = 1").select("repo", F.when(opening, 1).otherwise(2).alias("_first"))
+    body = F.when(opening, F.regexp_replace("body", "\\A\r*\x01", "")).otherwise(F.col("body"))
+    return (
+        salted_join(placed, begins, ["repo"], ["_n"])
+        .where(F.col("_n") >= F.col("_first"))
+        .select("repo", (F.col("_n") - F.col("_first")).alias("seq"), body.alias("body"))
+    )
+
+
 def parse_log(logs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(commits, commit_files)`` from log texts, newest commit first.
+    """``(commits, commit_files)`` from log texts, newest commit first; ``read_log`` is for logs of any length."""
+    split = logs.select("repo", F.posexplode(F.split("text", "(?:\\A|\n)\\r*\x01")).alias("seq", "body"))
+    return parse_records(split.where(F.col("seq") > 0).withColumn("seq", (F.col("seq") - 1).cast("long")))
+
+
+def parse_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(commits, commit_files)`` from records ``(repo, seq, body)`` of a log.
 
     A record is ``\\x01hash\\x02date\\x02author\\x02subject\\x03`` and then one
     touched path per line.  Records whose header has fewer than four fields
     are dropped with their paths.
     """
-    records = logs.select(
-        "repo", F.posexplode(F.split("text", "(?:\\A|\\n)\\r*\x01")).alias("seq", "_body")
-    ).where(F.col("seq") > 0)
-    header = F.regexp_replace(F.substring_index("_body", "\n", 1), "\\A\r+|\r+\\z", "")
+    header = F.regexp_replace(F.substring_index("body", "\n", 1), "\\A\r+|\r+\\z", "")
     fields = F.split(F.regexp_replace(header, "\x03\\z", ""), "\x02", 4)
-    parsed = records.select(
-        "repo", (F.col("seq") - 1).cast("long").alias("seq"), fields.alias("_f"), "_body"
-    ).where(F.size("_f") == 4)
+    parsed = records.select("repo", "seq", fields.alias("_f"), "body").where(F.size("_f") == 4)
     commits = parsed.select(
         "repo",
         "seq",
@@ -38,7 +69,7 @@ def parse_log(logs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("_f")[2].alias("author"),
         F.col("_f")[3].alias("subject"),
     )
-    lines = F.split("_body", "\n")
+    lines = F.split("body", "\n")
     touched = F.slice(lines, F.lit(2), F.size(lines))
     commit_files = (
         parsed.select("repo", "seq", F.explode(touched).alias("_line"))

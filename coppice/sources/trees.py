@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from coppice.functions import measure, names, paths
 from coppice.schema import ENTRY, FILES, MANIFEST, TREE
-from coppice.session import Rounds, is_empty
+from coppice.session import Rounds, cut, is_empty
 
 
 def inventory(df: DataFrame) -> DataFrame:
@@ -311,6 +311,19 @@ def text_counts(
     )
 
 
+BUCKETS = 256
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("repo", "path"), F.lit(BUCKETS)).cast("int")
+
+
+def write_bucketed(contents: DataFrame, folder: str) -> DataFrame:
+    """Bodies written in ``BUCKETS`` folders by hash of their path, and read back with the column ``bucket``."""
+    contents.withColumn("bucket", _bucket()).repartition("bucket").write.partitionBy("bucket").parquet(folder)
+    return contents.sparkSession.read.parquet(folder)
+
+
 COUNT_KEY = [*ENTRY, "size", "mtime", "method", "read_limit"]
 
 
@@ -325,7 +338,8 @@ def recount(
 
     ``prior`` is an earlier result.  A file is counted again when its size,
     its time, the method (with ``tokenizer`` or without) or the read limit
-    changed.  The body table is scanned for those files by a semi join.
+    changed.  The body table is scanned for those files by a semi join; of one
+    in buckets (``write_bucketed``) only the buckets of such files are read.
     """
     method = "chars" if tokenizer is None else "tokenizer"
     keyed = files.where(F.col("kind") == "file").select(
@@ -341,6 +355,10 @@ def recount(
         *[keyed[c] for c in COUNT_KEY], prior["tokens"], prior["lines"]
     )
     fresh_keys = keyed.join(prior, same, "left_anti")
+    if "bucket" in contents.columns:
+        fresh_keys = cut(fresh_keys, "fresh")
+        found = fresh_keys.select(_bucket().alias("bucket")).distinct().collect()  # BUCKETS numbers at most
+        contents = contents.where(F.col("bucket").isin([r.bucket for r in found])).drop("bucket")
     fresh_bodies = contents.join(fresh_keys.select(*ENTRY), ENTRY, "left_semi")
     counts = text_counts(fresh_bodies, limit, tokenizer).select(*ENTRY, "tokens", "lines")
     fresh = fresh_keys.join(counts, ENTRY, "left").select(*columns)

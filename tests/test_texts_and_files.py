@@ -129,3 +129,44 @@ def test_counts_from_a_stream(spark, tmp_path):
     # Another stream over the same inventories brings batch 0 again: nothing is lost, nothing counted twice.
     stream.keep_counted(inventories, bodies, store, str(tmp_path / "other"), spark).awaitTermination()
     assert sorted((r["path"], r["mtime"], r["lines"]) for r in stream.stored(spark, store).collect()) == sorted(known)
+
+
+def test_log_records_over_many_tasks(spark, tmp_path):
+    """One log cut into small splits gives the records that the whole text gives."""
+    from coppice.sources import gittext
+
+    said = ["a preamble\n", "", "\r"]
+    for number, start in enumerate(said):
+        records = [f"\x01{k:040}\x02day {k}\x02me\x02did {'x' * (k % 90)} \x01 it\x03\n\nsrc/{k}.py\nall\\{k % 7}\r\n" for k in range(300)]
+        records[5] = "\x01too few fields\x03\nlost.py\n"
+        text = start + "\n".join(records).replace("\n\x01" + "0" * 37 + "123", "\n\r\r\x01" + "0" * 37 + "123")
+        (tmp_path / f"repo{number}.log").write_bytes(text.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        read = gittext.read_log(spark, str(tmp_path))
+        got = [sorted(map(tuple, df.collect())) for df in gittext.parse_records(read)]
+        assert spark.read.text(str(tmp_path), lineSep="\n\x01").rdd.getNumPartitions() > 20
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    whole = gittext.parse_log(spark.createDataFrame([(f"repo{k}", (tmp_path / f"repo{k}.log").read_bytes().decode()) for k in range(3)], "repo string, text string"))
+    assert got == [sorted(map(tuple, df.collect())) for df in whole]
+    assert len(got[0]) == 3 * 299
+
+
+def test_recount_reads_changed_buckets_only(spark, tmp_path):
+    rows = [("r", f"d/f{k}.txt", "word " * k) for k in range(1, 200)]
+    files, contents = trees.from_table(spark.createDataFrame(rows, "repo string, path string, text string"), "repo", "path", "text")
+    files = files.where("kind = 'file'").withColumn("mtime", F.lit(1.0))
+    bodies = trees.write_bucketed(contents, str(tmp_path / "bodies"))
+    nothing = spark.createDataFrame([], trees.recount(files, contents, files.limit(0).selectExpr(
+        "repo", "snapshot", "path", "size", "mtime", "'chars' AS method", "-1L AS read_limit", "1L AS tokens", "1L AS lines")).schema)
+    prior = spark.createDataFrame(trees.recount(files, bodies, nothing).collect(), nothing.schema)
+    later = files.withColumn("mtime", F.when(F.col("path") == "d/f7.txt", 2.0).otherwise(F.col("mtime")))
+    again = trees.recount(later, bodies, prior)
+    assert {(r.path, r.tokens, r.lines) for r in again.collect()} == {(r.path, r.tokens, r.lines) for r in prior.collect()}
+    plan = again._jdf.queryExecution().executedPlan().toString()
+    filters = [line for line in plan.split("\n") if "PartitionFilters: [" in line and "bucket" in line.split("PartitionFilters: [")[1].split("]")[0]]
+    assert filters  # the buckets are folders, so unchanged ones are not listed for reading
