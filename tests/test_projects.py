@@ -98,7 +98,7 @@ def test_summary_and_listing(station):
     assert lines[1].startswith("├── agent/ (2 dirs, 1 file, 282 bytes")
     rain = next(line for line in lines if "rain.py" in line)
     assert rain.startswith("│   │   ├── rain.py (91 bytes") and rain.endswith("def depth, imports×1, used-by×3)")
-    assert lines[-1].startswith("└── requirements.txt")
+    assert lines[-1].startswith("└── ⚙ requirements.txt")
 
 
 def test_focus(station, spark):
