@@ -44,6 +44,12 @@ def most_depended_on(spark, sf_dir):
     return graph.most_depended(_edges(spark, sf_dir)).drop("snapshot")
 
 
+@checked(f"WITH {_PAIRS} SELECT repo, root, node FROM pairs WHERE root <> node")
+def impact_of_every_file(spark, sf_dir):
+    """Everything each file depends on, directly or not."""
+    return graph.impact_pairs(_edges(spark, sf_dir)).select("repo", "root", "node")
+
+
 _COUNTS = """
 SELECT n.repo, n.path, (SELECT count(*) FROM e WHERE e.repo = n.repo AND e.{near} = n.path) AS direct,
   (SELECT count(*) FROM pairs p WHERE p.repo = n.repo AND p.{root} = n.path AND p.{node} <> n.path) AS files
@@ -51,12 +57,6 @@ FROM (SELECT repo, src AS path FROM e UNION SELECT repo, dst FROM e) n
 """
 
 
-@checked(f"WITH {_PAIRS} {_COUNTS.format(near='src', root='root', node='node')}")
-def impact_of_every_file(spark, sf_dir):
-    """How many files each file depends on, directly and in all."""
-    return graph.impact_counts(_edges(spark, sf_dir)).drop("snapshot")
-
-
 @checked(f"WITH {_PAIRS} {_COUNTS.format(near='dst', root='node', node='root')}")
 def dependents_of_every_file(spark, sf_dir):
     """How many files depend on each file, directly and in all."""

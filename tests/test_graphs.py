@@ -101,6 +101,24 @@ def test_impact_counts(spark):
     assert got == want | {("other", "x"): (1, 1), ("other", "y"): (1, 1)}
 
 
+def test_impact_pairs(spark):
+    """Trees of more than 64 files, cycles and a second tree: all pairs, not their number."""
+    edges = random_edges(9, 100, 130)
+    df = frame(spark, edges).unionByName(frame(spark, [("x", "y"), ("y", "x"), ("x", "x")], "other"))
+    rows = [tuple(r) for r in graph.impact_pairs(df).select("repo", "root", "node").collect()]
+    nodes = {x for e in edges for x in e}
+    assert len(nodes) > 64
+    want = {("r", n, m) for n in nodes for m in set(walk(edges, n)[0]) - {n}} | {("other", "x", "y"), ("other", "y", "x")}
+    assert len(rows) == len(want) and set(rows) == want
+
+
+def test_every_file_lists_its_impact(spark):
+    """The query's SQL asks for pairs, and its columns are theirs."""
+    from coppice.plans import QUERIES
+
+    assert "SELECT repo, root, node FROM pairs" in QUERIES["impact_of_every_file"].sql
+
+
 def test_long_way_round(spark):
     """The route of a ring is laid out by doubling; distances go on over several written rounds."""
     ring = [(f"a{i:05}", f"a{(i + 1) % 11:05}") for i in range(11)]
