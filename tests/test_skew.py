@@ -44,3 +44,13 @@ def test_hot_group_is_spread_over_ranges(spark):
 
     sliced = _slices(rows(spark), ["key"], [F.col("id")])
     assert sliced.where("key = 'hot'").select("_slice").distinct().count() > 1
+
+
+def test_partitions_follow_the_input(spark):
+    """Not the bytes they were written in: keys that repeat pack well, and would all come to a few tasks."""
+    from coppice.operators.skew import by_size
+
+    df = spark.range(1000).selectExpr("concat('same/long/key/', id % 100) AS path", "id AS line")
+    assert by_size(df, ["path"], df, F.lit(1), 50).rdd.getNumPartitions() == 20
+    lines = by_size(df, ["path"], df, F.lit(1), 50).groupBy("path").count()
+    assert {r["count"] for r in lines.collect()} == {10}
