@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from coppice.functions import labels
 from coppice.operators import graph, history, testsgap, visible
+from coppice.operators.skew import tasks_for
 from coppice.plans import registry as R
 from coppice.plans.registry import checked, table, view
 from coppice.schema import TREE
@@ -275,12 +276,13 @@ def parsed_log_paths(spark, sf_dir):
 
 
 def _log_folder(spark, sf_dir):
-    """The log of each language as one file: its documents' records in order."""
+    """The log of each language, its documents' records in order, cut into files by size."""
     folder = Folder(spark, "logs").path("by-language")
+    files = tasks_for(table(spark, sf_dir, "documents"), F.octet_length("text"))
     texts = _log_texts(spark, sf_dir).join(
         table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("repo"), "doc_id", "lang"), "repo"
     )
-    texts.repartition("lang").sortWithinPartitions("lang", "doc_id").select("lang", "text").write.partitionBy("lang").text(folder)
+    texts.repartitionByRange(files, "lang", "doc_id").sortWithinPartitions("lang", "doc_id").select("lang", "text").write.partitionBy("lang").text(folder)
     return folder
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from coppice.functions import paths
@@ -17,31 +18,37 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str, repo: Column | None = None) -> DataFrame:
-    """``(repo, seq, body)``: the records of log files, numbered from 0 in each file's order.
+    """``(repo, seq, body)``: the records of log files, numbered from 0 in each repository's order.
 
     A record starts behind ``\\x01`` at the start of a line.  The reader cuts there
     itself, so one log is read by as many tasks as it has blocks, and no more
     than a record is held at a time.  Numbers come from the blocks' offsets and
     the order within them.  ``repo`` names the repository of a file, by default
-    the file's name without its ending; it may use ``_metadata``.
+    the file's name without its ending; it may use ``_metadata``.  A log may be
+    cut into several files between records: they go on in the order of their paths.
     """
     repo = paths.stem(F.col("_metadata.file_name")) if repo is None else repo
     pieces = spark.read.text(path, lineSep="\n\x01").select(
         repo.alias("repo"),
+        F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"),
         "value",
     )
     # Carriage returns before a mark, and the mark that opens a file, are left over.
-    cuts = pieces.select("repo", "_block", "_row", F.posexplode(F.split("value", "\n\r+\x01")).alias("_part", "body"))
-    placed = numbered(cuts, ["repo"], [F.col("_block"), F.col("_row"), F.col("_part")], "_n")
-    opening = (F.col("_n") == 1) & F.col("body").rlike("\\A\r*\x01")
-    begins = placed.where("_n = 1").select("repo", F.when(opening, 1).otherwise(2).alias("_first"))
-    body = F.when(opening, F.regexp_replace("body", "\\A\r*\x01", "")).otherwise(F.col("body"))
+    cuts = pieces.select("repo", "_file", "_block", "_row", F.posexplode(F.split("value", "\n\r+\x01")).alias("_part", "body"))
+    placed = numbered(cuts, ["repo"], [F.col(c) for c in ("_file", "_block", "_row", "_part")], "_n")
+    # What stands before a file's first mark is no record.
+    opening = F.col("body").rlike("\\A\r*\x01")
+    files = placed.groupBy("repo", "_file").agg(F.min("_n").alias("_start"), F.min_by(opening, "_n").alias("_opening"))
+    lost = F.count_if(~F.col("_opening")).over(W.partitionBy("repo").orderBy("_start"))
+    begins = files.withColumn("_lost", lost)
+    first = F.col("_n") == F.col("_start")
+    body = F.when(first, F.regexp_replace("body", "\\A\r*\x01", "")).otherwise(F.col("body"))
     return (
-        salted_join(placed, begins, ["repo"], ["_n"])
-        .where(F.col("_n") >= F.col("_first"))
-        .select("repo", (F.col("_n") - F.col("_first")).alias("seq"), body.alias("body"))
+        salted_join(placed, begins, ["repo", "_file"], ["_n"])
+        .where(~first | F.col("_opening"))
+        .select("repo", (F.col("_n") - 1 - F.col("_lost")).alias("seq"), body.alias("body"))
     )
 
 

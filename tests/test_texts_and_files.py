@@ -170,3 +170,41 @@ def test_recount_reads_changed_buckets_only(spark, tmp_path):
     plan = again._jdf.queryExecution().executedPlan().toString()
     filters = [line for line in plan.split("\n") if "PartitionFilters: [" in line and "bucket" in line.split("PartitionFilters: [")[1].split("]")[0]]
     assert filters  # the buckets are folders, so unchanged ones are not listed for reading
+
+
+def test_log_of_several_files(spark, tmp_path):
+    """Records go on from file to file; what stands before a file's first mark is none."""
+    from coppice.sources import gittext
+
+    record = "\x01{0}\x02day\x02me\x02{0}\x03\n{0}.py\n"
+    for name, lead, held in (("x-0", "", "ab"), ("x-1", "noise\n", "cd"), ("x-2", "", "e"), ("y-0", "noise\n", "f")):
+        (tmp_path / f"{name}.txt").write_text(lead + "\n".join(record.format(c) for c in held))
+    repo = F.regexp_extract("_metadata.file_name", "^(.)", 1)
+    commits, touched = gittext.parse_records(gittext.read_log(spark, str(tmp_path), repo))
+    want = [("x", 0, "a"), ("x", 1, "b"), ("x", 2, "c"), ("x", 3, "d"), ("x", 4, "e"), ("y", 0, "f")]
+    assert sorted((r["repo"], r["seq"], r["subject"]) for r in commits.collect()) == want
+    assert sorted((r["repo"], r["seq"], r["path"]) for r in touched.collect()) == [(a, n, f"{c}.py") for a, n, c in want]
+
+
+def test_a_languages_log_is_written_by_several_tasks(spark, tmp_path):
+    from pathlib import Path
+
+    from coppice.plans import checked_graph
+
+    rows = [(n, f"line {n}\nmore", "en") for n in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    folder = checked_graph._log_folder(spark, str(tmp_path))
+    assert len(list(Path(folder.removeprefix("file:")).glob("lang=en/part-*.txt"))) > 1
+
+
+def test_empty_lines_among_imports(spark, forest):
+    """They are not moved, but for the one that ends a statement which a backslash carries on."""
+    from coppice.operators import pysource
+
+    text = "import a\n\n\n# said\n\nfrom b import (\n\n  c,  # d\n\n\n  e,\n)\n \t\n\nx = 1; import f\ny = \\;\n\n\nimport g\n"
+    got = pysource.line_imports(forest({"m.py": text})[1]).orderBy("ord").collect()
+    assert [(r["form"], r["spec"], r["names"]) for r in got] == [
+        ("import", "a", None), ("from", "b", ["c", "e"]), ("import", "f", None), ("import", "g", None),
+    ]
+    moved = spark.createDataFrame([("a\n\n \t\n\nb\n",), ("a\\\n\n\nb",)], "t string")
+    assert [r[0] for r in moved.select(F.regexp_replace("t", pysource.EMPTY_LINES, "\n")).collect()] == ["a\nb\n", "a\\\n\nb"]
