@@ -82,6 +82,17 @@ def _follow(frontier: DataFrame, links: DataFrame) -> DataFrame:
 HOPS = 4
 
 
+def _steps(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, to, own``: the links, and for every node one ``own`` row to itself.
+
+    Joined with a loop's state they give both what is sent and what stays, so
+    a hop reads the state once and it need not move between hops.
+    """
+    own = nodes.select("node", F.col("node").alias("to"), F.lit(True).alias("own"))
+    sent = links.select(F.col("a").alias("node"), F.col("b").alias("to"), F.lit(False).alias("own"))
+    return cut(sent.unionByName(own), "steps")
+
+
 def _reach(links: DataFrame, seeds: DataFrame) -> DataFrame:
     """Numbers reached from ``seeds`` (``node`` and maybe ``root``), with the distance.
 
@@ -91,19 +102,22 @@ def _reach(links: DataFrame, seeds: DataFrame) -> DataFrame:
     spark = links.sparkSession
     key = [c for c in ("root", "node") if c in seeds.columns]
     keep = [c for c in key if c != "node"]
-    nothing = F.lit(None).cast("int")
     with loop_settings(spark):
+        steps = _steps(links, links.select(F.col("b").alias("node")).distinct())
         state = _follow(seeds.select(*key).distinct(), links).select(*keep, F.col("b").alias("node")).distinct()
         state = state.select(*key, F.lit(1).alias("dist"), F.lit(True).alias("moved"))
         rounds = Newest(spark, "reach")
         while True:
             for _ in range(HOPS):
-                sent = _follow(state.where("moved").select(*key, "dist"), links).select(
-                    *keep, F.col("b").alias("node"), (F.col("dist") + 1).alias("dist"), nothing.alias("before")
-                )
                 state = (
-                    state.select(*key, "dist", F.col("dist").alias("before"))
-                    .unionByName(sent)
+                    state.join(steps, "node")
+                    .where("own or moved")
+                    .select(
+                        *keep,
+                        F.col("to").alias("node"),
+                        F.when(F.col("own"), F.col("dist")).otherwise(F.col("dist") + 1).alias("dist"),
+                        F.when(F.col("own"), F.col("dist")).alias("before"),
+                    )
                     .groupBy(*key)
                     .agg(F.min("dist").alias("dist"), F.min("before").alias("before"))
                     .select(*key, "dist", F.col("before").isNull().alias("moved"))
@@ -160,18 +174,19 @@ def impact(edges: DataFrame, roots: DataFrame, reverse: bool = False) -> DataFra
 
 def _levels(dag: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node, level``: the longest way from each node of an acyclic graph to one without links."""
-    back = dag.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    steps = _steps(dag.select(F.col("b").alias("a"), F.col("a").alias("b")), nodes)
     state = nodes.select("node", F.lit(0).alias("level"), F.lit(True).alias("moved"))
-    nothing = F.lit(None).cast("int")
     rounds = Newest(dag.sparkSession, "levels")
     while True:
         for _ in range(HOPS):
-            sent = _follow(state.where("moved").select("node", "level"), back).select(
-                F.col("b").alias("node"), (F.col("level") + 1).alias("level"), nothing.alias("before")
-            )
             state = (
-                state.select("node", "level", F.col("level").alias("before"))
-                .unionByName(sent)
+                state.join(steps, "node")
+                .where("own or moved")
+                .select(
+                    F.col("to").alias("node"),
+                    F.when(F.col("own"), F.col("level")).otherwise(F.col("level") + 1).alias("level"),
+                    F.when(F.col("own"), F.col("level")).alias("before"),
+                )
                 .groupBy("node")
                 .agg(F.max("level").alias("level"), F.max("before").alias("before"))
                 .select("node", "level", (F.col("level") > F.col("before")).alias("moved"))
@@ -328,38 +343,34 @@ def _spread_min(links: DataFrame, hops: int = 4) -> DataFrame:
 
     A few hops per written round; only nodes whose numbers changed send again.
     """
-    both = cut(
-        links.select(
-            F.inline(
-                F.array(
-                    F.struct(F.col("a").alias("node"), F.col("b").alias("to"), F.lit(True).alias("ahead")),
-                    F.struct(F.col("b").alias("node"), F.col("a").alias("to"), F.lit(False).alias("ahead")),
-                )
+    ends = links.select(
+        F.inline(
+            F.array(
+                F.struct(F.col("a").alias("node"), F.col("b").alias("to"), F.lit(True).alias("ahead")),
+                F.struct(F.col("b").alias("node"), F.col("a").alias("to"), F.lit(False).alias("ahead")),
             )
-        ),
-        "both",
+        )
     )
-    state = both.select("node").distinct().select(
+    nodes = ends.select("node").distinct()
+    # Ahead, back, or (null) to the node itself, by which its own numbers stay.
+    both = cut(ends.unionByName(nodes.select("node", F.col("node").alias("to"), F.lit(None).cast("boolean").alias("ahead"))), "both")
+    state = nodes.select(
         "node", F.col("node").alias("f"), F.col("node").alias("b"), F.lit(True).alias("moved")
     )
-    nothing = F.lit(None).cast("long")
+    own = F.col("ahead").isNull()
     labels_ = Newest(links.sparkSession, "labels")
     while True:
         for _ in range(hops):
-            sent = (
-                state.where("moved")
-                .join(both, "node")
+            state = (
+                state.join(both, "node")
+                .where(own | F.col("moved"))
                 .select(
                     F.col("to").alias("node"),
-                    F.when(F.col("ahead"), F.col("f")).alias("f"),
-                    F.when(~F.col("ahead"), F.col("b")).alias("b"),
-                    nothing.alias("f0"),
-                    nothing.alias("b0"),
+                    F.when(own | F.col("ahead"), F.col("f")).alias("f"),
+                    F.when(own | ~F.col("ahead"), F.col("b")).alias("b"),
+                    F.when(own, F.col("f")).alias("f0"),
+                    F.when(own, F.col("b")).alias("b0"),
                 )
-            )
-            kept = state.select("node", "f", "b", F.col("f").alias("f0"), F.col("b").alias("b0"))
-            state = (
-                kept.unionByName(sent)
                 .groupBy("node")
                 .agg(*[F.min(c).alias(c) for c in ("f", "b", "f0", "b0")])
                 .select(

@@ -129,3 +129,11 @@ def test_long_way_round(spark):
     seeds = df.where("src = 't'").select("repo", "snapshot", F.col("src").alias("node"))
     got = {r["node"]: r["dist"] for r in graph.reachable(df, seeds).collect()}
     assert got == {f"a{(3 + k) % 11:05}": k + 1 for k in range(11)}
+
+
+def test_steps_hold_links_and_every_node(spark):
+    """A hop joins its state once: with the links, and with a row of every node to itself."""
+    links = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    nodes = spark.createDataFrame([(1,), (2,), (3,)], "node long")
+    got = {tuple(r) for r in graph._steps(links, nodes).select("node", "to", "own").collect()}
+    assert got == {(1, 2, False), (1, 3, False), (1, 1, True), (2, 2, True), (3, 3, True)}
