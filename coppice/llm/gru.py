@@ -55,6 +55,7 @@ RATE = 0.02
 SMOOTH = 0.1
 CHUNK = 12 << 20  # bytes of text that go through the model together
 LANES = 384
+ROWS = 1024  # tokens whose odds are worked out at once, few enough for the processor's cache
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -201,11 +202,15 @@ def first_model(vocab: Vocabulary, seed: int = 7) -> Model:
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     """In place."""
-    x *= np.float32(0.5)
-    np.tanh(x, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
     x += np.float32(1)
-    x *= np.float32(0.5)
-    return x
+    return np.reciprocal(x, out=x)
+
+
+def _order(numbers: np.ndarray) -> np.ndarray:
+    """A stable order; short numbers are sorted by digits."""
+    return np.argsort(numbers.astype(np.uint16) if numbers.size and numbers.max() < 1 << 16 else numbers, kind="stable")
 
 
 class Lanes:
@@ -245,32 +250,31 @@ class Lanes:
 
 def _forward(model: Model, inputs: np.ndarray, active: np.ndarray, start: int, state: np.ndarray, keep: bool) -> tuple:
     """States after every step; with ``keep`` also what the gradients need."""
-    steps = len(active)
-    states = np.zeros((steps, active[0], STATE), np.float32)
-    kept = []
-    gates = model.table[inputs]
-    going = (inputs != start).astype(np.float32)
-    any_fresh = (inputs == start).any(axis=1)
-    for t in range(steps):
-        n = active[t]
-        h = state[:n]
-        if any_fresh[t]:
-            h = h * going[t, :n, None]
-        a = h @ model.recur
-        x = gates[t, :n]
-        zr = _sigmoid(x[:, : 2 * STATE] + a[:, : 2 * STATE])
-        z, r = zr[:, :STATE], zr[:, STATE:]
-        u = a[:, 2 * STATE :]
-        c = r * u
-        c += x[:, 2 * STATE :]
-        np.tanh(c, out=c)
-        new = h - c
-        new *= z
-        new += c
-        if keep:
-            kept.append((h, z, r, u, c))
-        states[t, :n] = new
-        state = new
+    shape = (len(active), active[0], STATE)
+    states = np.zeros(shape, np.float32)
+    kept = [np.zeros(shape, np.float32) for _ in range(5)] if keep else []
+    gates = model.table.take(inputs, axis=0)
+    going = inputs != start
+    any_fresh = ~going.all(axis=1)
+    with np.errstate(over="ignore"):  # of a gate that is shut
+        for t, n in enumerate(active):
+            h = state[:n]
+            if any_fresh[t]:
+                h = h * going[t, :n, None]
+            a = h @ model.recur
+            x = gates[t, :n]
+            zr = _sigmoid(x[:, : 2 * STATE] + a[:, : 2 * STATE])
+            z, r = zr[:, :STATE], zr[:, STATE:]
+            u = a[:, 2 * STATE :]
+            c = r * u
+            c += x[:, 2 * STATE :]
+            np.tanh(c, out=c)
+            state = states[t, :n]
+            np.subtract(h, c, out=state)
+            state *= z
+            state += c
+            for held, value in zip(kept, (h, z, r, u, c), strict=False):
+                held[t, :n] = value
     return states, state, kept
 
 
@@ -278,11 +282,12 @@ def _class_of(targets: np.ndarray, n_words: int, n_classes: int) -> np.ndarray:
     return np.where(targets < n_words, targets // PER_CLASS, targets - n_words + n_classes)
 
 
-def _odds(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _odds(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, chosen: np.ndarray, wild: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Odds of all outputs, their sums, and the log-probability of the chosen ones."""
     logits = states @ weights
     logits += bias
-    np.minimum(logits, np.float32(60), out=logits)  # states are within 1, so only wild weights come near
+    if wild:
+        np.minimum(logits, np.float32(60), out=logits)
     found = logits[np.arange(len(chosen)), chosen]
     np.exp(logits, out=logits)
     sums = logits @ np.ones(logits.shape[1], np.float32)
@@ -290,34 +295,53 @@ def _odds(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, chosen: np.
     return logits, sums, found
 
 
+def _wild(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether an output can come to 60 at all, as states are within 1."""
+    return bool(weights.size) and not float((np.abs(weights).sum(axis=0) + bias).max()) < 59
+
+
 def _output(model: Model, states: np.ndarray, targets: np.ndarray, slopes: Model | None) -> tuple[np.ndarray, np.ndarray | None]:
     """Log-probability of each target (of tails: of their class), and the gradient of its sum by the states."""
     n_words = len(model.words)
     n_classes = model.classes.shape[1] - TAILS
+    order = _order(targets)  # by target is by class, too
+    states, targets = states[order], targets[order]
     classes = _class_of(targets, n_words, n_classes)
-    order = np.argsort(classes, kind="stable")
-    states, targets, classes = states[order], targets[order], classes[order]
-    odds, sums, found = _odds(states, model.classes, model.class_bias, classes)
-    down = None
+    found = np.empty(len(targets), np.float32)
+    down = None if slopes is None else np.empty_like(states)
+    wild = _wild(model.classes, model.class_bias)
+    for at in range(0, len(targets), ROWS):
+        own = slice(at, at + ROWS)
+        odds, sums, found[own] = _odds(states[own], model.classes, model.class_bias, classes[own], wild)
+        if slopes is not None:
+            share = np.float32(-1) / sums
+            down[own] = (odds @ model.classes.T) * share[:, None]
+            slopes.classes += (states[own] * share[:, None]).T @ odds
+            slopes.class_bias += share @ odds
     if slopes is not None:
-        odds /= -sums[:, None]
-        odds[np.arange(len(targets)), classes] += 1
-        down = odds @ model.classes.T
-        slopes.classes += states.T @ odds
-        slopes.class_bias += odds.sum(axis=0)
+        down += model.classes.T.take(classes, axis=0)
+        firsts = np.flatnonzero(np.diff(classes, prepend=-1))
+        slopes.classes[:, classes[firsts]] += np.add.reduceat(states, firsts, axis=0).T
+        slopes.class_bias += np.bincount(classes, minlength=len(model.class_bias)).astype(np.float32)
     ends = np.searchsorted(classes, np.arange(n_classes + 1))
+    wild = _wild(model.words.T, model.word_bias)
     for k in np.flatnonzero(ends[1:] > ends[:-1]):
-        own = slice(ends[k], ends[k + 1])
         lo, hi = k * PER_CLASS, min((k + 1) * PER_CLASS, n_words)
-        place = targets[own] - lo
-        odds, sums, here = _odds(states[own], model.words[lo:hi].T, model.word_bias[lo:hi], place)
+        weights = model.words[lo:hi]
+        own = slice(ends[k], ends[k + 1])
+        odds, sums, here = _odds(states[own], weights.T, model.word_bias[lo:hi], targets[own] - lo, wild)
         found[own] += here
         if slopes is not None:
-            odds /= -sums[:, None]
-            odds[np.arange(len(place)), place] += 1
-            down[own] += odds @ model.words[lo:hi]
-            slopes.words[lo:hi] += odds.T @ states[own]
-            slopes.word_bias[lo:hi] += odds.sum(axis=0)
+            share = np.float32(-1) / sums
+            down[own] += (odds @ weights) * share[:, None]
+            slopes.words[lo:hi] += odds.T @ (states[own] * share[:, None])
+            slopes.word_bias[lo:hi] += share @ odds
+    if slopes is not None and ends[-1]:
+        known = targets[: ends[-1]]
+        down[: ends[-1]] += model.words.take(known, axis=0)
+        firsts = np.flatnonzero(np.diff(known, prepend=-1))
+        slopes.words[known[firsts]] += np.add.reduceat(states[: ends[-1]], firsts, axis=0)
+        slopes.word_bias += np.bincount(known, minlength=n_words).astype(np.float32)
     back = np.empty_like(found)
     back[order] = found
     if down is not None:
@@ -330,26 +354,38 @@ def _output(model: Model, states: np.ndarray, targets: np.ndarray, slopes: Model
 def _backward(model: Model, slopes: Model, inputs: np.ndarray, active: np.ndarray, start: int, kept: list, down: np.ndarray) -> None:
     """Adds the gradients of a window, truncated at its start, to ``slopes``."""
     steps, lanes = inputs.shape
+    h, z, r, u, c = kept
+    of_z = (h - c) * z * (1 - z)
+    of_r = u * r * (1 - r)
+    of_c = (1 - z) * (1 - c * c)
     into = np.zeros((steps, lanes, 3 * STATE), np.float32)
+    recurrent = np.zeros_like(into)
+    back = np.ascontiguousarray(model.recur.T)
+    going = inputs != start
+    any_fresh = ~going.all(axis=1)
     carried = np.zeros((0, STATE), np.float32)
     for t in range(steps - 1, -1, -1):
         n = active[t]
         dh = down[t, :n].copy()
         dh[: len(carried)] += carried
-        h, z, r, u, c = kept[t]
-        dc = dh * (1 - z) * (1 - c * c)
-        dz = dh * (h - c) * z * (1 - z)
-        dr = dc * u * r * (1 - r)
-        da = np.concatenate([dz, dr, dc * r], axis=1)
-        into[t, :n] = np.concatenate([dz, dr, dc], axis=1)
-        slopes.recur += h.T @ da
-        carried = dh * z + da @ model.recur.T
-        carried[inputs[t, :n] == start] = 0
+        here, da = into[t, :n], recurrent[t, :n]
+        np.multiply(dh, of_z[t, :n], out=here[:, :STATE])
+        dc = dh * of_c[t, :n]
+        np.multiply(dc, of_r[t, :n], out=here[:, STATE : 2 * STATE])
+        here[:, 2 * STATE :] = dc
+        da[:, : 2 * STATE] = here[:, : 2 * STATE]
+        np.multiply(dc, r[t, :n], out=da[:, 2 * STATE :])
+        carried = da @ back
+        dh *= z[t, :n]
+        carried += dh
+        if any_fresh[t]:
+            carried *= going[t, :n, None]
+    slopes.recur += h.reshape(-1, STATE).T @ recurrent.reshape(-1, 3 * STATE)
     flat = inputs.ravel()
-    order = np.argsort(flat, kind="stable")
+    order = _order(flat)
     ordered = flat[order]
     firsts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    slopes.table[ordered[firsts]] += np.add.reduceat(into.reshape(-1, 3 * STATE)[order], firsts)
+    slopes.table[ordered[firsts]] += np.add.reduceat(into.reshape(-1, 3 * STATE).take(order, axis=0), firsts)
 
 
 class Trainer:
@@ -455,12 +491,22 @@ def _vector_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([tokens], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["n", "weights"])
 
 
+def _tasks(scanned: int, share: int, of: int, cores: int) -> int:
+    """Tasks for a share of the documents: the same share of those that scan all, but one for each core.
+
+    A step costs little more for many lanes than for few, so a task should have
+    enough documents to fill them.
+    """
+    return max(1, min(scanned, max(cores, -(-scanned * share // of))))
+
+
 def trained(docs: DataFrame, vocab: Vocabulary, shares: list[int] = SHARES) -> Model:
     """A model that has read every training document once."""
     context = docs.sparkSession.sparkContext
     model = first_model(vocab)
     shared = context.broadcast(vocab)
     part = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(shares[-1]))
+    tasks = docs.select("text").rdd.getNumPartitions()
     for low, high in zip([0, *shares], shares, strict=False):
         sent = context.broadcast(model)
 
@@ -478,6 +524,7 @@ def trained(docs: DataFrame, vocab: Vocabulary, shares: list[int] = SHARES) -> M
                 )
 
         rows = docs.where(~held_out(F.col("doc_id"))).where((part >= low) & (part < high)).select("text")
+        rows = rows.coalesce(_tasks(tasks, high - low, shares[-1], context.defaultParallelism))
         kind = "n bigint, weights binary"
         # A few tasks add up what all the others learned: the driver gets as many vectors, whatever the input.
         found = rows.mapInArrow(train, kind).repartition(4).mapInArrow(_vector_sums, kind).collect()

@@ -283,6 +283,26 @@ def test_every_window_shapes_the_weights():
     assert trainer.seen == len(ids) and trainer.waiting == 0
 
 
+def test_a_round_of_few_documents_has_few_tasks():
+    assert gru._tasks(320, 1, 32, 6) == 10 and gru._tasks(320, 27, 32, 6) == 270
+    assert gru._tasks(32, 4, 32, 6) == 6 and gru._tasks(2, 1, 32, 6) == 2 and gru._tasks(0, 1, 32, 6) == 1
+
+
+def test_outputs_hold_over_several_blocks_and_for_wild_weights():
+    for scale in (0.3, 40):
+        vocab, model = small_model(scale=scale)
+        rng = np.random.default_rng(5)
+        states = np.tanh(rng.normal(0, 1, (2 * gru.ROWS + 7, gru.STATE))).astype(np.float32)
+        targets = rng.integers(0, 60 + gru.TAILS, len(states))
+        slopes, summed = (gru.Model(*[np.zeros_like(a) for a in model.arrays()]) for _ in range(2))
+        found, down = gru._output(model, states, targets, slopes)
+        for k in range(len(states)):
+            one, below = gru._output(model, states[k : k + 1], targets[k : k + 1], summed)
+            assert np.allclose(found[k], one[0], rtol=1e-4, atol=1e-3) and np.allclose(down[k], below[0], rtol=1e-3, atol=1e-3 * scale)
+        for a, b in zip(slopes.arrays(), summed.arrays(), strict=True):
+            assert np.isfinite(a).all() and np.allclose(a, b, rtol=1e-3, atol=0.05)
+
+
 def test_language_model_without_rows(spark):
     assert gru.read_and_scored(frame(spark, [])).count() == 0
     one = gru.read_and_scored(frame(spark, [(10, "a b", "en", "s")])).collect()
