@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from coppice.llm.components import components
 from coppice.llm.words import WordHashes, mixed, shingle_set, slices, texts
-from coppice.session import cut
+from coppice.session import cut, short_batches
 
 SIMILAR = 75  # percent
 COORDINATES = 128
@@ -49,6 +49,7 @@ UNIVERSE = 1 << 20
 CROWD = 24
 ROUNDS = 2
 SEED = 20240229
+BATCH = 256  # texts that travel to Python at once
 
 
 @lru_cache(maxsize=1)
@@ -197,7 +198,8 @@ def links(documents: DataFrame, docs: DataFrame, similar: int = SIMILAR) -> Data
     sizes = rows.select(F.col("node").alias("center"), F.col("n").alias("n_center")).distinct()
     asked = rows.select("node").distinct()
     sets = docs.select(F.col("doc_id").cast("bigint"), "text").join(asked, F.col("doc_id") == F.col("node"), "left_semi")
-    sets = cut(sets.mapInArrow(_shingled, "node bigint, shingles array<bigint>").dropDuplicates(["node"]), "sets")
+    with short_batches(docs.sparkSession, BATCH):
+        sets = cut(sets.mapInArrow(_shingled, "node bigint, shingles array<bigint>").dropDuplicates(["node"]), "sets")
 
     parts = None
     for turn in range(1, ROUNDS + 1):
@@ -219,7 +221,8 @@ def _joined(found: DataFrame, parts: DataFrame | None) -> DataFrame:
 
 def grouped(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """One row per document: ``n_shingles``, ``component_id`` and whether it is ``kept``."""
-    documents = cut(signed(docs), "signed")
+    with short_batches(docs.sparkSession, BATCH):
+        documents = cut(signed(docs), "signed")
     named = documents.where("doc_id IS NOT NULL AND digest IS NOT NULL")
     parts = links(documents, docs, similar)
     nodes = named.groupBy("digest").agg(F.min("doc_id").alias("node"))

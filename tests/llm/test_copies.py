@@ -75,6 +75,29 @@ def test_a_crowded_bucket_is_compared_beyond_its_smallest(spark, monkeypatch):
     assert got == {k: c for k, (_, c) in brute_groups(texts).items()}
 
 
+def test_texts_travel_in_short_batches(spark, monkeypatch):
+    """Also where the session leaves Spark's own length, which is put back."""
+    signed, key = near._signed, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def checked(batches):
+        def short():
+            for batch in batches:
+                assert batch.num_rows <= 256
+                yield batch
+
+        yield from signed(short())
+
+    monkeypatch.setattr(near, "_signed", checked)
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        docs = spark.range(0, 2000, 1, 1).selectExpr("id AS doc_id", "concat('a text of number ', id) AS text")
+        assert near.grouped(docs).count() == 2000
+        assert spark.conf.get(key) == "10000"
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_near_copies_of_odd_rows(spark):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (7, "a b c d e f"), (3, None), (2, "")]
     got = sorted(map(str, near.grouped(frame(spark, rows)).collect()))
