@@ -54,3 +54,38 @@ def test_partitions_follow_the_input(spark):
     assert by_size(df, ["path"], df, F.lit(1), 50).rdd.getNumPartitions() == 20
     lines = by_size(df, ["path"], df, F.lit(1), 50).groupBy("path").count()
     assert {r["count"] for r in lines.collect()} == {10}
+
+
+def test_a_join_has_tasks_for_the_rows_it_makes(spark):
+    """Not for those it reads: a package of many files that many others import makes a row for each pair."""
+    from coppice.operators.skew import spread_join
+
+    big = rows(spark).unionByName(spark.range(500).select(F.lit(None).cast("string").alias("key"), "id"))
+    other = spark.range(300).select(F.when(F.col("id") < 200, "hot").otherwise(F.concat(F.lit("k"), F.col("id") - 200)).alias("key"), F.col("id").alias("v"))
+    for how in ("inner", "left"):
+        joined, tasks = spread_join(big, other, ["key"], ["id"], how, 1000)
+        assert tasks >= 200
+        want = sorted(map(tuple, big.join(other, "key", how).collect()), key=str)
+        assert sorted(map(tuple, joined.select("key", "id", "v").collect()), key=str) == want
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        most = joined.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert most <= 6000, most
+
+
+def test_many_importers_of_a_package_share_tasks(spark):
+    """Rows of one Go package do not all come out of the task that holds its imports."""
+    from coppice.operators import resolve
+    from coppice.schema import TREE
+    from coppice.sources import trees
+
+    names = spark.range(800).select(F.format_string("p/f%03d.go", "id").alias("path"))
+    files = trees.inventory(names.select(F.lit("r").alias("repo"), F.lit("head").alias("snapshot"), "path", F.lit(1).cast("long").alias("size")))
+    raw = names.select(
+        F.lit("r").alias("repo"), F.lit("head").alias("snapshot"), F.col("path").alias("src"), F.lit("go").alias("lang"), F.lit("import").alias("form"),
+        F.lit("example.org/r/p").alias("spec"), F.lit(0).alias("level"), F.lit(None).cast("array<string>").alias("names"), F.lit(0).alias("ord"),
+    )
+    modules = spark.createDataFrame([("r", "head", "example.org/r")], [*TREE, "module"])
+    found = resolve.resolve(raw, files, modules, langs=("go",)).where("dst IS NOT NULL")
+    assert found.count() == 800 * 800
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 2
