@@ -444,3 +444,12 @@ def test_bodies_of_unique_sizes_are_not_digested(spark):
     assert [(r.copies, r.path) for r in groups] == [(2, "f6")]
     everywhere = dupes.of_repeated_size(contents, files, across=True)
     assert sorted(r.path for r in everywhere.collect()) == ["f6", "f8", "g", "h", "i"]
+
+
+def test_empty_lines_are_not_tried(forest):
+    """Lines a comment leaves empty are dropped before the line patterns; numbers stay those of the file."""
+    _, contents = forest({"a.rs": "// one\n/* two\n three */\n\nfn f() {\n// four\n}\n", "b.go": "// none\n"})
+    lines = symbols._lines(contents, [".go", ".rs"])
+    assert sorted((r["path"], r["_n"], r["_line"]) for r in lines.collect()) == [("a.rs", 4, "fn f() {"), ("a.rs", 6, "}")]
+    found = symbols.brace_symbols(contents).collect()
+    assert [(r["path"], r["line_start"], r["line_end"], r["name"]) for r in found] == [("a.rs", 5, 7, "f")]
