@@ -137,3 +137,39 @@ def test_steps_hold_links_and_every_node(spark):
     nodes = spark.createDataFrame([(1,), (2,), (3,)], "node long")
     got = {tuple(r) for r in graph._steps(links, nodes).select("node", "to", "own").collect()}
     assert got == {(1, 2, False), (1, 3, False), (1, 1, True), (2, 2, True), (3, 3, True)}
+
+
+def test_files_with_one_number_are_numbered_anew(spark, monkeypatch):
+    """Numbers are hashes: should two files share one, all get others."""
+    whole, tried = graph._number, []
+
+    def number(seed, file):
+        tried.append(seed)
+        return F.pmod(whole(seed, file), F.lit(3)) if seed == 0 else whole(seed, file)
+
+    monkeypatch.setattr(graph, "_number", number)
+    edges = random_edges(9, 12, 30)
+    df = frame(spark, [*edges, (None, "n000"), ("n000", None)]).unionByName(frame(spark, [("n000", "n001")], None))
+    nodes, links = graph._coded(df.unionByName(df))
+    name = {r["id"]: r["node"] for r in nodes.collect()}
+    assert len(name) == nodes.count() and max(tried) == 1
+    assert sorted((name[a], name[b]) for a, b in links.collect()) == edges
+
+
+def test_trees_at_rest_are_put_aside(spark):
+    """A loop goes on with the trees in which something moved, and gives the rows of all."""
+    state = spark.createDataFrame([(1, 1, True), (2, 1, False), (3, 2, False)], "node long, tree long, moved boolean")
+    settled = graph._Settled(spark, "settled")
+    going = settled.going(state)
+    assert sorted(r["node"] for r in going.collect()) == [1, 2]
+    assert settled.going(going.withColumn("moved", F.lit(False))) is None
+    assert sorted(r["node"] for r in settled.all(state).collect()) == [1, 2, 3]
+
+
+def test_components_of_trees_that_settle_apart(spark):
+    """A long ring with shortcuts goes on for rounds after a short cycle beside it is found; ways in and out go at once."""
+    ring = [(f"a{i:02}", f"a{(i + 1) % 40:02}") for i in range(40)] + [(f"a{i:02}", f"a{(i - 1) % 40:02}") for i in range(1, 20)]
+    ways = [("w1", "w2"), ("w2", "w1"), ("w0", "w1"), ("w2", "w3"), ("w3", "w4"), ("w3", "w5"), ("w9", "w0"), ("w8", "w0")]
+    df = frame(spark, ring).unionByName(frame(spark, ways, "short"))
+    got = {(r["repo"], r["node"]): r["component"] for r in graph.components(df).collect()}
+    assert got == {("r", a): "a00" for a, _ in ring} | {("short", "w1"): "w1", ("short", "w2"): "w1"}
