@@ -32,10 +32,11 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
-from itertools import repeat
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +56,7 @@ RATE = 0.02
 SMOOTH = 0.1
 CHUNK = 12 << 20  # bytes of text that go through the model together
 LANES = 384
+TOGETHER = 1 << 15  # tokens whose odds a call works out, when the weights stand still
 ROWS = 1024  # tokens whose odds are worked out at once, few enough for the processor's cache
 
 
@@ -68,6 +70,21 @@ def tail_class(token: bytes) -> int:
     return zlib.crc32(token[-2:]) % TAILS
 
 
+def _as_text(words: pa.Array) -> pa.Array:
+    """Bytes as Arrow's text, unchecked: only its ASCII functions see them."""
+    return pa.Array.from_buffers(pa.large_string(), len(words), words.buffers())
+
+
+def words_of(read: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """``tokens_of`` without the ends, of all texts one after another, and how many each text has."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(_as_text(pa.array(read, pa.large_binary()))))
+    # Blanks at either end of a text leave an empty word there.
+    words = parts.flatten()
+    some = pc.greater(pc.binary_length(words), 0)
+    before = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+    return words.filter(some), np.diff(before[parts.offsets.to_numpy()])
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 10 == 0, F.lit(False))
 
@@ -88,8 +105,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts.clear()
 
     for batch in slices(batches):
-        for text in texts(batch):
-            counts.update(tokens_of(text))
+        read = texts(batch)
+        found = pc.value_counts(words_of(read)[0])
+        for word, n in zip(found.field(0).cast(pa.large_binary()).to_pylist(), found.field(1).to_pylist(), strict=True):
+            counts[word] += n
+        counts[END] += len(read)
         if len(counts) > 250_000:
             yield from told()
     yield from told()
@@ -173,13 +193,17 @@ class Model:
     def flat(self) -> np.ndarray:
         return np.concatenate([a.ravel() for a in self.arrays()])
 
-    def like(self, flat: np.ndarray) -> Model:
+    def views(self, flat: np.ndarray) -> Model:
+        """Weights of the same shapes that lie in ``flat``."""
         made, at = [], 0
         for a in self.arrays():
-            made.append(flat[at : at + a.size].reshape(a.shape).astype(np.float32))
+            made.append(flat[at : at + a.size].reshape(a.shape))
             at += a.size
         return Model(*made)
 
+    def like(self, flat: np.ndarray) -> Model:
+        return self.views(flat.astype(np.float32))
+
 
 def first_model(vocab: Vocabulary, seed: int = 7) -> Model:
     """Small random weights; with the biases alone the model is the unigram one."""
@@ -329,9 +353,13 @@ def _output(model: Model, states: np.ndarray, targets: np.ndarray, slopes: Model
         lo, hi = k * PER_CLASS, min((k + 1) * PER_CLASS, n_words)
         weights = model.words[lo:hi]
         own = slice(ends[k], ends[k + 1])
-        odds, sums, here = _odds(states[own], weights.T, model.word_bias[lo:hi], targets[own] - lo, wild)
-        found[own] += here
-        if slopes is not None:
+        if slopes is None:
+            for at in range(own.start, own.stop, ROWS):
+                part = slice(at, min(at + ROWS, own.stop))
+                found[part] += _odds(states[part], weights.T, model.word_bias[lo:hi], targets[part] - lo, wild)[2]
+        else:
+            odds, sums, here = _odds(states[own], weights.T, model.word_bias[lo:hi], targets[own] - lo, wild)
+            found[own] += here
             share = np.float32(-1) / sums
             down[own] += (odds @ weights) * share[:, None]
             slopes.words[lo:hi] += odds.T @ (states[own] * share[:, None])
@@ -392,14 +420,11 @@ class Trainer:
     """Adam steps on a model of its own."""
 
     def __init__(self, model: Model, rate: float = RATE):
-        self.model = Model(*[a.copy() for a in model.arrays()])
+        self.weights = model.flat()
+        self.model = model.views(self.weights)
         self.rate, self.steps, self.seen = rate, 0, 0
-        self.slopes, self.waiting = self._no_slopes(), 0  # of tokens that have not moved the weights yet
-        self.mean = [np.zeros_like(a) for a in model.arrays()]
-        self.square = [np.zeros_like(a) for a in model.arrays()]
-
-    def _no_slopes(self) -> Model:
-        return Model(*[np.zeros_like(a) for a in self.model.arrays()])
+        self.mean, self.square, self.slope, self._a, self._b = (np.zeros_like(self.weights) for _ in range(5))
+        self.slopes, self.waiting = model.views(self.slope), 0  # of tokens that have not moved the weights yet
 
     def read(self, lanes: Lanes) -> None:
         state = np.zeros((len(lanes.places), STATE), np.float32)
@@ -425,24 +450,46 @@ class Trainer:
         if not self.waiting:
             return
         self.steps += 1
-        size = np.float32(self.waiting)
-        for weight, slope, mean, square in zip(self.model.arrays(), self.slopes.arrays(), self.mean, self.square, strict=True):
-            slope /= size
-            mean += np.float32(0.1) * (slope - mean)
-            square += np.float32(0.01) * (slope * slope - square)
-            step = mean / np.float32(1 - 0.9**self.steps)
-            weight += np.float32(self.rate) * step / (np.sqrt(square / np.float32(1 - 0.99**self.steps)) + np.float32(1e-6))
-        self.slopes, self.waiting = self._no_slopes(), 0
+        slope, mean, square, a, b = self.slope, self.mean, self.square, self._a, self._b
+        slope /= np.float32(self.waiting)
+        np.subtract(slope, mean, out=a)
+        a *= np.float32(0.1)
+        mean += a
+        np.multiply(slope, slope, out=a)
+        a -= square
+        a *= np.float32(0.01)
+        square += a
+        np.divide(square, np.float32(1 - 0.99**self.steps), out=a)
+        np.sqrt(a, out=a)
+        a += np.float32(1e-6)
+        np.divide(mean, np.float32(1 - 0.9**self.steps), out=b)
+        b *= np.float32(self.rate)
+        b /= a
+        self.weights += b
+        slope.fill(0)
+        self.waiting = 0
 
 
 def log_probabilities(model: Model, lanes: Lanes) -> np.ndarray:
     """Natural logarithm for each token, tails by their class only, the state carried through each document."""
     found = np.zeros(len(lanes.targets), np.float32)
     state = np.zeros((len(lanes.places), STATE), np.float32)
+    held, waiting = [], 0  # states of windows whose outputs are worked out together
+
+    def told() -> None:
+        at = np.concatenate([p for p, _ in held])
+        found[at], _ = _output(model, np.concatenate([h for _, h in held]), lanes.targets[at], None)
+
     for places, active in lanes.windows(WINDOW):
         mask = np.arange(places.shape[1]) < active[:, None]
         states, state, _ = _forward(model, lanes.inputs[places], active, lanes.start, state, False)
-        found[places[mask]], _ = _output(model, states[mask], lanes.targets[places[mask]], None)
+        held.append((places[mask], states[mask]))
+        waiting += len(held[-1][0])
+        if waiting >= TOGETHER:
+            told()
+            held, waiting = [], 0
+    if held:
+        told()
     return found
 
 
@@ -464,20 +511,33 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordB
         yield held, read
 
 
-def _numbered(vocab: Vocabulary, read: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Input rows and ranks (-1: not known) of all tokens, the documents' lengths, and their unknown tokens."""
-    ranks, lengths, rest = [], [], []
-    for text in read:
-        words = tokens_of(text)
-        found = np.fromiter(map(vocab.ranks.get, words, repeat(-1)), np.int32, len(words))
-        ranks.append(found)
-        lengths.append(len(words))
-        rest.append([words[k] for k in np.flatnonzero(found < 0)])
-    rank = np.concatenate(ranks)
+def _numbered(vocab: Vocabulary, read: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Input rows and ranks (-1: not known) of all tokens, the documents' lengths, and the unknown words."""
+    words, lengths = words_of(read)
+    found = pc.index_in(words, _as_text(pa.array(vocab.ranks, pa.large_binary())))
+    lengths = lengths + 1
+    ends = np.cumsum(lengths) - 1
+    rank = np.empty(int(lengths.sum()), np.int32)
+    worded = np.ones(len(rank), bool)
+    worded[ends] = False
+    rank[worded] = found.fill_null(-1).to_numpy()
+    rank[ends] = vocab.ranks.get(END, -1)
     ids = vocab.inputs[rank] if len(vocab.inputs) else np.zeros(len(rank), np.int32)
     unknown = rank < 0
-    ids[unknown] = np.fromiter((vocab.n_words + tail_class(w) for ws in rest for w in ws), np.int32, int(unknown.sum()))
-    return ids, rank, np.array(lengths), rest
+    rare = words.filter(found.is_null()).cast(pa.large_binary())
+    endings = pc.binary_slice(rare, -2).dictionary_encode()
+    by_ending = np.array([tail_class(e) for e in endings.dictionary.to_pylist()], np.int32)
+    ids[unknown & worded] = vocab.n_words + by_ending[endings.indices.to_numpy()]
+    ids[unknown & ~worded] = vocab.n_words + tail_class(END)
+    return ids, rank, lengths, rare
+
+
+def _rest(rank: np.ndarray, lengths: np.ndarray, rare: pa.Array) -> list[list[bytes]]:
+    """Each document's unknown tokens, from what ``_numbered`` found."""
+    unknown = np.add.reduceat(rank < 0, np.cumsum(lengths) - lengths, dtype=np.int64)
+    ended = rank[np.cumsum(lengths) - 1] < 0  # an end that is not known is no word
+    left = iter(rare.to_pylist())
+    return [[*islice(left, n - e), *([END] if e else [])] for n, e in zip(unknown.tolist(), ended.tolist(), strict=True)]
 
 
 def _vector_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -546,14 +606,14 @@ def scored(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: Model)
         start = vocab.n_words + TAILS
         within = np.append(np.log10(vocab.counts + SMOOTH), 0.0)  # the last one for ranks of -1
         for held, read in _chunks(batches):
-            ids, rank, lengths, rest = _numbered(vocab, read)
+            ids, rank, lengths, rare = _numbered(vocab, read)
             found = log_probabilities(model, Lanes(ids, lengths, start)).astype(np.float64)
             tail = ids >= vocab.n_words
             found[tail] -= vocab.tails[ids[tail] - vocab.n_words]
             found /= np.log(10)
             found[tail] += within[rank[tail]]
             owner = np.repeat(np.arange(len(lengths)), lengths)
-            bags = [Counter(ws) for ws in rest]
+            bags = [Counter(ws) for ws in _rest(rank, lengths, rare)]
             rows = pa.Table.from_batches(held)
             yield from pa.table(
                 [

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from coppice.llm import crf, divergence, gru, licenses, mixing
@@ -494,3 +495,37 @@ def test_cosine_as_by_hand():
     for (_, wording), cosine in zip(licenses.TEMPLATES, known.cosines(run), strict=True):
         own = licenses.terms(wording.encode())
         assert cosine == pytest.approx(_plain_cosine(weights(run), weights(own)) if licenses.told(own) == {"mit"} else 0)
+
+
+def test_words_by_arrow_are_the_tokens():
+    """Words are split, counted and numbered for many texts at once as ``tokens_of`` does for one."""
+    read = [b"", b" \t ", "  A\x0bb\x0cÄ\u00a0Ö \r\n".encode(), b"x", b"b b  zz\x00q \x1c B", "ß\u2003ß É".encode(), b"broken \xff\xc3 end"]
+    words, counts = gru.words_of(read)
+    want = [gru.tokens_of(t) for t in read]
+    assert words.cast(pa.large_binary()).to_pylist() == [w for ws in want for w in ws[:-1]]
+    assert counts.tolist() == [len(ws) - 1 for ws in want]
+    told = pa.Table.from_batches(list(gru._counted(iter([pa.record_batch([pa.array(read, pa.binary())], names=["text"])]))))
+    assert dict(zip(told["token"].to_pylist(), told["n"].to_pylist())) == Counter(w for ws in want for w in ws)
+    for top in ([gru.END, b"b", b"x"], [b"b"], []):
+        ranks = {w: k for k, w in enumerate(top)}
+        vocab = gru.Vocabulary(ranks, np.ones(len(top)), np.arange(len(top), dtype=np.int32), len(top), 1, 1, np.zeros(gru.TAILS))
+        ids, rank, lengths, rare = gru._numbered(vocab, read)
+        tokens = [w for ws in want for w in ws]
+        assert rank.tolist() == [ranks.get(w, -1) for w in tokens]
+        assert ids.tolist() == [ranks.get(w, len(top) + gru.tail_class(w)) for w in tokens]
+        assert lengths.tolist() == list(map(len, want))
+        assert gru._rest(rank, lengths, rare) == [[w for w in ws if w not in ranks] for ws in want]
+
+
+def test_log_probabilities_over_several_calls(monkeypatch):
+    """Outputs of several windows are worked out together; where a call ends has no bearing."""
+    rng = np.random.default_rng(3)
+    counts = np.sort(rng.integers(1, 500, 100))[::-1].astype(np.float64)
+    vocab = gru.Vocabulary({}, counts, np.arange(100, dtype=np.int32), 100, int(counts.sum()), 100, np.zeros(gru.TAILS))
+    model, start = gru.first_model(vocab), 100 + gru.TAILS
+    lengths = np.array([700, 3, 90, 1, 260])
+    lanes = gru.Lanes(rng.integers(0, start, int(lengths.sum())).astype(np.int32), lengths, start)
+    whole = gru.log_probabilities(model, lanes)
+    monkeypatch.setattr(gru, "TOGETHER", 50)
+    monkeypatch.setattr(gru, "ROWS", 7)
+    assert np.allclose(gru.log_probabilities(model, lanes), whole, atol=1e-5) and (whole < 0).all()
