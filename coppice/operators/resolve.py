@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from coppice.functions import paths
-from coppice.operators.skew import by_size, first_n, salted_join, skew_join, spread_join
+from coppice.operators.skew import by_merge, by_size, first_n, salted_join, skew_join, spread_join
 from coppice.schema import TREE
 from coppice.session import cut, short_tasks
 
@@ -83,7 +83,7 @@ def javascript_candidates(raw: DataFrame, options: DataFrame, aliases: DataFrame
     """
     specs = raw.where(F.col("lang") == "js").withColumn("shown", F.col("spec"))
     imports = salted_join(
-        salted_join(specs, options, TREE, ["src"], "left"), aliases, TREE, ["src"], "left"
+        salted_join(specs, options, TREE, ["src"], "left", grows=True), aliases, TREE, ["src"], "left", grows=True
     )
     spec = F.col("spec")
     relative = F.array(paths.normpath(paths.join(paths.dirname(F.col("src")), spec)))
@@ -131,7 +131,7 @@ def javascript_candidates(raw: DataFrame, options: DataFrame, aliases: DataFrame
 def go_candidates(raw: DataFrame, modules: DataFrame) -> DataFrame:
     """Imports under the tree's module name: the package directory."""
     specs = raw.where(F.col("lang") == "go").withColumn("shown", F.col("spec"))
-    imports = salted_join(specs, modules, TREE, ["src"], "left")
+    imports = salted_join(specs, modules, TREE, ["src"], "left", grows=True)
     below = F.substring("spec", F.length("module") + 1, F.length("spec"))
     package = F.when(
         F.startswith("spec", F.col("module")), F.array(F.regexp_replace(below, r"\A/+", ""))
@@ -157,7 +157,7 @@ def rust_candidates(raw: DataFrame, modules: DataFrame) -> DataFrame:
         F.array(F.concat(beside, F.lit(".rs")), F.concat(beside, F.lit("/mod.rs"))),
     )
     uses = imports.where(F.col("form") == "use").join(
-        modules.select(*TREE, F.col("path").alias("src"), "crate", "module"), [*TREE, "src"], "left"
+        by_merge(modules.select(*TREE, F.col("path").alias("src"), "crate", "module")), [*TREE, "src"], "left"
     )
     here = F.when(F.col("module") == "", _empty()).otherwise(F.split("module", "::"))
     head = F.try_element_at("_seg", F.lit(1))
@@ -255,7 +255,7 @@ def rust_modules(files: DataFrame, crates: DataFrame) -> DataFrame:
     """Each ``.rs`` file with its crate root and its module path in the crate."""
     sources = _sources(files).where(F.endswith("path", F.lit(".rs")))
     above = sources.select(*TREE, "path", F.explode(paths.ancestors(F.col("path"))).alias("dir"))
-    roots = salted_join(above, crates, [*TREE, "dir"], ["path"], "left").groupBy(*TREE, "path")
+    roots = salted_join(above, crates, [*TREE, "dir"], ["path"], "left", grows=True).groupBy(*TREE, "path")
     # "crate" is null for directories that are no crate root.
     found = roots.agg(F.max_by("dir", F.when(F.col("is_crate"), F.length("dir"))).alias("crate"))
     return found.withColumn("crate", F.coalesce("crate", F.lit(""))).withColumn(

@@ -89,3 +89,22 @@ def test_many_importers_of_a_package_share_tasks(spark):
     found = resolve.resolve(raw, files, modules, langs=("go",)).where("dst IS NOT NULL")
     assert found.count() == 800 * 800
     assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 2
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sides_that_grow_are_not_broadcast(spark, tmp_path):
+    """Repeated names pack well, so written sides look small enough for it long after they are not."""
+    from coppice.operators.skew import spread_join
+
+    rows(spark).selectExpr("key", "id").write.parquet(f"{tmp_path}/big")
+    rows(spark).selectExpr("key", "id AS v").write.parquet(f"{tmp_path}/other")
+    big, other = spark.read.parquet(f"{tmp_path}/big"), spark.read.parquet(f"{tmp_path}/other")
+    # The lists of hot keys are; they have a fixed length or one row for a task.
+    for joined in (skew_join(big, other, ["key"], ["id"]), spread_join(big, other, ["key"], ["id"])[0]):
+        plan = plan_of(joined)
+        assert plan.count("BroadcastHashJoin") == 2 and plan.count("SortMergeJoin") == 1, plan
+    assert "BroadcastHashJoin" in plan_of(salted_join(big, other, ["key"], ["id"]))
+    assert "BroadcastHashJoin" not in plan_of(salted_join(big, other, ["key"], ["id"], grows=True))
