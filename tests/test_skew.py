@@ -108,3 +108,18 @@ def test_sides_that_grow_are_not_broadcast(spark, tmp_path):
         assert plan.count("BroadcastHashJoin") == 2 and plan.count("SortMergeJoin") == 1, plan
     assert "BroadcastHashJoin" in plan_of(salted_join(big, other, ["key"], ["id"]))
     assert "BroadcastHashJoin" not in plan_of(salted_join(big, other, ["key"], ["id"], grows=True))
+
+
+def test_trees_that_go_on_are_broadcast_by_their_number(spark, monkeypatch):
+    """Not by the bytes they take, in which the salts do not show."""
+    from coppice.operators import graph
+    from coppice.session import cut
+
+    state = cut(spark.range(400).selectExpr("id AS node", "id % 40 AS tree", "id < 10 AS moved"), "state")
+    for few in (100, 9):
+        monkeypatch.setattr(graph, "FEW_TREES", few)
+        settled = graph._Settled(spark, "settled")
+        going = settled.going(state)
+        assert ("BroadcastHashJoin" in plan_of(going)) == (few == 100)
+        assert {r["node"] for r in going.collect()} == {i for i in range(400) if i % 40 < 10}
+        assert {r["node"] for r in settled.all(state).collect()} == {i for i in range(400) if i % 40 >= 10}
