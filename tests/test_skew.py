@@ -110,6 +110,30 @@ def test_sides_that_grow_are_not_broadcast(spark, tmp_path):
     assert "BroadcastHashJoin" not in plan_of(salted_join(big, other, ["key"], ["id"], grows=True))
 
 
+def test_what_is_known_of_files_is_not_broadcast(spark, forest):
+    from coppice.operators import summary, testsgap, tree
+    from coppice.session import cut
+    from coppice.sinks import report
+    from coppice.sources import trees
+
+    files, contents = forest({"pkg/a.py": "import pkg.b\n", "pkg/b.py": "x = 1\n", "tests/test_a.py": "import pkg.a\n", "package.json": '{"main": "pkg/a.py"}'})
+    files = cut(files, "files")
+    edges = cut(files.selectExpr("repo", "snapshot", "path AS src", "'pkg/b.py' AS dst", "false AS decl_only"), "edges")
+    some = cut(files.where("path LIKE 'pkg/%'").select("repo", "snapshot", "path"), "some")
+    counts = cut(trees.text_counts(contents), "counts")
+    annotated = summary.annotate(files, counts=counts, edges=edges, entries=some, configs=some, untested=some)
+    assert {r["path"]: r["imported_by"] for r in annotated.collect()}["pkg/b.py"] == 4
+    listed = cut(trees.with_directories(files), "listed")
+    for df in (
+        annotated,
+        testsgap.untested(files, edges, some),
+        trees.package_entries(contents, files),
+        report.nodes(listed, annotated=cut(annotated, "annotated")),
+        tree.entry_notes(listed, cut(annotated, "annotated")),
+    ):
+        assert not [line for line in plan_of(df).splitlines() if "BroadcastHashJoin" in line and "_hot" not in line and "[id" not in line], plan_of(df)
+
+
 def test_trees_that_go_on_are_broadcast_by_their_number(spark, monkeypatch):
     """Not by the bytes they take, in which the salts do not show."""
     from coppice.operators import graph
